@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, exact_dedup
+from tidemark.llm import common, exact_dedup, ngram_join
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and n_links: five-word shingles, Jaccard of 0.8 or more."""
+    return ngram_join.near_duplicate_classes(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
+    "op4_exact_dedup": op4_exact_dedup,
+}
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
