@@ -12,8 +12,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once; long texts make large batches.
-ARROW_ROWS = 256
+#: Rows and bytes handed to Python at once; one row may be larger.
+ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
 #: Bits of one row of a filter: the width that Spark's bitmap functions use.
 BITMAP_BITS = 32768
 #: A filter never has more bits than this, so its broadcast never exceeds 128 MB.
@@ -59,6 +59,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of Python stages, unless the session sets a size of its own."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

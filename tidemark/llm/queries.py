@@ -3,21 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import common, exact_dedup, ngram_join
+from tidemark.llm import bpe, common, exact_dedup, langid, media, ngram_join, packing, token_counts, warc
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return common.table(spark, sf_dir, "documents")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and n_links: five-word shingles, Jaccard of 0.8 or more."""
-    return ngram_join.near_duplicate_classes(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
+    return ngram_join.near_duplicate_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "copies")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.mark_copies(common.table(spark, sf_dir, "documents"))
+    return exact_dedup.mark_copies(_documents(spark, sf_dir))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_documents(spark, sf_dir))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_digests(common.table(spark, sf_dir, "pages"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = langid.train_on(docs)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.map_keys("lang_mix").alias("lang_set"))
 
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_media": op5_media,
+    "op7_packing": op7_packing,
+    "op8_bpe": op8_bpe,
+    "op9_warc": op9_warc,
+    "op10_langid": op10_langid,
 }
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
