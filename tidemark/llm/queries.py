@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, exact_dedup, langid, media, ngram_join, packing, token_counts, warc
+from tidemark.llm import bpe, common, exact_dedup, langid, media, ngram_join, packing, quality, token_counts, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.table(spark, sf_dir, "documents")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.cast("int").alias("predicted"), "evidence", F.size("passages").alias("n_passages"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and n_links: five-word shingles, Jaccard of 0.8 or more."""
     return ngram_join.near_duplicate_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "copies")
@@ -29,6 +37,17 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 poor, 1 good but toxic, 2 good: expected grade, tail probabilities, and selection by the first tail."""
+    docs = _documents(spark, sf_dir)
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"), quality.label_grade(), 3)
+    graded = quality.grade_documents(docs.select("doc_id", "text"), model)
+    tails = F.col("tails")
+    return graded.select(
+        "doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "expected_grade", tails[0].alias("score"), tails[1].alias("top_grade_probability"), (tails[0] >= 0.5).alias("kept")
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -49,10 +68,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_media": op5_media,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
