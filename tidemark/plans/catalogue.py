@@ -1,6 +1,714 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""Registry of the engine's queries over the test tables, each with its SQL oracle where SQL can state it.
+
+Doubles are rounded on both sides, so that the last bits of sums in different
+orders do not count.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import ts
+from tidemark.operators import backtest as bt
+from tidemark.operators import evaluate as ev
+from tidemark.operators import features as ft
+from tidemark.operators import folds, models, portfolio, regimes, simulate
+from tidemark.operators import statistics as st
+from tidemark.sources import market
+from tidemark.streaming import online
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+DIGITS = 8
+
+
+def query(sql: str | None = None):
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return keep
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """All doubles rounded; -0.0 becomes 0.0."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def significant(c: str, digits: int = 9):
+    """A column to so many significant digits, for compounded values of any size."""
+    return (F.format_string(f"%.{digits - 1}e", F.col(c)).cast("double") + F.lit(0.0)).alias(c)
+
+
+def sig(expr: str, name: str, digits: int = 9) -> str:
+    return f"CAST(printf('%.{digits - 1}e', CAST({expr} AS DOUBLE)) AS DOUBLE) + 0.0 AS {name}"
+
+
+def rounded_ledger(ledger: DataFrame, columns: list[str]) -> DataFrame:
+    kinds = dict(ledger.dtypes)
+    return ledger.select(*[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c) for c in columns], significant("equity"), significant("drawdown"))
+
+
+def metric_row(df: DataFrame) -> DataFrame:
+    """Metrics rounded to 6 places; compounded ones to significant digits."""
+    compounded = [c for c in df.columns if c in ("total_return", "max_drawdown", "equity", "drawdown")]
+    kept = df.select(*[significant(c) if c in compounded else F.col(c) for c in df.columns])
+    return kept.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" and c not in compounded else F.col(c) for c, t in kept.dtypes])
+
+
+def r(expr: str, name: str, digits: int = DIGITS) -> str:
+    return f"round({expr}, {digits}) + 0.0 AS {name}"
+
+
+# --- SQL views that the oracles share ---------------------------------------
+
+DAILY = """
+prices AS (
+  SELECT CAST(l_shipdate AS DATE) AS date,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / nullif(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 0) AS price
+  FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1),
+changes AS (SELECT date, price, price / nullif(lag(price) OVER (ORDER BY date), 0) - 1 AS ret FROM prices),
+daily AS (SELECT * FROM changes WHERE ret IS NOT NULL)"""
+
+
+def _roll(fn: str, c: str, n: int, least: int, shift: int) -> str:
+    frame = f"(ORDER BY date ROWS BETWEEN {n - 1 + shift} PRECEDING AND {f'{shift} PRECEDING' if shift else 'CURRENT ROW'})"
+    return f"CASE WHEN count({c}) OVER {frame} >= {least} THEN {fn}({c}) OVER {frame} END"
+
+
+def _z(base: str, sign: int = 1, source: str = "daily") -> str:
+    """CTEs ``based`` and ``zed`` (date, price, ret, value): a signal by its base expression."""
+    return f"""
+based AS (SELECT *, {base} AS base FROM {source}),
+zed AS (SELECT date, price, ret, {sign}.0 * ((lag(base) OVER (ORDER BY date)) - {_roll("avg", "base", 250, 60, 1)}) / nullif({_roll("stddev_samp", "base", 250, 60, 1)}, 0) AS value,
+        lead(ret) OVER (ORDER BY date) AS fwd FROM based)"""
+
+
+MOMENTUM_BASE = "price / nullif(lag(price, 60) OVER (ORDER BY date), 0) - 1"
+REVERSION_BASE = "price / nullif(lag(price, 5) OVER (ORDER BY date), 0) - 1"
+VOL_BASE = _roll("stddev_samp", "ret", 20, 20, 0)
+MOMENTUM = f"{DAILY}, {_z(MOMENTUM_BASE)}"
+LONG = f"""{DAILY},
+b AS (SELECT *, {MOMENTUM_BASE} AS b1, {REVERSION_BASE} AS b2, {VOL_BASE} AS b3, lead(ret) OVER (ORDER BY date) AS fwd FROM daily),
+wide AS (SELECT date, price, fwd,
+  {", ".join(f"{s}.0 * ((lag({x}) OVER (ORDER BY date)) - {_roll('avg', x, 250, 60, 1)}) / nullif({_roll('stddev_samp', x, 250, 60, 1)}, 0) AS {n}" for x, s, n in (("b1", 1, "alpha_momentum"), ("b2", -1, "alpha_mean_reversion"), ("b3", -1, "alpha_vol_managed")))}
+  FROM b),
+long AS (SELECT date, price, fwd, 'alpha_momentum' AS signal, alpha_momentum AS value FROM wide UNION ALL
+         SELECT date, price, fwd, 'alpha_mean_reversion', alpha_mean_reversion FROM wide UNION ALL
+         SELECT date, price, fwd, 'alpha_vol_managed', alpha_vol_managed FROM wide)"""
+PREDICTIONS = f"{MOMENTUM}, predictions AS (SELECT date, 1 / (1 + exp(-value)) AS probability, fwd AS next_return, CAST(fwd > 0 AS INTEGER) AS target FROM zed WHERE value IS NOT NULL AND fwd IS NOT NULL)"
+
+
+def _ledger(source: str, position: str, cost: str = "CAST(0.0002 AS DOUBLE)", by: str = "", extra: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    w = f"({part}ORDER BY date)"
+    run = f"({part}ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    return f"""
+placed AS (SELECT *, {position} AS position FROM {source}),
+turned AS (SELECT *, coalesce(abs(position - lag(position) OVER {w}), abs(position)) AS turnover FROM placed),
+netted AS (SELECT *, position * next_return - turnover * {cost} AS strategy_return FROM turned),
+grown AS (SELECT *, product(1 + strategy_return) OVER {run} AS equity FROM netted),
+ledger AS (SELECT *, equity / nullif(max(equity) OVER {run}, 0) - 1 AS drawdown FROM grown)"""
+
+
+def _position(up: str) -> str:
+    return f"CASE WHEN probability <= CAST(1 AS DOUBLE) - {up} THEN -1 WHEN probability >= {up} THEN 1 ELSE 0 END"
+
+
+UP = "CAST(0.54 AS DOUBLE)"
+METRICS = f"""{sig("max_by(equity, date) - 1", "total_return")},
+ {r("CASE WHEN stddev_samp(strategy_return) = 0 THEN 0 ELSE sqrt(252) * avg(strategy_return) / stddev_samp(strategy_return) END", "annualised_sharpe", 6)},
+ {sig("min(drawdown)", "max_drawdown")}, {r("avg(turnover)", "mean_turnover", 6)}"""
+
+
+def _rank(c: str, part: str) -> str:
+    return f"rank() OVER (PARTITION BY {part} ORDER BY {c}) + (count(*) OVER (PARTITION BY {part}, {c}) - 1) / 2.0"
+
+
+def _corr(a: str, b: str) -> str:
+    return f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END"
+
+
+# --- frames that the queries share ------------------------------------------
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide: three price signals with fwd."""
+    frame = market.daily_series(spark, sf_dir)
+    frame = ft.vol_managed_signal(ft.mean_reversion_signal(ft.momentum_signal(frame)))
+    return frame.withColumn("fwd", F.lead("return", 1).over(ts.spec()))
+
+
+SIGNALS = ["alpha_momentum", "alpha_mean_reversion", "alpha_vol_managed"]
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ft.to_long(_signals(spark, sf_dir), SIGNALS, ["series_id", "date", "price", "fwd"])
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-probabilities of the momentum signal."""
+    frame = ft.momentum_signal(market.daily_series(spark, sf_dir)).withColumn("next_return", F.lead("return", 1).over(ts.spec()))
+    some = frame.where("alpha_momentum is not null and next_return is not null")
+    return some.select("series_id", "date", (1.0 / (1.0 + F.exp(-F.col("alpha_momentum")))).alias("probability"), "next_return", (F.col("next_return") > 0).cast("int").alias("target"))
+
+
+def _hourly_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regimes.terciles_by_value(market.hourly_series(spark, sf_dir)).select("series_id", "date", "value", "regime")
+
+
+HOURLY = """
+hourly AS (SELECT date_trunc('hour', ts) AS date, CAST(sum(CAST(value AS DECIMAL(28,12))) AS DOUBLE) / count(value) AS value FROM events GROUP BY 1),
+edges AS (SELECT list_distinct(quantile_cont(value, [0, 1.0/3, 2.0/3, 1])) AS e FROM hourly),
+inner_edges AS (SELECT list_sort(e)[2:len(e) - 1] AS e FROM edges),
+states AS (SELECT date, value, CAST(len(list_filter(i.e, lambda x: x < value)) AS INTEGER) AS regime FROM hourly, inner_edges i)"""
+
+
+# --- series, features and signals -------------------------------------------
+
+
+@query(f"WITH {DAILY} SELECT 'ALL' AS series_id, date, {r('price', 'price')}, {r('ret', 'return')} FROM daily")
+def daily_series(spark, sf_dir):
+    return rounded(market.daily_series(spark, sf_dir))
+
+
+_FEATURES = [f"lag(ret, {k}) OVER (ORDER BY date) AS return_lag_{k}" for k in ft.LAGS]
+for _n in ft.WINDOWS:
+    _FEATURES += [
+        f"lag(price, 1) OVER (ORDER BY date) / nullif(lag(price, {_n + 1}) OVER (ORDER BY date), 0) - 1 AS momentum_{_n}",
+        f"{_roll('stddev_samp', 'ret', _n, _n, 1)} AS volatility_{_n}",
+        f"price / nullif({_roll('max', 'price', _n, _n, 1)}, 0) - 1 AS drawdown_{_n}",
+    ]
+FEATURE_NAMES = [f"return_lag_{k}" for k in ft.LAGS] + [f"{kind}_{n}" for n in ft.WINDOWS for kind in ("momentum", "volatility", "drawdown")]
+FEATURES = f"{DAILY}, f AS (SELECT date, price, ret, {', '.join(_FEATURES)}, CAST(lead(ret) OVER (ORDER BY date) > 0 AS INTEGER) AS target, lead(ret) OVER (ORDER BY date) AS next_return FROM daily), features AS (SELECT * FROM f WHERE next_return IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURE_NAMES)})"
+
+
+@query(f"WITH {FEATURES} SELECT 'ALL' AS series_id, date, {r('price', 'price')}, {r('ret', 'return')}, {', '.join(r(c, c) for c in FEATURE_NAMES)}, target, {r('next_return', 'next_return')} FROM features")
+def features_all(spark, sf_dir):
+    return rounded(ft.build_features(market.daily_series(spark, sf_dir)))
+
+
+def _signal_sql(base: str, sign: int, name: str) -> str:
+    return f"WITH {DAILY}, {_z(base, sign)} SELECT 'ALL' AS series_id, date, {r('value', name)} FROM zed"
+
+
+@query(_signal_sql(MOMENTUM_BASE, 1, "alpha_momentum"))
+def signal_momentum(spark, sf_dir):
+    return rounded(ft.momentum_signal(market.daily_series(spark, sf_dir)).select("series_id", "date", "alpha_momentum"))
+
+
+@query(_signal_sql(REVERSION_BASE, -1, "alpha_mean_reversion"))
+def signal_mean_reversion(spark, sf_dir):
+    return rounded(ft.mean_reversion_signal(market.daily_series(spark, sf_dir)).select("series_id", "date", "alpha_mean_reversion"))
+
+
+@query(_signal_sql(VOL_BASE, -1, "alpha_vol_managed"))
+def signal_vol_managed(spark, sf_dir):
+    return rounded(ft.vol_managed_signal(market.daily_series(spark, sf_dir)).select("series_id", "date", "alpha_vol_managed"))
+
+
+@query()
+def signal_placebo(spark, sf_dir):
+    return ft.placebo_signal(market.daily_series(spark, sf_dir), seed=3).select("series_id", "date", "alpha_placebo")
+
+
+@query()
+def signal_regime_transition(spark, sf_dir):
+    posteriors = regimes.walk_forward_posteriors(market.daily_series(spark, sf_dir), 800, 400)
+    return ft.regime_transition_signal(posteriors).select("series_id", "date", "alpha_regime_transition")
+
+
+# --- evaluation -------------------------------------------------------------
+
+PAIRS = "pairs AS (SELECT signal, date, value, fwd FROM long WHERE value IS NOT NULL AND fwd IS NOT NULL)"
+
+
+@query(f"WITH {LONG}, {PAIRS}, k AS (SELECT signal, {_rank('value', 'signal')} AS a, {_rank('fwd', 'signal')} AS b FROM pairs) SELECT 'ALL' AS series_id, signal, count(*) AS n, {r('CASE WHEN count(*) >= 10 THEN ' + _corr('a', 'b') + ' END', 'ic')} FROM k GROUP BY signal")
+def ic_full(spark, sf_dir):
+    return rounded(ev.information_coefficient(_long(spark, sf_dir)))
+
+
+_HORIZONS = " UNION ALL ".join(f"SELECT signal, {h} AS horizon, value, lead(price, {h}) OVER (PARTITION BY signal ORDER BY date) / nullif(price, 0) - 1 AS fwd_h FROM long" for h in (1, 5, 10, 20))
+
+
+@query(f"WITH {LONG}, h AS ({_HORIZONS}), p AS (SELECT * FROM h WHERE value IS NOT NULL AND fwd_h IS NOT NULL), k AS (SELECT signal, horizon, {_rank('value', 'signal, horizon')} AS a, {_rank('fwd_h', 'signal, horizon')} AS b FROM p) SELECT 'ALL' AS series_id, signal, CAST(horizon AS INTEGER) AS horizon, count(*) AS n, {r(_corr('a', 'b'), 'ic')} FROM k GROUP BY signal, horizon")
+def ic_decay(spark, sf_dir):
+    return rounded(ev.ic_decay(_long(spark, sf_dir)))
+
+
+_BLOCKS = f"cut AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY signal ORDER BY date) - 1) / 60) AS INTEGER) AS block FROM pairs), k AS (SELECT signal, block, {_rank('value', 'signal, block')} AS a, {_rank('fwd', 'signal, block')} AS b FROM cut), blocks AS (SELECT signal, block, count(*) AS n, {_corr('a', 'b')} AS ic FROM k GROUP BY signal, block HAVING count(*) = 60)"
+
+
+@query(f"WITH {LONG}, {PAIRS}, {_BLOCKS} SELECT 'ALL' AS series_id, signal, block, n, {r('ic', 'ic')} FROM blocks")
+def ic_blocks(spark, sf_dir):
+    return rounded(ev.block_ic(_long(spark, sf_dir)))
+
+
+_TSTAT = f"count(ic) AS n, {r('avg(ic)', 'mean_ic')}, {r('CASE WHEN count(ic) >= 2 THEN avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0) END', 't_stat', 6)}"
+
+
+@query(f"WITH {LONG}, {PAIRS}, {_BLOCKS} SELECT 'ALL' AS series_id, signal, {_TSTAT} FROM blocks GROUP BY signal")
+def ic_blocks_tstat(spark, sf_dir):
+    return rounded(ev.non_overlapping_ic_t_stat(_long(spark, sf_dir)).withColumn("t_stat", F.round("t_stat", 6)))
+
+
+_ROLLING = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY date) AS rn FROM pairs WHERE signal = 'alpha_momentum'),
+win AS (SELECT x.signal, x.date AS day, x.rn, y.value, y.fwd FROM numbered x JOIN numbered y ON y.rn BETWEEN x.rn - 59 AND x.rn WHERE x.rn >= 60),
+k AS (SELECT signal, day, {_rank('value', 'day')} AS a, {_rank('fwd', 'day')} AS b FROM win)"""
+
+
+@query(f"WITH {LONG}, {PAIRS}, {_ROLLING} SELECT 'ALL' AS series_id, signal, day AS date, {r(_corr('a', 'b'), 'ic')} FROM k GROUP BY signal, day")
+def ic_rolling(spark, sf_dir):
+    return rounded(ev.rolling_ic(_long(spark, sf_dir).where("signal = 'alpha_momentum'")))
+
+
+@query(f"WITH {LONG}, {PAIRS}, {_ROLLING}, g AS (SELECT signal, day, {_corr('a', 'b')} AS ic FROM k GROUP BY signal, day) SELECT 'ALL' AS series_id, signal, {_TSTAT} FROM g GROUP BY signal")
+def ic_rolling_tstat(spark, sf_dir):
+    return rounded(ev.ic_t_stat(ev.rolling_ic(_long(spark, sf_dir).where("signal = 'alpha_momentum'"))).withColumn("t_stat", F.round("t_stat", 6)))
+
+
+@query(f"WITH {LONG}, present AS (SELECT signal, date, value, lag(value) OVER (PARTITION BY signal ORDER BY date) AS prev FROM long WHERE value IS NOT NULL) SELECT 'ALL' AS series_id, signal, count(*) AS n, {r('corr(value, prev)', 'autocorrelation')} FROM present WHERE prev IS NOT NULL GROUP BY signal")
+def signal_autocorr(spark, sf_dir):
+    return rounded(ev.signal_autocorrelation(_long(spark, sf_dir)))
+
+
+@query(f"WITH {LONG}, present AS (SELECT signal, date, sign(value) AS s FROM long WHERE value IS NOT NULL), c AS (SELECT signal, coalesce(abs(s - lag(s) OVER (PARTITION BY signal ORDER BY date)) > 0, false) AS c FROM present) SELECT 'ALL' AS series_id, signal, {r('avg(CAST(c AS DOUBLE))', 'turnover')} FROM c GROUP BY signal")
+def implied_turnover(spark, sf_dir):
+    return rounded(ev.implied_turnover(_long(spark, sf_dir)))
+
+
+@query(f"""WITH {LONG}, {PAIRS}, e AS (SELECT signal, list_sort(list_distinct(quantile_cont(value, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM pairs GROUP BY signal),
+binned AS (SELECT p.signal, p.fwd, len(list_filter(e.e[2:len(e.e) - 1], lambda x: x < p.value)) AS bin FROM pairs p JOIN e USING (signal))
+SELECT 'ALL' AS series_id, signal, 'bin_' || bin AS bin, {r('avg(fwd)', 'mean_return')}, count(*) AS n FROM binned GROUP BY signal, bin""")
+def quantile_returns(spark, sf_dir):
+    return rounded(ev.quantile_returns(_long(spark, sf_dir)))
+
+
+@query(f"""WITH {LONG}, {PAIRS}, p AS (SELECT *, sign(value) AS pos FROM pairs), n AS (SELECT signal, pos * fwd - coalesce(abs(pos - lag(pos) OVER (PARTITION BY signal ORDER BY date)), abs(pos)) * CAST(0.0002 AS DOUBLE) AS net FROM p)
+SELECT 'ALL' AS series_id, signal, {r('CASE WHEN stddev_samp(net) = 0 THEN 0 ELSE sqrt(252) * avg(net) / stddev_samp(net) END', 'sharpe')} FROM n GROUP BY signal""")
+def signal_sharpe(spark, sf_dir):
+    return rounded(ev.signal_sharpe(_long(spark, sf_dir)))
+
+
+@query()
+def alpha_reports(spark, sf_dir):
+    return ev.alpha_report(_long(spark, sf_dir))
+
+
+_NAMES = [(a, b) for a in SIGNALS for b in SIGNALS]
+
+
+@query(f"WITH {LONG} " + " UNION ALL ".join(f"SELECT 'ALL' AS series_id, '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 'rho')} FROM wide" for a, b in _NAMES))
+def signal_corr_matrix(spark, sf_dir):
+    return rounded(ev.signal_correlation(_signals(spark, sf_dir), SIGNALS))
+
+
+_ZS = ", ".join(f"({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0) AS z{i}" for i, c in enumerate(SIGNALS))
+
+
+@query(f"WITH {LONG}, z AS (SELECT date, {_ZS} FROM wide) SELECT 'ALL' AS series_id, date, {r('(coalesce(z0, 0) + coalesce(z1, 0) + coalesce(z2, 0)) / nullif((z0 IS NOT NULL)::INTEGER + (z1 IS NOT NULL)::INTEGER + (z2 IS NOT NULL)::INTEGER, 0)', 'combined')} FROM z")
+def combine_equal(spark, sf_dir):
+    return rounded(ev.combine_equal_weight(_signals(spark, sf_dir), SIGNALS).select("series_id", "date", "combined"))
+
+
+@query(f"""WITH {LONG}, {PAIRS}, k AS (SELECT signal, {_rank('value', 'signal')} AS a, {_rank('fwd', 'signal')} AS b FROM pairs), i AS (SELECT signal, corr(a, b) AS ic FROM k GROUP BY signal),
+wt AS (SELECT {", ".join(f"max(ic) FILTER (signal = '{c}') / (SELECT sum(abs(ic)) FROM i) AS w{j}" for j, c in enumerate(SIGNALS))} FROM i), z AS (SELECT date, {_ZS} FROM wide)
+SELECT 'ALL' AS series_id, date, {r('coalesce(z0 * w0, 0) + coalesce(z1 * w1, 0) + coalesce(z2 * w2, 0)', 'combined')} FROM z, wt""")
+def combine_ic(spark, sf_dir):
+    return rounded(ev.combine_ic_weighted(_signals(spark, sf_dir), SIGNALS).select("series_id", "date", "combined"))
+
+
+@query()
+def combine_ridge(spark, sf_dir):
+    return rounded(ev.combine_ridge(_signals(spark, sf_dir), SIGNALS).select("series_id", "date", "combined"))
+
+
+@query(f"""WITH {LONG}, c AS (SELECT date, alpha_momentum AS x, alpha_mean_reversion AS y, alpha_vol_managed AS v FROM wide WHERE alpha_momentum IS NOT NULL AND alpha_mean_reversion IS NOT NULL AND alpha_vol_managed IS NOT NULL),
+o1 AS (SELECT *, y - avg(y) OVER () - covar_pop(y, x) OVER () / nullif(var_pop(x) OVER (), 0) * (x - avg(x) OVER ()) AS y1 FROM c),
+o2 AS (SELECT *, v - avg(v) OVER () - covar_pop(v, x) OVER () / nullif(var_pop(x) OVER (), 0) * (x - avg(x) OVER ()) - covar_pop(v, y1) OVER () / nullif(var_pop(y1) OVER (), 0) * (y1 - avg(y1) OVER ()) AS v1 FROM o1)
+SELECT 'ALL' AS series_id, date, {r('x', 'alpha_momentum')}, {r('y1', 'alpha_mean_reversion')}, {r('v1', 'alpha_vol_managed')} FROM o2""")
+def orthogonal_residuals(spark, sf_dir):
+    return rounded(ev.orthogonalize(_signals(spark, sf_dir), SIGNALS).select("series_id", "date", *SIGNALS))
+
+
+# --- backtests and sizing ---------------------------------------------------
+
+
+@query(f"WITH {PREDICTIONS}, {_ledger('predictions', _position(UP))} SELECT 'ALL' AS series_id, date, {r('probability', 'probability')}, CAST(position AS INTEGER) AS position, CAST(turnover AS INTEGER) AS turnover, {r('strategy_return', 'strategy_return')}, {sig('equity', 'equity')}, {sig('drawdown', 'drawdown')} FROM ledger")
+def backtest_ledger(spark, sf_dir):
+    ledger = bt.run_backtest(_predictions(spark, sf_dir))
+    columns = ["series_id", "date", "probability", "position", "turnover", "strategy_return"]
+    return rounded_ledger(ledger, columns)
+
+
+@query(f"WITH {PREDICTIONS}, {_ledger('predictions', _position(UP))} SELECT 'ALL' AS series_id, {METRICS}, {r('avg(CAST(position <> 0 AS DOUBLE))', 'active_days', 6)} FROM ledger")
+def momentum_backtest(spark, sf_dir):
+    return metric_row(bt.backtest_metrics(bt.run_backtest(_predictions(spark, sf_dir))))
+
+
+@query(f"WITH {PREDICTIONS}, long_only AS (SELECT date, CAST(1 AS DOUBLE) AS probability, next_return FROM predictions), {_ledger('long_only', '1')} SELECT 'ALL' AS series_id, {METRICS}, {r('avg(CAST(position <> 0 AS DOUBLE))', 'active_days', 6)} FROM ledger")
+def buy_and_hold(spark, sf_dir):
+    return metric_row(bt.backtest_metrics(bt.buy_and_hold(_predictions(spark, sf_dir))))
+
+
+@query()
+def random_signal(spark, sf_dir):
+    return metric_row(bt.backtest_metrics(bt.random_signal(_predictions(spark, sf_dir), seed=0)))
+
+
+_VOL_VIEW = f"vols AS (SELECT *, {_position(UP)} AS direction, {_roll('stddev_samp', 'next_return', 20, 20, 1)} AS vol FROM predictions)"
+_VOL_POSITION = "direction * CASE WHEN nullif(vol, 0) IS NULL THEN 0 ELSE least(CAST(0.01 AS DOUBLE) / nullif(vol, 0), 3.0::DOUBLE) END"
+
+
+@query(f"WITH {PREDICTIONS}, {_VOL_VIEW}, {_ledger('vols', _VOL_POSITION)} SELECT 'ALL' AS series_id, date, CAST(direction AS INTEGER) AS direction, {r('position', 'position')}, {r('turnover', 'turnover')}, {r('strategy_return', 'strategy_return')}, {sig('equity', 'equity')}, {sig('drawdown', 'drawdown')} FROM ledger")
+def vol_target_ledger(spark, sf_dir):
+    ledger = bt.run_vol_targeted_backtest(_predictions(spark, sf_dir))
+    return rounded_ledger(ledger, ["series_id", "date", "direction", "position", "turnover", "strategy_return"])
+
+
+@query(f"WITH {PREDICTIONS}, {_VOL_VIEW}, {_ledger('vols', _VOL_POSITION)} SELECT 'ALL' AS series_id, {METRICS}, {r('avg(CAST(direction <> 0 AS DOUBLE))', 'active_days', 6)}, {r('avg(abs(position))', 'mean_gross_leverage', 6)} FROM ledger")
+def vol_target_metrics(spark, sf_dir):
+    return metric_row(bt.backtest_metrics(bt.run_vol_targeted_backtest(_predictions(spark, sf_dir))))
+
+
+THRESHOLDS, COSTS, LOOKBACKS = [0.50, 0.52, 0.54, 0.56, 0.58], [0.0, 0.0002, 0.0005, 0.001], [5, 10, 20, 60, 120, 250]
+_GRID = f"grid AS (SELECT p.*, t.threshold, c.cost FROM predictions p, (SELECT unnest([{', '.join(f'CAST({t} AS DOUBLE)' for t in THRESHOLDS)}]) AS threshold) t, (SELECT unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in COSTS)}]) AS cost) c)"
+
+
+@query(f"WITH {PREDICTIONS}, {_GRID}, {_ledger('grid', _position('threshold'), 'cost', 'threshold, cost')} SELECT 'ALL' AS series_id, threshold, cost, {METRICS}, {r('avg(CAST(position <> 0 AS DOUBLE))', 'active_days', 6)} FROM ledger GROUP BY threshold, cost")
+def threshold_cost_grid(spark, sf_dir):
+    return metric_row(bt.grid_backtest(_predictions(spark, sf_dir), THRESHOLDS, COSTS))
+
+
+def _lookbacks(spark, sf_dir) -> DataFrame:
+    """Momentum of several lookbacks as one long frame: the window columns share one sort."""
+    frame = market.daily_series(spark, sf_dir)
+    w = ts.spec()
+    wide = frame.select("series_id", "date", F.lead("return", 1).over(w).alias("next_return"), *[ts.pct_change("price", k, w).alias(f"m{k}") for k in LOOKBACKS])
+    cells = F.array(*[F.struct(F.lit(k).alias("lookback"), F.col(f"m{k}").alias("m"), F.lit(float(c)).alias("cost")) for k in LOOKBACKS for c in COSTS[:3]])
+    return wide.select("series_id", "date", "next_return", F.explode(cells).alias("_c")).select("series_id", "date", "next_return", "_c.*").where("m is not null and next_return is not null")
+
+
+_LOOK = " UNION ALL ".join(f"SELECT date, lead(ret) OVER (ORDER BY date) AS next_return, {k} AS lookback, price / nullif(lag(price, {k}) OVER (ORDER BY date), 0) - 1 AS m FROM daily" for k in LOOKBACKS)
+
+
+@query(f"WITH {DAILY}, l AS ({_LOOK}), g AS (SELECT l.*, c.cost FROM l, (SELECT unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in COSTS[:3])}]) AS cost) c WHERE m IS NOT NULL AND next_return IS NOT NULL), {_ledger('g', 'sign(m)', 'cost', 'lookback, cost')} SELECT 'ALL' AS series_id, CAST(lookback AS INTEGER) AS lookback, cost, count(*) AS n, {r('CASE WHEN stddev_samp(strategy_return) = 0 THEN 0 ELSE sqrt(252) * avg(strategy_return) / stddev_samp(strategy_return) END', 'sharpe', 6)} FROM ledger GROUP BY lookback, cost")
+def lookback_cost_grid(spark, sf_dir):
+    keys = ["series_id", "lookback", "cost"]
+    cells = _lookbacks(spark, sf_dir).withColumn("position", F.signum("m"))
+    net = F.col("position") * F.col("next_return") - ts.diff_abs_or_self("position", ts.spec(keys)) * F.col("cost")
+    return rounded(cells.select(*keys, net.alias("_r")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), ev.sharpe("_r").alias("sharpe")), 6)
+
+
+@query(f"WITH {PREDICTIONS}, e AS (SELECT sign(probability - 0.5) * next_return AS e FROM predictions) SELECT 'ALL' AS series_id, {r('CASE WHEN var_samp(e) = 0 THEN 0 ELSE avg(e) / var_samp(e) END', 'kelly')}, {r('0.5 * CASE WHEN var_samp(e) = 0 THEN 0 ELSE avg(e) / var_samp(e) END', 'half_kelly')} FROM e")
+def kelly(spark, sf_dir):
+    edge = _predictions(spark, sf_dir).select("series_id", bt.edge_return().alias("e"))
+    return rounded(edge.groupBy("series_id").agg(bt.kelly_fraction("e").alias("kelly"), bt.fractional_kelly("e").alias("half_kelly")))
+
+
+@query(f"WITH {DAILY} SELECT 'ALL' AS series_id, {r('CASE WHEN stddev_pop(ret) = 0 THEN 0 ELSE sqrt(252) * avg(ret) / stddev_pop(ret) END', 'sharpe')} FROM daily")
+def annualized_sharpe(spark, sf_dir):
+    return rounded(market.daily_series(spark, sf_dir).groupBy("series_id").agg(bt.annualized_sharpe("return").alias("sharpe")))
+
+
+@query(f"WITH {DAILY} SELECT 'ALL' AS series_id, count(*) AS n, {r('avg(ret)', 'mean')}, {r('stddev_samp(ret)', 'std')}, {r('skewness(ret)', 'skew', 6)}, {r('kurtosis(ret)', 'kurtosis', 6)} FROM daily")
+def return_moments(spark, sf_dir):
+    made = st.moments(market.daily_series(spark, sf_dir), "return")
+    return rounded(made.withColumns({"skew": F.round("skew", 6), "kurtosis": F.round("kurtosis", 6)}))
+
+
+# --- panels -----------------------------------------------------------------
+
+BRANDS = """
+bp AS (SELECT p_brand AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / nullif(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 0) AS price
+       FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+full_months AS (SELECT date FROM bp GROUP BY date HAVING count(*) = (SELECT count(DISTINCT series_id) FROM bp)),
+panel AS (SELECT * FROM (SELECT series_id, date, price, price / nullif(lag(price) OVER (PARTITION BY series_id ORDER BY date), 0) - 1 AS ret FROM bp WHERE date IN (SELECT date FROM full_months)) WHERE ret IS NOT NULL)"""
+COV = "dev AS (SELECT date AS t, series_id AS asset, ret - avg(ret) OVER (PARTITION BY series_id) AS d FROM panel), cov AS (SELECT a.asset AS i, b.asset AS j, sum(a.d * b.d) / (count(*) - 1) AS cov FROM dev a JOIN dev b USING (t) GROUP BY 1, 2)"
+
+
+def _panel(spark, sf_dir) -> DataFrame:
+    return market.brand_panel(spark, sf_dir).select(F.col("date").alias("t"), F.col("series_id").alias("asset"), F.col("return").alias("r"))
+
+
+@query(f"WITH {BRANDS} SELECT series_id, date, {r('price', 'price')}, {r('ret', 'return')} FROM panel")
+def brand_panel(spark, sf_dir):
+    return rounded(market.brand_panel(spark, sf_dir))
+
+
+@query(f"WITH {BRANDS}, {COV} SELECT i, j, {r('cov', 'cov')} FROM cov")
+def panel_covariance(spark, sf_dir):
+    return rounded(portfolio.long_covariance(_panel(spark, sf_dir)))
+
+
+@query(f"WITH {BRANDS}, {COV}, v AS (SELECT i, cov FROM cov WHERE i = j) SELECT c.i, c.j, {r('c.cov / sqrt(x.cov * y.cov)', 'rho')} FROM cov c JOIN v x ON x.i = c.i JOIN v y ON y.i = c.j")
+def panel_corr(spark, sf_dir):
+    cov = portfolio.long_covariance(_panel(spark, sf_dir))
+    var = cov.where("i = j")
+    made = cov.join(var.select("i", F.col("cov").alias("vi")), "i").join(var.select("j", F.col("cov").alias("vj")), "j")
+    return rounded(made.select("i", "j", (F.col("cov") / F.sqrt(F.col("vi") * F.col("vj"))).alias("rho")))
+
+
+@query(f"""WITH {BRANDS}, dev AS (SELECT date AS t, series_id AS asset, ret - avg(ret) OVER (PARTITION BY series_id) AS d FROM panel),
+s AS (SELECT a.asset AS i, b.asset AS j, sum(a.d * b.d) / count(*) AS s, count(*) AS n FROM dev a JOIN dev b USING (t) GROUP BY 1, 2),
+k AS (SELECT sum(CASE WHEN i = j THEN s END) / count(DISTINCT i) AS mu, sum(s * s) AS f, max(n) AS n FROM s),
+g AS (SELECT sum((s.s - CASE WHEN s.i = s.j THEN k.mu ELSE 0 END) ** 2) AS gamma FROM s, k),
+p AS (SELECT avg(q * q) AS m4 FROM (SELECT t, sum(d * d) AS q FROM dev GROUP BY t))
+SELECT k.n AS n_obs, {r('least(1, greatest(0, (p.m4 - k.f) / g.gamma / k.n))', 'delta', 6)} FROM k, g, p""")
+def ledoit_wolf_delta(spark, sf_dir):
+    data = portfolio.cross_products(portfolio.to_vectors(_panel(spark, sf_dir)))
+    _, delta = portfolio.ledoit_wolf(data)
+    return rounded(spark.createDataFrame([(data.n_obs, float(delta))], "n_obs long, delta double"), 6)
+
+
+@query(f"""WITH e AS (SELECT vec_id AS t, unnest(range(len(embedding))) AS asset, unnest(embedding)::DOUBLE AS x FROM embeddings), dev AS (SELECT t, asset, x - avg(x) OVER (PARTITION BY asset) AS d FROM e)
+SELECT a.asset AS i, b.asset AS j, {r('sum(a.d * b.d) / (count(*) - 1)', 'cov')} FROM dev a JOIN dev b USING (t) GROUP BY 1, 2""")
+def embedding_covariance(spark, sf_dir):
+    vectors = market.table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    data = portfolio.cross_products(vectors)
+    return rounded(portfolio.matrix_frame(spark, data.covariance()))
+
+
+@query()
+def embedding_spectrum(spark, sf_dir):
+    """Eigenvalues, their shares, and whether they exceed the noise edge."""
+    vectors = market.table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    data = portfolio.cross_products(vectors)
+    values, _ = portfolio.eigen_descending(data.correlation())
+    edge = portfolio.marchenko_pastur_bounds(values.size, data.n_obs)[1]
+    share = portfolio.explained_variance_ratio(values)
+    return spark.createDataFrame([(k, round(float(v), 8), round(float(s), 8), bool(v > edge)) for k, (v, s) in enumerate(zip(values, share, strict=True))], "k int, eigenvalue double, share double, signal boolean")
+
+
+_CROSS = f"""ranked AS (SELECT date, series_id, ret, row_number() OVER (PARTITION BY date ORDER BY ret, series_id) AS k, count(*) OVER (PARTITION BY date) AS n FROM panel),
+bucketed AS (SELECT *, (SELECT count(*) FROM (SELECT unnest([1, 2, 3, 4]) AS q) WHERE 1.0::DOUBLE + (n - 1) * (q / 5.0::DOUBLE) < k) AS bucket FROM ranked),
+weights AS (SELECT date, series_id, CASE bucket WHEN 4 THEN 0.5 / count(*) OVER (PARTITION BY date, bucket) WHEN 0 THEN -0.5 / count(*) OVER (PARTITION BY date, bucket) ELSE 0 END AS weight FROM bucketed)"""
+
+
+@query(f"WITH {BRANDS}, {_CROSS} SELECT series_id, date, {r('weight', 'weight')} FROM weights")
+def quantile_ls_weights(spark, sf_dir):
+    return rounded(portfolio.quantile_long_short(market.brand_panel(spark, sf_dir), "return", ["date"], "series_id").select("series_id", "date", "weight"))
+
+
+@query(f"WITH {BRANDS}, {COV}, {_CROSS} SELECT a.date, {r('sum(a.weight * cov * b.weight)', 'variance')} FROM weights a JOIN cov ON cov.i = a.series_id JOIN weights b ON b.date = a.date AND b.series_id = cov.j GROUP BY a.date")
+def weights_realized_variance(spark, sf_dir):
+    panel = market.brand_panel(spark, sf_dir)
+    weights = portfolio.quantile_long_short(panel, "return", ["date"], "series_id").select("date", F.col("series_id").alias("asset"), "weight")
+    return rounded(portfolio.realized_variance(weights, portfolio.long_covariance(_panel(spark, sf_dir)), ["date"]))
+
+
+@query()
+def portfolio_comparison(spark, sf_dir):
+    """Minimum-variance weights under the raw, denoised and shrunk covariance."""
+    data = portfolio.cross_products(portfolio.to_vectors(_panel(spark, sf_dir)))
+    raw = data.covariance()
+    found = {"sample": raw, "denoised": portfolio.denoise_covariance(raw, data.n_obs), "shrunk": portfolio.ledoit_wolf(data)[0]}
+    rows = []
+    for name, cov in found.items():
+        w = portfolio.minimum_variance_weights(cov)
+        rows.append((name, float(abs(w).sum()), float(w @ raw @ w)))
+    return spark.createDataFrame(rows, "covariance string, gross double, variance double")
+
+
+# --- folds, models, metrics -------------------------------------------------
+
+_FOLDS = "n AS (SELECT count(*) AS n FROM features), folds AS (SELECT CAST(n AS INTEGER) AS n, unnest(range(800, n - 125, 125)) AS start FROM n)"
+
+
+@query(f"WITH {FEATURES}, {_FOLDS} SELECT 'ALL' AS series_id, n, CAST((start - 800) / 125 AS INTEGER) AS fold, CAST(start AS INTEGER) AS start, CAST(greatest(start - 10, 0) AS INTEGER) AS train_rows, 125 AS test_rows FROM folds")
+def fold_table(spark, sf_dir):
+    return folds.fold_table(ft.build_features(market.daily_series(spark, sf_dir)), 800, 125, embargo=10)
+
+
+@query(f"WITH {FEATURES}, {_FOLDS}, rows_ AS (SELECT row_number() OVER (ORDER BY date) - 1 AS rn, target FROM features) SELECT 'ALL' AS series_id, CAST((start - 800) / 125 AS INTEGER) AS fold, count(*) FILTER (rn < start - 30) AS train_rows, count(*) FILTER (rn >= start AND rn < start + 125) AS test_rows, sum(CASE WHEN rn < start - 30 THEN target ELSE 0 END)::BIGINT AS train_positives FROM folds, rows_ GROUP BY fold")
+def fold_train_counts(spark, sf_dir):
+    rows = folds.expanding_rows(ft.build_features(market.daily_series(spark, sf_dir)).select("series_id", "date", "target"), 800, 125, embargo=30)
+    return rows.groupBy("series_id", "fold").agg(
+        F.count_if(~F.col("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows"), F.sum(F.when(~F.col("is_test"), F.col("target")).otherwise(0)).alias("train_positives")
+    )
+
+
+@query("""WITH s AS (SELECT CAST(d.n_chars AS DOUBLE) AS score, l.quality AS target FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL AND d.n_chars IS NOT NULL),
+k AS (SELECT target, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS k FROM s)
+SELECT 'quality' AS label, count(*) AS n, sum(target)::BIGINT AS positives, round((sum(k) FILTER (target = 1) - sum(target)::DOUBLE * (sum(target) + 1) / 2) / (sum(target)::DOUBLE * (count(*) - sum(target))), 8) + 0.0 AS auc FROM k""")
+def auc_rank(spark, sf_dir):
+    return rounded(models.auc(market.label_scores(spark, sf_dir).withColumn("label", F.lit("quality")), "score", "target", ["label"]))
+
+
+@query(f"WITH {PREDICTIONS} SELECT 'ALL' AS series_id, count(*) AS n, {r('avg(CAST(CAST(probability >= 0.5 AS INTEGER) = target AS DOUBLE))', 'accuracy')} FROM predictions")
+def accuracy(spark, sf_dir):
+    return rounded(_predictions(spark, sf_dir).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), models.accuracy().alias("accuracy")))
+
+
+@query()
+def walk_forward_logit(spark, sf_dir):
+    frame = ft.build_features(market.daily_series(spark, sf_dir))
+    return models.walk_forward_predictions(frame, FEATURE_NAMES, models.Logistic)
+
+
+@query()
+def walk_forward_boosting(spark, sf_dir):
+    frame = ft.build_features(market.daily_series(spark, sf_dir))
+    return models.walk_forward_predictions(frame, FEATURE_NAMES, models.Boosting)
+
+
+@query()
+def regime_conditioned_logit(spark, sf_dir):
+    frame = ft.build_features(market.daily_series(spark, sf_dir))
+    return models.regime_conditioned_predictions(frame, FEATURE_NAMES, models.Logistic, test=400)
+
+
+@query()
+def model_choice(spark, sf_dir):
+    """The best of the candidate models by pooled walk-forward AUC, then accuracy."""
+    frame = ft.build_features(market.daily_series(spark, sf_dir))
+    made = None
+    for name, make in models.candidate_models().items():
+        one = models.validate(name, models.walk_forward_predictions(frame, FEATURE_NAMES, make)).metrics
+        made = one if made is None else made.unionByName(one)
+    return models.best_model(made)
+
+
+# --- regimes ----------------------------------------------------------------
+
+
+@query(f"WITH {HOURLY} SELECT 'EVENTS' AS series_id, date, {r('value', 'value')}, regime FROM states")
+def hourly_regimes(spark, sf_dir):
+    return rounded(_hourly_regimes(spark, sf_dir))
+
+
+@query(f"""WITH {HOURLY}, flagged AS (SELECT *, CASE WHEN lag(regime) OVER (ORDER BY date) IS DISTINCT FROM regime THEN 1 ELSE 0 END AS new FROM states), numbered AS (SELECT *, CAST(sum(new) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS INTEGER) AS run FROM flagged)
+SELECT 'EVENTS' AS series_id, run, any_value(regime) AS value, min(date) AS first, max(date) AS last, count(*) AS length FROM numbered GROUP BY run""")
+def regime_spans(spark, sf_dir):
+    return ts.runs(_hourly_regimes(spark, sf_dir), "regime")
+
+
+@query(f"WITH {HOURLY}, p AS (SELECT lag(regime) OVER (ORDER BY date) AS from_state, regime AS to_state FROM states) SELECT 'EVENTS' AS series_id, from_state, to_state, count(*) AS n FROM p WHERE from_state IS NOT NULL GROUP BY 2, 3")
+def regime_transition_counts(spark, sf_dir):
+    return regimes.transition_counts(_hourly_regimes(spark, sf_dir))
+
+
+_DETECTED = f"{HOURLY}, seen AS (SELECT date, regime, coalesce(lag(regime, 2) OVER (ORDER BY date), regime) AS aligned, row_number() OVER (ORDER BY date) AS i, lag(regime) OVER (ORDER BY date) AS before FROM states)"
+
+
+def _detected(spark, sf_dir) -> DataFrame:
+    """A detector that names each state two rows late."""
+    frame = _hourly_regimes(spark, sf_dir)
+    return frame.withColumn("aligned", F.coalesce(F.lag("regime", 2).over(ts.spec()), F.col("regime")))
+
+
+@query(f"""WITH {_DETECTED}, lags AS (SELECT c.i, coalesce(min(d.i) - c.i, 30) AS lag FROM seen c LEFT JOIN seen d ON d.i BETWEEN c.i AND c.i + 29 AND d.aligned = c.regime WHERE c.regime <> c.before GROUP BY c.i)
+SELECT 'EVENTS' AS series_id, count(*) AS changes, {r('avg(lag)', 'mean_lag')} FROM lags""")
+def detection_lag(spark, sf_dir):
+    return rounded(regimes.detection_lag(_detected(spark, sf_dir)))
+
+
+@query(f"WITH {_DETECTED} SELECT 'EVENTS' AS series_id, regime AS true, aligned AS predicted, count(*) AS n FROM seen GROUP BY 2, 3")
+def confusion(spark, sf_dir):
+    return regimes.confusion(_detected(spark, sf_dir), "regime", "aligned")
+
+
+@query()
+def hamilton_filter(spark, sf_dir):
+    frame = market.daily_series(spark, sf_dir)
+    return regimes.hamilton_filter(frame, simulate.TRANSITION, [0.0, 0.02, -0.02], [0.05, 0.1, 0.3])
+
+
+@query()
+def hmm_states(spark, sf_dir):
+    return regimes.infer_states(market.daily_series(spark, sf_dir)).select("series_id", "date", "state", "posterior")
+
+
+@query()
+def hmm_parameters(spark, sf_dir):
+    return regimes.hmm_parameters(market.daily_series(spark, sf_dir))
+
+
+@query()
+def regime_detection_scores(spark, sf_dir):
+    return regimes.detect_regimes(simulate.simulate_market(spark, 2000, seed=7))["scores"]
+
+
+# --- joins, bootstrap, simulation -------------------------------------------
+
+
+@query(f"WITH {DAILY} SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, {r('price', 'price')}, {r('ret', 'return')} FROM orders LEFT JOIN daily ON daily.date = CAST(o_orderdate AS DATE)")
+def asof_date_align(spark, sf_dir):
+    orders = market.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    # The series has a row for each day; it is left to the optimizer whether its measured size allows a broadcast.
+    return rounded(orders.join(market.daily_series(spark, sf_dir).drop("series_id"), "date", "left").select("o_orderkey", "date", "price", "return"))
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    return st.block_bootstrap_ci(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", bt.annualized_sharpe, replicates=200)
+
+
+@query()
+def bootstrap_p(spark, sf_dir):
+    return st.bootstrap_p_value(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", replicates=200)
+
+
+@query()
+def deflated_sharpe(spark, sf_dir):
+    return st.deflated_sharpe_ratio(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", [0.01, 0.02, 0.03, -0.01, 0.0, 0.015])
+
+
+@query()
+def market_sim(spark, sf_dir):
+    return simulate.simulate_market(spark, 500, seed=7, n_series=4)
+
+
+@query()
+def gbm_paths(spark, sf_dir):
+    return simulate.simulate_gbm(spark, 0.05, 0.2, 100.0, 1.0, 64, seed=1, scheme="milstein", n_paths=8)
+
+
+@query()
+def ou_estimates(spark, sf_dir):
+    return simulate.estimate_ou(simulate.simulate_ou(spark, 3.0, 1.0, 0.5, 0.5, 50.0, 5000, seed=2, n_paths=4), "x", 0.01)
+
+
+@query()
+def heston_paths(spark, sf_dir):
+    return simulate.simulate_heston(spark, 0.05, 2.0, 0.04, 0.3, -0.7, 100.0, 0.04, 1.0, 100, seed=3, n_paths=4)
+
+
+@query()
+def merton_paths(spark, sf_dir):
+    return simulate.simulate_merton(spark, 0.05, 0.2, 3.0, -0.05, 0.1, 100.0, 1.0, 100, seed=4, n_paths=4)
+
+
+@query()
+def ctmc_occupancy(spark, sf_dir):
+    return simulate.occupancy(simulate.simulate_ctmc(spark, simulate.generator_of(simulate.TRANSITION), 500.0, 0, seed=5, n_paths=8), 500.0)
+
+
+@query()
+def business_calendar(spark, sf_dir):
+    return market.business_days(spark, "2016-01-01", 1000)
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean_value FROM events GROUP BY 1, 2")
+def windowed_event_means(spark, sf_dir):
+    events = market.table(spark, sf_dir, "events")
+    made = online.windowed_means(events).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean_value")
+    return rounded(made, 6)
+
+
+@query(f"WITH {DAILY} SELECT date_trunc('year', date)::DATE AS year, {sig('product(1 + ret) - 1', 'total_return')} FROM daily GROUP BY 1")
+def yearly_total_return(spark, sf_dir):
+    frame = market.daily_series(spark, sf_dir)
+    return metric_row(frame.groupBy(F.trunc("date", "year").alias("year")).agg(bt.total_return("return").alias("total_return")))
+
+
+@query(f"WITH {DAILY} SELECT date, {r('price', 'price')}, {r('max(price) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)', 'peak')} FROM daily")
+def running_peak(spark, sf_dir):
+    w = Window.partitionBy("series_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return rounded(market.daily_series(spark, sf_dir).select("date", "price", F.max("price").over(w).alias("peak")))
