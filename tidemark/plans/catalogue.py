@@ -36,8 +36,12 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """All doubles rounded; -0.0 becomes 0.0."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """All doubles rounded but prices; -0.0 becomes 0.0.
+
+    A price is one division of exact sums, equal to the last bit in any engine, and often a tie of rounding.
+    """
+    exact = ("price", "peak")
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in df.dtypes])
 
 
 def significant(c: str, digits: int = 9):
@@ -172,7 +176,7 @@ states AS (SELECT date, value, CAST(len(list_filter(i.e, lambda x: x < value)) A
 # --- series, features and signals -------------------------------------------
 
 
-@query(f"WITH {DAILY} SELECT 'ALL' AS series_id, date, {r('price', 'price')}, {r('ret', 'return')} FROM daily")
+@query(f"WITH {DAILY} SELECT 'ALL' AS series_id, date, price, {r('ret', 'return')} FROM daily")
 def daily_series(spark, sf_dir):
     return rounded(market.daily_series(spark, sf_dir))
 
@@ -188,7 +192,7 @@ FEATURE_NAMES = [f"return_lag_{k}" for k in ft.LAGS] + [f"{kind}_{n}" for n in f
 FEATURES = f"{DAILY}, f AS (SELECT date, price, ret, {', '.join(_FEATURES)}, CAST(lead(ret) OVER (ORDER BY date) > 0 AS INTEGER) AS target, lead(ret) OVER (ORDER BY date) AS next_return FROM daily), features AS (SELECT * FROM f WHERE next_return IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURE_NAMES)})"
 
 
-@query(f"WITH {FEATURES} SELECT 'ALL' AS series_id, date, {r('price', 'price')}, {r('ret', 'return')}, {', '.join(r(c, c) for c in FEATURE_NAMES)}, target, {r('next_return', 'next_return')} FROM features")
+@query(f"WITH {FEATURES} SELECT 'ALL' AS series_id, date, price, {r('ret', 'return')}, {', '.join(r(c, c) for c in FEATURE_NAMES)}, target, {r('next_return', 'next_return')} FROM features")
 def features_all(spark, sf_dir):
     return rounded(ft.build_features(market.daily_series(spark, sf_dir)))
 
@@ -437,7 +441,7 @@ def _panel(spark, sf_dir) -> DataFrame:
     return market.brand_panel(spark, sf_dir).select(F.col("date").alias("t"), F.col("series_id").alias("asset"), F.col("return").alias("r"))
 
 
-@query(f"WITH {BRANDS} SELECT series_id, date, {r('price', 'price')}, {r('ret', 'return')} FROM panel")
+@query(f"WITH {BRANDS} SELECT series_id, date, price, {r('ret', 'return')} FROM panel")
 def brand_panel(spark, sf_dir):
     return rounded(market.brand_panel(spark, sf_dir))
 
@@ -638,7 +642,7 @@ def regime_detection_scores(spark, sf_dir):
 # --- joins, bootstrap, simulation -------------------------------------------
 
 
-@query(f"WITH {DAILY} SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, {r('price', 'price')}, {r('ret', 'return')} FROM orders LEFT JOIN daily ON daily.date = CAST(o_orderdate AS DATE)")
+@query(f"WITH {DAILY} SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, price, {r('ret', 'return')} FROM orders LEFT JOIN daily ON daily.date = CAST(o_orderdate AS DATE)")
 def asof_date_align(spark, sf_dir):
     orders = market.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
     # The series has a row for each day; it is left to the optimizer whether its measured size allows a broadcast.
@@ -708,7 +712,7 @@ def yearly_total_return(spark, sf_dir):
     return metric_row(frame.groupBy(F.trunc("date", "year").alias("year")).agg(bt.total_return("return").alias("total_return")))
 
 
-@query(f"WITH {DAILY} SELECT date, {r('price', 'price')}, {r('max(price) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)', 'peak')} FROM daily")
+@query(f"WITH {DAILY} SELECT date, price, max(price) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM daily")
 def running_peak(spark, sf_dir):
     w = Window.partitionBy("series_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return rounded(market.daily_series(spark, sf_dir).select("date", "price", F.max("price").over(w).alias("peak")))
