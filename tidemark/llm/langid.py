@@ -137,10 +137,12 @@ def infer(texts: list[str | None], model: dict, penalty: float = PENALTY) -> lis
     languages, table = model["languages"], model["table"]
     lettered = np.array([bool(t) and (_ASCII_LETTER.search(t) is not None or any(map(str.isalpha, t))) for t in texts], bool)
     out: list[tuple[str, float, dict[str, float]]] = []
+    if not languages:
+        return [("und", 0.0, {})] * len(texts)
     for buffer, ends in words.pieces([words.encode(t) for t in texts]):
         s, n, log_like = word_likelihoods(buffer, table)
         docs = ends.size
-        if not languages or not s.size:
+        if not s.size:
             out += [("und", 0.0, {})] * docs
             continue
         doc = np.searchsorted(ends, s, "right")
