@@ -38,6 +38,21 @@ def no_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def present(*columns: str) -> Column:
+    """Whether no column is NULL or NaN; frames made from pandas hold NaN for missing values."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return out
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Aggregate: Pearson correlation over rows with both values; NULL, and no division error, for a constant side."""
+    a, b = as_col(a), as_col(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return ratio(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def rolling(fn: Callable[[Column], Column], c: Column | str, window: int, min_periods: int, w: WindowSpec, shift: int = 0) -> Column:
     """``fn`` over the last ``window`` rows, ending ``shift`` rows before the current one."""
     frame = w.rowsBetween(-(window - 1) - shift, -shift)
@@ -81,9 +96,9 @@ def row_index(by: Sequence[str] = KEYS, order: str = "date") -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], min_pairs: int = 10) -> DataFrame:
     """``by`` columns, ``n`` and ``ic``: Spearman correlation of non-null pairs; NULL under ``min_pairs`` pairs or for a constant side."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    pairs = df.where(present(x, y)).select(*by, x, y)
     ranked = pairs.select(*by, average_rank(x, by).alias("_rx"), average_rank(y, by).alias("_ry"))
-    made = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), no_nan(F.corr("_rx", "_ry")).alias("ic"))
+    made = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("ic"))
     return made.select(*by, "n", F.when(F.col("n") >= min_pairs, F.col("ic")).alias("ic"))
 
 

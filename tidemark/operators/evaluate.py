@@ -24,7 +24,7 @@ def information_coefficient(df: DataFrame, x: str = "value", y: str = "fwd", by=
 def rolling_ic(df: DataFrame, window: int = 60, x: str = "value", y: str = "fwd", by=SIGNAL_KEYS, order: str = "date") -> DataFrame:
     """Trailing Spearman over complete windows of non-null pairs: keys, order, ic."""
     frame = ts.spec(by, order).rowsBetween(-(window - 1), 0)
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = df.where(ts.present(x, y))
     both = pairs.select(*by, order, F.collect_list(F.struct(x, y)).over(frame).alias("_p")).where(F.size("_p") == window)
     # Ranks are made columns of their own first, so that each is computed once for a row.
     ranked = both.select(*by, order, ts.average_ranks_of(F.col(f"_p.{x}")).alias("_x"), ts.average_ranks_of(F.col(f"_p.{y}")).alias("_y"))
@@ -40,7 +40,7 @@ def ic_t_stat(df: DataFrame, ic: str = "ic", by=SIGNAL_KEYS) -> DataFrame:
 
 def block_ic(df: DataFrame, block_size: int = 60, x: str = "value", y: str = "fwd", by=SIGNAL_KEYS, order: str = "date") -> DataFrame:
     """Spearman of each disjoint block of non-null pairs; a last incomplete block is left out: keys, block, n, ic."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = df.where(ts.present(x, y))
     cut = pairs.select(*by, x, y, F.floor(ts.row_index(by, order) / block_size).cast("int").alias("block"))
     return ts.spearman(cut, x, y, [*by, "block"]).where(F.col("n") == block_size)
 
@@ -59,28 +59,28 @@ def ic_decay(df: DataFrame, horizons=(1, 5, 10, 20), x: str = "value", price: st
 
 def signal_autocorrelation(df: DataFrame, lag: int = 1, x: str = "value", by=SIGNAL_KEYS, order: str = "date") -> DataFrame:
     """Correlation of the non-null values with those ``lag`` places earlier."""
-    some = df.where(F.col(x).isNotNull())
+    some = df.where(ts.present(x))
     pairs = some.select(*by, F.col(x).alias("_a"), F.lag(x, lag).over(ts.spec(by, order)).alias("_b")).where("_b is not null")
-    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ts.no_nan(F.corr("_a", "_b")).alias("autocorrelation"))
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ts.correlation("_a", "_b").alias("autocorrelation"))
 
 
 def implied_turnover(df: DataFrame, x: str = "value", by=SIGNAL_KEYS, order: str = "date") -> DataFrame:
     """Share of non-null rows on which the sign changes; the first row counts as no change."""
-    some = df.where(F.col(x).isNotNull()).withColumn("_s", F.signum(x))
+    some = df.where(ts.present(x)).withColumn("_s", F.signum(x))
     changed = F.coalesce(F.abs(F.col("_s") - F.lag("_s").over(ts.spec(by, order))) > 0, F.lit(False))
     return some.select(*by, changed.cast("double").alias("_c")).groupBy(*by).agg(F.avg("_c").alias("turnover"))
 
 
 def quantile_returns(df: DataFrame, bins: int = 5, x: str = "value", y: str = "fwd", by=SIGNAL_KEYS) -> DataFrame:
     """Mean forward return and count of each quantile bin of the signal."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = df.where(ts.present(x, y))
     binned = ts.quantile_bins(pairs.select(*by, x, y), x, bins, by)
     return binned.groupBy(*by, F.concat(F.lit("bin_"), F.col("bin")).alias("bin")).agg(F.avg(y).alias("mean_return"), F.count(F.lit(1)).alias("n"))
 
 
 def signal_sharpe(df: DataFrame, cost: float = 0.0002, x: str = "value", y: str = "fwd", by=SIGNAL_KEYS, order: str = "date") -> DataFrame:
     """Annualised Sharpe ratio of the signal's sign after turnover cost; 0 without spread."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_p", F.signum(x))
+    pairs = df.where(ts.present(x, y)).withColumn("_p", F.signum(x))
     net = F.col("_p") * F.col(y) - ts.diff_abs_or_self("_p", ts.spec(by, order)) * F.lit(cost)
     return pairs.select(*by, net.alias("_r")).groupBy(*by).agg(sharpe("_r").alias("sharpe"))
 
@@ -113,8 +113,7 @@ def alpha_report(df: DataFrame, cost: float = 0.0002, horizons=(1, 5, 10, 20), w
 def signal_correlation(wide: DataFrame, signals: list[str], by=ts.KEYS) -> DataFrame:
     """Pearson correlation of every pair of signal columns, over the pairs' non-null rows: keys, a, b, rho."""
     names = [(a, b) for a in signals for b in signals]
-    # corr skips a row when either side is null.
-    made = wide.groupBy(*by).agg(*[ts.no_nan(F.corr(a, b)).alias(f"_{i}") for i, (a, b) in enumerate(names)])
+    made = wide.groupBy(*by).agg(*[ts.correlation(a, b).alias(f"_{i}") for i, (a, b) in enumerate(names)])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("rho")) for i, (a, b) in enumerate(names)])
     return made.select(*by, F.explode(cells).alias("_c")).select(*by, "_c.a", "_c.b", "_c.rho")
 
