@@ -34,12 +34,14 @@ import pickle
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, words
 
 FIT_ROWS, STEM_BYTES, PRIOR_WORD, PRIOR_STEM, DRIFT, LEAST_COUNT, ALPHA = 4000, 6, 4.0, 4.0, 1.0, 2, 0.01
+#: Standard deviations taken off positive log-odds: chance finds in rare words then count for little.
+CAUTION = 1.0
 THRESHOLD = 0.3
 
 
@@ -59,12 +61,12 @@ def tokens_of(texts: list[str | None]):
 def log_odds(toxic: np.ndarray, clean: np.ndarray, around: np.ndarray, rate: float, prior: float) -> np.ndarray:
     """Log-odds of keys met in ``toxic`` and ``clean`` documents, with a Dirichlet prior of ``prior`` documents of which the share ``around`` is toxic.
 
-    ``rate``: toxic share of all documents, where the log-odds are 0. One standard
-    deviation is taken off positive values, so that chance finds count for little.
+    ``rate``: toxic share of all documents, where the log-odds are 0. CAUTION
+    standard deviations are taken off positive values.
     """
     a, b = toxic + prior * around, clean + prior * (1 - around)
     odds = np.log(a / rate) - np.log(b / (1 - rate))
-    return np.where(odds > 0, np.maximum(0, odds - np.sqrt(1 / a + 1 / b)), np.maximum(odds, -2.0))
+    return np.where(odds > 0, np.maximum(0, odds - CAUTION * np.sqrt(1 / a + 1 / b)), np.maximum(odds, -2.0))
 
 
 def lexicon(words_in: tuple, stems_in: tuple, docs_toxic: float, docs_clean: float) -> dict:
@@ -213,16 +215,37 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id: s
     """(text, toxic) of the ``fit_rows`` labelled training rows of each class with the smallest hashes."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(~common.held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label)).cast("int").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
-    first = Window.partitionBy("toxic").orderBy("order", "doc_id")
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    limit = F.lit(0.0)
-    for k, n in sizes.items():
-        share = min(1.0, (1.5 * fit_rows + 200) / n)
-        limit = F.when(F.col("toxic") == k, F.lit(-float(1 << 63) + share * 2 * float(1 << 63))).otherwise(limit)
-    chosen = known.where(F.col("order").cast("double") <= limit).withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= fit_rows)
+    # Each class has its own top-k, which every task cuts to fit_rows rows before they meet.
+    parts = [known.where(F.col("toxic") == k).orderBy("order", "doc_id").limit(fit_rows) for k in (0, 1)]
+    chosen = parts[0].unionByName(parts[1])
     # At most 2 * fit_rows identifiers, so the texts need not be shuffled to meet them.
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
-    return picked.select("text", "toxic", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2)).cast("int").alias("fold"))
+    return _without_copies(picked.select("text", "toxic"))
+
+
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """The sample with one text of those that share the smallest hash of their five-word shingles, under either of two orders, with its fold.
+
+    Copies and near copies of one text would otherwise count as many documents for each of its words.
+    """
+    def keys(batches):
+        for batch in batches:
+            one, two = [], []
+            for hashes, counts in words.word_hashes(batch.column(0).to_pylist()):
+                shingles, each = words.shingle_hashes(hashes, counts, 5)
+                low = 0
+                for n in each:
+                    part = shingles[low : low + int(n)]
+                    low += int(n)
+                    one.append(int(part.min().view(np.int64)) if n else 0)
+                    two.append(int(words.mix(part).min().view(np.int64)) if n else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one, pa.int64()), pa.array(two, pa.int64())], [*batch.schema.names, "k1", "k2"])
+
+    keyed = sample.mapInArrow(keys, "text string, toxic int, k1 long, k2 long")
+    one = F.struct("text", "k1", "k2")
+    for key in ("k1", "k2"):  # the smallest text stays, so that runs agree
+        keyed = keyed.groupBy("toxic", key).agg(F.min(one).alias("r")).select("toxic", "r.text", "r.k1", "r.k2")
+    return keyed.select("text", "toxic", F.pmod(F.xxhash64("k1"), F.lit(2)).cast("int").alias("fold"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict:
