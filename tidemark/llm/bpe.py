@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm import common, vocab
 
 #: Words whose ids a worker keeps, and bytes of text replayed together.
-CACHE_WORDS, CHUNK_BYTES = 600_000, 4 << 20
+CACHE_WORDS, CHUNK_BYTES = 1_000_000, 4 << 20
 
 
 class MergeReplay:
