@@ -79,13 +79,15 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """page_id, url, html, digest, tie, first (struct page, tie): the record with the smallest id of those with an equal payload of least_bytes or more."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("tie", F.xxhash64("page_id", "url", "html"))
-    salts = common.salts_for(pages.count())
+    n_pages = pages.count()
+    salts = common.salts_for(n_pages)
     key = F.struct(F.col("page_id").isNull().alias("no_page"), F.col("page_id").alias("page_id"), F.col("tie").alias("tie"))
-    small = rows.select("page_id", "tie", "sha1", F.octet_length("html").alias("n")).withColumn("key", key)
+    # One scan makes identifiers and digests; they are written, as both sides of the join read them.
+    small = common.written(rows.select("page_id", "tie", "sha1", F.octet_length("html").alias("n")), "page-digests").withColumn("key", key)
     # Only identifiers and digests meet by payload; pages are not shuffled with their text.
     met = common.with_group_stats(small.where(F.col("n") >= least_bytes), ["sha1", "n"], {"first": ("min", F.col("key")), "group": ("count", F.lit(1))}, F.pmod(F.col("tie"), F.lit(salts)))
     later = met.where("group > 1 and not (first <=> key)").select("tie", "first").distinct()
-    bits = common.filter_bits(max(1, pages.count()), 16)
+    bits = common.filter_bits(max(1, n_pages), 16)
     later = common.written(later, "revisits")
     bitmaps = common.bloom_of(later, "tie", bits, "revisit-keys")
     one, two = common.cells(F.col("tie"), bits)
@@ -127,7 +129,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
     """Writes the records of ``with_revisits`` rows as .gz archives of at most ``file_records`` records each."""
-    records(pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    records(pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", file_records).text(path)
 
 
 # --- reading ----------------------------------------------------------------
@@ -137,36 +139,58 @@ class BrokenArchive(ValueError):
     """A file that is not a whole number of WARC records."""
 
 
-def _line(f: io.BufferedIOBase) -> bytes:
-    line = f.readline()
-    if not line.endswith(b"\n"):
-        raise BrokenArchive("the file ends inside a header")
-    return line.rstrip(b"\r\n")
+def parse(f: io.BufferedIOBase, read_bytes: int = 1 << 20):
+    """Yields (headers by lower-case name, block bytes) of an uncompressed archive stream, holding one record and a buffer at a time."""
+    held, at, more = b"", 0, True
 
+    def fill(least: int) -> bool:
+        """Whether ``least`` bytes from ``at`` on are held."""
+        nonlocal held, at, more
+        parts, have = [held[at:]], len(held) - at
+        while more and have < least:
+            part = f.read(max(read_bytes, least - have))
+            more = bool(part)
+            parts.append(part)
+            have += len(part)
+        held, at = b"".join(parts), 0
+        return have >= least
 
-def parse(f: io.BufferedIOBase):
-    """Yields (headers by lower-case name, block bytes) of an uncompressed archive stream."""
     while True:
-        line = f.readline()
-        while line in (b"\r\n", b"\n"):
-            line = f.readline()
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            raise BrokenArchive(f"a record begins with {line[:20]!r}")
+        while held[at : at + 1] in (b"\r", b"\n") and (at < len(held) or fill(1)):
+            at += 1
+        if at >= len(held):
+            if not fill(1):
+                return
+            continue
+        # A header ends with an empty line; lines may end with or without a carriage return.
+        while True:
+            end, width = held.find(b"\r\n\r\n", at), 4
+            bare = held.find(b"\n\n", at, end if end >= 0 else len(held))
+            if bare >= 0:
+                end, width = bare, 2
+            if end >= 0:
+                break
+            size = len(held) - at
+            if not fill(size + 1):
+                raise BrokenArchive("the file ends inside a header")
+        lines = held[at:end].decode("utf-8", "replace").splitlines()
+        if not lines[0].startswith("WARC/"):
+            raise BrokenArchive(f"a record begins with {lines[0][:20]!r}")
         headers: dict[str, str] = {}
         last = ""
-        while part := _line(f):
-            if part[:1] in b" \t" and last:
-                headers[last] += " " + part.decode("utf-8", "replace").strip()
+        for line in lines[1:]:
+            if line[0] in " \t" and last:
+                headers[last] += " " + line.strip()
                 continue
-            name, _, value = part.partition(b":")
-            last = name.decode("utf-8", "replace").strip().lower()
-            headers[last] = value.decode("utf-8", "replace").strip()
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            headers[last] = value.strip()
+        at = end + width
         size = int(headers.get("content-length", "0"))
-        block = f.read(size)
-        if len(block) < size:
+        if len(held) - at < size and not fill(size):
             raise BrokenArchive("the file ends inside a block")
+        block = held[at : at + size]
+        at += size
         yield headers, block
 
 
@@ -189,7 +213,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     def rows(content: bytes):
         raw = io.BytesIO(content)
         stream = gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
-        for k, (h, block) in enumerate(parse(io.BufferedReader(stream))):
+        for k, (h, block) in enumerate(parse(stream)):
             payload = http_payload(block) if "http" in h.get("content-type", "") else block
             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
             yield (
