@@ -17,6 +17,7 @@ from tidemark.operators import evaluate as ev
 from tidemark.operators import features as ft
 from tidemark.operators import folds, models, portfolio, regimes, simulate
 from tidemark.operators import statistics as st
+from tidemark.plans import experiments
 from tidemark.sources import market
 from tidemark.streaming import online
 
@@ -716,3 +717,46 @@ def yearly_total_return(spark, sf_dir):
 def running_peak(spark, sf_dir):
     w = Window.partitionBy("series_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return rounded(market.daily_series(spark, sf_dir).select("date", "price", F.max("price").over(w).alias("peak")))
+
+
+# --- experiments ------------------------------------------------------------
+
+
+@query()
+def experiment_baseline(spark, sf_dir):
+    return experiments.baseline_research(market.daily_series(spark, sf_dir))["metrics"]
+
+
+@query()
+def experiment_regimes(spark, sf_dir):
+    return experiments.regime_research(simulate.simulate_market(spark, 1500, seed=7), 400, 200)["metrics"]
+
+
+@query()
+def experiment_alphas(spark, sf_dir):
+    return experiments.alpha_research(market.daily_series(spark, sf_dir), test=400)["combined_ic"]
+
+
+@query()
+def experiment_rigor(spark, sf_dir):
+    return experiments.statistical_rigor(market.daily_series(spark, sf_dir), replicates=100, embargoes=(0, 10))["metrics"]
+
+
+@query()
+def experiment_portfolio(spark, sf_dir):
+    return experiments.portfolio_research(spark)["risk"]
+
+
+@query()
+def experiment_real_data(spark, sf_dir):
+    return experiments.real_data_research(market.daily_series(spark, sf_dir))["sizing"]
+
+
+@query()
+def figure_equity_curves(spark, sf_dir):
+    return experiments.figure_data(spark, market.daily_series(spark, sf_dir))["equity_curves"]
+
+
+@query()
+def dashboard(spark, sf_dir):
+    return experiments.dashboard_run(spark, 1200)["recent"]
