@@ -181,12 +181,12 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def _chunks(batches, column: str):
+def _chunks(batches):
     """Runs of Arrow batches with about CHUNK_BYTES of text together."""
     run, size = [], 0
     for batch in batches:
         run.append(batch)
-        size += batch.column(batch.schema.get_field_index(column)).nbytes
+        size += batch.columns[-1].nbytes
         if size >= CHUNK_BYTES:
             yield run
             run, size = [], 0
@@ -194,27 +194,25 @@ def _chunks(batches, column: str):
         yield run
 
 
-def _encode(column: str, path: str, pattern: str, digest: bool):
+def _encode(names: list[str], path: str, pattern: str, digest: bool):
     def work(batches):
         own = encoder(path, pattern)
-        for run in _chunks(batches, column):
-            texts = [t or "" for b in run for t in b.column(b.schema.get_field_index(column)).to_pylist()]
+        for run in _chunks(batches):
+            texts = [t or "" for b in run for t in b.columns[-1].to_pylist()]
             encoded = own.encode(texts)
             at = 0
             for batch in run:
                 mine = encoded[at : at + batch.num_rows]
                 at += batch.num_rows
-                others = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n != column]
                 counts = pa.array([len(x) // 4 for x in mine], pa.int64())
                 if digest:
                     back = [own.replayer.decode(np.frombuffer(x, "<u4").tolist()) for x in mine]
                     made = [counts, pa.array([hashlib.sha256(x).hexdigest() for x in mine]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
-                    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
                     flat = np.frombuffer(b"".join(mine), "<u4").astype(np.int32)
                     offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in mine]))).astype(np.int32)
-                    made, names = [counts, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["n_tokens", "ids"]
-                yield pa.RecordBatch.from_arrays([c for _, c in others] + made, [n for n, _ in others] + names)
+                    made = [counts, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
 
     return work
 
@@ -232,8 +230,8 @@ def encode_digests(docs: DataFrame, text: str = "text", path: str | None = None,
 def _run(docs: DataFrame, text: str, path: str | None, pattern: str | None, digest: bool, made: str) -> DataFrame:
     common.small_batches(docs.sparkSession)
     path = path or vocab.default_path("byte_bpe_50k.tiktoken")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
-    return docs.mapInArrow(_encode(text, path, pattern or vocab.default_pattern(), digest), f"{fields}, {made}" if fields else made)
+    base, schema, finish = common.with_input(docs, text, made, keep=False)
+    return finish(base.mapInArrow(_encode(schema.names, path, pattern or vocab.default_pattern(), digest), schema))
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -241,12 +239,12 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
     common.small_batches(rows.sparkSession)
     path = path or vocab.default_path("byte_bpe_50k.tiktoken")
 
+    base, schema, finish = common.with_input(rows, ids, f"`{out}` binary")
+
     def work(batches):
         replayer = MergeReplay(vocab.ranks(path))
         for batch in batches:
-            values = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            made = pa.array([replayer.decode(v or ()) for v in values], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
+            made = pa.array([replayer.decode(v or ()) for v in batch.columns[-1].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], schema.names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(work, f"{fields}, {out} binary")
+    return finish(base.mapInArrow(work, schema))

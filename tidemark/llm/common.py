@@ -8,9 +8,11 @@ import contextlib
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes handed to Python at once; one row may be larger.
 ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
@@ -66,6 +68,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def with_input(rows: DataFrame, column: str, made: str, keep: bool = True) -> tuple[DataFrame, T.StructType, Callable[[DataFrame], DataFrame]]:
+    """For a Python stage that makes columns of one input column: (its input, its output schema, what unpacks its output).
+
+    The input has the kept columns as one struct, whatever their names, and the
+    input column last; the stage puts the made columns in that one's place. A
+    column of ``rows`` that has the name of a made one is replaced by it; the
+    input column itself is kept too unless ``keep`` is false.
+    """
+    fields = T._parse_datatype_string(made).fields
+    names = {f.name for f in fields}
+    kept = [F.col(quoted(c)) for c in rows.columns if c not in names and (keep or c != column)]
+    base = rows.select(F.struct(*(kept or [F.lit(0).alias("_none")])).alias("_row"), F.col(quoted(column)).alias("_input"))
+    out = [*(["_row.*"] if kept else []), *[F.col(quoted(f.name)) for f in fields]]
+    return base, T.StructType([base.schema["_row"], *fields]), lambda df: df.select(*out)
+
+
+def packed(rows: DataFrame, **extra: Column) -> DataFrame:
+    """Each row as one struct ``_row`` beside extra columns, so that names of its columns can't clash with any other."""
+    return rows.select(F.struct(*columns_of(rows)).alias("_row"), *[c.alias(n) for n, c in extra.items()])
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 4 is 2; null ids count as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

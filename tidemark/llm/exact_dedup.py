@@ -11,13 +11,12 @@ Defined cases: a null text counts as empty and equals empty texts; null ids
 are smaller than any id; rows that repeat text and id are one document to
 ``mark_copies`` (all of them ``kept``, if theirs is the largest id) while
 ``drop_copies`` keeps exactly one row; an empty table gives an empty result;
-other columns pass through and may have any names that do not begin with
-``_dedup_``.
+other columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
@@ -46,8 +45,9 @@ def mark_copies(
 ) -> DataFrame:
     """Every row's id with ``keep_id, group_size, kept, text_sha256``. ``normalise``: a Column to Column function of the text."""
     rows = docs.count() if expected_rows is None else expected_rows
-    flagged = _flagged(docs.select(text, doc_id), text, bits_per_row, rows, normalise)
-    flagged = flagged.select(F.col(doc_id).alias("doc_id"), F.sha2(F.col(_P + "text"), 256).alias("text_sha256"), _P + "maybe")
+    plain = docs.select(F.col(common.quoted(text)).alias("text"), F.col(common.quoted(doc_id)).alias("doc_id"))
+    flagged = _flagged(plain, "text", bits_per_row, rows, normalise)
+    flagged = flagged.select("doc_id", F.sha2(F.col(_P + "text"), 256).alias("text_sha256"), _P + "maybe")
     alone = flagged.where(~F.col(_P + "maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
@@ -68,16 +68,17 @@ def drop_copies(
     Rows without an equal are never shuffled. The others meet by text hash in an
     aggregate that keeps one row for each task and text before the shuffle.
     """
-    flagged = _flagged(docs, text, bits_per_row, expected_rows, normalise)
-    columns: list[Column] = [F.col(f"`{c}`") for c in docs.columns]
-    alone = flagged.where(~F.col(_P + "maybe")).select(*columns)
+    rows = docs.count() if expected_rows is None else expected_rows
+    packed = common.packed(docs, id=F.col(common.quoted(doc_id)), text=F.col(common.quoted(text)))
+    flagged = _flagged(packed, "text", bits_per_row, rows, normalise)
+    alone = flagged.where(~F.col(_P + "maybe")).select("_row")
     best = (
         flagged.where(_P + "maybe")
-        .groupBy(F.sha2(F.col(_P + "text"), 256).alias(_P + "sha"))
-        .agg(F.max_by(F.struct(*columns), F.struct(F.col(doc_id).isNotNull(), F.col(doc_id))).alias(_P + "row"))
-        .select(_P + "row.*")
+        .groupBy(F.sha2(F.col(_P + "text"), 256).alias("sha"))
+        .agg(F.max_by("_row", F.struct(F.col("id").isNotNull(), F.col("id"))).alias("_row"))
+        .select("_row")
     )
-    return alone.unionByName(best)
+    return alone.union(best).select("_row.*")
 
 
 ORACLE_SQL = """

@@ -190,16 +190,16 @@ def predict(docs: DataFrame, model: dict, text: str = "text", penalty: float = P
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(pickle.dumps(model))  # size bounded by languages, orders and buckets
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    base, schema, finish = common.with_input(docs, text, "lang_pred string, score double, lang_mix map<string,double>")
 
     def work(batches):
         own = pickle.loads(shared.value)
         for batch in batches:
-            made = infer(batch.column(batch.schema.get_field_index(text)).to_pylist(), own, penalty)
+            made = infer(batch.columns[-1].to_pylist(), own, penalty)
             mix = pa.array([list(m.items()) for _, _, m in made], pa.map_(pa.string(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), mix], [*batch.schema.names, "lang_pred", "score", "lang_mix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), mix], schema.names)
 
-    return docs.mapInArrow(work, f"{fields}, lang_pred string, score double, lang_mix map<string,double>")
+    return finish(base.mapInArrow(work, schema))
 
 
 def train_on(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict:
@@ -209,4 +209,5 @@ def train_on(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
 
 def drop_unidentified(docs: DataFrame, model: dict, text: str = "text", penalty: float = PENALTY) -> DataFrame:
     """``docs`` without the rows that have no language; same columns."""
-    return predict(docs, model, text, penalty).where("lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = common.packed(docs, text=F.col(common.quoted(text)))
+    return predict(rows, model, "text", penalty).where("lang_pred <> 'und'").select("_row.*")

@@ -239,18 +239,17 @@ def media_features(rows: DataFrame, data: str, size: int = TILE) -> DataFrame:
 
 def _map(rows: DataFrame, column: str, one, made: str) -> DataFrame:
     """Rows with what ``one`` makes of a column in its place."""
-    fields = [f for f in rows.schema.fields if f.name != column]
+    base, schema, finish = common.with_input(rows, column, made, keep=False)
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    names, types = zip(*[(n, kinds[t]) for n, t in (x.split() for x in made.split(", "))], strict=True)
+    types = [kinds[x.split()[1]] for x in made.split(", ")]
 
     def work(batches):
         for batch in batches:
-            values = [one(v) for v in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+            values = [one(v) for v in batch.columns[-1].to_pylist()]
             out = [pa.array([v[i] for v in values], t) for i, t in enumerate(types)]
-            keep = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n != column]
-            yield pa.RecordBatch.from_arrays([c for _, c in keep] + out, [n for n, _ in keep] + list(names))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], schema.names)
 
-    return rows.mapInArrow(work, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [made]))
+    return finish(base.mapInArrow(work, schema))
 
 
 # --- payloads stored as images ----------------------------------------------

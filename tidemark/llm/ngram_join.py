@@ -307,12 +307,12 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     rows = max(1, marked.count())
     bits = common.filter_bits(rows, 16)
     bitmaps = common.bloom_of(marked, "row_key", bits, "near-copy-rows")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    one, two = common.cells(F.col("_near_key"), bits)
-    probed = common.probe(docs.withColumn("_near_key", _row_key(F.col(doc_id), F.col(text))).withColumns({"_near_c1": one, "_near_c2": two}), ["_near_c1", "_near_c2"], bitmaps, "_near_maybe")
-    alone = probed.where("not _near_maybe").select(*columns)
-    keys = marked.groupBy("row_key").agg(F.max("stays").alias("_near_stays")).withColumnRenamed("row_key", "_near_key")
-    met = probed.where("_near_maybe").join(keys, "_near_key", "left").where("_near_stays is null or _near_stays")
-    single = met.where("_near_stays is null").select(*columns)
-    best = met.where("_near_stays").groupBy("_near_key").agg(F.first(F.struct(*columns)).alias("_near_row")).select("_near_row.*")
-    return alone.unionByName(single).unionByName(best)
+    one, two = common.cells(F.col("row_key"), bits)
+    keyed = common.packed(docs, row_key=_row_key(F.col(common.quoted(doc_id)), F.col(common.quoted(text))))
+    probed = common.probe(keyed.withColumns({"c1": one, "c2": two}), ["c1", "c2"], bitmaps, "maybe")
+    alone = probed.where("not maybe").select("_row")
+    keys = marked.groupBy("row_key").agg(F.max("stays").alias("stays"))
+    met = probed.where("maybe").select("_row", "row_key").join(keys, "row_key", "left")
+    single = met.where("stays is null").select("_row")
+    best = met.where("stays").groupBy("row_key").agg(F.first("_row").alias("_row")).select("_row")
+    return alone.union(single).union(best).select("_row.*")

@@ -165,20 +165,21 @@ def grade_documents(docs: DataFrame, model: dict, text: str = "text") -> DataFra
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(pickle.dumps(model))  # a fixed number of weights
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    base, schema, finish = common.with_input(docs, text, "expected_grade double, tails array<double>")
 
     def work(batches):
         own = pickle.loads(shared.value)
         for batch in batches:
-            p = tails(batch.column(batch.schema.get_field_index(text)).to_pylist(), own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.sum(axis=1)), pa.array(p.tolist(), pa.list_(pa.float64()))], [*batch.schema.names, "expected_grade", "tails"])
+            p = tails(batch.columns[-1].to_pylist(), own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p.sum(axis=1)), pa.array(p.tolist(), pa.list_(pa.float64()))], schema.names)
 
-    return docs.mapInArrow(work, f"{fields}, expected_grade double, tails array<double>")
+    return finish(base.mapInArrow(work, schema))
 
 
 def select(docs: DataFrame, model: dict, grade: int, least: float, text: str = "text") -> DataFrame:
     """``docs`` whose probability of the grade or a higher one is ``least`` or more; same columns."""
-    return grade_documents(docs, model, text).where(F.col("tails")[grade - 1] >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = common.packed(docs, text=F.col(common.quoted(text)))
+    return grade_documents(rows, model, "text").where(F.col("tails")[grade - 1] >= least).select("_row.*")
 
 
 def label_grade() -> Column:

@@ -365,7 +365,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", alpha: float = ALPHA
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(pickle.dumps(model))  # its size is bounded by the fit's sample
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    base, schema, finish = common.with_input(docs, text, SCORED)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("log_p", pa.float64())]))
 
     def work(batches):
@@ -373,7 +373,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", alpha: float = ALPHA
         m = scorer.m
         for batch in batches:
             p, ev, count, spans = [], [], [], []
-            for n, segments, value, (s, e) in scorer.passages(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+            for n, segments, value, (s, e) in scorer.passages(batch.columns[-1].to_pylist()):
                 ev.append(value)
                 p.append(scorer.probability(value))
                 count.append(len(segments))
@@ -384,11 +384,12 @@ def score(docs: DataFrame, model: dict, text: str = "text", alpha: float = ALPHA
                     if chance < alpha:
                         found.append({"start": int(s[a]), "end": int(e[b - 1]), "score": x, "log_p": math.log(max(chance, 1e-300))})
                 spans.append(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(ev, pa.float64()), pa.array(count, pa.int32()), pa.array(spans, kind)], [*batch.schema.names, "score", "evidence", "segments", "passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64()), pa.array(ev, pa.float64()), pa.array(count, pa.int32()), pa.array(spans, kind)], schema.names)
 
-    return docs.mapInArrow(work, f"{fields}, {SCORED}")
+    return finish(base.mapInArrow(work, schema))
 
 
 def drop_toxic(docs: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold; same columns."""
-    return score(docs, model, text).where(F.col("score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = common.packed(docs, text=F.col(common.quoted(text)))
+    return score(rows, model, "text").where(F.col("score") < threshold).select("_row.*")
