@@ -41,6 +41,8 @@ def test_rolling_and_block_coefficients(spark):
     rolled = ev.rolling_ic(df, 60).orderBy("date").collect()
     want = [spearman(p["value"][i - 59 : i + 1], p["fwd"][i - 59 : i + 1]) for i in range(59, 200)]
     assert [r.date for r in rolled] == list(range(59, 200)) and np.allclose([r.ic for r in rolled], want)
+    assert np.allclose([r.ic for r in ev.rolling_ic(df, 60, native=True).orderBy("date").collect()], want)
+    assert ev.rolling_ic(spark.createDataFrame(p.assign(value=1.0), SCHEMA), 60).where("ic is not null").count() == 0
     blocks = ev.block_ic(df, 60).orderBy("block").collect()
     assert len(blocks) == 3 and np.allclose([r.ic for r in blocks], [spearman(p["value"][k : k + 60], p["fwd"][k : k + 60]) for k in (0, 60, 120)])
     t = ev.non_overlapping_ic_t_stat(df, 60).first()

@@ -7,6 +7,7 @@ signals is evaluated by one plan.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +22,40 @@ def information_coefficient(df: DataFrame, x: str = "value", y: str = "fwd", by=
     return ts.spearman(df, x, y, by, min_pairs)
 
 
-def rolling_ic(df: DataFrame, window: int = 60, x: str = "value", y: str = "fwd", by=SIGNAL_KEYS, order: str = "date") -> DataFrame:
-    """Trailing Spearman over complete windows of non-null pairs: keys, order, ic."""
+def _spearman_of(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Spearman correlation of each row's two arrays (all of one length): ties share the mean of their ranks; NULL for a constant side."""
+    if not len(x):
+        return pd.Series([], dtype="float64")
+    a, b = (_average_ranks(np.stack(v.to_list())) for v in (x, y))
+    a -= a.mean(axis=1, keepdims=True)
+    b -= b.mean(axis=1, keepdims=True)
+    scale = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    return pd.Series(np.divide((a * b).sum(axis=1), scale, out=np.full(len(scale), np.nan), where=scale > 0)).where(scale > 0, None)
+
+
+def _average_ranks(v: np.ndarray, block: int = 256) -> np.ndarray:
+    """Average ranks along the rows of a matrix, some rows at a time, which bounds the comparison's memory."""
+    out = np.empty(v.shape)
+    for k in range(0, len(v), block):
+        part = v[k : k + block]
+        less = (part[:, None, :] < part[:, :, None]).sum(axis=2)
+        same = (part[:, None, :] == part[:, :, None]).sum(axis=2)
+        out[k : k + block] = less + (same + 1) / 2
+    return out
+
+
+def rolling_ic(df: DataFrame, window: int = 60, x: str = "value", y: str = "fwd", by=SIGNAL_KEYS, order: str = "date", native: bool = False) -> DataFrame:
+    """Trailing Spearman over complete windows of non-null pairs: keys, order, ic.
+
+    Windows are gathered natively. Ranking a window is quadratic in its length
+    and interpreted for each element in array functions, so it runs in an
+    Arrow-batched function; ``native`` keeps it in array functions.
+    """
     frame = ts.spec(by, order).rowsBetween(-(window - 1), 0)
     pairs = df.where(ts.present(x, y))
     both = pairs.select(*by, order, F.collect_list(F.struct(x, y)).over(frame).alias("_p")).where(F.size("_p") == window)
+    if not native:
+        return both.select(*by, order, F.pandas_udf(_spearman_of, "double")(F.col(f"_p.{x}"), F.col(f"_p.{y}")).alias("ic"))
     # Ranks are made columns of their own first, so that each is computed once for a row.
     ranked = both.select(*by, order, ts.average_ranks_of(F.col(f"_p.{x}")).alias("_x"), ts.average_ranks_of(F.col(f"_p.{y}")).alias("_y"))
     return ranked.select(*by, order, ts.array_corr(F.col("_x"), F.col("_y")).alias("ic"))

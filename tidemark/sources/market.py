@@ -115,8 +115,8 @@ def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series_id, date, price, return of the months in which every brand has a price."""
     prices = brand_prices(spark, sf_dir)
-    brands = prices.agg(F.countDistinct("series_id").alias("brands"))
-    full = prices.groupBy("date").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(brands)).where("n = brands").select("date")  # brands: one row
+    brands = prices.agg(F.countDistinct("series_id")).scalar()
+    full = prices.groupBy("date").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == brands).select("date")
     return with_returns(prices.join(full, "date", "left_semi"))
 
 
