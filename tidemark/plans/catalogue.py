@@ -695,11 +695,60 @@ def ctmc_occupancy(spark, sf_dir):
     return simulate.occupancy(simulate.simulate_ctmc(spark, simulate.generator_of(simulate.TRANSITION), 500.0, 0, seed=5, n_paths=8), 500.0)
 
 
-@query()
+@query("""SELECT CAST(row_number() OVER (ORDER BY d) - 1 AS INTEGER) AS t, CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(DATE '2016-01-01', DATE '2016-01-01' + INTERVAL 1407 DAY, INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6 QUALIFY row_number() OVER (ORDER BY d) <= 1000""")
 def business_calendar(spark, sf_dir):
     return market.business_days(spark, "2016-01-01", 1000)
 
 
+@query(f"WITH {BRANDS}, {COV} SELECT i AS asset, {r('cov / sum(cov) OVER ()', 'share')} FROM cov WHERE i = j")
+def explained_total(spark, sf_dir):
+    """Share of each asset in the panel's total variance."""
+    var = portfolio.long_covariance(_panel(spark, sf_dir)).where("i = j").withColumn("panel", F.lit("brands"))
+    return rounded(var.select(F.col("i").alias("asset"), portfolio.explained_share("cov", ["panel"]).alias("share")))
+
+
+@query("""WITH b AS (SELECT (1 - sqrt(0.25::DOUBLE)) ** 2 AS low, (1 + sqrt(0.25::DOUBLE)) ** 2 AS high), g AS (SELECT unnest(range(0, 301)) / 100.0::DOUBLE AS x)
+SELECT x, round(CASE WHEN x >= low AND x <= high AND x > 0 THEN sqrt(greatest(0, (high - x) * (x - low))) / (2 * pi() * 0.25 * x) ELSE 0 END, 8) + 0.0 AS density FROM g, b""")
+def noise_density(spark, sf_dir):
+    """Eigenvalue density of pure noise, 50 assets and 200 observations."""
+    grid = spark.range(301).select((F.col("id") / F.lit(100.0)).alias("x"))
+    return rounded(grid.select("x", portfolio.marchenko_pastur_pdf("x", 50, 200).alias("density")))
+
+
+_OU = f"""pairs AS (SELECT ln(price) AS a, lead(ln(price)) OVER (ORDER BY date) AS b FROM daily), s AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c FROM pairs WHERE b IS NOT NULL),
+k AS (SELECT *, c / va AS slope, greatest(1e-8::DOUBLE, least(1 - 1e-8::DOUBLE, c / va)) AS bb FROM s)"""
+
+
+@query(f"WITH {DAILY}, {_OU} SELECT 'ALL' AS series_id, {r('-ln(bb)', 'kappa', 6)}, {r('(mb - slope * ma) / (1 - bb)', 'theta', 6)}, {r('sqrt(2 * -ln(bb) * greatest(0, (vb - slope * c) * n / (n - 2)) / (1 - bb * bb))', 'sigma', 6)} FROM k")
+def ou_fit_prices(spark, sf_dir):
+    """Mean reversion of the log price."""
+    frame = market.daily_series(spark, sf_dir).withColumn("x", F.log("price"))
+    return rounded(simulate.estimate_ou(frame, "x", 1.0, ["series_id"], "date"), 6)
+
+
+@query(f"WITH {HOURLY}, held AS (SELECT regime AS state, date_diff('second', date, coalesce(lead(date) OVER (ORDER BY date), (SELECT max(date) FROM states))) / 3600.0::DOUBLE AS h FROM states) SELECT CAST(state AS INTEGER) AS state, {r('sum(h)', 'hours', 6)} FROM held GROUP BY 1")
+def state_occupancy(spark, sf_dir):
+    """Hours spent in each state, each row holding until the next."""
+    frame = _hourly_regimes(spark, sf_dir).withColumn("at", F.unix_seconds(F.col("date").cast("timestamp")) / 3600.0)
+    whole = Window.partitionBy("series_id")
+    held = frame.select(F.lit(0).alias("path_id"), F.col("at").alias("jump_time"), F.col("regime").alias("state"), ts.row_index().alias("k"), F.max("at").over(whole).alias("end"))
+    w = Window.partitionBy("path_id").orderBy("k")
+    rows = held.select("state", (F.coalesce(F.lead("jump_time").over(w), F.col("end")) - F.col("jump_time")).alias("h"))
+    return rounded(rows.groupBy("state").agg(F.sum("h").alias("hours")), 6)
+
+
+@query(f"WITH {LONG} SELECT 'ALL' AS series_id, {r('sum(alpha_momentum * alpha_vol_managed) / sqrt(sum(alpha_momentum * alpha_momentum) * sum(alpha_vol_managed * alpha_vol_managed))', 'cosine')} FROM wide WHERE alpha_momentum IS NOT NULL AND alpha_vol_managed IS NOT NULL")
+def signal_cosine(spark, sf_dir):
+    rows = _signals(spark, sf_dir).where("alpha_momentum is not null and alpha_vol_managed is not null")
+    return rounded(rows.groupBy("series_id").agg(portfolio.cosine("alpha_momentum", "alpha_vol_managed").alias("cosine")))
+
+
+@query(f"WITH {DAILY} SELECT 'ALL' AS series_id, CAST(floor(ret * 20) AS INTEGER) AS bucket, count(*) AS n FROM daily GROUP BY 2")
+def return_histogram(spark, sf_dir):
+    frame = market.daily_series(spark, sf_dir)
+    return frame.groupBy("series_id", F.floor(F.col("return") * 20).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean_value FROM events GROUP BY 1, 2")
 def windowed_event_means(spark, sf_dir):
     events = market.table(spark, sf_dir, "events")
