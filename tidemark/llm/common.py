@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -22,14 +23,16 @@ BITMAP_BITS = 32768
 MAX_FILTER_BITS = 1 << 30
 
 _made: list[tuple[SparkSession, str]] = []
+#: Temporary folders by application, where no shared one is named.
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where unset (local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _own_dirs[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -44,6 +47,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def _drop_all() -> None:
     for spark, path in _made:
+        if path.startswith(("/", "file:")):  # also after the session has stopped
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            continue
         with contextlib.suppress(Exception):
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
