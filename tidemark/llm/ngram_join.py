@@ -6,7 +6,8 @@ Steps:
    Rows with equal sets become one class of copies before anything else.
 2. Classes meet on band hashes. Each bucket links its members to its smallest
    member, so edges grow with the members and not with their pairs; connected
-   candidates form a cell. Every pair that shares a band lies in one cell.
+   candidates form a cell. Every pair that shares a band lies in one cell, so
+   the cells lose no candidate. Hashes met once never shuffle with a class.
 3. Within a cell all pairs whose sizes allow the threshold are verified on
    their full n-gram sets, by sparse incidence products, in blocks of classes:
    a cell of any size is split into pairs of blocks, so no task gathers it.
@@ -298,8 +299,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     """``docs`` with one row of each class: that whose id names the class, same columns.
 
     Rows to drop are found by a Bloom filter first, so the others pass without a
-    shuffle. Repeated rows (same id and text) stand or fall together, but for
-    one of them where theirs is the row that stays.
+    shuffle. Of repeated rows (same id and text) that stay, one does. Rows of
+    other texts that bear the staying id too all stay, and so do rows without an
+    id in a class where no row has one, as nothing says which of them is it.
     """
     found = near_duplicate_classes(docs, text, doc_id, **options)
     # Of the rows in a class of several, all but one go; the rest of the table never meets them.
