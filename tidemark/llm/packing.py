@@ -11,7 +11,7 @@
    search keeps the best plan so far, starting from a best-fit decreasing one,
    and cuts branches whose bins so far plus the bound for the rest (volume and
    the L2 bound) reach it; it ends when a plan meets the lower bound or a stated
-   number of nodes was searched. The search effort depends on the capacity, not
+   number of nodes was searched (some hundreds after the first whole plan). The search effort depends on the capacity, not
    on the number of documents.
 4. Pieces are ranked within their length (salted, so that a common length is
    dealt to many tasks) and take their places in the plan by rank.
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common, vocab
 
-CAPACITY, END_ID, NODES, WIDTH = 1024, 2, 4000, 6
+CAPACITY, END_ID = 1024, 2
+#: Search nodes at most, nodes searched after the first whole plan, and branches of a node.
+NODES, AFTER, WIDTH = 20_000, 600, 20
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -241,12 +243,13 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, width
     incumbent = sum(n for _, n in best)
     # Each entry: counts left, bins used, the bins so far as a linked list.
     stack: list[tuple[np.ndarray, int, tuple | None]] = [(counts, 0, None)]
-    seen = 0
-    while stack and incumbent > bound and seen < nodes:
+    seen, last = 0, nodes
+    while stack and incumbent > bound and seen < last:
         left, used, chain = stack.pop()
         seen += 1
         sizes = np.flatnonzero(left)
         if not sizes.size:
+            last = min(last, seen + AFTER)
             if used < incumbent:
                 incumbent, best = used, []
                 while chain:
