@@ -97,3 +97,32 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     many = [(h.tolist(), c.tolist()) for h, c in words.word_hashes(texts)]
     assert sum((h for h, _ in one), []) == sum((h for h, _ in many), [])
     assert sum((c for _, c in one), []) == sum((c for _, c in many), [])
+
+
+def test_chains_and_pairs_are_whole(spark):
+    """A chain of texts, each linked to the next alone: all links are found, and what is verified grows with the chain."""
+    n, step, size = 5000, 20, 200
+    rows = [(k, " ".join(f"v{j}" for j in range(k * step, k * step + size))) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sets = {i: shingles(t) for i, t in rows}
+    near = {(a, b) for a in range(n) for b in range(a + 1, min(n, a + 3)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(near) in (0, n - 1)
+    got = {(r.id_a, r.id_b) for r in ngram_join.similar_pairs(docs).collect()}
+    assert got == near
+    classes = ngram_join.near_duplicate_classes(docs).collect()
+    assert len({r.class_id for r in classes}) == n - len(near)
+    _, found, _ = ngram_join._sketched(docs, "text", "doc_id", 5, 0.8, 0.9999, 128)
+    buckets = ngram_join._buckets(found)
+    assert buckets.count() <= 24 * n and (buckets.agg({"members": "max"}).first()[0] or 0) < 60
+
+
+def test_pairs_are_complete(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    sets, first = {i: shingles(t) for i, t in rows}, {}
+    for i, _ in rows:
+        first.setdefault(frozenset(sets[i]), i)
+    ids = sorted(v for k, v in first.items() if k)
+    want = {(a, b) for a, b in combinations(ids, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    for block, size in ((128, 1 << 20), (2, 1 << 20), (128, 900)):
+        assert {(r.id_a, r.id_b) for r in ngram_join.similar_pairs(docs, block=block, block_bytes=size).collect()} == want

@@ -11,7 +11,7 @@ import uuid
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,45 +22,84 @@ BITMAP_BITS = 32768
 #: A filter never has more bits than this, so its broadcast never exceeds 128 MB.
 MAX_FILTER_BITS = 1 << 30
 
-_made: list[tuple[SparkSession, str]] = []
+#: Tables in the shared folder, with their sessions.
+_made: dict[str, SparkSession] = {}
 #: Temporary folders by application, where no shared one is named.
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where unset (local mode)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
         _own_dirs[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's Python ends."""
+    """A fresh path in the shared folder, deleted by ``drop`` or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_drop_all)
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    if path.startswith(("/", "file:")):  # also after the session has stopped
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        return
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _drop_all() -> None:
-    for spark, path in _made:
-        if path.startswith(("/", "file:")):  # also after the session has stopped
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-            continue
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path, spark in _made.items():
+        _delete(spark, path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` or ``measured`` that nothing reads any more."""
+    for table in tables:
+        if spark := _made.pop(getattr(table, "_written_to", ""), None):
+            _delete(spark, table._written_to)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def measured(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates of the rows (null sums as 0) that are taken while they are written."""
+    seen = Observation()
+    back = written(df.observe(seen, *[c.alias(k) for k, c in facts.items()]), name)
+    got = seen.get
+    return back, {k: got.get(k) or 0 for k in facts}
+
+
+def within_bytes(sample: DataFrame, text: str, group: str, order: str, limit: int) -> DataFrame:
+    """The rows of a sample that come, in the order within their group, before its texts have more than ``limit`` bytes together.
+
+    Each row counts 64 bytes besides its text; one of more than the limit by
+    itself is passed over. Only lengths meet by group. The sample is written, and
+    must have a bounded number of different orders in a group.
+    """
+    sized = sample.withColumn("_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 64)
+    kept = written(sized.where(F.col("_bytes") <= limit), "sample")
+    lengths = kept.groupBy(group, order).agg(F.sum("_bytes").alias("_bytes"))
+    so_far = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    fits = lengths.select(group, order, F.sum("_bytes").over(so_far).alias("_so_far")).where(F.col("_so_far") <= limit)
+    return kept.join(F.broadcast(fits.select(group, order)), [group, order], "left_semi").drop("_bytes")
 
 
 def small_batches(spark: SparkSession) -> None:

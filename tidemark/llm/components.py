@@ -18,10 +18,8 @@ from tidemark.llm import common
 
 def _is_stars(edges: DataFrame) -> bool:
     """Whether each node has one edge to a smaller node, which has none itself."""
-    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if several:
-        return False
-    return not edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").limit(1).count()
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    return ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.max("e.down").alias("downs")).where("ups > 1 or (ups = 1 and downs = 1)").isEmpty()
 
 
 def connected(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
@@ -29,20 +27,21 @@ def connected(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
 
     Self-loops and repeated edges are allowed; rows with a null end are ignored.
     """
-    salts = None
-    now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = common.written(now, "edges")
+    ordered = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now, made = common.measured(ordered.distinct(), "edges", n=F.count(F.lit(1)))
     for _ in range(rounds):
-        if _is_stars(now):
+        if not made["n"] or _is_stars(now):
             break
-        salts = common.salts_for(now.count())
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        seen = common.with_group_stats(both, ["u"], {"low": ("min", F.col("v"))}, F.pmod(F.xxhash64("v"), F.lit(salts)))
-        large = seen.where("v > u").select(F.col("v").alias("u"), F.least("low", "u").alias("v")).where("u <> v").distinct()
-        seen = common.with_group_stats(large, ["u"], {"low": ("min", F.col("v"))}, F.pmod(F.xxhash64("v"), F.lit(salts)))
+        salt = F.pmod(F.xxhash64("v"), F.lit(common.salts_for(made["n"])))
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        seen = common.with_group_stats(both, ["u"], {"low": ("min", F.col("v"))}, salt)
+        large = seen.where("v > u").select(F.col("v").alias("u"), F.least("low", "u").alias("v")).where("u <> v")
+        seen = common.with_group_stats(large, ["u"], {"low": ("min", F.col("v"))}, salt)
         small = seen.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))).alias("e"))
-        now = common.written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        before = now
+        now, made = common.measured(small.select("e.u", "e.v").where("u <> v").distinct(), "edges", n=F.count(F.lit(1)))
+        common.drop(before)
     else:
         raise RuntimeError(f"components not found within {rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias(label))
-    return nodes.unionByName(now.groupBy("v").agg(F.lit(1).alias("one")).select(F.col("v").alias("node"), F.col("v").alias(label)))
+    return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias(label)).distinct())

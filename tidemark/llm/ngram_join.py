@@ -4,15 +4,14 @@ Steps:
 1. One pass over the texts makes, for each row, a 128-bit fingerprint of its
    set of word n-grams and one hash for each band of its MinHash signature.
    Rows with equal sets become one class of copies before anything else.
-2. Classes meet on band hashes. Each bucket links its members to its smallest
-   member, so edges grow with the members and not with their pairs; connected
-   candidates form a cell. Every pair that shares a band lies in one cell, so
-   the cells lose no candidate. Hashes met once never shuffle with a class.
-3. Within a cell all pairs whose sizes allow the threshold are verified on
-   their full n-gram sets, by sparse incidence products, in blocks of classes:
-   a cell of any size is split into pairs of blocks, so no task gathers it.
-   A task returns the number of links of each class and a spanning forest of
-   its links (fewer edges than classes), which keeps every connection.
+2. Classes meet on band hashes. Only buckets of two classes or more go on, and
+   of those none that lies within one earlier bucket of all its members.
+3. Within a bucket, the pairs whose first common band it is are verified on
+   their full n-gram sets, so each pair that shares a band is verified once and
+   no other is. A bucket is dealt to blocks of a bounded number of texts and
+   bytes, and a task takes one pair of blocks, so no task gathers a bucket.
+4. A task returns the number of links of each class and its links' connected
+   classes as stars (fewer edges than classes); those stars are joined to groups.
 
 Bands and rows follow from the recall wanted at the threshold: the most rows
 for a band whose number of bands keeps the hashes within a budget.
@@ -21,7 +20,8 @@ Defined cases: words are those of ``words.py``; a text with fewer than n words
 has one n-gram, all its words; a null or empty text, or one without words, has
 no n-gram, links to nothing and is its own class; null ids come after all
 others when a class is named by its smallest id; repeated rows count as copies
-each; an empty table gives an empty result; other columns are not read.
+each; a text longer than a block's bytes is a block of its own; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,14 +32,16 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, words
 from tidemark.llm.components import connected
 
 U = np.uint64
-NGRAM, THRESHOLD, RECALL, MAX_HASHES, BLOCK, SEED = 5, 0.8, 0.9999, 128, 128, 20240229
+NGRAM, THRESHOLD, RECALL, MAX_HASHES, SEED = 5, 0.8, 0.9999, 128, 20240229
+#: Texts and bytes of text of a block; a task verifies one pair of blocks.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 
 
 def bands_for(threshold: float, recall: float, max_hashes: int) -> tuple[int, int]:
@@ -111,13 +113,14 @@ def _sketcher(text: str, n: int, bands: int, rows: int):
 
 
 def sketch(docs: DataFrame, text: str, doc_id: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, row_key, fp, n_grams, bands) for each row; fp and bands are null where there is no n-gram.
+    """(doc_id, row_key, bytes, fp, n_grams, bands) for each row; fp and bands are null where there is no n-gram.
 
     row_key: 64-bit hash of text and id, to find the row again without reading the whole text's n-grams.
     """
     common.small_batches(docs.sparkSession)
-    rows_in = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows_in.mapInArrow(_sketcher("text", n, bands, rows), "doc_id long, row_key long, fp binary, n_grams int, bands array<long>")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows_in = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.octet_length(whole).cast("long").alias("bytes"), whole.alias("text"))
+    return rows_in.mapInArrow(_sketcher("text", n, bands, rows), "doc_id long, row_key long, bytes long, fp binary, n_grams int, bands array<long>")
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
@@ -125,124 +128,126 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 
 
 def _classes(sketches: DataFrame) -> DataFrame:
-    """One row for each distinct n-gram set: fp, its copies, the smallest id and that row's key."""
-    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
+    """One row for each distinct n-gram set: fp, its copies, the smallest id, and that row's key and bytes."""
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"), F.col("bytes"))
     return (
         sketches.where("fp is not null").groupBy("fp")
         .agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
-        .select("fp", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.row_key").alias("row_key"), "n_grams", "bands")
+        .select("fp", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.row_key").alias("row_key"), F.col("first.bytes").alias("bytes"), "n_grams", "bands")
     )
 
 
-def _bucket_edges(classes: DataFrame, bands: int, salts: int) -> DataFrame:
-    """(a, b): each class that shares a band hash with another, and the smallest class of that bucket.
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(fp, band, members, bucket_bytes): each class in each of the buckets that it has to be verified in.
 
-    Most band hashes occur once. They are first counted by filter cell, as
-    (cell, count) pairs; only those in cells met twice or more shuffle with their class.
+    Buckets are counted first, pre-aggregated, and only classes in buckets of
+    two or more go on; the join that picks them has a bucket's count on one side,
+    so a hot bucket can be split. A bucket is left out when all its members
+    have the same first bucket and it is another one: their pairs are verified there.
     """
-    bits = common.filter_bits(classes.count() * bands, 16)
-    cell = F.col("band").bitwiseAND(bits - 1).cast("int")
-    members = classes.select("fp", F.explode("bands").alias("band")).withColumn("cell", cell)
-    bitmaps = common.bitmap_table(members.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "repeated-bands")
-    members = common.probe(members, ["cell"], bitmaps, "maybe").where("maybe").select("fp", "band")
-    met = common.with_group_stats(
-        members, ["band"], {"low": ("min", F.col("fp")), "members": ("count", F.lit(1))}, F.pmod(F.xxhash64("fp"), F.lit(salts))
-    )
-    return met.where("members > 1 and fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    members = classes.select("fp", "bytes", F.posexplode("bands").alias("k", "band"))
+    counted = members.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bucket_bytes")).where("members > 1")
+    met = members.drop("bytes").join(common.written(counted, "repeated-bands"), "band")
+    own = Window.partitionBy("fp").orderBy("k")
+    met = common.written(met.withColumn("first", F.first("band").over(own)), "bucket-members")
+    within = met.groupBy("band", "members", "first").agg(F.count(F.lit(1)).alias("n")).where("n = members and first <> band")
+    return met.join(within.select("band"), "band", "left_anti").select("fp", "band", "members", "bucket_bytes")
+
+
+def _tasks(buckets: DataFrame, classes: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """(band, i, j, block, fp, copies, row_key, bands): every class of a bucket, once for each pair of blocks that it takes part in.
+
+    A bucket of one block has the pair (0, 0).
+    """
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(block), F.col("bucket_bytes") / F.lit(block_bytes))).cast("int")
+    dealt = buckets.select("fp", "band", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    whole = dealt.join(classes.select("fp", "copies", "row_key", "bands"), "fp").withColumn("pair", F.explode(pairs))
+    return whole.select("band", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "fp", "copies", "row_key", "bands")
 
 
 def _links_in(threshold: float, n: int, want_pairs: bool):
-    """Verifies one pair of blocks of a cell. Input rows: cell, i, j, block, fp, copies, n_grams, text."""
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(key[1]), int(key[2])
-        frame = frame.drop_duplicates("fp").sort_values(["block", "n_grams", "fp"], kind="stable").reset_index(drop=True)
+    """Verifies the pairs of a pair of blocks of a bucket whose first common band the bucket's is. Input rows: those of ``_tasks`` with their text."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        band, i, j = key
+        frame = frame.sort_values(["block", "fp"], kind="stable").reset_index(drop=True)
         sets = []
         for hashes, counts in words.word_hashes(frame["text"].tolist()):
             shingles, each = words.shingle_hashes(hashes, counts, n)
             at = np.concatenate(([0], np.cumsum(each)))
             sets += [np.unique(shingles[at[k] : at[k + 1]]) for k in range(each.size)]
         size = np.array([s.size for s in sets])
-        block = frame["block"].to_numpy()
-        copies = frame["copies"].to_numpy()
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        out_a, out_b, out_j = [], [], []
-        found = np.zeros(len(sets), np.int64)
-        parent = list(range(len(sets)))
-
-        def root(x):
+        start = np.concatenate(([0], np.cumsum(size)))
+        distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        del sets
+        inside = np.zeros(distinct.size, bool)
+        bands = np.stack(frame["bands"].to_list())
+        before = bands[:, : int(np.flatnonzero(bands[0] == band)[0])]
+        block, copies, fp = frame["block"].to_numpy(), frame["copies"].to_numpy(), frame["fp"].to_numpy()
+        right = np.flatnonzero(block == j)
+        found = np.zeros(size.size, np.int64)
+        parent = list(range(size.size))
+        pairs: list[tuple[bytes, bytes, float]] = []
+
+        def root(x: int) -> int:
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        flat = np.concatenate([sets[k] for k in right]) if right.size else np.empty(0, U)
-        owner = np.repeat(np.arange(right.size), size[right])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        for a in left:
-            lo, hi = np.searchsorted(flat, sets[a], "left"), np.searchsorted(flat, sets[a], "right")
-            hits = hi - lo
-            some = hits > 0
-            if not some.any():
+        for a in np.flatnonzero(block == i).tolist():
+            other = right[right > a] if i == j else right
+            other = other[np.minimum(size[other], size[a]) >= threshold * np.maximum(size[other], size[a]) - 1e-9]
+            other = other[~(before[other] == before[a]).any(axis=1)]
+            if not other.size:
                 continue
-            lo, hits = lo[some], hits[some]
-            where = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
-            both = np.bincount(owner[where], minlength=right.size)
-            jaccard = both / (size[a] + size[right] - both)
-            near = np.flatnonzero((jaccard >= threshold) & (right != a) & ((right > a) | (i != j)))
-            for k in near:
-                b = int(right[k])
+            inside[ids[start[a] : start[a + 1]]] = True
+            ends = np.cumsum(size[other])
+            where = np.repeat(start[other] - (ends - size[other]), size[other]) + np.arange(ends[-1])
+            both = np.add.reduceat(inside[ids[where]], ends - size[other], dtype=np.int64)
+            inside[ids[start[a] : start[a + 1]]] = False
+            jaccard = both / (size[a] + size[other] - both)
+            near = jaccard >= threshold
+            for b, x in zip(other[near].tolist(), jaccard[near].tolist(), strict=True):
                 found[a] += copies[b]
                 found[b] += copies[a]
-                ra, rb = root(int(a)), root(b)
-                if ra != rb:
-                    parent[rb] = ra
-                if want_pairs or ra != rb:
-                    out_a.append(a)
-                    out_b.append(b)
-                    out_j.append(jaccard[k])
-        fp = frame["fp"].to_numpy()
-        edges = pd.DataFrame({"a": fp[out_a] if out_a else [], "b": fp[out_b] if out_b else [], "jaccard": out_j, "links": np.zeros(len(out_a), np.int64)})
-        totals = np.flatnonzero(found)
-        nodes = pd.DataFrame({"a": fp[totals], "b": [None] * totals.size, "jaccard": [None] * totals.size, "links": found[totals]})
-        return pd.concat([x for x in (edges, nodes) if len(x)] or [edges], ignore_index=True)
+                low, high = sorted((root(a), root(b)), key=fp.__getitem__)
+                parent[high] = low
+                if want_pairs:
+                    pairs.append((fp[a], fp[b], x))
+        if not want_pairs:
+            pairs = [(fp[k], fp[root(k)], None) for k in range(size.size) if root(k) != k]
+        linked = np.flatnonzero(found).tolist()
+        rows = [(x, y, v, 0) for x, y, v in pairs] + [(fp[k], None, None, int(found[k])) for k in linked]
+        return pd.DataFrame(rows, columns=["a", "b", "jaccard", "links"])
 
     return run
 
 
-def _blocks(classes: DataFrame, cells: DataFrame, threshold: float, block: int, salts: int) -> DataFrame:
-    """(fp, copies, row_key, cell, block, i, j): every class of a cell, once for each pair of blocks that it takes part in.
-
-    Classes of a cell are dealt to ceil(size / block) blocks by hash; a cell of one block has the pair (0, 0).
-    """
-    members = cells.join(classes, "fp")
-    sized = common.with_group_stats(members, ["cell"], {"cell_size": ("count", F.lit(1))}, F.pmod(F.xxhash64("fp"), F.lit(salts)))
-    n = F.ceil(F.col("cell_size") / F.lit(block)).cast("int")
-    sized = sized.where("cell_size > 1").withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    return sized.withColumn("pair", F.explode(pairs)).select("fp", "copies", "n_grams", "row_key", "cell", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
-
-
-def _verified(docs: DataFrame, text: str, doc_id: str, sketches: DataFrame, classes: DataFrame, n: int, threshold: float, bands: int, block: int, rows: int, want_pairs: bool) -> DataFrame:
-    """Rows (a, b, jaccard, links): links between classes (a forest of them, or all), and the link totals of a block pair (b null)."""
-    salts = common.salts_for(rows)
-    edges = common.written(_bucket_edges(classes, bands, salts), "band-edges")
-    cells = connected(edges, "cell").withColumnRenamed("node", "fp")
-    tasks = common.written(_blocks(classes, cells, threshold, block, salts), "block-pairs")
-    # Only rows that may stand for a class in a cell pass this filter with their text, and only they shuffle.
-    bits = common.filter_bits(max(1, tasks.count()), 16)
+def _verified(docs: DataFrame, text: str, doc_id: str, classes: DataFrame, n: int, threshold: float, block: int, block_bytes: int, want_pairs: bool) -> DataFrame:
+    """Rows (a, b, jaccard, links): links between classes (stars of connected ones, or all), and the link totals of a task (b null)."""
+    tasks, made = common.measured(_tasks(_buckets(classes), classes, block, block_bytes), "block-pairs", n=F.count(F.lit(1)))
+    # Only rows that stand for a class in a bucket pass this filter with their text, and only they shuffle.
+    bits = common.filter_bits(max(1, made["n"]), 16)
     bitmaps = common.bloom_of(tasks.select("row_key").distinct(), "row_key", bits, "wanted-rows")
     one, two = common.cells(F.col("row_key"), bits)
     wanted = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"c1": one, "c2": two})
     wanted = common.probe(wanted, ["c1", "c2"], bitmaps, "maybe").where("maybe").groupBy("row_key").agg(F.first("text").alias("text"))
-    with_text = tasks.join(wanted, "row_key").select("cell", "i", "j", "block", "fp", "copies", "n_grams", "text")
-    return with_text.groupBy("cell", "i", "j").applyInPandas(_links_in(threshold, n, want_pairs), "a binary, b binary, jaccard double, links long")
+    with_text = tasks.join(wanted, "row_key").select("band", "i", "j", "block", "fp", "copies", "bands", "text")
+    return with_text.groupBy("band", "i", "j").applyInPandas(_links_in(threshold, n, want_pairs), "a binary, b binary, jaccard double, links long")
+
+
+def _sketched(docs: DataFrame, text: str, doc_id: str, n: int, threshold: float, recall: float, max_hashes: int) -> tuple[DataFrame, DataFrame, int]:
+    """(sketches, classes, rows), both written."""
+    bands, per_band = bands_for(threshold, recall, max_hashes)
+    sketches, made = common.measured(sketch(docs, text, doc_id, n, bands, per_band), "sketches", rows=F.count(F.lit(1)))
+    return sketches, common.written(_classes(sketches), "classes"), made["rows"]
 
 
 def near_duplicate_classes(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD,
-    recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK,
+    recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id, n_links, copies, n_grams, row_key.
 
@@ -250,46 +255,40 @@ def near_duplicate_classes(
     n-gram sets >= threshold) or equal sets. n_links: how many other rows have a
     Jaccard of at least the threshold with it, rows with an equal set included.
     """
-    rows = docs.count()
-    bands, per_band = bands_for(threshold, recall, max_hashes)
-    sketches = common.written(sketch(docs, text, doc_id, n, bands, per_band), "sketches")
-    classes = common.written(_classes(sketches), "classes")
-    found = common.written(_verified(docs, text, doc_id, sketches, classes, n, threshold, bands, block, rows, False), "links")
+    sketches, classes, rows = _sketched(docs, text, doc_id, n, threshold, recall, max_hashes)
+    found = common.written(_verified(docs, text, doc_id, classes, n, threshold, block, block_bytes, False), "links")
     groups = connected(found.where("b is not null").select("a", "b"), "group").withColumnRenamed("node", "fp")
     totals = found.where("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
-    named = classes.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-    named = named.select("fp", "group", "copies", F.struct(F.col("first_id").isNull(), F.col("first_id")).alias("first"))
-    salt = F.pmod(F.xxhash64("fp"), F.lit(common.salts_for(rows)))
-    led = common.with_group_stats(named, ["group"], {"lead": ("min", F.col("first"))}, salt).join(totals, "fp", "left")
-    known = led.select("fp", F.col("lead.first_id").alias("class_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return _back(sketches, known, rows)
+    facts = classes.select("fp", "copies", "first_id", "n_grams", "row_key")
+    named = groups.join(facts.select("fp", F.struct(F.col("first_id").isNull(), F.col("first_id")).alias("first")), "fp")
+    led = common.with_group_stats(named, ["group"], {"lead": ("min", F.col("first"))}, F.pmod(F.xxhash64("fp"), F.lit(common.salts_for(rows))))
+    known = facts.join(led.select("fp", "lead"), "fp", "left").join(totals, "fp", "left")
+    leader = F.when(F.col("lead").isNull(), F.col("first_id")).otherwise(F.col("lead.first_id"))
+    known = known.select("fp", "first_id", "n_grams", "row_key", leader.alias("class_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return _back(sketches, common.written(known, "class-facts"))
 
 
-def _back(sketches: DataFrame, known: DataFrame, rows: int) -> DataFrame:
-    """Class facts to every row. A class may hold a third of all rows: its facts are given to each salt that its rows have."""
-    salted = sketches.select("doc_id", "row_key", "fp", "n_grams", F.pmod(F.col("row_key"), F.lit(common.salts_for(rows))).alias("salt"))
-    with_set = salted.where("fp is not null")
-    salts = with_set.groupBy("fp", "salt").agg(F.lit(1).alias("one")).drop("one")
-    facts = salts.join(known, "fp")
-    out = with_set.join(facts, ["fp", "salt"]).select("doc_id", "class_id", "n_links", "copies", "n_grams", "row_key")
-    none = salted.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"), "n_grams", "row_key")
-    return out.unionByName(none)
+def _back(sketches: DataFrame, known: DataFrame) -> DataFrame:
+    """Class facts to every row. A class of one row is that row; the rows of others meet their class in a join whose large side can be split."""
+    names = ["doc_id", "class_id", "n_links", "copies", "n_grams", "row_key"]
+    single = known.where("copies = 1").withColumnRenamed("first_id", "doc_id").select(*names)
+    copied = known.where("copies > 1").select("fp", "class_id", "n_links", "copies")
+    several = sketches.where("fp is not null").select("fp", "doc_id", "n_grams", "row_key").join(copied, "fp").select(*names)
+    none = sketches.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"), "n_grams", "row_key")
+    return single.unionByName(several).unionByName(none)
 
 
 def similar_pairs(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = NGRAM, threshold: float = THRESHOLD,
-    recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK,
+    recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Every link between distinct n-gram sets: id_a, id_b (their smallest ids), jaccard.
 
     The number of pairs is the square of a group's distinct texts; ask for
     ``near_duplicate_classes`` where counts and classes are enough.
     """
-    rows = docs.count()
-    bands, per_band = bands_for(threshold, recall, max_hashes)
-    sketches = common.written(sketch(docs, text, doc_id, n, bands, per_band), "sketches")
-    classes = common.written(_classes(sketches), "classes")
-    found = _verified(docs, text, doc_id, sketches, classes, n, threshold, bands, block, rows, True).where("b is not null")
+    _, classes, _ = _sketched(docs, text, doc_id, n, threshold, recall, max_hashes)
+    found = _verified(docs, text, doc_id, classes, n, threshold, block, block_bytes, True).where("b is not null")
     ids = classes.select("fp", "first_id")
     both = found.join(ids.select(F.col("fp").alias("a"), F.col("first_id").alias("ia")), "a").join(ids.select(F.col("fp").alias("b"), F.col("first_id").alias("ib")), "b")
     return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "jaccard")
@@ -305,9 +304,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     """
     found = near_duplicate_classes(docs, text, doc_id, **options)
     # Of the rows in a class of several, all but one go; the rest of the table never meets them.
-    marked = common.written(found.where("n_links > 0").select("row_key", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("stays")), "near-copies")
-    rows = max(1, marked.count())
-    bits = common.filter_bits(rows, 16)
+    marks = found.where("n_links > 0").select("row_key", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("stays"))
+    marked, made = common.measured(marks, "near-copies", n=F.count(F.lit(1)))
+    bits = common.filter_bits(max(1, made["n"]), 16)
     bitmaps = common.bloom_of(marked, "row_key", bits, "near-copy-rows")
     one, two = common.cells(F.col("row_key"), bits)
     keyed = common.packed(docs, row_key=_row_key(F.col(common.quoted(doc_id)), F.col(common.quoted(text))))
@@ -318,3 +317,21 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     single = met.where("stays is null").select("_row")
     best = met.where("stays").groupBy("row_key").agg(F.first("_row").alias("_row")).select("_row")
     return alone.union(single).union(best).select("_row.*")
+
+
+#: Near-duplicate classes of ``documents`` for tables of some thousand rows: all pairs that share an n-gram, and the closure of their links.
+ORACLE_SQL = r"""
+WITH RECURSIVE
+t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM t),
+k AS MATERIALIZED (SELECT doc_id, s, len(s) AS n, md5(array_to_string(list_sort(s), '|')) AS fp FROM g WHERE len(s) > 0),
+c AS MATERIALIZED (SELECT fp, any_value(s) AS s, any_value(n) AS n, count(*) AS copies, min(doc_id) AS first FROM k GROUP BY fp),
+e AS MATERIALIZED (SELECT fp, n, unnest(s) AS x FROM c),
+p AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM e a JOIN e b ON a.x = b.x AND a.fp <> b.fp GROUP BY a.fp, b.fp, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= 0.8),
+links AS (SELECT p.a AS fp, sum(c.copies) AS n FROM p JOIN c ON c.fp = p.b GROUP BY p.a),
+reach AS (SELECT fp, fp AS other FROM c UNION SELECT reach.fp, p.b FROM reach JOIN p ON p.a = reach.other),
+classes AS (SELECT reach.fp, min(c.first) AS class_id FROM reach JOIN c ON c.fp = reach.other GROUP BY reach.fp)
+SELECT k.doc_id, classes.class_id, CAST(coalesce(links.n, 0) + c.copies - 1 AS BIGINT) AS n_links, c.copies
+FROM k JOIN c ON c.fp = k.fp JOIN classes ON classes.fp = k.fp LEFT JOIN links ON links.fp = k.fp
+UNION ALL SELECT doc_id, doc_id, 0, 1 FROM g WHERE len(s) = 0
+"""
