@@ -4,15 +4,16 @@
    of the capacity, the first of which may be shorter.
 2. Only piece lengths matter to the packing, and there are at most as many
    lengths as the capacity: the pieces are counted by length (a bounded table).
-3. The plan is found on that histogram. Around the largest open length, the
-   undominated fillings of the room left are enumerated (a single length that
-   fills it dominates all others; then exact pairs, exact triples, then fillings
-   that waste least), each applied as often as the counts allow. Depth-first
-   search keeps the best plan so far, starting from a best-fit decreasing one,
-   and cuts branches whose bins so far plus the bound for the rest (volume and
-   the L2 bound) reach it; it ends when a plan meets the lower bound or a stated
-   number of nodes was searched (some hundreds after the first whole plan). The search effort depends on the capacity, not
-   on the number of documents.
+3. The plan is found on that histogram by bin completion. Around the largest
+   open length, all undominated fillings of the room left are enumerated, least
+   waste first, and each is applied as often as the counts allow, then one time
+   fewer, down to once. Depth-first search keeps the best plan so far, starting
+   from a best-fit decreasing one; every LOOK nodes the rest is packed by best fit
+   too. A branch is cut when its waste so far, or the L2 bound of its rest, leaves
+   no better plan. The search ends when a plan meets the lower bound, when all
+   branches are searched (the plan is then optimal), or after ``steps`` steps,
+   with the best plan so far. Its effort depends on the capacity and the steps,
+   not on the number of documents.
 4. Pieces are ranked within their length (salted, so that a common length is
    dealt to many tasks) and take their places in the plan by rank.
 
@@ -26,7 +27,9 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,15 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, vocab
 
 CAPACITY, END_ID = 1024, 2
-#: Search nodes at most, nodes searched after the first whole plan, and branches of a node.
-NODES, AFTER, WIDTH = 20_000, 600, 20
+#: Steps of the search at most (one for each length tried in a filling without waste, four in one with waste), every how many nodes the rest is packed by best fit, and fillings that an order sorts.
+STEPS, LOOK, AHEAD = 800_000, 32, 8
+#: Orders of fillings of equal waste: as enumerated; lengths near a quarter of the capacity first, which fit least with each other; abundant ones; even ones.
+ORDERS = {
+    "enumerated": None,
+    "quarters": lambda f, left, capacity: (len(f), min((abs(4 * n - capacity) for n in f), default=0)),
+    "abundant": lambda f, left, capacity: (len(f), -min((left[n] // f.count(n) for n in f), default=0)),
+    "even": lambda f, left, capacity: (len(f), max(f, default=0)),
+}
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -137,148 +147,234 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def fillings(counts: np.ndarray, room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room with the lengths at hand, least waste first; [()] where nothing fits.
+def _spread(bits: int, by: int) -> int:
+    """The bits and all their shifts by up to ``by``."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits << step
+        done += step
+    return bits
 
-    Fillings without waste are given with as few lengths as do it, since those dominate finer ones.
+
+class Effort:
+    """Steps of the search that are left; when none is, enumerations end."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spent(self, steps: int = 1) -> bool:
+        self.left -= steps
+        return self.left < 0
+
+
+def fillings(counts: list[int], room: int, least: int = 0, effort: Effort | None = None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of the room, of a total of ``least`` or more, with the lengths at hand; least waste first.
+
+    ``counts[n]``: pieces of length n, to be as they were whenever the next
+    filling is asked for. A filling is dominated if some of its lengths (or
+    none) can be exchanged for one length that is left over and longer than they
+    are together by no more than the waste. Lengths are tried in descending
+    order, so a length above the next one that is left over stays so, and an
+    exchange for it cuts the enumeration at once.
     """
-    if room <= 0:
-        return [()]
-    if counts[room]:
-        return [(room,)]
-    have = counts > 0
-    a = _pair(counts, have, room)
-    if a.size:
-        return [(int(x), int(room - x)) for x in a[:width]]
-    sizes = np.flatnonzero(have[: room + 1])[::-1]
-    sizes = sizes[sizes > 0]
-    if not sizes.size:
-        return [()]
-    found: list[tuple[int, ...]] = []
-    for x in sizes:
-        if 3 * x < room or len(found) >= width:
-            break
-        rest = room - int(x)
-        for b in _pair(counts, have, rest):
-            trio = (int(x), int(b), rest - int(b))
-            if b <= x and all(counts[n] >= trio.count(n) for n in trio):
-                found.append(trio)
-                break
-    if found:
-        return found
-    for x in sizes[: max(1, width // 2)]:
-        x = int(x)
-        times = max(1, min(int(counts[x]), room // x - 2))
-        left = counts.copy()
-        left[x] -= times
-        if left[x] < 0:
-            continue
-        found.append((x,) * times + fillings(left, room - x * times, 1)[0])
-    found = sorted(set(found), key=lambda f: (-sum(f), len(f)))
-    return [f for i, f in enumerate(found) if not any(_dominates(g, f) for g in found[:i])] or [()]
-
-
-def _pair(counts: np.ndarray, have: np.ndarray, total: int) -> np.ndarray:
-    """Larger parts, largest first, of the pairs of lengths at hand with this sum."""
-    low = (total + 1) // 2
-    a = np.arange(total - 1, low - 1, -1)
-    a = a[have[a] & have[total - a]] if a.size else a
-    return a[(2 * a != total) | (counts[a] > 1)] if a.size else a
-
-
-def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the lengths of b can be grouped so that each group fits into a length of a of its own."""
-    room = sorted(a, reverse=True)
-
-    def put(k: int) -> bool:
-        if k == len(items):
+    effort = effort or Effort(1 << 62)
+    if 0 < room < len(counts) and counts[room]:
+        yield (room,)  # dominates all others
+        return
+    sizes = [n for n in range(min(room, len(counts) - 1), 0, -1) if counts[n]]
+    if effort.spent(1 + len(sizes) // 8):
+        return
+    mask = (1 << (room + 1)) - 1
+    # sums[i]: the totals that the lengths from sizes[i] on can give, as bits.
+    sums = [1] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        n, bits = sizes[i], sums[i + 1]
+        k, step = min(counts[n], room // n), 1
+        while k > 0:
+            bits |= bits << n * min(step, k) & mask
+            k -= step
+            step *= 2
+        sums[i] = bits
+    # from_length[t]: the first index whose length is t or less.
+    from_length, i = [0] * (room + 1), len(sizes)
+    for t in range(room + 1):
+        while i and sizes[i - 1] <= t:
+            i -= 1
+        from_length[t] = i
+
+    def exchangeable(single: int, multi: int, free: int, waste: int) -> bool:
+        """Whether the sum of several chosen lengths, or a single one or none, can be exchanged for a free length."""
+        if multi & free:
             return True
-        tried = set()
-        for i in range(len(room)):
-            if room[i] >= items[k] and room[i] not in tried:
-                tried.add(room[i])
-                room[i] -= items[k]
-                if put(k + 1):
-                    return True
-                room[i] += items[k]
-        return False
-
-    items = sorted(b, reverse=True)
-    return len(items) <= 12 and sum(b) <= sum(a) and put(0)
+        return waste > 0 and bool((_spread(multi, waste) | _spread(single | 1, waste - 1) << 1) & free)
+
+    def exact(first: int, left: int, chosen: tuple[int, ...], single: int, multi: int, free: int, waste: int) -> Iterator[tuple[int, ...]]:
+        if not left:
+            if not exchangeable(single, multi, free, waste):
+                yield chosen
+            return
+        for j in range(max(first, from_length[left]), len(sizes)):
+            if not sums[j] >> left & 1:
+                return  # these and shorter lengths cannot give this total
+            n = sizes[j]
+            one, several, made = single | 1 << n, multi, []
+            effort.spent(4 if waste else 1)
+            for k in range(1, min(counts[n], left // n) + 1):
+                several |= (one if k > 1 else single) << n & mask | several << n & mask
+                unused = free & ~(1 << n) if k == counts[n] else free
+                made.append((several, unused))
+                if exchangeable(one, several, unused >> n + 1 << n + 1, waste):
+                    break  # and so it is with more of them
+            for k in range(len(made), 0, -1):
+                several, unused = made[k - 1]
+                if not sums[j + 1] >> left - n * k & 1:
+                    continue
+                if effort.spent(4 if waste else 1):
+                    return
+                if not exchangeable(one, several, unused >> n << n, waste):
+                    yield from exact(j + 1, left - n * k, chosen + (n,) * k, one, several, unused, waste)
+
+    at_hand = sum(1 << n for n in sizes)
+    for total in range(room, max(0, least) - 1, -1):
+        if sums[0] >> total & 1:
+            yield from exact(0, total, (), 0, 0, at_hand, room - total)
+            if effort.left < 0:
+                return
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing on the histogram: (lengths, bins) groups."""
     groups: dict[tuple[int, ...], int] = {}
     by_room: list[set] = [set() for _ in range(capacity + 1)]
+    rooms = 0  # the rooms of open bins as bits
     for x in range(counts.size - 1, 0, -1):
         n = int(counts[x])
         while n:
-            room = next((r for r in range(x, capacity) if by_room[r]), None)
-            if room is None:  # new bins, each filled with this length as far as it goes
+            wide = rooms >> x
+            if not wide:  # new bins, each filled with this length as far as it goes
                 each = min(n, capacity // x)
                 made, some = (x,) * each, n // each
                 groups[made] = groups.get(made, 0) + some
                 by_room[capacity - x * each].add(made)
+                rooms |= 1 << capacity - x * each
                 n -= some * each
                 continue
+            room = x + (wide & -wide).bit_length() - 1  # the least that is wide enough
             source = min(by_room[room])
             some = min(n, groups[source])
             groups[source] -= some
             if not groups[source]:
                 del groups[source]
                 by_room[room].discard(source)
+                if not by_room[room]:
+                    rooms ^= 1 << room
             made = (*source, x)
             groups[made] = groups.get(made, 0) + some
             by_room[room - x].add(made)
+            rooms |= 1 << room - x
             n -= some
     return list(groups.items())
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """((lengths of a bin, number of such bins) ..., lower bound). ``counts[n]``: pieces of length n."""
-    counts = np.asarray(counts, np.int64).copy()
-    bound = lower_bound(counts, capacity)
-    best = best_fit(counts, capacity)
+def plan(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """((lengths of a bin, number of such bins) ..., lower bound). ``counts[n]``: pieces of length n.
+
+    A branch fills the bin of the largest open length, and as many more of its
+    kind as said: the most that the counts allow, then one fewer, down to one.
+    Further bins of that length then take other fillings, so no plan is met twice
+    that way and none is lost. A branch ends when the waste so far leaves no
+    plan better than the best known. The search is made in each of ORDERS, which
+    sort the next few fillings of equal waste, with an equal share of the steps,
+    until one meets the bound or has searched all.
+    """
+    bound = lower_bound(np.asarray(counts, np.int64), capacity)
+    best = best_fit(np.asarray(counts, np.int64), capacity)
     incumbent = sum(n for _, n in best)
-    # Each entry: counts left, bins used, the bins so far as a linked list.
-    stack: list[tuple[np.ndarray, int, tuple | None]] = [(counts, 0, None)]
-    seen, last = 0, nodes
-    while stack and incumbent > bound and seen < last:
-        left, used, chain = stack.pop()
+    left = [int(n) for n in counts]
+    volume = sum(n * k for n, k in enumerate(left))
+    chain: list[tuple[tuple[int, ...], int]] = []
+    used, seen = 0, 0
+    effort, order = Effort(0), next(iter(ORDERS.values()))
+
+    def better(rest: list[tuple[tuple[int, ...], int]]) -> None:
+        nonlocal best, incumbent
+        bins = used + sum(n for _, n in rest)
+        if bins < incumbent:
+            best, incumbent = [*chain, *rest], bins
+
+    def branches(largest: int, banned: frozenset) -> Iterator[tuple[tuple[int, ...], int, frozenset]]:
+        """(lengths of a bin, bins, what other bins of the largest length are not filled with)."""
+        left[largest] -= 1
+        slack = (incumbent - 1 - used) * capacity - volume
+        options = fillings(left, capacity - largest, capacity - largest - slack, effort)
+        while True:
+            some = sorted(islice(options, AHEAD if order else 1), key=lambda f: (-sum(f), order(f, left, capacity) if order else 0))
+            left[largest] += 1
+            for filling in some:
+                if filling in banned:
+                    continue
+                banned = banned | {filling}
+                lengths = (largest, *filling)
+                for times in range(min(left[n] // lengths.count(n) for n in set(lengths)), 0, -1):
+                    yield lengths, times, banned
+            if not some:
+                return
+            left[largest] -= 1
+
+    def put(lengths: tuple[int, ...], times: int) -> None:
+        nonlocal used, volume
+        for n in lengths:
+            left[n] -= times
+        used += times
+        volume -= sum(lengths) * times
+
+    def node(last: int, banned: frozenset) -> Iterator | None:
+        """The branches of the counts as they are, without lengths above ``last``; None where they can give nothing better."""
+        nonlocal seen
         seen += 1
-        sizes = np.flatnonzero(left)
-        if not sizes.size:
-            last = min(last, seen + AFTER)
-            if used < incumbent:
-                incumbent, best = used, []
-                while chain:
-                    best.append(chain[0])
-                    chain = chain[1]
-            continue
-        if used + -(-int((left * np.arange(left.size)).sum()) // capacity) >= incumbent:
-            continue  # at least that much is wasted already
-        if seen % 16 == 1 and used + lower_bound(left, capacity) >= incumbent:
-            continue
-        largest = int(sizes[-1])
-        rest = left.copy()
-        rest[largest] -= 1
-        branches = []
-        for filling in fillings(rest, capacity - largest, width):
-            lengths = (largest, *filling)
-            kinds, need = np.unique(lengths, return_counts=True)
-            times = int((left[kinds] // need).min())
-            after = left.copy()
-            after[kinds] -= need * times
-            branches.append((after, used + times, ((lengths, times), chain)))
-        stack.extend(reversed(branches))  # the least waste is searched first
+        effort.spent(2)
+        largest = next((n for n in range(last, 0, -1) if left[n]), 0)
+        if not largest:
+            better([])
+            return None
+        if used + -(-volume // capacity) >= incumbent:
+            return None
+        if seen % LOOK == 0:
+            effort.spent(LOOK * 4)
+            rest = np.array(left)
+            if used + lower_bound(rest, capacity) >= incumbent:
+                return None
+            better(best_fit(rest, capacity))
+        return branches(largest, banned if last == largest else frozenset())
+
+    for order in ORDERS.values():
+        effort = Effort(steps // len(ORDERS))
+        stack = [node(capacity, frozenset())]
+        while stack and incumbent > bound and effort.left >= 0:
+            branch = next(stack[-1], None) if stack[-1] else None
+            if branch is None:
+                stack.pop()
+                if stack:
+                    lengths, times = chain.pop()
+                    put(lengths, -times)
+                continue
+            lengths, times, banned = branch
+            put(lengths, times)
+            chain.append((lengths, times))
+            stack.append(node(lengths[0], banned))
+        if not stack or incumbent <= bound:
+            break
+        while chain:
+            lengths, times = chain.pop()
+            put(lengths, -times)
     return best, bound
 
 
 # --- places -----------------------------------------------------------------
 
 
-def pack_pieces(made: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def pack_pieces(made: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32), which must be cheap to read twice."""
     spark = made.sparkSession
     histogram = made.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
@@ -286,7 +382,7 @@ def pack_pieces(made: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -
     for r in histogram:
         counts[r["length"]] = r["n"]
     rows, at, base = [], np.zeros(capacity + 1, np.int64), 0
-    for lengths, bins in plan(counts, capacity, nodes)[0]:
+    for lengths, bins in plan(counts, capacity, steps)[0]:
         offset = 0
         for n in lengths:
             rows.append((int(n), int(at[n]), int(at[n]) + bins, base, offset))
@@ -307,6 +403,6 @@ def pack_pieces(made: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -
     )
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, steps: int = STEPS) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(common.written(pieces(docs, text, doc_id, capacity, end_id, path), "pieces"), capacity, nodes)
+    return pack_pieces(common.written(pieces(docs, text, doc_id, capacity, end_id, path), "pieces"), capacity, steps)
