@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segment search over token log-odds.
 
 Fit (bounded, documented): the ``fit_rows`` labelled texts of each class with
-the smallest hashes, from rows that are not held out.
+the smallest hashes, from rows that are not held out, as long as those of a class
+have ``fit_bytes`` together (no text is cut; one of more by itself is passed over).
 - Tokens get log-odds of the toxic against the clean class, counted in
   documents, with informative Dirichlet priors: a word's prior is centred on the
   other words of its stem (its first bytes), and a stem's on the whole class, so
@@ -22,8 +23,10 @@ best segments.
 
 Defined cases: null and empty texts, and texts without words, have no segment
 and the score of no evidence; ties between segments go to the earlier one;
-repeated rows get equal scores; without a training row of each class every
-score is 0; an empty table gives an empty result.
+repeated rows get equal scores; of several labels of an id the highest counts;
+ties of sample hashes go to the smaller id; without a training row of each class
+in both halves of the sample every score is 0; an empty table gives an empty
+result; other columns pass through, but for those named as the made ones.
 """
 
 from __future__ import annotations
@@ -36,10 +39,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm import common, words
 
-FIT_ROWS, STEM_BYTES, PRIOR_WORD, PRIOR_STEM, DRIFT, LEAST_COUNT, ALPHA = 4000, 6, 4.0, 4.0, 1.0, 2, 0.01
+FIT_ROWS, FIT_BYTES, STEM_BYTES, PRIOR_WORD, PRIOR_STEM, DRIFT, LEAST_COUNT, ALPHA = 4000, 32 << 20, 6, 4.0, 4.0, 1.0, 2, 0.01
 #: Standard deviations taken off positive log-odds: chance finds in rare words then count for little.
 CAUTION = 1.0
 THRESHOLD = 0.3
@@ -147,12 +152,16 @@ def solve_lambda(values: np.ndarray, share: np.ndarray) -> float:
 
 
 def evidence(segments: list[tuple[int, int, float]], n: int, lam: float, log_k: float) -> float:
-    """-ln p of the document: the best over r of the sum statistic of its r best normalised scores, with 1/2^r for the choice of r."""
+    """-ln p of the document: the best over r of the sum statistic of its r best normalised scores, with 1/2^r for the choice of r.
+
+    r goes up to the number of segments: a segment below the noise (a negative normalised score) only lowers the sum, so
+    the sum's best r is met before it falls to zero.
+    """
     if not segments or n <= 0:
         return 0.0
     normal = sorted((lam * s - log_k - math.log(n) for _, _, s in segments), reverse=True)
     best, total = 0.0, 0.0
-    for r, x in enumerate(normal[:64], 1):
+    for r, x in enumerate(normal, 1):
         total += x
         if total <= 0:
             break
@@ -211,16 +220,16 @@ def _lookup(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarr
     return np.where(table[at] == keys, values[at], np.nan)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id: str, fit_rows: int) -> DataFrame:
-    """(text, toxic) of the ``fit_rows`` labelled training rows of each class with the smallest hashes."""
+def _sample(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id: str, fit_rows: int, fit_bytes: int) -> DataFrame:
+    """(text, toxic, fold) of the ``fit_rows`` labelled training rows of each class with the smallest hashes, as long as they have ``fit_bytes`` together."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(~common.held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label)).cast("int").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     # Each class has its own top-k, which every task cuts to fit_rows rows before they meet.
     parts = [known.where(F.col("toxic") == k).orderBy("order", "doc_id").limit(fit_rows) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     # At most 2 * fit_rows identifiers, so the texts need not be shuffled to meet them.
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
-    return _without_copies(picked.select("text", "toxic"))
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return _without_copies(common.within_bytes(picked, "text", "toxic", "order", fit_bytes).select("text", "toxic"))
 
 
 def _without_copies(sample: DataFrame) -> DataFrame:
@@ -248,11 +257,11 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     return keyed.select("text", "toxic", F.pmod(F.xxhash64("k1"), F.lit(2)).cast("int").alias("fold"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> dict:
     """The model. Word counts of the sample are made on the executors; words met once go by their stem alone, which bounds what reaches the driver."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    sample = common.written(_sample(docs, labels, text, label, doc_id, fit_rows), "toxicity-sample")
+    sample = common.written(_sample(docs, labels, text, label, doc_id, fit_rows, fit_bytes), "toxicity-sample")
 
     def count(batches):
         for batch in batches:
@@ -294,54 +303,77 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         )
 
     # Each half of the sample is scored by the words of the other half, so the calibration sees no text that its scores were made from.
-    facts = [_facts(sample.where(F.col("fold") == f), model | made((1 - f,))) for f in (0, 1)]
-    return _calibrate(pd.concat(facts, ignore_index=True), model | made((0, 1)))
+    halves = [(sample.where(F.col("fold") == f), model | made((1 - f,))) for f in (0, 1)]
+    model = _null_law(pd.concat([_facts(*half) for half in halves], ignore_index=True), model)
+    law = {k: model[k] for k in ("lambda", "log_k")}
+    found = pd.concat([_evidences(rows, own | law) for rows, own in halves], ignore_index=True)
+    if found.empty:
+        return model
+    model["curve"] = logistic(np.log1p(found["evidence"].to_numpy()), found["toxic"].to_numpy(float))
+    return model | made((0, 1))
 
 
-def _facts(sample: DataFrame, model: dict) -> pd.DataFrame:
-    """toxic, number of words, best segment, segment scores and histogram of token scores of the sample's texts (2 * fit_rows rows at most)."""
+def _collected(sample: DataFrame, model: dict, one, schema: str) -> pd.DataFrame:
+    """What ``one(toxic, scores)`` makes of each sample text with a word (2 * fit_rows rows of a few numbers at most)."""
     shared = sample.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    made = T._parse_datatype_string(schema)
 
-    def facts(batches):
+    def work(batches):
+        target = to_arrow_schema(made)
         scorer = Scorer(pickle.loads(shared.value))
         for batch in batches:
             toxic = batch.column(1).to_pylist()
-            at, n_out, best, hist = 0, [], [], []
-            segs = []
+            at, rows = 0, []
             for word, stem, counts, *_ in tokens_of(batch.column(0).to_pylist()):
                 scores = scorer.token_scores(word, stem, counts)
                 low = 0
-                for n in counts:
-                    part = scores[low : low + int(n)]
-                    low += int(n)
-                    found = maximal_segments(part)
-                    n_out.append(int(n))
-                    best.append(max((s for _, _, s in found), default=0.0))
-                    segs.append([s for _, _, s in found])
-                    hist.append(np.bincount(np.clip(np.rint(part * 4) + 64, 0, 128).astype(np.int64), minlength=129).tolist())
-                at += counts.size
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(n_out, pa.int64()), pa.array(best, pa.float64()), pa.array(segs, pa.list_(pa.float64())), pa.array(hist, pa.list_(pa.int64()))], ["toxic", "n", "best", "segments", "hist"])
+                for n in counts.tolist():
+                    if n:
+                        rows.append(one(toxic[at], scores[low : low + n]))
+                    low += n
+                    at += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+
+    found = sample.mapInArrow(work, schema).toPandas()
+    shared.destroy()
+    return found
+
+
+def _facts(sample: DataFrame, model: dict) -> pd.DataFrame:
+    """toxic, number of words, best segment, and a histogram of the token scores of the sample's texts."""
+
+    def one(toxic: int, scores: np.ndarray) -> tuple:
+        best = max((s for _, _, s in maximal_segments(scores)), default=0.0)
+        return toxic, scores.size, best, np.bincount(np.clip(np.rint(scores * 4) + 64, 0, 128).astype(np.int64), minlength=129)
+
+    return _collected(sample, model, one, "toxic int, n long, best double, hist array<long>")
+
+
+def _evidences(sample: DataFrame, model: dict) -> pd.DataFrame:
+    """toxic and evidence of the sample's texts."""
+
+    def one(toxic: int, scores: np.ndarray) -> tuple:
+        return toxic, evidence(maximal_segments(scores), scores.size, model["lambda"], model["log_k"])
 
-    return sample.mapInArrow(facts, "toxic int, n long, best double, segments array<double>, hist array<long>").toPandas()
+    return _collected(sample, model, one, "toxic int, evidence double")
 
 
-def _calibrate(frame: pd.DataFrame, model: dict) -> dict:
-    """Adds the extreme-value parameters and the curve."""
-    frame = frame[frame["n"] > 0]
+def _null_law(frame: pd.DataFrame, model: dict) -> dict:
+    """The model with the extreme-value parameters."""
     clean = frame[frame["toxic"] == 0]
+    if clean.empty:
+        return dict(model)  # all scores then speak against toxicity
     values = (np.arange(129) - 64) / 4
     share = np.sum(np.stack(clean["hist"].to_list()), axis=0).astype(float)
     share /= share.sum()
     if share @ values >= 0 or not share[values > 0].any():
         share[0] += 1e-6
         share /= share.sum()
-    model = model | {"lambda": solve_lambda(values, share)}
+    lam = solve_lambda(values, share)
     # For a Gumbel law of lambda * best - ln n the mean is ln K + Euler's constant; the median is used, which stray labels move less.
-    normal = model["lambda"] * clean["best"] - np.log(clean["n"])
-    model["log_k"] = float(np.median(normal) + math.log(math.log(2)))
-    x = np.log1p([evidence([(0, 0, s) for s in seg], int(n), model["lambda"], model["log_k"]) for seg, n in zip(frame["segments"], frame["n"], strict=True)])
-    model["curve"] = logistic(x, frame["toxic"].to_numpy(float))
-    return model
+    normal = lam * clean["best"] - np.log(clean["n"])
+    return model | {"lambda": lam, "log_k": float(np.median(normal) + math.log(math.log(2)))}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
@@ -364,7 +396,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", alpha: float = ALPHA
     """``docs`` with score, evidence (-ln p), segments, and every significant passage (p < alpha): byte range in the lower-cased UTF-8 text, score, ln p."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))  # its size is bounded by the fit's sample
+    shared = spark.sparkContext.broadcast(pickle.dumps(model))  # its size is bounded by the fit's sample; released with the frame
     base, schema, finish = common.with_input(docs, text, SCORED)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("log_p", pa.float64())]))
 
