@@ -10,12 +10,18 @@ hashed into buckets with log(1 + count) and unit length, beside a few measures
 of form (share of marks, of letters, of distinct words, of the most common
 word, length), in steps. The fit is by full-batch gradient steps with a ridge, on
 the ``fit_rows`` rated texts of each grade with the smallest hashes (bounded,
-documented), weighted so that grades count as often as in the ratings.
+documented), weighted so that grades count as often as in the ratings. Of those,
+texts join the sample in hash order as long as the grade's have ``fit_bytes``
+together, so what the driver fits on is bounded in bytes too; no text is cut, and
+one of more than that by itself is passed over.
 
 Defined cases: null and empty texts have only form features; without a rated
-row, or with ratings of one grade only, tails are the grades' shares; thresholds
-never cross; repeated rows get equal results; an empty table gives an empty
-result; other columns pass through.
+row, with ratings of one grade only, or of no document at hand, tails are the
+grades' shares in the ratings; thresholds never cross; of several ratings of an
+id the highest counts; rows that repeat an id are in the sample each; ties of
+hashes go to the smaller id; texts are scored whole at any length; repeated rows
+get equal results; an empty table gives an empty result; other columns pass
+through, but for those named as the made ones.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common, words
 
-FIT_ROWS, BITS, RIDGE, STEPS, RATE = 2500, 16, 1e-4, 250, 0.3
+FIT_ROWS, FIT_BYTES, BITS, RIDGE, STEPS, RATE = 2500, 16 << 20, 16, 1e-4, 250, 0.3
 _FORM = 64
 SIZE = (1 << BITS) + 8 * _FORM
 
@@ -110,7 +116,7 @@ def fit_cumulative(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade
     return w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, text: str = "text", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict:
+def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, text: str = "text", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> dict:
     """Model from the ratings of rows that are not held out. ``grade``: integer column of ``ratings``, 0 to grades - 1; other values and nulls are no ratings."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -126,9 +132,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, text: s
     for g, n in sizes.items():
         limit = F.when(F.col("grade") == g, F.lit(-float(1 << 63) + min(1.0, (1.5 * fit_rows + 200) / n) * 2 * float(1 << 63))).otherwise(limit)
     turn = F.row_number().over(Window.partitionBy("grade").orderBy("order", "doc_id"))
-    chosen = known.where(F.col("order").cast("double") <= limit).withColumn("turn", turn).where(F.col("turn") <= fit_rows).select("doc_id", "grade")
+    chosen = known.where(F.col("order").cast("double") <= limit).withColumn("turn", turn).where(F.col("turn") <= fit_rows).select("doc_id", "grade", "turn")
     # At most grades * fit_rows identifiers, so the texts need not be shuffled to meet them.
-    sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = common.within_bytes(sample, "text", "grade", "turn", fit_bytes).select("text", "grade")
 
     def work(batches):
         for batch in batches:
@@ -140,6 +147,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, text: s
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["grade", "buckets", "vals"])
 
     frame = sample.mapInArrow(work, "grade int, buckets binary, vals binary").toPandas()
+    if frame.empty:
+        return model
     parts = [np.frombuffer(b, np.int32) for b in frame["buckets"]]
     row = np.repeat(np.arange(len(parts)), [p.size for p in parts])
     grade_of = frame["grade"].to_numpy()
