@@ -7,14 +7,22 @@ for it; languages are those met there.
 
 Inference, for every text: each word has a likelihood under each language (the
 product over its n-grams), and a text is a mixture of languages with unknown
-proportions, weighted by the words' letters. Expectation-maximisation estimates
-the proportions; the language set is then selected by penalised likelihood:
-starting with the best single language, another is added while twice the gain in
-log-likelihood exceeds ``penalty`` times the logarithm of the number of words.
-The prediction is the language with the largest proportion in that set.
+proportions, weighted by the words' letters (in bytes; a word of more than
+LONG_WORD counts as one of so many, as its letters are not independent evidence).
+Expectation-maximisation estimates the proportions, in EM_ROUNDS rounds at most
+and fewer once no proportion moves by more than SETTLED. The language set is then
+selected by penalised likelihood: starting with the best single language, the one
+with the largest proportion among the others is added while twice the gain in
+log-likelihood exceeds ``penalty`` times the logarithm of the evidence, and while
+that proportion is above LEAST_SHARE in the mixture of all languages. The
+prediction is the language with the largest proportion in that set.
+
+Selection (``drop_unidentified``): a document stays if it has an identified
+language and the leading one of its set has at least ``least_share`` of its
+evidence; texts without letters, and mixtures that no language leads, go.
 
 Defined cases: texts that are null or have no letter are ``und`` with score 0
-and an empty set; digits and marks are no evidence; ties go to the language that
+and an empty set; digits and marks, those beyond ASCII too, are no evidence; ties go to the language that
 comes first by name; texts are used whole; repeated rows get equal results; an
 empty table gives an empty result; without any training row all are ``und``.
 """
@@ -22,7 +30,8 @@ empty table gives an empty result; without any training row all are ``und``.
 from __future__ import annotations
 
 import pickle
-import re
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +40,24 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common, words
 
-FIT_ROWS, ORDERS, BITS, SMOOTHING, EM_ROUNDS, PENALTY, TEMPER = 3000, (1, 2, 3), 16, 0.5, 12, 2.0, 0.5
+FIT_ROWS, ORDERS, BITS, SMOOTHING, EM_ROUNDS, PENALTY, TEMPER = 3000, (1, 2, 3), 16, 0.5, 20, 2.0, 0.5
+SETTLED, LEAST_SHARE, LONG_WORD, LEADING = 1e-3, 0.01, 12, 0.5
 _MULT = np.uint32(2654435761)
-_ASCII_LETTER = re.compile("[a-zA-Z]")
+
+
+@lru_cache(maxsize=1 << 16)
+def _is_mark(c: str) -> bool:
+    """Whether a character beyond ASCII is neither a letter nor a mark that combines with one."""
+    return unicodedata.category(c)[0] not in "LM"
+
+
+def letters_only(text: str | None) -> bytes:
+    """Lower-cased UTF-8 bytes with a blank for each character beyond ASCII that is no letter; ASCII ones are told apart by their bytes."""
+    text = text or ""
+    if not text.isascii():
+        marks = {ord(c): " " for c in set(text) if c > "\x7f" and _is_mark(c)}
+        text = text.translate(marks) if marks else text
+    return words.encode(text)
 
 
 def _letter_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +71,7 @@ def ngram_buckets(buffer: np.ndarray) -> np.ndarray:
     for row, n in enumerate(ORDERS):
         h = np.full(plain.size, n, np.uint32)
         for back in range(n):
-            shifted = plain if not back else np.concatenate((np.zeros(back, np.uint32), plain[:-back]))
+            shifted = plain if not back else np.concatenate((np.zeros(min(back, plain.size), np.uint32), plain[:-back]))
             h = (h ^ shifted) * _MULT
             h ^= h >> np.uint32(15)
         out[row] = (h >> np.uint32(32 - BITS)).astype(np.int32)
@@ -79,7 +103,7 @@ def train(spark: SparkSession, docs: DataFrame, text: str, lang: str, doc_id: st
             texts = batch.column(1).to_pylist()
             for name in set(names):
                 own = totals.setdefault(name, np.zeros((len(ORDERS), 1 << BITS)))
-                for buffer, _ in words.pieces([words.encode(t) for t, k in zip(texts, names, strict=True) if k == name]):
+                for buffer, _ in words.pieces([letters_only(t) for t, k in zip(texts, names, strict=True) if k == name]):
                     inside = words.LETTER_BYTE[buffer]
                     for row, buckets in enumerate(ngram_buckets(buffer)):
                         own[row] += np.bincount(buckets[inside], minlength=1 << BITS)
@@ -113,10 +137,11 @@ def word_likelihoods(buffer: np.ndarray, table: np.ndarray) -> tuple[np.ndarray,
     return s, e - s, out - out.max(axis=1, keepdims=True)
 
 
-def mixture(like: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int, allowed: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (docs, languages) by expectation-maximisation, and log-likelihoods, of words with likelihoods ``like``.
+def mixture(like: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int, allowed: np.ndarray, rounds: int = EM_ROUNDS, settled: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (docs, languages) by expectation-maximisation, and log-likelihoods, of words (one at least) with likelihoods ``like``.
 
-    ``doc``: document of each word, ascending; ``allowed``: (docs, languages) booleans.
+    ``doc``: document of each word, ascending; ``allowed``: (docs, languages)
+    booleans. Rounds end early when no proportion has moved by more than ``settled``.
     """
     share = allowed / np.maximum(1, allowed.sum(axis=1, keepdims=True))
     start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
@@ -126,7 +151,10 @@ def mixture(like: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int, al
         part = share[doc] * like
         norm = part.sum(axis=1)
         part *= (weight / norm)[:, None]
-        share[present] = np.add.reduceat(part, start, axis=0) / total[:, None]
+        before, now = share[present], np.add.reduceat(part, start, axis=0) / total[:, None]
+        share[present] = now
+        if np.abs(now - before).max() <= settled:
+            break
     log = np.full(docs, 0.0)
     log[present] = np.add.reduceat(weight * np.log((share[doc] * like).sum(axis=1)), start)
     return share, log
@@ -135,11 +163,10 @@ def mixture(like: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int, al
 def infer(texts: list[str | None], model: dict, penalty: float = PENALTY) -> list[tuple[str, float, dict[str, float]]]:
     """(prediction, its proportion, proportions of the selected languages) for each text."""
     languages, table = model["languages"], model["table"]
-    lettered = np.array([bool(t) and (_ASCII_LETTER.search(t) is not None or any(map(str.isalpha, t))) for t in texts], bool)
     out: list[tuple[str, float, dict[str, float]]] = []
     if not languages:
         return [("und", 0.0, {})] * len(texts)
-    for buffer, ends in words.pieces([words.encode(t) for t in texts]):
+    for buffer, ends in words.pieces([letters_only(t) for t in texts]):
         s, n, log_like = word_likelihoods(buffer, table)
         docs = ends.size
         if not s.size:
@@ -148,9 +175,8 @@ def infer(texts: list[str | None], model: dict, penalty: float = PENALTY) -> lis
         doc = np.searchsorted(ends, s, "right")
         has = np.zeros(docs, bool)
         has[doc] = True
-        has &= lettered[len(out) : len(out) + docs]
         like = np.exp(np.maximum(log_like, -30)).astype(np.float64)
-        weight = np.minimum(n, 12) / 6.0
+        weight = np.minimum(n, LONG_WORD) / 6.0
         evidence = np.bincount(doc, weight, docs)
         k = len(languages)
         # Best single language, then forward selection.
@@ -158,7 +184,7 @@ def infer(texts: list[str | None], model: dict, penalty: float = PENALTY) -> lis
         chosen = np.zeros((docs, k), bool)
         chosen[np.arange(docs), single.argmax(axis=1)] = True
         best = single.max(axis=1)
-        full, _ = mixture(like, weight, doc, docs, np.ones((docs, k), bool))
+        full, _ = mixture(like, weight, doc, docs, np.ones((docs, k), bool), settled=SETTLED)
         share = chosen.astype(float)
         cost = penalty * np.log(np.maximum(2.0, evidence))
         growing = has.copy()
@@ -166,13 +192,13 @@ def infer(texts: list[str | None], model: dict, penalty: float = PENALTY) -> lis
             # The candidate is the language with the largest proportion in the unrestricted mixture.
             left = np.where(chosen, -1.0, full)
             candidate = left.argmax(axis=1)
-            growing &= left.max(axis=1) > 0.01
+            growing &= left.max(axis=1) > LEAST_SHARE
             if not growing.any():
                 break
             trial = chosen.copy()
             trial[np.arange(docs), candidate] = True
             mine = growing[doc]
-            new, log = mixture(like[mine], weight[mine], doc[mine], docs, trial)
+            new, log = mixture(like[mine], weight[mine], doc[mine], docs, trial, settled=SETTLED)
             better = growing & (2 * (log - best) > cost)
             chosen[better], share[better], best[better] = trial[better], new[better], log[better]
             growing = better
@@ -189,7 +215,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", penalty: float = P
     """``docs`` with lang_pred, score (the language's proportion) and lang_mix (map of the selected languages' proportions)."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))  # size bounded by languages, orders and buckets
+    shared = spark.sparkContext.broadcast(pickle.dumps(model))  # size bounded by languages, orders and buckets; released with the frame
     base, schema, finish = common.with_input(docs, text, "lang_pred string, score double, lang_mix map<string,double>")
 
     def work(batches):
@@ -207,7 +233,7 @@ def train_on(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     return train(docs.sparkSession, docs.where(~common.held_out(F.col(doc_id))), text, lang, doc_id, fit_rows)
 
 
-def drop_unidentified(docs: DataFrame, model: dict, text: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """``docs`` without the rows that have no language; same columns."""
+def drop_unidentified(docs: DataFrame, model: dict, text: str = "text", penalty: float = PENALTY, least_share: float = LEADING) -> DataFrame:
+    """``docs`` without the rows that have no language, or whose leading language has less than ``least_share``; same columns."""
     rows = common.packed(docs, text=F.col(common.quoted(text)))
-    return predict(rows, model, "text", penalty).where("lang_pred <> 'und'").select("_row.*")
+    return predict(rows, model, "text", penalty).where((F.col("lang_pred") != "und") & (F.col("score") >= least_share)).select("_row.*")
