@@ -1,6 +1,7 @@
 """Media columns: decoders, resizing and payload round trips."""
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -78,3 +79,39 @@ def test_payloads(spark):
         assert r.media_bytes == len(stored) and r.media_sha256 == hashlib.sha256(stored).hexdigest()
     assert got[1][1:] == got[7][1:] and got[0][1:] == got[6][1:]
     assert media.text_media(docs.where("doc_id > 99")).count() == 0
+
+
+def test_tiles_of_every_depth_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for most, form in ((1, "P4"), (15, "P5"), (255, "P5"), (1000, "P5"), (65535, "P5")):
+        image = rng.integers(0, most + 1, (16, 24))
+        if form == "P4":
+            data = b"P4 24 16\n" + np.packbits(1 - image.astype(np.uint8), axis=1).tobytes()
+        else:
+            data = f"P5 24 16 {most}\n".encode() + image.astype("u1" if most < 256 else ">u2").tobytes()
+        found, top = media.decode_scaled(data)
+        assert top == most and (found == image).all()
+        want = [[round(image[2 * i : 2 * i + 2, 3 * j : 3 * j + 3].mean() * 255 / most, 9) for j in range(8)] for i in range(8)]
+        got = media.read_tile(media.tile(found, 8, top))
+        assert np.abs(got - np.array(want)).max() <= 0.5 + 1e-6
+    assert (media.read_tile(media.tile(*[media.decode_scaled(b"P1 2 1 00")[0], 8, 1])) == 255).all()
+    with pytest.raises(media.MediaError):
+        media.decode(b"P5 1 1 100\n\xff")
+
+
+def bmp(bits, packed, masks, pixels, width, height):
+    head = struct.pack("<2sIHHI", b"BM", 0, 0, 0, 54 + 4 * len(masks))
+    info = struct.pack("<IiiHHIIiiII", 40, width, height, 1, bits, packed, 0, 0, 0, 0, 0)
+    return head + info + struct.pack(f"<{len(masks)}I", *masks) + pixels
+
+
+def test_bit_fields():
+    red, green, blue = (0xFF, 0xFF00, 0xFF0000)
+    data = bmp(32, 3, [red, green, blue], struct.pack("<2I", 0x0A141E, 0xFF), 2, 1)
+    assert media.decode(data).tolist() == [[[0x1E, 0x14, 0x0A], [0xFF, 0, 0]]]
+    data = bmp(16, 3, [0xF800, 0x7E0, 0x1F], struct.pack("<2H", 0xF800, 0x7FF), 2, 1)
+    assert media.decode(data).tolist() == [[[255, 0, 0], [0, 255, 255]]]
+    assert media.decode(bmp(16, 0, [], struct.pack("<2H", 0x7C00, 0x1F), 2, 1)).tolist() == [[[255, 0, 0], [0, 0, 255]]]
+    for masks in ([0, 1, 2], [5, 0xFF00, 0xFF0000]):
+        with pytest.raises(media.MediaError):
+            media.decode(bmp(32, 3, masks, b"\0" * 8, 2, 1))

@@ -5,9 +5,11 @@ Images are bytes columns; a decoded image is a numpy array (height, width) or
 or foreign bytes decode to a null image with the reason in ``error`` and no
 other row is touched; images of any size are decoded whole; comments in Netpbm
 headers, 8- and 16-bit samples, bitmaps (P1, P4), plain formats (P1, P2, P3)
-and 1-, 4-, 8- (palette), 24- and 32-bit uncompressed BMP, bottom-up or
-top-down, are understood; an empty table gives an empty result; equal bytes
-give equal values.
+and 1-, 4-, 8- (palette), 16-, 24- and 32-bit uncompressed BMP, bottom-up or
+top-down, with bit fields of any masks, are understood; samples are kept as they
+are stored, with the image's maximum beside them, and tiles are scaled from that
+to 8 bits; an empty table gives an empty result; repeated rows and equal bytes
+give equal values; other columns pass through, but for those named as the made ones.
 """
 
 from __future__ import annotations
@@ -55,8 +57,8 @@ def _header(data: bytes, fields: int) -> tuple[list[int], int]:
     return found, at
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """Samples of a P1 to P6 image; bitmaps give 0 for black and 1 for white."""
+def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples of a P1 to P6 image and their maximum; bitmaps give 0 for black and 1 for white."""
     kind = data[1:2]
     if data[:1] != b"P" or kind not in b"123456" or not kind:
         raise MediaError("not netpbm")
@@ -88,7 +90,9 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         if raw.size < n * kind_of.itemsize:
             raise MediaError("netpbm raster ends early")
         out = raw[: n * kind_of.itemsize].view(kind_of).astype(np.uint8 if most < 256 else np.uint16)
-    return out.reshape((height, width, 3) if channels == 3 else (height, width))
+    if out.max(initial=0) > most:
+        raise MediaError("netpbm sample passes its maximum")
+    return out.reshape((height, width, 3) if channels == 3 else (height, width)), most
 
 
 def encode_netpbm(image: np.ndarray) -> bytes:
@@ -100,8 +104,21 @@ def encode_netpbm(image: np.ndarray) -> bytes:
 # --- BMP --------------------------------------------------------------------
 
 
+def _bit_fields(raw: np.ndarray, width: int, bits: int, masks: tuple[int, ...]) -> np.ndarray:
+    """RGB samples, scaled to 8 bits, of pixels whose colours stand under three masks."""
+    pixels = np.ascontiguousarray(raw[:, : width * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+    out = np.empty((raw.shape[0], width, 3), np.uint8)
+    for k, mask in enumerate(masks):
+        low = mask & -mask
+        if not mask or (mask // low) & (mask // low + 1) or mask >> bits:
+            raise MediaError("bmp mask is not one run of bits of a pixel")
+        most = mask // low
+        out[:, :, k] = ((pixels & mask) // low * 255 + most // 2) // most
+    return out
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """RGB samples of 24- and 32-bit images, those of the palette for 1, 4 and 8 bits (grey palettes give two dimensions)."""
+    """RGB samples of 16-, 24- and 32-bit images, those of the palette for 1, 4 and 8 bits (grey palettes give two dimensions)."""
     if data[:2] != b"BM" or len(data) < 54:
         raise MediaError("not bmp")
     start, head = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
@@ -109,13 +126,17 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise MediaError("bmp header of an old form")
     width, height, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
     used = struct.unpack_from("<I", data, 46)[0]
-    if width <= 0 or height == 0 or bits not in (1, 4, 8, 24, 32) or packed not in (0, 3):
+    if width <= 0 or height == 0 or bits not in (1, 4, 8, 16, 24, 32) or packed not in (0, 3) or (packed == 3 and bits not in (16, 32)):
         raise MediaError("bmp of an unsupported form")
     stride = (width * bits + 31) // 32 * 4
     if len(data) < start + stride * abs(height):
         raise MediaError("bmp raster ends early")
     raw = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
     raw = raw[::-1] if height > 0 else raw
+    if packed == 3 or bits == 16:
+        if packed == 3 and len(data) < 66:
+            raise MediaError("bmp masks end early")
+        return _bit_fields(raw, width, bits, struct.unpack_from("<3I", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F))
     if bits >= 24:
         return np.ascontiguousarray(raw[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1])
     colours = used or 1 << bits
@@ -154,10 +175,15 @@ def encode_bmp(image: np.ndarray) -> bytes:
 
 def decode(data: bytes | None) -> np.ndarray:
     """Image of Netpbm or BMP bytes."""
+    return decode_scaled(data)[0]
+
+
+def decode_scaled(data: bytes | None) -> tuple[np.ndarray, int]:
+    """(image, maximum of its samples) of Netpbm or BMP bytes."""
     if not data:
         raise MediaError("no bytes")
     try:
-        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+        return (decode_bmp(data), 255) if data[:2] == b"BM" else decode_netpbm(data)
     except (struct.error, ValueError, IndexError, OverflowError) as e:
         raise e if isinstance(e, MediaError) else MediaError(str(e)) from e
 
@@ -208,9 +234,9 @@ def difference_hash(image: np.ndarray, size: int = TILE) -> str:
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
-def tile(image: np.ndarray, size: int = TILE) -> bytes:
-    """NPY bytes of the image area-resized to (size, size), rounded to 8 bits."""
-    small = np.clip(np.rint(area_resize(image, size, size)), 0, 255).astype(np.uint8)
+def tile(image: np.ndarray, size: int = TILE, most: int = 255) -> bytes:
+    """NPY bytes of the image area-resized to (size, size), its maximum scaled to 255 and rounded."""
+    small = np.clip(np.rint(area_resize(image, size, size) * (255 / most)), 0, 255).astype(np.uint8)
     out = io.BytesIO()
     np.save(out, small, allow_pickle=False)
     return out.getvalue()
@@ -220,19 +246,19 @@ def read_tile(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False)
 
 
-FEATURES = "width int, height int, channels int, tile_npy binary, dhash string, error string"
+FEATURES = "width int, height int, channels int, maximum int, tile_npy binary, dhash string, error string"
 
 
 def media_features(rows: DataFrame, data: str, size: int = TILE) -> DataFrame:
-    """``rows`` without the bytes column, with width, height, channels, an NPY tile, the difference hash, and the reason where bytes do not decode."""
+    """``rows`` without the bytes column, with width, height, channels, the samples' maximum, an NPY tile, the difference hash, and the reason where bytes do not decode."""
     common.small_batches(rows.sparkSession)
 
     def one(blob):
         try:
-            image = decode(blob)
+            image, most = decode_scaled(blob)
         except MediaError as e:
-            return None, None, None, None, None, str(e)
-        return image.shape[1], image.shape[0], 1 if image.ndim == 2 else image.shape[2], tile(image, size), difference_hash(image, size), None
+            return None, None, None, None, None, None, str(e)
+        return image.shape[1], image.shape[0], 1 if image.ndim == 2 else image.shape[2], most, tile(image, size, most), difference_hash(image, size), None
 
     return _map(rows, data, one, FEATURES)
 
@@ -270,16 +296,19 @@ def payload_features(text: str | None) -> tuple:
     """Stores the UTF-8 text as an image, decodes the stored bytes and describes them."""
     data = (text or "").encode()
     _, stored = store_payload(data)
-    image = decode(stored)
-    back = image.tobytes()
-    feature = f"{'x'.join(map(str, image.shape))}:{difference_hash(image)}:{hashlib.sha256(tile(image)).hexdigest()[:16]}"
-    return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+    image, most = decode_scaled(stored)
+    back, small = image.tobytes(), tile(image, most=most)
+    feature = f"{'x'.join(map(str, image.shape))}:{difference_hash(image)}:{hashlib.sha256(small).hexdigest()[:16]}"
+    return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, small
 
 
-PAYLOAD = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+PAYLOAD = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_npy binary"
 
 
 def text_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and the features of each text stored as an image and read back; a null text is an empty one."""
+    """doc_id, the features of each text stored as an image and read back, and its NPY tile; a null text is an empty one.
+
+    feature: the image's shape, its difference hash, and the start of its tile's SHA-256.
+    """
     common.small_batches(docs.sparkSession)
     return _map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", payload_features, PAYLOAD)
