@@ -8,7 +8,10 @@ the lowest rank is replayed at all its positions from left to right, and only
 the touched neighbours' pairs are looked up and indexed anew. A word in which
 a merge makes a pair of a lower rank than its own is encoded on its own
 afterwards, always taking the lowest rank and leftmost pair, since there the
-replay's order could differ. Results for words are kept in a bounded table.
+replay's order could differ. A chunk has CHUNK_BYTES of text or one longer text;
+a worker keeps the results for words until they take CACHE_BYTES, so words that
+several workers or chunks meet after that are replayed in each: the corpus is
+replayed by chunks, as an index of it all would not fit into any one task.
 
 Defined cases: a null text encodes as an empty one, without ids; null ids
 decode to empty bytes; ids that the vocabulary lacks raise an error; texts of
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import common, vocab
 
-#: Words whose ids a worker keeps, and bytes of text replayed together.
-CACHE_WORDS, CHUNK_BYTES = 1_000_000, 4 << 20
+#: Bytes (about) of the words and ids that a worker keeps, what an entry takes besides them, and bytes of text replayed together.
+CACHE_BYTES, ENTRY_BYTES, CHUNK_BYTES = 192 << 20, 200, 4 << 20
 
 
 class MergeReplay:
@@ -158,15 +161,17 @@ class Encoder:
         self.replayer = MergeReplay(vocab.ranks(path))
         self.find = regex.compile(pattern).findall
         self.ids_of: dict[str, bytes] = {}
+        self.kept = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         found = [self.find(t) for t in texts]
-        if len(self.ids_of) > CACHE_WORDS:
-            self.ids_of.clear()
+        if self.kept > CACHE_BYTES:  # also after one chunk of very long words
+            self.ids_of, self.kept = {}, 0
         new = list(set().union(*found).difference(self.ids_of))
         for word, ids in zip(new, self.replayer.replay([w.encode() for w in new]), strict=True):
-            self.ids_of[word] = np.array(ids, "<u4").tobytes()
+            self.ids_of[word] = made = np.array(ids, "<u4").tobytes()
+            self.kept += len(word) + len(made) + ENTRY_BYTES
         get = self.ids_of.__getitem__
         return [b"".join(map(get, ws)) for ws in found]
 

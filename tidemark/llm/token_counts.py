@@ -2,14 +2,17 @@
 
 Offline, from the vocabulary alone, it is proved where texts can be cut and
 which strings are one token:
+- the model's normaliser is the identity but for one mark for each space and one
+  put before the text, so a text's characters are those that are merged;
 - no piece holds a space mark after another character, so no merge crosses the
   place before a space mark: a text is counted as the sum of its pre-tokens,
-  each a run of space marks and the characters up to the next (``Proof``
-  checks this on every piece, and refuses vocabularies where it fails);
+  each a run of space marks and the characters up to the next (``Proof`` reads
+  both from the model and its every piece, and refuses where one fails);
 - pieces that the library encodes alone as exactly themselves form the set of
   whole tokens: equal pre-tokens count one, without any merging.
-Only other pre-tokens are merged, each distinct one once for a worker's table
-(bounded; cleared when full), by the library itself on that pre-token.
+Only other pre-tokens are merged, by the library itself on that pre-token, and
+those of KEPT_LETTERS or less once for a worker's table, which is cleared at
+TABLE_WORDS; both bound its bytes, and text without spaces is never kept.
 
 Defined cases: a null text counts as empty (0 tokens, 0 bytes); NUL and
 special strings are ordinary text, as in the library; a pre-token of any length
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, vocab
 
 SPACE = "▁"
-TABLE_WORDS = 300_000
+TABLE_WORDS, KEPT_LETTERS = 300_000, 64
 
 
 class Proof:
@@ -36,8 +39,17 @@ class Proof:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece_model_pb2.ModelProto()
+        model.ParseFromString(self.library.serialized_model_proto())
+        rules = model.normalizer_spec
+        kept = rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces
+        if not kept or rules.precompiled_charsmap or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("this vocabulary changes characters or white space; its texts cannot be cut at spaces")
+        if any(p.type == model.SentencePiece.USER_DEFINED for p in model.pieces):
+            raise ValueError("this vocabulary has strings that are cut out before merging; its texts cannot be cut at spaces")
         size = self.library.get_piece_size()
         plain = [
             i for i in range(size)
@@ -47,9 +59,6 @@ class Proof:
         crossing = [p for p in pieces if SPACE in p.lstrip(SPACE) or " " in p]
         if crossing:
             raise ValueError(f"pieces cross a space mark, so texts cannot be cut there: {crossing[:3]}")
-        # Spaces must be kept as they are: one mark for each, and one put before the text.
-        if self.library.encode("a  b ", out_type=str) and "".join(self.library.encode("a  b ", out_type=str)) != f"{SPACE}a{SPACE}{SPACE}b{SPACE}":
-            raise ValueError("this vocabulary changes white space; its texts cannot be cut at spaces")
         # A pre-token with a mark is encoded by the library from the text after that mark.
         marked = [p for p in pieces if p[0] == SPACE and len(p) > 1]
         self.whole = {p for p, ids in zip(marked, self.library.encode([p[1:] for p in marked], num_threads=1), strict=True) if len(ids) == 1 and self.library.id_to_piece(ids[0]) == p}
@@ -71,10 +80,12 @@ class _Counts(dict):
         self.update(self.fixed)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > len(self.fixed) + TABLE_WORDS:
-            self.clear()
-            self.update(self.fixed)
-        n = self[word] = self.proof.merged(SPACE + word)
+        n = self.proof.merged(SPACE + word)
+        if len(word) <= KEPT_LETTERS:
+            if len(self) > len(self.fixed) + TABLE_WORDS:
+                self.clear()
+                self.update(self.fixed)
+            self[word] = n
         return n
 
 
@@ -116,7 +127,7 @@ def _counter(path: str):
 
 
 def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = 4096, path: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row."""
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row; null ids stay null."""
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
