@@ -16,7 +16,7 @@ KEYS = ("series_id",)
 
 
 def spec(by: Sequence[str] = KEYS, order: str = "date") -> WindowSpec:
-    """Window over each group in order. Groups keep the work partitioned; there is no ungrouped form."""
+    """Window over each group in order. Groups keep the work partitioned."""
     return Window.partitionBy(*by).orderBy(order)
 
 
@@ -102,6 +102,18 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], min_pairs: int =
     return made.select(*by, "n", F.when(F.col("n") >= min_pairs, F.col("ic")).alias("ic"))
 
 
+def with_group_facts(df: DataFrame, by: Sequence[str], **facts: Column) -> DataFrame:
+    """``df`` with aggregates of each row's group, made map-side and joined back, so that a group's rows never meet in one task for a mean.
+
+    Null keys are a group of their own.
+    """
+    made = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in by]).agg(*[c.alias(name) for name, c in facts.items()])
+    same = F.lit(True)
+    for k in by:
+        same = same & df[k].eqNullSafe(made[f"_key_{k}"])
+    return df.join(made, same).drop(*[f"_key_{k}" for k in by])
+
+
 def quantile_edges(c: Column | str, bins: int) -> Column:
     """Inner edges of equal-count bins: exact percentiles at all bins + 1 points, made distinct, without the outer two."""
     points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import ts
@@ -22,7 +22,7 @@ def _ledger(df: DataFrame, cost: Column | float, by, order: str) -> DataFrame:
     out = df.withColumn("turnover", ts.diff_abs_or_self("position", w))
     out = out.withColumn("strategy_return", F.col("position") * F.col("next_return") - F.col("turnover") * fee)
     out = out.withColumn("equity", ts.cumulative(F.product, F.lit(1.0) + F.col("strategy_return"), w))
-    return out.withColumn("drawdown", ts.ratio("equity", ts.cumulative(F.max, "equity", w)) - 1.0)
+    return out.withColumn("drawdown", ts.ratio("equity", running_peak("equity", by, order)) - 1.0)
 
 
 def run_backtest(predictions: DataFrame, entry_threshold: Column | float = 0.54, transaction_cost: Column | float = 0.0002, by=ts.KEYS, order: str = "date") -> DataFrame:
@@ -66,6 +66,22 @@ def grid_backtest(predictions: DataFrame, thresholds: list[float], costs: list[f
     return backtest_metrics(run_backtest(cells, F.col("threshold"), F.col("cost"), keys, order), keys, order)
 
 
+def lookback_grid(series: DataFrame, lookbacks: list[int], costs: list[float], by=ts.KEYS, order: str = "date") -> DataFrame:
+    """keys, lookback, cost, n, sharpe of following the sign of each lookback's price change. All lookbacks share one sort; cells are part of the key."""
+    w = ts.spec(by, order)
+    wide = series.select(*by, order, F.lead("return", 1).over(w).alias("next_return"), *[ts.pct_change("price", k, w).alias(f"_m{k}") for k in lookbacks])
+    cells = F.array(*[F.struct(F.lit(k).alias("lookback"), F.signum(f"_m{k}").alias("position"), F.lit(float(c)).alias("cost")) for k in lookbacks for c in costs])
+    grown = wide.select(*by, order, "next_return", F.explode(cells).alias("_c")).select(*by, order, "next_return", "_c.*").where("position is not null and next_return is not null")
+    keys = [*by, "lookback", "cost"]
+    net = F.col("position") * F.col("next_return") - ts.diff_abs_or_self("position", ts.spec(keys, order)) * F.col("cost")
+    return grown.select(*keys, net.alias("_r")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sharpe("_r").alias("sharpe"))
+
+
+def running_peak(value: Column | str, by=ts.KEYS, order: str = "date") -> Column:
+    """Window form: the largest value so far."""
+    return ts.cumulative(F.max, value, ts.spec(by, order))
+
+
 def buy_and_hold(predictions: DataFrame, transaction_cost: float = 0.0002, by=ts.KEYS, order: str = "date") -> DataFrame:
     """Ledger of a constant long position: one entry cost."""
     return run_backtest(predictions.withColumn("probability", F.lit(1.0)), 0.5, transaction_cost, by, order)
@@ -102,9 +118,3 @@ def edge_return(probability: str = "probability", next_return: str = "next_retur
 def total_return(r: Column | str) -> Column:
     """Aggregate: compounded return."""
     return F.product(F.lit(1.0) + ts.as_col(r)) - 1.0
-
-
-def mark_to_position(df: DataFrame, position: str, by=ts.KEYS, order: str = "date") -> DataFrame:
-    """Trades implied by a position column: rows where it changes, with the change."""
-    change = F.col(position) - F.coalesce(F.lag(position).over(Window.partitionBy(*by).orderBy(order)), F.lit(0))
-    return df.withColumn("trade", change).where("trade <> 0")

@@ -150,9 +150,9 @@ def signal_correlation(wide: DataFrame, signals: list[str], by=ts.KEYS) -> DataF
 
 def zscore_columns(wide: DataFrame, signals: list[str], by=ts.KEYS, suffix: str = "") -> DataFrame:
     """Each column less its mean over its sample deviation, within the keys."""
-    w = Window.partitionBy(*by)
-    made = {f"{c}{suffix}": ts.ratio(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w)) for c in signals}
-    return wide.withColumns(made)
+    facts = {f"_m_{c}": F.avg(c) for c in signals} | {f"_s_{c}": F.stddev_samp(c) for c in signals}
+    made = {f"{c}{suffix}": ts.ratio(F.col(c) - F.col(f"_m_{c}"), f"_s_{c}") for c in signals}
+    return ts.with_group_facts(wide, by, **facts).withColumns(made).drop(*facts)
 
 
 def combine_equal_weight(wide: DataFrame, signals: list[str], by=ts.KEYS, out: str = "combined") -> DataFrame:
@@ -180,43 +180,59 @@ def combine_ic_weighted(wide: DataFrame, signals: list[str], fwd: str = "fwd", b
     return z.withColumn(out, total).drop(*[f"{c}__z" for c in signals], "weights")
 
 
-def _gram(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(means, centred cross products, rows): one aggregate of fixed size comes to the driver."""
+def ridge_weights(complete: DataFrame, signals: list[str], fwd: str = "fwd", alpha: float = 1.0, by=ts.KEYS) -> DataFrame:
+    """keys, weights (array in the order of ``signals``): ridge coefficients of each group, from one aggregate of centred cross products."""
+    columns = [*signals, fwd]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    stats = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]]
-    r = rows.agg(*stats, *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    n = r["n"]
-    cross = np.zeros((len(columns),) * 2)
-    if n:
-        for i, j in pairs:
-            cross[i, j] = cross[j, i] = (r[f"c{i}_{j}"] or 0.0) * n
-    return np.array([r[f"m{i}"] or 0.0 for i in range(len(columns))]), cross, n
+    sums = F.array(*[F.covar_pop(columns[i], columns[j]) * F.count(F.lit(1)) for i, j in pairs])
+    k = len(signals)
+
+    def solve(cells: pd.Series) -> pd.Series:
+        out = []
+        for row in cells:
+            cross = np.zeros((k + 1, k + 1))
+            for (i, j), v in zip(pairs, row, strict=True):
+                cross[i, j] = cross[j, i] = v
+            out.append(np.linalg.solve(cross[:k, :k] + alpha * np.eye(k), cross[:k, k]))
+        return pd.Series(out)
+
+    made = complete.groupBy(*by).agg(sums.alias("_c"))
+    return made.select(*by, F.pandas_udf(solve, "array<double>")("_c").alias("weights"))
 
 
 def combine_ridge(wide: DataFrame, signals: list[str], fwd: str = "fwd", alpha: float = 1.0, by=ts.KEYS, out: str = "combined") -> DataFrame:
-    """Ridge regression of the forward return on z-scored signals; the fitted intercept is left out of the result. One series at a time."""
+    """Ridge regression, within the keys, of the forward return on z-scored signals; the fitted intercept is left out of the result."""
     complete = zscore_columns(wide.dropna(subset=[*signals, fwd]), signals, by)
-    mean, cross, _ = _gram(complete, [*signals, fwd])
-    k = len(signals)
-    beta = np.linalg.solve(cross[:k, :k] + alpha * np.eye(k), cross[:k, k])
-    total = sum((F.col(c) * F.lit(float(b)) for c, b in zip(signals, beta, strict=True)), F.lit(0.0))
-    return complete.withColumn(out, total)
+    weighted = complete.join(ridge_weights(complete, signals, fwd, alpha, by), list(by))
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) * F.col("weights")[i] for i, c in enumerate(signals)), F.lit(0.0))
+    return weighted.withColumn(out, total).drop("weights")
 
 
 def orthogonalize(wide: DataFrame, signals: list[str], by=ts.KEYS) -> DataFrame:
     """Residuals of each signal on an intercept and the residuals before it; rows with a null signal go, the first signal stays.
 
-    Earlier residuals are orthogonal to each other, so each projection is a
-    covariance over a variance, taken as a window aggregate within the keys.
+    Residuals are orthogonal to each other, so each slope is a covariance over a
+    variance. Both follow from the signals' own covariances, which are one
+    aggregate of each group: no pass over the rows is made for a residual.
     """
-    out = wide.dropna(subset=signals)
-    w = Window.partitionBy(*by)
+    complete = wide.dropna(subset=signals)
+    k = len(signals)
+    facts = {f"_m{i}": F.avg(c) for i, c in enumerate(signals)}
+    facts |= {f"_c{i}_{j}": F.covar_pop(signals[i], signals[j]) for i in range(k) for j in range(i + 1)}
+    keys = [f"_key_{x}" for x in by]
+    stats = complete.groupBy(*[F.col(x).alias(n) for x, n in zip(by, keys, strict=True)]).agg(*[c.alias(n) for n, c in facts.items()])
+    for i in range(k):  # _v: variance of a residual; _b: slope of signal i on residual j
+        for j in range(i):
+            rest = F.col(f"_c{i}_{j}") - sum((F.col(f"_b{i}_{m}") * F.col(f"_b{j}_{m}") * F.col(f"_v{m}") for m in range(j)), F.lit(0.0))
+            stats = stats.withColumn(f"_b{i}_{j}", F.coalesce(ts.ratio(rest, f"_v{j}"), F.lit(0.0)))
+        own = F.col(f"_c{i}_{i}") - sum((F.col(f"_b{i}_{m}") * F.col(f"_b{i}_{m}") * F.col(f"_v{m}") for m in range(i)), F.lit(0.0))
+        # What rounding leaves of the variance of a combination of the others is no variance.
+        stats = stats.withColumn(f"_v{i}", F.when(own > F.lit(1e-13) * F.col(f"_c{i}_{i}"), own).otherwise(F.lit(0.0)))
+    same = F.lit(True)
+    for x, n in zip(by, keys, strict=True):
+        same = same & complete[x].eqNullSafe(stats[n])
+    out = complete.join(stats, same)
     for i, c in enumerate(signals):
-        if not i:
-            continue
-        fit = F.avg(c).over(w)
-        for p in signals[:i]:
-            slope = ts.ratio(F.covar_pop(c, p).over(w), F.var_pop(p).over(w))
-            fit = fit + F.coalesce(slope, F.lit(0.0)) * (F.col(p) - F.avg(p).over(w))
-        out = out.withColumn(c, F.col(c) - fit)
-    return out
+        left = F.col(c) - F.col(f"_m{i}") - sum((F.col(f"_b{i}_{j}") * F.col(f"_r{j}") for j in range(i)), F.lit(0.0))
+        out = out.withColumn(f"_r{i}", left)
+    return out.select(*[F.col(f"_r{signals.index(c)}").alias(c) if c in signals[1:] else F.col(c) for c in wide.columns])

@@ -75,13 +75,33 @@ def matrix_frame(spark: SparkSession, matrix: np.ndarray, value: str = "cov") ->
     return spark.createDataFrame(pd.DataFrame({"i": i.ravel(), "j": j.ravel(), value: matrix.ravel()}))
 
 
+def panel_cross(panel: DataFrame, t: str = "t", asset: str = "asset", r: str = "r") -> tuple[list, Cross]:
+    """(assets in order, sums) of a long panel in which every t has all assets. The panel is read once; its vectors are kept while they are summed."""
+    vectors = to_vectors(panel, t, asset, r).persist()
+    try:
+        data = cross_products(vectors)
+    finally:
+        vectors.unpersist()
+    return sorted(x[0] for x in panel.select(asset).distinct().collect()), data  # one row for each asset
+
+
+def _labelled(panel: DataFrame, asset: str, names: list, matrix: np.ndarray, value: str) -> DataFrame:
+    """(i, j, value) rows of a small matrix by the panel's assets."""
+    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    kind = panel.schema[asset].dataType.simpleString()
+    return panel.sparkSession.createDataFrame(rows, f"i {kind}, j {kind}, {value} double")
+
+
 def long_covariance(panel: DataFrame, t: str = "t", asset: str = "asset", r: str = "r") -> DataFrame:
-    """(i, j, cov) natively, for few assets: each t's pairs of centred values, summed map-side."""
-    centred = panel.select(t, asset, (F.col(r) - F.avg(r).over(Window.partitionBy(asset))).alias("_d"))
-    rows = centred.groupBy(t).agg(F.collect_list(F.struct(F.col(asset).alias("a"), F.col("_d").alias("d"))).alias("_x"))
-    pairs = rows.select(F.explode("_x").alias("p"), "_x").select("p", F.explode("_x").alias("q"))
-    summed = pairs.groupBy(F.col("p.a").alias("i"), F.col("q.a").alias("j")).agg(F.sum(F.col("p.d") * F.col("q.d")).alias("s"), F.count(F.lit(1)).alias("n"))
-    return summed.select("i", "j", (F.col("s") / (F.col("n") - 1)).alias("cov"))
+    """(i, j, cov) by assets: one N x N partial for each task, never a date's pairs as rows."""
+    names, data = panel_cross(panel, t, asset, r)
+    return _labelled(panel, asset, names, data.covariance(), "cov")
+
+
+def long_correlation(panel: DataFrame, t: str = "t", asset: str = "asset", r: str = "r") -> DataFrame:
+    """(i, j, rho) by assets."""
+    names, data = panel_cross(panel, t, asset, r)
+    return _labelled(panel, asset, names, data.correlation(), "rho")
 
 
 # --- matrices ---------------------------------------------------------------
@@ -96,9 +116,11 @@ def explained_variance_ratio(eigenvalues: np.ndarray) -> np.ndarray:
     return eigenvalues / eigenvalues.sum()
 
 
-def explained_share(value: Column | str, by=()) -> Column:
-    """Window form: a value over the total of its group."""
-    return ts.ratio(value, F.sum(value).over(Window.partitionBy(*(by or [F.lit(0)]))))
+def explained_share(df: DataFrame, value: str, by=(), out: str = "share") -> DataFrame:
+    """``df`` with a value over the total of its group, which is aggregated first; without keys, over the frame's total."""
+    if not by:
+        return df.withColumn(out, ts.ratio(value, df.agg(F.sum(value)).scalar()))
+    return ts.with_group_facts(df, by, _total=F.sum(value)).withColumn(out, ts.ratio(value, "_total")).drop("_total")
 
 
 def marchenko_pastur_bounds(n_assets: int, n_obs: int, variance: float = 1.0) -> tuple[float, float]:

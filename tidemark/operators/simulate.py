@@ -197,10 +197,11 @@ def simulate_ctmc(spark: SparkSession, generator: np.ndarray, T: float, x0: int,
     return _paths(spark, n_paths, one, "k int, jump_time double, state int", seed)
 
 
-def occupancy(paths: DataFrame, T: float) -> DataFrame:
-    """path_id, state, time: how long each state is held, the last until T."""
+def occupancy(paths: DataFrame, T: float | None = None) -> DataFrame:
+    """path_id, state, time: how long each state is held, the last until T, or not at all where that is None."""
     w = Window.partitionBy("path_id").orderBy("k")
-    held = F.coalesce(F.lead("jump_time").over(w), F.lit(float(T))) - F.col("jump_time")
+    end = F.col("jump_time") if T is None else F.lit(float(T))
+    held = F.coalesce(F.lead("jump_time").over(w), end) - F.col("jump_time")
     return paths.select("path_id", "state", held.alias("_h")).groupBy("path_id", "state").agg(F.sum("_h").alias("time"))
 
 

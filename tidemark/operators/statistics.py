@@ -81,7 +81,7 @@ def block_bootstrap_ci(df: DataFrame, r: str, statistic: Callable[[str], Column]
 def bootstrap_p_value(df: DataFrame, r: str, statistic: Callable[[str], Column] = F.avg, replicates: int = 2000, mean_block: float = 20.0, seed: int = 0, by=ts.KEYS, order: str = "date") -> DataFrame:
     """keys, observed, p_value: share of resamples of the mean-centred series at least as far from 0 as what was observed."""
     some = df.where(F.col(r).isNotNull())
-    centred = some.select(*by, order, (F.col(r) - F.avg(r).over(Window.partitionBy(*by))).alias("_c"))
+    centred = ts.with_group_facts(some.select(*by, order, r), by, _mean=F.avg(r)).select(*by, order, (F.col(r) - F.col("_mean")).alias("_c"))
     samples = bootstrap_samples(centred, "_c", statistic, replicates, mean_block, seed, True, by, order)
     observed = some.groupBy(*by).agg(statistic(r).alias("observed"))
     far = (F.abs("value") >= F.abs("observed")).cast("double")
@@ -96,6 +96,13 @@ def expected_max_sharpe_under_null(trials: int, spread: float) -> float:
     return spread * ((1 - EULER_GAMMA) * quantile(1 - 1 / trials) + EULER_GAMMA * quantile(1 - 1 / (trials * math.e)))
 
 
+def sharpe_error(n: str, mean: str, std: str, skew: str, excess_kurtosis: str) -> Column:
+    """Standard error of a per-period Sharpe ratio from its moments' columns."""
+    ratio = F.col(mean) / F.col(std)
+    spread = F.lit(1.0) - F.col(skew) * ratio + (F.col(excess_kurtosis) + 2) / 4 * ratio * ratio
+    return F.sqrt(F.greatest(spread, F.lit(1e-12)) / (F.col(n) - 1))
+
+
 def deflated_sharpe(n: int, mean: float, std: float, skew: float, excess_kurtosis: float, trial_sharpes: list[float]) -> float:
     """Probability of skill given the trials. With one trial the benchmark is 0."""
     ratio = mean / std

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ts
@@ -224,7 +224,7 @@ def signal_placebo(spark, sf_dir):
 
 @query()
 def signal_regime_transition(spark, sf_dir):
-    posteriors = regimes.walk_forward_posteriors(market.daily_series(spark, sf_dir), 800, 400)
+    posteriors = regimes.walk_forward_posteriors(market.daily_series(spark, sf_dir), models.MIN_TRAIN, models.TEST)
     return ft.regime_transition_signal(posteriors).select("series_id", "date", "alpha_regime_transition")
 
 
@@ -262,19 +262,20 @@ def ic_blocks_tstat(spark, sf_dir):
     return rounded(ev.non_overlapping_ic_t_stat(_long(spark, sf_dir)).withColumn("t_stat", F.round("t_stat", 6)))
 
 
-_ROLLING = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY date) AS rn FROM pairs WHERE signal = 'alpha_momentum'),
-win AS (SELECT x.signal, x.date AS day, x.rn, y.value, y.fwd FROM numbered x JOIN numbered y ON y.rn BETWEEN x.rn - 59 AND x.rn WHERE x.rn >= 60),
-k AS (SELECT signal, day, {_rank('value', 'day')} AS a, {_rank('fwd', 'day')} AS b FROM win)"""
+_ROLLING = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY date) AS rn FROM pairs),
+win AS (SELECT x.signal, x.date AS day, x.rn, y.value, y.fwd FROM numbered x JOIN numbered y ON y.signal = x.signal AND y.rn BETWEEN x.rn - 59 AND x.rn WHERE x.rn >= 60),
+rolled AS (SELECT signal, day, {_rank('value', 'signal, day')} AS a, {_rank('fwd', 'signal, day')} AS b FROM win),
+rolling AS (SELECT signal, day, {_corr('a', 'b')} AS ic FROM rolled GROUP BY signal, day)"""
 
 
-@query(f"WITH {LONG}, {PAIRS}, {_ROLLING} SELECT 'ALL' AS series_id, signal, day AS date, {r(_corr('a', 'b'), 'ic')} FROM k GROUP BY signal, day")
+@query(f"WITH {LONG}, {PAIRS}, {_ROLLING} SELECT 'ALL' AS series_id, signal, day AS date, {r('ic', 'ic')} FROM rolling")
 def ic_rolling(spark, sf_dir):
-    return rounded(ev.rolling_ic(_long(spark, sf_dir).where("signal = 'alpha_momentum'")))
+    return rounded(ev.rolling_ic(_long(spark, sf_dir)))
 
 
-@query(f"WITH {LONG}, {PAIRS}, {_ROLLING}, g AS (SELECT signal, day, {_corr('a', 'b')} AS ic FROM k GROUP BY signal, day) SELECT 'ALL' AS series_id, signal, {_TSTAT} FROM g GROUP BY signal")
+@query(f"WITH {LONG}, {PAIRS}, {_ROLLING} SELECT 'ALL' AS series_id, signal, {_TSTAT} FROM rolling GROUP BY signal")
 def ic_rolling_tstat(spark, sf_dir):
-    return rounded(ev.ic_t_stat(ev.rolling_ic(_long(spark, sf_dir).where("signal = 'alpha_momentum'"))).withColumn("t_stat", F.round("t_stat", 6)))
+    return rounded(ev.ic_t_stat(ev.rolling_ic(_long(spark, sf_dir))).withColumn("t_stat", F.round("t_stat", 6)))
 
 
 @query(f"WITH {LONG}, present AS (SELECT signal, date, value, lag(value) OVER (PARTITION BY signal ORDER BY date) AS prev FROM long WHERE value IS NOT NULL) SELECT 'ALL' AS series_id, signal, count(*) AS n, {r('corr(value, prev)', 'autocorrelation')} FROM present WHERE prev IS NOT NULL GROUP BY signal")
@@ -300,9 +301,30 @@ def signal_sharpe(spark, sf_dir):
     return rounded(ev.signal_sharpe(_long(spark, sf_dir)))
 
 
-@query()
+_T = "CASE WHEN count(ic) >= 2 THEN avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0) END"
+_REPORT = f"""{_ROLLING}, naive AS (SELECT signal, {_T} AS t FROM rolling GROUP BY signal),
+{_BLOCKS}, block_t AS (SELECT signal, {_T} AS t FROM blocks GROUP BY signal),
+fr AS (SELECT signal, {_rank('value', 'signal')} AS a, {_rank('fwd', 'signal')} AS b FROM pairs), whole AS (SELECT signal, count(*) AS n, {_corr('a', 'b')} AS ic FROM fr GROUP BY signal),
+h AS ({_HORIZONS}), hp AS (SELECT * FROM h WHERE value IS NOT NULL AND fwd_h IS NOT NULL), hk AS (SELECT signal, horizon, {_rank('value', 'signal, horizon')} AS a, {_rank('fwd_h', 'signal, horizon')} AS b FROM hp),
+decays AS (SELECT signal, horizon, {_corr('a', 'b')} AS ic FROM hk GROUP BY signal, horizon), decay AS (SELECT signal, {", ".join(f"max(ic) FILTER (horizon = {h}) AS d{h}" for h in (1, 5, 10, 20))} FROM decays GROUP BY signal),
+there AS (SELECT signal, date, value, sign(value) AS s, lag(value) OVER (PARTITION BY signal ORDER BY date) AS prev FROM long WHERE value IS NOT NULL), ac AS (SELECT signal, corr(value, prev) AS ac FROM there WHERE prev IS NOT NULL GROUP BY signal),
+flips AS (SELECT signal, coalesce(abs(s - lag(s) OVER (PARTITION BY signal ORDER BY date)) > 0, false) AS c FROM there), turn AS (SELECT signal, avg(CAST(c AS DOUBLE)) AS turnover FROM flips GROUP BY signal),
+cutpoints AS (SELECT signal, list_sort(list_distinct(quantile_cont(value, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM pairs GROUP BY signal),
+binned AS (SELECT p.signal, p.fwd, len(list_filter(c.e[2:len(c.e) - 1], lambda x: x < p.value)) AS bin FROM pairs p JOIN cutpoints c USING (signal)),
+bins AS (SELECT signal, {", ".join(f"avg(fwd) FILTER (bin = {b}) AS m{b}, count(*) FILTER (bin = {b}) AS n{b}" for b in range(5))} FROM binned GROUP BY signal),
+pos AS (SELECT *, sign(value) AS pos FROM pairs), net AS (SELECT signal, pos * fwd - coalesce(abs(pos - lag(pos) OVER (PARTITION BY signal ORDER BY date)), abs(pos)) * CAST(0.0002 AS DOUBLE) AS net FROM pos),
+sh AS (SELECT signal, CASE WHEN stddev_samp(net) = 0 THEN 0 ELSE sqrt(252) * avg(net) / stddev_samp(net) END AS sharpe FROM net GROUP BY signal)"""
+_REPORT_COLUMNS = [("naive.t", "naive_t_stat", 5), ("block_t.t", "block_t_stat", 5), *[(f"d{h}", f"decay_{h}", 8) for h in (1, 5, 10, 20)], ("ac.ac", "autocorrelation", 8), ("turnover", "turnover", 8), *[(f"m{b}", f"bin_{b}", 8) for b in range(5)], ("sharpe", "sharpe", 6)]
+
+
+@query(f"WITH {LONG}, {PAIRS}, {_REPORT} SELECT 'ALL' AS series_id, signal, whole.n, {r('whole.ic', 'ic')}, {', '.join(r(*x) for x in _REPORT_COLUMNS)}, {', '.join(f'n{b} AS bin_{b}_n' for b in range(5))} FROM whole JOIN naive USING (signal) JOIN block_t USING (signal) JOIN decay USING (signal) JOIN ac USING (signal) JOIN turn USING (signal) JOIN bins USING (signal) JOIN sh USING (signal)")
 def alpha_reports(spark, sf_dir):
-    return ev.alpha_report(_long(spark, sf_dir))
+    """The whole report of three signals, its map and its list of bins as columns."""
+    report = ev.alpha_report(_long(spark, sf_dir))
+    decay = [F.col("decay")[h].alias(f"decay_{h}") for h in (1, 5, 10, 20)]
+    bins = [F.get("bins", F.lit(b))["mean_return"].alias(f"bin_{b}") for b in range(5)] + [F.get("bins", F.lit(b))["n"].alias(f"bin_{b}_n") for b in range(5)]
+    five = [F.round(c, 5).alias(c) for c in ("naive_t_stat", "block_t_stat")]
+    return rounded(report.select("series_id", "signal", "n", "ic", *five, *decay, "autocorrelation", "turnover", *bins, F.round("sharpe", 6).alias("sharpe")))
 
 
 _NAMES = [(a, b) for a in SIGNALS for b in SIGNALS]
@@ -328,7 +350,14 @@ def combine_ic(spark, sf_dir):
     return rounded(ev.combine_ic_weighted(_signals(spark, sf_dir), SIGNALS).select("series_id", "date", "combined"))
 
 
-@query()
+_RIDGE = f"""c AS (SELECT date, {", ".join(SIGNALS)}, fwd FROM wide WHERE {" AND ".join(f"{x} IS NOT NULL" for x in [*SIGNALS, "fwd"])}),
+z AS (SELECT date, fwd, {_ZS} FROM c),
+g AS (SELECT {", ".join(f"count(*) * covar_pop(z{i}, z{j}) + {int(i == j)} AS a{i}{j}" for i in range(3) for j in range(i, 3))}, {", ".join(f"count(*) * covar_pop(z{i}, fwd) AS y{i}" for i in range(3))} FROM z),
+m AS (SELECT *, a11 * a22 - a12 * a12 AS c00, a02 * a12 - a01 * a22 AS c01, a01 * a12 - a02 * a11 AS c02, a00 * a22 - a02 * a02 AS c11, a01 * a02 - a00 * a12 AS c12, a00 * a11 - a01 * a01 AS c22 FROM g),
+beta AS (SELECT (c00 * y0 + c01 * y1 + c02 * y2) / d AS b0, (c01 * y0 + c11 * y1 + c12 * y2) / d AS b1, (c02 * y0 + c12 * y1 + c22 * y2) / d AS b2 FROM (SELECT *, a00 * c00 + a01 * c01 + a02 * c02 AS d FROM m))"""
+
+
+@query(f"WITH {LONG}, {_RIDGE} SELECT 'ALL' AS series_id, date, {r('coalesce(z0, 0) * b0 + coalesce(z1, 0) * b1 + coalesce(z2, 0) * b2', 'combined')} FROM z, beta")
 def combine_ridge(spark, sf_dir):
     return rounded(ev.combine_ridge(_signals(spark, sf_dir), SIGNALS).select("series_id", "date", "combined"))
 
@@ -390,24 +419,12 @@ def threshold_cost_grid(spark, sf_dir):
     return metric_row(bt.grid_backtest(_predictions(spark, sf_dir), THRESHOLDS, COSTS))
 
 
-def _lookbacks(spark, sf_dir) -> DataFrame:
-    """Momentum of several lookbacks as one long frame: the window columns share one sort."""
-    frame = market.daily_series(spark, sf_dir)
-    w = ts.spec()
-    wide = frame.select("series_id", "date", F.lead("return", 1).over(w).alias("next_return"), *[ts.pct_change("price", k, w).alias(f"m{k}") for k in LOOKBACKS])
-    cells = F.array(*[F.struct(F.lit(k).alias("lookback"), F.col(f"m{k}").alias("m"), F.lit(float(c)).alias("cost")) for k in LOOKBACKS for c in COSTS[:3]])
-    return wide.select("series_id", "date", "next_return", F.explode(cells).alias("_c")).select("series_id", "date", "next_return", "_c.*").where("m is not null and next_return is not null")
-
-
 _LOOK = " UNION ALL ".join(f"SELECT date, lead(ret) OVER (ORDER BY date) AS next_return, {k} AS lookback, price / nullif(lag(price, {k}) OVER (ORDER BY date), 0) - 1 AS m FROM daily" for k in LOOKBACKS)
 
 
 @query(f"WITH {DAILY}, l AS ({_LOOK}), g AS (SELECT l.*, c.cost FROM l, (SELECT unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in COSTS[:3])}]) AS cost) c WHERE m IS NOT NULL AND next_return IS NOT NULL), {_ledger('g', 'sign(m)', 'cost', 'lookback, cost')} SELECT 'ALL' AS series_id, CAST(lookback AS INTEGER) AS lookback, cost, count(*) AS n, {r('CASE WHEN stddev_samp(strategy_return) = 0 THEN 0 ELSE sqrt(252) * avg(strategy_return) / stddev_samp(strategy_return) END', 'sharpe', 6)} FROM ledger GROUP BY lookback, cost")
 def lookback_cost_grid(spark, sf_dir):
-    keys = ["series_id", "lookback", "cost"]
-    cells = _lookbacks(spark, sf_dir).withColumn("position", F.signum("m"))
-    net = F.col("position") * F.col("next_return") - ts.diff_abs_or_self("position", ts.spec(keys)) * F.col("cost")
-    return rounded(cells.select(*keys, net.alias("_r")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), ev.sharpe("_r").alias("sharpe")), 6)
+    return rounded(bt.lookback_grid(market.daily_series(spark, sf_dir), LOOKBACKS, COSTS[:3]), 6)
 
 
 @query(f"WITH {PREDICTIONS}, e AS (SELECT sign(probability - 0.5) * next_return AS e FROM predictions) SELECT 'ALL' AS series_id, {r('CASE WHEN var_samp(e) = 0 THEN 0 ELSE avg(e) / var_samp(e) END', 'kelly')}, {r('0.5 * CASE WHEN var_samp(e) = 0 THEN 0 ELSE avg(e) / var_samp(e) END', 'half_kelly')} FROM e")
@@ -454,10 +471,7 @@ def panel_covariance(spark, sf_dir):
 
 @query(f"WITH {BRANDS}, {COV}, v AS (SELECT i, cov FROM cov WHERE i = j) SELECT c.i, c.j, {r('c.cov / sqrt(x.cov * y.cov)', 'rho')} FROM cov c JOIN v x ON x.i = c.i JOIN v y ON y.i = c.j")
 def panel_corr(spark, sf_dir):
-    cov = portfolio.long_covariance(_panel(spark, sf_dir))
-    var = cov.where("i = j")
-    made = cov.join(var.select("i", F.col("cov").alias("vi")), "i").join(var.select("j", F.col("cov").alias("vj")), "j")
-    return rounded(made.select("i", "j", (F.col("cov") / F.sqrt(F.col("vi") * F.col("vj"))).alias("rho")))
+    return rounded(portfolio.long_correlation(_panel(spark, sf_dir)))
 
 
 @query(f"""WITH {BRANDS}, dev AS (SELECT date AS t, series_id AS asset, ret - avg(ret) OVER (PARTITION BY series_id) AS d FROM panel),
@@ -467,7 +481,7 @@ g AS (SELECT sum((s.s - CASE WHEN s.i = s.j THEN k.mu ELSE 0 END) ** 2) AS gamma
 p AS (SELECT avg(q * q) AS m4 FROM (SELECT t, sum(d * d) AS q FROM dev GROUP BY t))
 SELECT k.n AS n_obs, {r('least(1, greatest(0, (p.m4 - k.f) / g.gamma / k.n))', 'delta', 6)} FROM k, g, p""")
 def ledoit_wolf_delta(spark, sf_dir):
-    data = portfolio.cross_products(portfolio.to_vectors(_panel(spark, sf_dir)))
+    _, data = portfolio.panel_cross(_panel(spark, sf_dir))
     _, delta = portfolio.ledoit_wolf(data)
     return rounded(spark.createDataFrame([(data.n_obs, float(delta))], "n_obs long, delta double"), 6)
 
@@ -511,7 +525,7 @@ def weights_realized_variance(spark, sf_dir):
 @query()
 def portfolio_comparison(spark, sf_dir):
     """Minimum-variance weights under the raw, denoised and shrunk covariance."""
-    data = portfolio.cross_products(portfolio.to_vectors(_panel(spark, sf_dir)))
+    _, data = portfolio.panel_cross(_panel(spark, sf_dir))
     raw = data.covariance()
     found = {"sample": raw, "denoised": portfolio.denoise_covariance(raw, data.n_obs), "shrunk": portfolio.ledoit_wolf(data)[0]}
     rows = []
@@ -533,10 +547,20 @@ def fold_table(spark, sf_dir):
 
 @query(f"WITH {FEATURES}, {_FOLDS}, rows_ AS (SELECT row_number() OVER (ORDER BY date) - 1 AS rn, target FROM features) SELECT 'ALL' AS series_id, CAST((start - 800) / 125 AS INTEGER) AS fold, count(*) FILTER (rn < start - 30) AS train_rows, count(*) FILTER (rn >= start AND rn < start + 125) AS test_rows, sum(CASE WHEN rn < start - 30 THEN target ELSE 0 END)::BIGINT AS train_positives FROM folds, rows_ GROUP BY fold")
 def fold_train_counts(spark, sf_dir):
-    rows = folds.expanding_rows(ft.build_features(market.daily_series(spark, sf_dir)).select("series_id", "date", "target"), 800, 125, embargo=30)
-    return rows.groupBy("series_id", "fold").agg(
-        F.count_if(~F.col("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows"), F.sum(F.when(~F.col("is_test"), F.col("target")).otherwise(0)).alias("train_positives")
-    )
+    made = folds.fold_counts(ft.build_features(market.daily_series(spark, sf_dir)), 800, 125, [30])
+    return made.drop("embargo")
+
+
+@query(f"WITH {FEATURES}, {_FOLDS}, rows_ AS (SELECT row_number() OVER (ORDER BY date) - 1 AS rn, target FROM features), e AS (SELECT unnest([0, 10, 30]) AS embargo) SELECT 'ALL' AS series_id, CAST(embargo AS INTEGER) AS embargo, CAST((start - 800) / 125 AS INTEGER) AS fold, count(*) FILTER (rn < start - embargo) AS train_rows, count(*) FILTER (rn >= start AND rn < start + 125) AS test_rows, sum(CASE WHEN rn < start - embargo THEN target ELSE 0 END)::BIGINT AS train_positives FROM folds, rows_, e GROUP BY embargo, fold")
+def embargo_counts(spark, sf_dir):
+    return folds.fold_counts(ft.build_features(market.daily_series(spark, sf_dir)), 800, 125, [0, 10, 30])
+
+
+@query(f"WITH {FEATURES}, {_FOLDS}, rows_ AS (SELECT row_number() OVER (ORDER BY date) - 1 AS rn, date, target FROM features) SELECT 'ALL' AS series_id, CAST((start - 800) / 125 AS INTEGER) AS fold, rn >= start AS is_test, count(*) AS n, min(date) AS first, max(date) AS last FROM folds JOIN rows_ ON rn < start - 10 OR (rn >= start AND rn < start + 125) GROUP BY 2, 3")
+def fold_spans(spark, sf_dir):
+    """Rows that each fold trains and tests on, as the fits get them."""
+    rows = folds.expanding_rows(ft.build_features(market.daily_series(spark, sf_dir)).select("series_id", "date", "target"), 800, 125, embargo=10)
+    return rows.groupBy("series_id", "fold", "is_test").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
 @query("""WITH s AS (SELECT CAST(d.n_chars AS DOUBLE) AS score, l.quality AS target FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL AND d.n_chars IS NOT NULL),
@@ -566,7 +590,7 @@ def walk_forward_boosting(spark, sf_dir):
 @query()
 def regime_conditioned_logit(spark, sf_dir):
     frame = ft.build_features(market.daily_series(spark, sf_dir))
-    return models.regime_conditioned_predictions(frame, FEATURE_NAMES, models.Logistic, test=400)
+    return models.regime_conditioned_predictions(frame, FEATURE_NAMES, models.Logistic)
 
 
 @query()
@@ -580,6 +604,24 @@ def model_choice(spark, sf_dir):
     return models.best_model(made)
 
 
+_SCORED = " UNION ALL ".join(f"SELECT '{n}' AS model, 1 / (1 + exp(-{n})) AS p, CAST(fwd > 0 AS INTEGER) AS y FROM wide WHERE {n} IS NOT NULL AND fwd IS NOT NULL" for n in SIGNALS)
+
+
+@query(f"""WITH {LONG}, s AS ({_SCORED}), k AS (SELECT *, {_rank('p', 'model')} AS k FROM s),
+m AS (SELECT model, count(*) AS n, (sum(k) FILTER (y = 1) - sum(y)::DOUBLE * (sum(y) + 1) / 2) / nullif(sum(y)::DOUBLE * (count(*) - sum(y)), 0) AS auc, avg(CAST(CAST(p >= 0.5 AS INTEGER) = y AS DOUBLE)) AS accuracy FROM k GROUP BY model)
+SELECT 'ALL' AS series_id, model, n, {r('auc', 'auc')}, {r('accuracy', 'accuracy')} FROM m ORDER BY auc DESC, accuracy DESC, model LIMIT 1""")
+def best_signal_model(spark, sf_dir):
+    """The choice among candidates whose predictions are given: each signal's pseudo-probability."""
+    wide = _signals(spark, sf_dir)
+    made = None
+    for name in SIGNALS:
+        some = wide.where(F.col(name).isNotNull() & F.col("fwd").isNotNull())
+        scored = some.select("series_id", (1.0 / (1.0 + F.exp(-F.col(name)))).alias("probability"), (F.col("fwd") > 0).cast("int").alias("target"))
+        one = models.validate(name, scored).metrics
+        made = one if made is None else made.unionByName(one)
+    return rounded(models.best_model(made).select("series_id", "model", "n", "auc", "accuracy"))
+
+
 # --- regimes ----------------------------------------------------------------
 
 
@@ -619,10 +661,20 @@ def confusion(spark, sf_dir):
     return regimes.confusion(_detected(spark, sf_dir), "regime", "aligned")
 
 
-@query()
+_MEANS, _STDS = [0.0, 0.02, -0.02], [0.05, 0.1, 0.3]
+_START = [float(x) for x in regimes.stationary_distribution(simulate.TRANSITION)]
+_LIKE = ", ".join(f"exp(-0.5 * ((ret - ({m!r}::DOUBLE)) / {v!r}::DOUBLE) ** 2) / ({v!r}::DOUBLE * sqrt(2 * pi())) AS l{k}" for k, (m, v) in enumerate(zip(_MEANS, _STDS, strict=True)))
+_MOVE = ", ".join("l{0} * ({1}) AS j{0}".format(k, " + ".join(f"p{i} * {float(simulate.TRANSITION[i][k])!r}::DOUBLE" for i in range(3))) for k in range(3))
+_FILTER = f"""WITH RECURSIVE {DAILY}, likes AS MATERIALIZED (SELECT row_number() OVER (ORDER BY date) AS t, date, {_LIKE} FROM daily),
+f AS (SELECT 0::BIGINT AS t, NULL::DATE AS date, {", ".join(f"{x!r}::DOUBLE AS p{k}" for k, x in enumerate(_START))}, 0::DOUBLE AS ll
+  UNION ALL SELECT t, date, j0 / m, j1 / m, j2 / m, ll + ln(m) FROM (SELECT *, greatest(j0 + j1 + j2, 1e-300::DOUBLE) AS m FROM (SELECT likes.t, likes.date, f.ll, {_MOVE} FROM f JOIN likes ON likes.t = f.t + 1)))
+SELECT 'ALL' AS series_id, date, {", ".join(r(f"p{k}", f"p{k}", 7) for k in range(3))}, {r("ll", "log_likelihood", 5)} FROM f WHERE t > 0"""
+
+
+@query(_FILTER)
 def hamilton_filter(spark, sf_dir):
-    frame = market.daily_series(spark, sf_dir)
-    return regimes.hamilton_filter(frame, simulate.TRANSITION, [0.0, 0.02, -0.02], [0.05, 0.1, 0.3])
+    made = regimes.hamilton_filter(market.daily_series(spark, sf_dir), simulate.TRANSITION, _MEANS, _STDS)
+    return rounded(made.select("series_id", "date", *[F.col("probabilities")[k].alias(f"p{k}") for k in range(3)], F.round("log_likelihood", 5).alias("log_likelihood")), 7)
 
 
 @query()
@@ -644,7 +696,7 @@ def regime_detection_scores(spark, sf_dir):
 
 
 @query(f"WITH {DAILY} SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, price, {r('ret', 'return')} FROM orders LEFT JOIN daily ON daily.date = CAST(o_orderdate AS DATE)")
-def asof_date_align(spark, sf_dir):
+def date_align(spark, sf_dir):
     orders = market.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
     # The series has a row for each day; it is left to the optimizer whether its measured size allows a broadcast.
     return rounded(orders.join(market.daily_series(spark, sf_dir).drop("series_id"), "date", "left").select("o_orderkey", "date", "price", "return"))
@@ -652,12 +704,12 @@ def asof_date_align(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return st.block_bootstrap_ci(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", bt.annualized_sharpe, replicates=200)
+    return st.block_bootstrap_ci(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", bt.annualized_sharpe)
 
 
 @query()
 def bootstrap_p(spark, sf_dir):
-    return st.bootstrap_p_value(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", replicates=200)
+    return st.bootstrap_p_value(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return")
 
 
 @query()
@@ -665,6 +717,17 @@ def deflated_sharpe(spark, sf_dir):
     return st.deflated_sharpe_ratio(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", [0.01, 0.02, 0.03, -0.01, 0.0, 0.015])
 
 
+_S = "strategy_return"
+
+
+@query(f"""WITH {PREDICTIONS}, {_ledger('predictions', _position(UP))}, m AS (SELECT count(*) AS n, avg({_S}) AS mean, stddev_samp({_S}) AS std, skewness({_S}) AS skew, kurtosis({_S}) AS kurt FROM ledger)
+SELECT 'ALL' AS series_id, n, {r('mean / std', 'ratio')}, {r('sqrt(greatest(1 - skew * (mean / std) + (kurt + 2) / 4 * (mean / std) ** 2, 1e-12) / (n - 1))', 'error')} FROM m""")
+def sharpe_error(spark, sf_dir):
+    """What the deflated ratio is made of: the per-period Sharpe ratio and its error under skew and fat tails."""
+    made = st.moments(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return")
+    return rounded(made.select("series_id", "n", (F.col("mean") / F.col("std")).alias("ratio"), st.sharpe_error("n", "mean", "std", "skew", "kurtosis").alias("error")))
+
+
 @query()
 def market_sim(spark, sf_dir):
     return simulate.simulate_market(spark, 500, seed=7, n_series=4)
@@ -703,8 +766,8 @@ def business_calendar(spark, sf_dir):
 @query(f"WITH {BRANDS}, {COV} SELECT i AS asset, {r('cov / sum(cov) OVER ()', 'share')} FROM cov WHERE i = j")
 def explained_total(spark, sf_dir):
     """Share of each asset in the panel's total variance."""
-    var = portfolio.long_covariance(_panel(spark, sf_dir)).where("i = j").withColumn("panel", F.lit("brands"))
-    return rounded(var.select(F.col("i").alias("asset"), portfolio.explained_share("cov", ["panel"]).alias("share")))
+    var = portfolio.long_covariance(_panel(spark, sf_dir)).where("i = j")
+    return rounded(portfolio.explained_share(var, "cov").select(F.col("i").alias("asset"), "share"))
 
 
 @query("""WITH b AS (SELECT (1 - sqrt(0.25::DOUBLE)) ** 2 AS low, (1 + sqrt(0.25::DOUBLE)) ** 2 AS high), g AS (SELECT unnest(range(0, 301)) / 100.0::DOUBLE AS x)
@@ -729,12 +792,9 @@ def ou_fit_prices(spark, sf_dir):
 @query(f"WITH {HOURLY}, held AS (SELECT regime AS state, date_diff('second', date, coalesce(lead(date) OVER (ORDER BY date), (SELECT max(date) FROM states))) / 3600.0::DOUBLE AS h FROM states) SELECT CAST(state AS INTEGER) AS state, {r('sum(h)', 'hours', 6)} FROM held GROUP BY 1")
 def state_occupancy(spark, sf_dir):
     """Hours spent in each state, each row holding until the next."""
-    frame = _hourly_regimes(spark, sf_dir).withColumn("at", F.unix_seconds(F.col("date").cast("timestamp")) / 3600.0)
-    whole = Window.partitionBy("series_id")
-    held = frame.select(F.lit(0).alias("path_id"), F.col("at").alias("jump_time"), F.col("regime").alias("state"), ts.row_index().alias("k"), F.max("at").over(whole).alias("end"))
-    w = Window.partitionBy("path_id").orderBy("k")
-    rows = held.select("state", (F.coalesce(F.lead("jump_time").over(w), F.col("end")) - F.col("jump_time")).alias("h"))
-    return rounded(rows.groupBy("state").agg(F.sum("h").alias("hours")), 6)
+    frame = _hourly_regimes(spark, sf_dir)
+    paths = frame.select(F.lit(0).alias("path_id"), ts.row_index().alias("k"), (F.unix_seconds(F.col("date").cast("timestamp")) / 3600.0).alias("jump_time"), F.col("regime").alias("state"))
+    return rounded(simulate.occupancy(paths).select("state", F.col("time").alias("hours")), 6)
 
 
 @query(f"WITH {LONG} SELECT 'ALL' AS series_id, {r('sum(alpha_momentum * alpha_vol_managed) / sqrt(sum(alpha_momentum * alpha_momentum) * sum(alpha_vol_managed * alpha_vol_managed))', 'cosine')} FROM wide WHERE alpha_momentum IS NOT NULL AND alpha_vol_managed IS NOT NULL")
@@ -764,48 +824,127 @@ def yearly_total_return(spark, sf_dir):
 
 @query(f"WITH {DAILY} SELECT date, price, max(price) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM daily")
 def running_peak(spark, sf_dir):
-    w = Window.partitionBy("series_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return rounded(market.daily_series(spark, sf_dir).select("date", "price", F.max("price").over(w).alias("peak")))
+    return rounded(market.daily_series(spark, sf_dir).select("date", "price", bt.running_peak("price").alias("peak")))
+
+
+# --- closed forms, the cache, leakage ----------------------------------------
+
+
+@query("SELECT t, w, round(100.0::DOUBLE * exp((0.05 - 0.5 * 0.2 ** 2)::DOUBLE * (t / 64.0::DOUBLE) + 0.2::DOUBLE * w), 8) + 0.0 AS x FROM (SELECT range AS t, round(sin(range::DOUBLE), 12) AS w FROM range(65))")
+def gbm_closed_form(spark, sf_dir):
+    """The closed form of geometric Brownian motion over a given path of the driving motion."""
+    grid = spark.range(65).select(F.col("id").alias("t"), F.round(F.sin(F.col("id").cast("double")), 12).alias("w"))
+    made = grid.withColumn("x", simulate.gbm_exact(0.05, 0.2, 100.0, F.col("t") / F.lit(64.0), "w"))
+    return made.select("t", "w", (F.round("x", 8) + F.lit(0.0)).alias("x"))
+
+
+_GRID_SQL = "(SELECT k.range / 2.0::DOUBLE AS kappa, v.range / 50.0::DOUBLE AS theta, x.range / 10.0::DOUBLE AS xi FROM range(1, 9) k, range(1, 9) v, range(1, 9) x)"
+
+
+def _parameters(spark: SparkSession) -> DataFrame:
+    n = spark.range(512).select((F.floor(F.col("id") / 64) + 1).alias("a"), (F.pmod(F.floor(F.col("id") / 8), F.lit(8)) + 1).alias("b"), (F.pmod("id", F.lit(8)) + 1).alias("c"))
+    return n.select((F.col("a") / F.lit(2.0)).alias("kappa"), (F.col("b") / F.lit(50.0)).alias("theta"), (F.col("c") / F.lit(10.0)).alias("xi"))
+
+
+@query(f"SELECT *, 2 * kappa * theta > xi * xi AS positive FROM {_GRID_SQL}")
+def feller_grid(spark, sf_dir):
+    """Where the variance process stays positive, over a grid of its parameters."""
+    return _parameters(spark).withColumn("positive", simulate.feller_condition(F.col("kappa"), F.col("theta"), F.col("xi")))
+
+
+@query(f"SELECT DISTINCT kappa, xi, round(xi * xi / (2 * kappa), 10) + 0.0 AS variance FROM {_GRID_SQL}")
+def ou_stationary_grid(spark, sf_dir):
+    """Stationary variance of mean reversion, over a grid of its parameters."""
+    return rounded(_parameters(spark).select("kappa", "xi").distinct().withColumn("variance", simulate.ou_stationary_variance(F.col("kappa"), F.col("xi"))), 10)
+
+
+@query(f"WITH {DAILY} SELECT how, 'ALL' AS series_id, date, price, {r('ret', 'return')} FROM daily, (SELECT unnest(['miss', 'hit', 'refresh']) AS how)")
+def series_cache(spark, sf_dir):
+    """The cached loader: a miss downloads and writes, a hit reads the file (its download would fail), a refresh downloads again."""
+    prices = market.daily_prices(spark, sf_dir)
+
+    def fail(_: str) -> DataFrame:
+        raise AssertionError("a cached series was downloaded")
+
+    one, two = market.scratch_dir(spark), market.scratch_dir(spark)
+    market.load_series(spark, "ALL", two, lambda _: prices.limit(3))  # what the refresh replaces
+    loaded = {
+        "miss": market.load_series(spark, "ALL", one, lambda _: prices), "hit": market.load_series(spark, "ALL", one, fail),
+        "refresh": market.load_series(spark, "ALL", two, lambda _: prices, refresh=True),
+    }
+    made = [df.select(F.lit(how).alias("how"), "*") for how, df in loaded.items()]
+    return rounded(made[0].unionByName(made[1]).unionByName(made[2]))
+
+
+@query(f"""WITH {DAILY}, m AS (SELECT DATE '1995-06-17' AS d), b AS (SELECT date, price / nullif(lag(price, 60) OVER (ORDER BY date), 0) - 1 AS x FROM daily),
+s AS (SELECT date, p / nullif(lag(p, 60) OVER (ORDER BY date), 0) - 1 AS y FROM (SELECT date, CASE WHEN date > d THEN price * 1.5::DOUBLE ELSE price END AS p FROM daily, m))
+SELECT date > d AS shocked, count(*) AS n, count(*) FILTER (abs(x - y) > 1e-9) AS changed FROM b JOIN s USING (date), m WHERE x IS NOT NULL GROUP BY 1""")
+def shock_join(spark, sf_dir):
+    """A trailing feature of the series and of one with prices shocked after a date, joined by date: nothing before the shock may change."""
+    base = market.daily_series(spark, sf_dir).select("series_id", "date", "price")
+    late = F.col("date") > F.lit("1995-06-17").cast("date")
+    marked = base.withColumn("_p", F.when(late, F.col("price") * 1.5).otherwise(F.col("price")))
+    one = base.select("series_id", "date", ts.pct_change("price", 60, ts.spec()).alias("x"))
+    two = marked.select("series_id", "date", late.alias("shocked"), ts.pct_change("_p", 60, ts.spec()).alias("y"))
+    met = one.join(two, ["series_id", "date"]).where("x is not null")
+    return met.groupBy("shocked").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("x") - F.col("y")) > 1e-9).alias("changed"))
+
+
+@query(f"WITH {BRANDS}, t AS (SELECT date, series_id, ret FROM panel), v AS (SELECT series_id AS asset, avg(ret) AS mean, stddev_samp(ret) AS std, count(*) AS n FROM t GROUP BY 1) SELECT asset, n, {r('mean', 'mean')}, {r('std', 'std')} FROM v")
+def panel_moments(spark, sf_dir):
+    """Mean and deviation of every asset from the panel's vectors."""
+    names, data = portfolio.panel_cross(_panel(spark, sf_dir))
+    std = (data.cross.diagonal() / (data.n_obs - 1)) ** 0.5
+    return rounded(spark.createDataFrame([(str(a), data.n_obs, float(m), float(v)) for a, m, v in zip(names, data.mean, std, strict=True)], "asset string, n long, mean double, std double"))
 
 
 # --- experiments ------------------------------------------------------------
 
 
+def report(frames: dict[str, DataFrame]) -> DataFrame:
+    """All frames of an experiment as one: frame, row (JSON of a row's columns)."""
+    made = [df.select(F.lit(name).alias("frame"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")) for name, df in frames.items()]
+    out = made[0]
+    for one in made[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 @query()
 def experiment_baseline(spark, sf_dir):
-    return experiments.baseline_research(market.daily_series(spark, sf_dir))["metrics"]
+    return report(experiments.baseline_research(market.daily_series(spark, sf_dir)))
 
 
 @query()
 def experiment_regimes(spark, sf_dir):
-    return experiments.regime_research(simulate.simulate_market(spark, 1500, seed=7), 400, 200)["metrics"]
+    return report(experiments.regime_research(simulate.simulate_market(spark, 4000, seed=7)))
 
 
 @query()
 def experiment_alphas(spark, sf_dir):
-    return experiments.alpha_research(market.daily_series(spark, sf_dir), test=400)["combined_ic"]
+    return report(experiments.alpha_research(market.daily_series(spark, sf_dir)))
 
 
 @query()
 def experiment_rigor(spark, sf_dir):
-    return experiments.statistical_rigor(market.daily_series(spark, sf_dir), replicates=100, embargoes=(0, 10))["metrics"]
+    return report(experiments.statistical_rigor(market.daily_series(spark, sf_dir)))
 
 
 @query()
 def experiment_portfolio(spark, sf_dir):
-    return experiments.portfolio_research(spark)["risk"]
+    return report(experiments.portfolio_research(spark))
 
 
 @query()
 def experiment_real_data(spark, sf_dir):
-    return experiments.real_data_research(market.daily_series(spark, sf_dir))["sizing"]
+    return report(experiments.real_data_research(market.daily_series(spark, sf_dir)))
 
 
 @query()
-def figure_equity_curves(spark, sf_dir):
-    return experiments.figure_data(spark, market.daily_series(spark, sf_dir))["equity_curves"]
+def figures(spark, sf_dir):
+    return report(experiments.figure_data(spark, market.daily_series(spark, sf_dir)))
 
 
 @query()
 def dashboard(spark, sf_dir):
-    return experiments.dashboard_run(spark, 1200)["recent"]
+    return report(experiments.dashboard_run(spark))

@@ -15,7 +15,17 @@ from tidemark.operators import features as ft
 from tidemark.operators import models, portfolio, regimes, simulate
 from tidemark.operators import statistics as st
 
-Frames = dict[str, DataFrame]
+
+class Frames(dict[str, DataFrame]):
+    """Named frames. Some inputs are kept in memory for them; ``release`` gives those back once the frames were used."""
+
+    def __init__(self, frames: dict[str, DataFrame], *held: DataFrame):
+        super().__init__(frames)
+        self.held = held
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -33,10 +43,11 @@ def baseline_research(market: DataFrame, min_train: int = models.MIN_TRAIN, test
     results = [models.walk_forward_validate(frame, names, name, make, min_train, test) for name, make in models.candidate_models().items()]
     best = models.choose_best(results)
     ledger = bt.run_backtest(best.predictions, threshold, cost)
-    return {
+    made = {
         "validation": _union([r.metrics for r in results]), "predictions": best.predictions, "ledger": ledger,
         "metrics": _tagged(best.name, bt.backtest_metrics(ledger), "model"), "features": frame,
     }
+    return Frames(made, frame, *[r.predictions for r in results])
 
 
 def regime_research(market: DataFrame, min_train: int = models.MIN_TRAIN, test: int = models.TEST, n_states: int = 3) -> Frames:
@@ -55,10 +66,11 @@ def regime_research(market: DataFrame, min_train: int = models.MIN_TRAIN, test:
         "conditioned": models.regime_conditioned_predictions(frame, names, models.Logistic, min_train, test, n_states),
     }
     predictions = {k: v.persist() for k, v in predictions.items()}
-    return {
+    made = {
         **found, "validation": _union([models.validate(k, v).metrics for k, v in predictions.items()]),
         "metrics": _union([_tagged(k, bt.backtest_metrics(bt.run_backtest(v)), "model") for k, v in predictions.items()]),
     }
+    return Frames(made, frame, *predictions.values())
 
 
 def alpha_research(market: DataFrame, min_train: int = models.MIN_TRAIN, test: int = models.TEST, n_states: int = 3, cost: float = 0.0002) -> Frames:
@@ -78,17 +90,17 @@ def alpha_research(market: DataFrame, min_train: int = models.MIN_TRAIN, test: i
         "equal_weight": ev.combine_equal_weight(frame, signals), "ic_weighted": ev.combine_ic_weighted(frame, signals), "ridge": ev.combine_ridge(frame, signals),
     }
     combined = _union([df.select("series_id", F.lit(name).alias("signal"), F.col("combined").alias("value"), "fwd") for name, df in made.items()])
-    return {
+    reports = {
         "report": ev.alpha_report(long, cost), "correlation": ev.signal_correlation(frame.dropna(subset=signals), signals),
         "orthogonal_correlation": ev.signal_correlation(independent, signals), "combined_ic": ev.information_coefficient(combined),
     }
+    return Frames(reports, frame)
 
 
 def statistical_rigor(market: DataFrame, replicates: int = 1000, mean_block: float = 20.0, min_train: int = models.MIN_TRAIN, test: int = models.TEST, embargoes=(0, 10, 30)) -> Frames:
     """The chosen strategy against baselines, bootstrap intervals and p-value, embargo sweep, deflated Sharpe ratio over six trials."""
     base = baseline_research(market, min_train, test)
-    predictions = base["predictions"].persist()
-    ledger = base["ledger"].persist()
+    predictions, ledger = base["predictions"], base["ledger"].persist()
     compared = {"strategy": ledger, "buy_and_hold": bt.buy_and_hold(predictions), "random_signal": bt.random_signal(predictions)}
     statistics = {"sharpe": bt.annualized_sharpe, "total_return": bt.total_return}
     intervals = [_tagged(k, st.block_bootstrap_ci(ledger, "strategy_return", f, replicates, mean_block), "statistic") for k, f in statistics.items()]
@@ -98,11 +110,12 @@ def statistical_rigor(market: DataFrame, replicates: int = 1000, mean_block: flo
     grid = bt.grid_backtest(predictions, thresholds, [0.0002])
     # Six numbers: the per-period Sharpe ratios of the trials.
     trials = [r["annualised_sharpe"] / np.sqrt(ev.PERIODS) for r in grid.groupBy("threshold").agg(F.avg("annualised_sharpe").alias("annualised_sharpe")).collect()]
-    return {
+    made = {
         "metrics": _union([_tagged(k, bt.backtest_metrics(v)) for k, v in compared.items()]), "intervals": _union(intervals),
         "p_value": st.bootstrap_p_value(ledger, "strategy_return", replicates=replicates, mean_block=mean_block), "embargo": _union(swept), "trials": grid,
         "deflated": st.deflated_sharpe_ratio(ledger, "strategy_return", trials),
     }
+    return Frames(made, ledger, *base.held)
 
 
 def portfolio_research(spark: SparkSession, n_assets: int = 40, n_days: int = 150, seed: int = 0) -> Frames:
@@ -123,12 +136,13 @@ def portfolio_research(spark: SparkSession, n_assets: int = 40, n_days: int = 15
     first = portfolio.eigen_descending(sample)[1][:, 0]
     cosine = abs(first @ loadings[:, 0]) / np.linalg.norm(loadings[:, 0])
     section = days.where("t = 0").select(F.lit(0).alias("t"), F.posexplode("x").alias("asset", "signal"))
-    return {
+    made = {
         "risk": spark.createDataFrame(rows, "covariance string, min_variance double, min_variance_gross double, mean_variance_gross double, mean_variance double, delta double"),
         "scree": spark.createDataFrame([(k, float(v), float(s), bool(v > edge)) for k, (v, s) in enumerate(zip(values, share, strict=True))], "k int, eigenvalue double, share double, signal boolean"),
         "market_factor": spark.createDataFrame([(float(cosine), float(edge))], "cosine double, noise_edge double"),
         "long_short": portfolio.quantile_long_short(section, "signal", ["t"], "asset"),
     }
+    return Frames(made)
 
 
 def real_data_research(panel: DataFrame, least_rows: int = 1000, thresholds=(0.50, 0.52, 0.54, 0.56, 0.58), costs=(0.0, 0.0002, 0.0005, 0.001), lookbacks=(5, 10, 20, 60, 120, 250)) -> Frames:
@@ -137,34 +151,30 @@ def real_data_research(panel: DataFrame, least_rows: int = 1000, thresholds=(0.5
     long_enough = panel.join(counts.where(F.col("rows") >= least_rows).select("series_id"), "series_id", "left_semi")
     frame = ft.build_features(long_enough)
     predictions = models.walk_forward_predictions(frame, schema.feature_columns(frame), models.Logistic).persist()
-    w = ts.spec()
-    wide = long_enough.select("series_id", "date", F.lead("return", 1).over(w).alias("next_return"), *[ts.pct_change("price", k, w).alias(f"m{k}") for k in lookbacks])
-    cells = F.array(*[F.struct(F.lit(k).alias("lookback"), F.signum(f"m{k}").alias("position"), F.lit(float(c)).alias("cost")) for k in lookbacks for c in costs[:3]])
-    keys = ["series_id", "lookback", "cost"]
-    grown = wide.select("series_id", "date", "next_return", F.explode(cells).alias("_c")).select("series_id", "date", "next_return", "_c.*").where("position is not null and next_return is not null")
-    net = F.col("position") * F.col("next_return") - ts.diff_abs_or_self("position", ts.spec(keys)) * F.col("cost")
     sized = {"binary": bt.run_backtest(predictions), "vol_target": bt.run_vol_targeted_backtest(predictions)}
     shared = ["series_id", "total_return", "annualised_sharpe", "max_drawdown", "mean_turnover", "active_days"]
     edge = predictions.select("series_id", bt.edge_return().alias("e"))
-    return {
+    made = {
         "skipped": counts.where(F.col("rows") < least_rows), "validation": models.validate("logistic_regression", predictions).metrics,
         "threshold_grid": bt.grid_backtest(predictions, list(thresholds), list(costs)),
-        "lookback_grid": grown.select(*keys, net.alias("_r")).groupBy(*keys).agg(ev.sharpe("_r").alias("sharpe")),
+        "lookback_grid": bt.lookback_grid(long_enough, list(lookbacks), list(costs[:3])),
         "sizing": _union([_tagged(k, bt.backtest_metrics(v).select(*shared), "sizing") for k, v in sized.items()]),
         "kelly": edge.groupBy("series_id").agg(bt.kelly_fraction("e").alias("kelly"), bt.fractional_kelly("e").alias("half_kelly")),
     }
+    return Frames(made, predictions)
 
 
 def figure_data(spark: SparkSession, market: DataFrame, min_train: int = models.MIN_TRAIN, test: int = models.TEST) -> Frames:
     """What four charts show: equity curves, regime spans over the price, the cost heat map, the scree plot."""
     base = baseline_research(market, min_train, test)
     curves = {"strategy": base["ledger"], "buy_and_hold": bt.buy_and_hold(base["predictions"]), "random_signal": bt.random_signal(base["predictions"])}
-    return {
+    made = {
         "equity_curves": _union([_tagged(k, v.select("series_id", "date", "equity")) for k, v in curves.items()]),
         "regime_spans": ts.runs(market, "regime") if "regime" in market.columns else ts.runs(regimes.infer_states(market), "state"),
         "cost_heatmap": bt.grid_backtest(base["predictions"], [0.50, 0.52, 0.54, 0.56, 0.58], [0.0, 0.0002, 0.0005, 0.001]).select("series_id", "threshold", "cost", "annualised_sharpe"),
         "scree": portfolio_research(spark)["scree"],
     }
+    return Frames(made, *base.held)
 
 
 def dashboard_run(spark: SparkSession, n_days: int = 2500, seed: int = 7, threshold: float = 0.54, cost: float = 0.0002) -> Frames:
@@ -172,7 +182,8 @@ def dashboard_run(spark: SparkSession, n_days: int = 2500, seed: int = 7, thresh
     market = simulate.simulate_market(spark, n_days, seed).persist()
     base = baseline_research(market.drop("regime"), threshold=threshold, cost=cost)
     found = regimes.detect_regimes(market)
-    return {
+    made = {
         **{k: base[k] for k in ("validation", "metrics", "ledger")}, "recent": base["ledger"].orderBy(F.desc("date")).limit(100),
         "regime_counts": market.groupBy("regime").count(), "regime_scores": found["scores"], "confusion": found["confusion"],
     }
+    return Frames(made, market, *base.held)

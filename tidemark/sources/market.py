@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +76,14 @@ def load_panel(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parque
     return out
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder name under ``spark.checkpoint.dir``; under a temporary folder where that is unset, which only local mode may do."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
 def business_days(spark: SparkSession, start: str, n: int) -> DataFrame:
     """(t, date): the first n weekdays from a date on; holidays are not modelled."""
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.date_add(F.to_date(F.lit(start)), n * 7 // 5 + 7))).alias("date"))
@@ -126,12 +136,6 @@ def hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("date").agg((F.sum("value").cast("double") / F.count("value")).alias("value")).select(F.lit("EVENTS").alias("series_id"), "date", "value")
 
 
-def embedding_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """t (vector), asset (dimension), r (value as double)."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.posexplode("embedding").alias("asset", "r"))
-    return rows.select("t", "asset", F.col("r").cast("double").alias("r"))
-
-
 def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """score, target: document length against its quality label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
