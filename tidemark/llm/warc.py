@@ -7,11 +7,13 @@ their concurrent-to identifiers and emits one nested row for each capture.
 
 Defined cases: a null payload is an empty one; a null id or address gives a
 record without that header, and reads back as null; payloads may hold any
-characters, record separators included; records with equal identifiers (from
-fully repeated rows) are paired one by one in order, so no row is lost or
-multiplied; records that nothing answers give a capture with null parts; an
-empty table gives an empty result; unknown record types and headers are kept by
-the reader; a file that breaks off inside a record raises an error.
+characters, record separators included; records that repeat an identifier (from
+fully repeated rows) are repeats of one record, and a capture is emitted as often
+as its most frequent part stands in the archives; records that nothing answers
+give a capture with null parts; ties of equal payloads and ids go to the smaller
+hash of the row; an empty table gives an empty result; other columns are not
+read; unknown record types and headers are kept by the reader; a file that breaks
+off inside a record, and a revisit that differs from its response, raise an error.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import hashlib
 import io
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-VERSION, DATE, FILE_RECORDS = "WARC/1.1", "2024-01-01T00:00:00Z", 2000
+VERSION, DATE, FILE_RECORDS, LARGE = "WARC/1.1", "2024-01-01T00:00:00Z", 2000, 256 << 10
 _LINE = "\r\n"
 
 
@@ -75,27 +77,30 @@ def _one_line(value: Column) -> Column:
     return F.regexp_replace(value, "[\\r\\n]+", " ")
 
 
-def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, digest, tie, first (struct page, tie): the record with the smallest id of those with an equal payload of least_bytes or more."""
+def _page_rows(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("tie", F.xxhash64("page_id", "url", "html"))
-    n_pages = pages.count()
-    salts = common.salts_for(n_pages)
+    return rows.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("tie", F.xxhash64("page_id", "url", "html"))
+
+
+def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> tuple[DataFrame, int]:
+    """(rows, bytes of the largest payload). Rows: page_id, url, html, sha1, tie, first (struct page, tie): the record with the smallest id of those with an equal payload of least_bytes or more."""
+    rows = _page_rows(pages, page_id, url, html)
     key = F.struct(F.col("page_id").isNull().alias("no_page"), F.col("page_id").alias("page_id"), F.col("tie").alias("tie"))
     # One scan makes identifiers and digests; they are written, as both sides of the join read them.
-    small = common.written(rows.select("page_id", "tie", "sha1", F.octet_length("html").alias("n")), "page-digests").withColumn("key", key)
+    digests = rows.select("page_id", "tie", "sha1", F.octet_length("html").cast("long").alias("n"))
+    digests, seen = common.measured(digests, "page-digests", pages=F.count(F.lit(1)), largest=F.max("n"))
     # Only identifiers and digests meet by payload; pages are not shuffled with their text.
-    met = common.with_group_stats(small.where(F.col("n") >= least_bytes), ["sha1", "n"], {"first": ("min", F.col("key")), "group": ("count", F.lit(1))}, F.pmod(F.col("tie"), F.lit(salts)))
-    later = met.where("group > 1 and not (first <=> key)").select("tie", "first").distinct()
-    bits = common.filter_bits(max(1, n_pages), 16)
-    later = common.written(later, "revisits")
+    salt = F.pmod(F.col("tie"), F.lit(common.salts_for(seen["pages"])))
+    met = common.with_group_stats(digests.withColumn("key", key).where(F.col("n") >= least_bytes), ["sha1", "n"], {"first": ("min", F.col("key")), "group": ("count", F.lit(1))}, salt)
+    later = common.written(met.where("group > 1 and not (first <=> key)").select("tie", "first").distinct(), "revisits")
+    bits = common.filter_bits(max(1, seen["pages"]), 16)
     bitmaps = common.bloom_of(later, "tie", bits, "revisit-keys")
     one, two = common.cells(F.col("tie"), bits)
     probed = common.probe(rows.withColumns({"c1": one, "c2": two}), ["c1", "c2"], bitmaps, "maybe").drop("c1", "c2")
     alone = probed.where("not maybe").withColumn("first", F.lit(None).cast(met.schema["first"].dataType))
     joined = probed.where("maybe").join(later, "tie", "left")
     names = ["page_id", "url", "html", "sha1", "tie", "first"]
-    return alone.select(*names).unionByName(joined.select(*names))
+    return alone.select(*names).unionByName(joined.select(*names)), seen["largest"]
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -127,9 +132,24 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Writes the records of ``with_revisits`` rows as .gz archives of at most ``file_records`` records each."""
-    records(pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", file_records).text(path)
+def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, large: int = LARGE, largest: int | None = None) -> None:
+    """Writes the records of ``with_revisits`` rows as .gz archives under ``path``.
+
+    Archives have at most ``file_records`` records, and those of payloads over
+    ``large`` bytes one capture each, so an archive's size is bounded by
+    ``file_records`` times ``large`` or by one page. ``largest``: bytes of the largest
+    payload; where it says that no payload is large, the pass that looks for them is left out.
+    """
+
+    def put(rows: DataFrame, part: str, most: int) -> None:
+        out = records(rows).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+        out.option("maxRecordsPerFile", most).text(f"{path}/{part}")
+
+    if largest is not None and largest <= large:
+        put(pages, "pages", file_records)
+        return
+    put(pages.where(F.octet_length("html") <= large), "pages", file_records)
+    put(pages.where(F.octet_length("html") > large), "large", 3)
 
 
 # --- reading ----------------------------------------------------------------
@@ -206,7 +226,7 @@ def http_payload(block: bytes) -> bytes:
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """One row for each record of the archives under a path (plain or gzip, also one member for each record)."""
     common.small_batches(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     kinds = [pa.string()] * 8 + [pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string(), pa.int64()]
     names = [x.split()[0] for x in RECORD.split(", ")]
 
@@ -240,44 +260,65 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
 def assemble(found: DataFrame) -> DataFrame:
     """One row for each capture: capture_id, target_uri, and nested request, response and metadata (null where none)."""
+    whole = _transactions(found)
+    return whole.withColumn("_turn", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "_turn")
+
+
+def _transactions(found: DataFrame) -> DataFrame:
+    """The captures of ``assemble``, each once with the ``times`` that it stands in the archives.
+
+    One pass over the records: those that name the same capture meet in an
+    aggregate, which keeps one of each part for a task before the shuffle.
+    """
     parts = ["record_type", "record_id", "refers_to", "warc_date", "content_type", "payload_digest", "headers", "payload", "payload_bytes", "payload_sha1"]
-    base = found.select(F.when(F.col("record_type").isin("response", "revisit"), F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id")).alias("capture_id"), "target_uri", "seq", *parts)
+    kind = F.when(F.col("record_type").isin("response", "revisit"), F.lit("response")).otherwise(F.col("record_type"))
+    capture = F.when(kind == "response", F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
+    rows = found.select(capture.alias("capture_id"), kind.alias("kind"), F.struct("target_uri", *parts).alias("part")).where(F.col("kind").isin("request", "response", "metadata"))
+    one = [F.first(F.when(F.col("kind") == k, F.col("part")), ignorenulls=True).alias(k) for k in ("request", "response", "metadata")]
+    times = F.greatest(*[F.count_if(F.col("kind") == k) for k in ("request", "response", "metadata")]).cast("int")
+    made = rows.groupBy("capture_id").agg(*one, times.alias("times"))
+    uri = F.coalesce("response.target_uri", "request.target_uri", "metadata.target_uri")
+    return made.select("capture_id", uri.alias("target_uri"), *[F.col(k).dropFields("target_uri").alias(k) for k in ("request", "response", "metadata")], "times")
 
-    def of(kinds: list[str], name: str) -> DataFrame:
-        mine = base.where(F.col("record_type").isin(*kinds))
-        turn = F.row_number().over(Window.partitionBy("capture_id").orderBy("seq"))
-        return mine.select("capture_id", turn.alias("turn"), F.col("target_uri").alias(f"{name}_uri"), F.struct(*parts).alias(name))
 
-    out = of(["response", "revisit"], "response")
-    for kind in ("request", "metadata"):
-        out = out.join(of([kind], kind), ["capture_id", "turn"], "full_outer")
-    return out.select("capture_id", F.coalesce("response_uri", "request_uri", "metadata_uri").alias("target_uri"), "request", "response", "metadata")
+def _archived(pages: DataFrame, page_id: str, url: str, html: str, least_bytes: int) -> DataFrame:
+    """The records of the pages' archives, written to the shared folder and read back without their payloads."""
+    path = common.new_path(pages.sparkSession, "warc")
+    rows, largest = with_revisits(pages, page_id, url, html, least_bytes)
+    write(rows, path, largest=largest)
+    return read(pages.sparkSession, path, with_payload=False)
 
 
 def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """Writes every page to archives in the shared folder, reads them back and assembles the captures."""
-    spark = pages.sparkSession
-    path = common.new_path(spark, "warc")
-    write(with_revisits(pages, page_id, url, html, least_bytes), path)
-    return assemble(read(spark, path, with_payload=False))
+    return assemble(_archived(pages, page_id, url, html, least_bytes))
 
 
 def capture_digests(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives.
 
-    Size and digest of a revisit, whose payload is not stored, are those its metadata and its digest header state.
+    A revisit's payload stands in the response that it refers to: size and
+    digest are those of that payload as read back. A revisit whose response is
+    missing, or whose digest or length header differs from it, raises an error.
     """
-    made = captures(pages, page_id, url, html, least_bytes)
-    kind = F.col("response.record_type")
-    stored = kind == "response"
-    return made.select(
-        page_of(F.col("capture_id")).alias("page_id"),
-        F.when(stored, F.col("response.payload_bytes")).otherwise(F.col("metadata.headers")["payload-length"].cast("long")).alias("payload_bytes"),
-        F.when(stored, F.col("response.payload_sha1")).otherwise(F.regexp_replace("response.payload_digest", "^sha1:", "")).alias("payload_digest"),
-        kind.alias("record_type"),
-        F.when(kind == "revisit", page_of(F.col("response.refers_to"))).alias("refers_to"),
-    )
-
+    made = _transactions(_archived(pages, page_id, url, html, least_bytes))
+    facts = common.written(
+        made.select(
+            "capture_id", "times", F.col("response.record_type").alias("kind"), F.col("response.refers_to").alias("refers_to"), F.col("response.payload_bytes").alias("payload_bytes"),
+            F.col("response.payload_sha1").alias("payload_digest"), F.regexp_replace("response.payload_digest", "^sha1:", "").alias("stated"), F.col("metadata.headers")["payload-length"].cast("long").alias("stated_bytes"),
+        ),
+        "captures",
+    )
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    plain = facts.where("kind = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    # Both sides are plain scans, so that a response that very many revisits refer to can be split.
+    target = facts.where("kind = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))
+    again = facts.where("kind = 'revisit'").drop("payload_bytes", "payload_digest").join(target, "refers_to", "left")
+    right = (F.col("digest") == F.col("stated")) & (F.col("bytes") == F.col("stated_bytes"))
+    checked = F.when(right, F.col("bytes")).otherwise(F.raise_error(F.lit("a revisit differs from the response that it refers to")).cast("long"))
+    again = again.select("capture_id", "times", "kind", checked.alias("payload_bytes"), F.col("digest").alias("payload_digest"), page_of(F.col("refers_to")).alias("refers_to"))
+    both = plain.select("capture_id", "times", "kind", "payload_bytes", "payload_digest", "refers_to").unionByName(again)
+    return both.withColumn("_turn", F.explode(F.sequence(F.lit(1), "times"))).select(page_of(F.col("capture_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to").select(*names)
 
 
 _BASE32_SQL = " || ".join(
