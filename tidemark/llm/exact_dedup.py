@@ -24,38 +24,39 @@ from tidemark.llm import common
 _P = "_dedup_"
 
 
-def _flagged(docs: DataFrame, text: str, bits_per_row: int, expected_rows: int | None, normalise) -> DataFrame:
-    """``docs`` with ``_dedup_text`` and the boolean ``_dedup_maybe``: its hash is possibly repeated."""
-    rows = docs.count() if expected_rows is None else expected_rows
+def _flagged(docs: DataFrame, hashed: str, rows: int, bits_per_row: int) -> DataFrame:
+    """``docs`` with the boolean ``_dedup_maybe``: the 64-bit hash in the column ``hashed`` is possibly repeated."""
     bits = common.filter_bits(rows, bits_per_row)
-    whole = normalise(F.coalesce(F.col(text), F.lit("")))
     repeated = (
-        docs.select(F.explode(F.array(*common.cells(F.xxhash64(whole), bits))).alias("cell"))
+        docs.select(F.explode(F.array(*common.cells(F.col(hashed), bits))).alias("cell"))
         .groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     )
     bitmaps = common.bitmap_table(repeated, "repeated-cells")
-    one, two = common.cells(F.xxhash64(F.col(_P + "text")), bits)
-    with_cells = docs.withColumn(_P + "text", whole).withColumns({_P + "c1": one, _P + "c2": two})
-    return common.probe(with_cells, [_P + "c1", _P + "c2"], bitmaps, _P + "maybe").drop(_P + "c1", _P + "c2")
+    one, two = common.cells(F.col(hashed), bits)
+    probed = common.probe(docs.withColumns({_P + "c1": one, _P + "c2": two}), [_P + "c1", _P + "c2"], bitmaps, _P + "maybe")
+    return probed.drop(_P + "c1", _P + "c2")
 
 
 def mark_copies(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits_per_row: int = 16,
     expected_rows: int | None = None, normalise=lambda c: c,
 ) -> DataFrame:
-    """Every row's id with ``keep_id, group_size, kept, text_sha256``. ``normalise``: a Column to Column function of the text."""
-    rows = docs.count() if expected_rows is None else expected_rows
-    plain = docs.select(F.col(common.quoted(text)).alias("text"), F.col(common.quoted(doc_id)).alias("doc_id"))
-    flagged = _flagged(plain, "text", bits_per_row, rows, normalise)
-    flagged = flagged.select("doc_id", F.sha2(F.col(_P + "text"), 256).alias("text_sha256"), _P + "maybe")
+    """Every row's id with ``keep_id, group_size, kept, text_sha256``. ``normalise``: a Column to Column function of the text.
+
+    The texts are scanned once, for ids and hashes, which are written; both passes work on those.
+    """
+    whole = normalise(F.coalesce(F.col(common.quoted(text)), F.lit("")))
+    digests = docs.select(F.col(common.quoted(doc_id)).alias("doc_id"), F.xxhash64(whole).alias("hash"), F.sha2(whole, 256).alias("text_sha256"))
+    digests, seen = common.measured(digests, "text-digests", rows=F.count(F.lit(1)))
+    rows = seen["rows"] if expected_rows is None else expected_rows
+    flagged = _flagged(digests, "hash", rows, bits_per_row).select("doc_id", "text_sha256", _P + "maybe")
     alone = flagged.where(~F.col(_P + "maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
+    # The few rows that may have an equal are written, as both sides of their join read them.
+    met = common.written(flagged.where(_P + "maybe").select("doc_id", "text_sha256"), "maybe-copies")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(common.salts_for(rows)))
-    met = common.with_group_stats(
-        flagged.where(_P + "maybe").select("doc_id", "text_sha256"), ["text_sha256"],
-        {"keep_id": ("max", F.col("doc_id")), "group_size": ("count", F.lit(1))}, salt,
-    )
+    met = common.with_group_stats(met, ["text_sha256"], {"keep_id": ("max", F.col("doc_id")), "group_size": ("count", F.lit(1))}, salt)
     return alone.unionByName(met.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
@@ -69,12 +70,13 @@ def drop_copies(
     aggregate that keeps one row for each task and text before the shuffle.
     """
     rows = docs.count() if expected_rows is None else expected_rows
-    packed = common.packed(docs, id=F.col(common.quoted(doc_id)), text=F.col(common.quoted(text)))
-    flagged = _flagged(packed, "text", bits_per_row, rows, normalise)
+    whole = normalise(F.coalesce(F.col(common.quoted(text)), F.lit("")))
+    packed = common.packed(docs, id=F.col(common.quoted(doc_id)), text=whole, hash=F.xxhash64(whole))
+    flagged = _flagged(packed, "hash", rows, bits_per_row)
     alone = flagged.where(~F.col(_P + "maybe")).select("_row")
     best = (
         flagged.where(_P + "maybe")
-        .groupBy(F.sha2(F.col(_P + "text"), 256).alias("sha"))
+        .groupBy(F.sha2("text", 256).alias("sha"))
         .agg(F.max_by("_row", F.struct(F.col("id").isNotNull(), F.col("id"))).alias("_row"))
         .select("_row")
     )
