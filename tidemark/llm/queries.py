@@ -13,6 +13,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence, n_passages. Null and empty texts score as without evidence; empty tables give no row."""
     docs = _documents(spark, sf_dir)
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
@@ -26,14 +27,17 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit. A null text counts as empty; repeated rows count each."""
     return token_counts.token_counts(_documents(spark, sf_dir))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row. A null text counts as empty; rows that repeat id and text are kept or not together."""
     return exact_dedup.mark_copies(_documents(spark, sf_dir))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sizes and digests of each text stored as an image and read back, its feature and its NPY tile. A null text is an empty one."""
     return media.text_media(_documents(spark, sf_dir))
 
 
@@ -49,18 +53,22 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece. A null text has the end id alone; repeated rows are packed each."""
     return packing.pack(_documents(spark, sf_dir))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256. A null text has no ids; repeated rows are encoded each."""
     return bpe.encode_digests(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to. A null payload is an empty one; repeated rows give a row each."""
     return warc.capture_digests(common.table(spark, sf_dir, "pages"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, lang_set. Texts that are null or have no letter are ``und``; ties go to the first language by name."""
     docs = _documents(spark, sf_dir)
     model = langid.train_on(docs)
     found = langid.predict(docs.select("doc_id", "text"), model)
@@ -79,4 +87,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_langid": op10_langid,
 }
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+ORACLES = {"op2_ngram_join": ngram_join.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
