@@ -15,7 +15,7 @@ from tidemark.llm import common, exact_dedup, langid, ngram_join, packing, toxic
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any identified language go."""
+    """Documents go that have no letter, or whose mixture no language leads: the largest proportion of their language set is under a half."""
     model = langid.train_on(common.table(spark, sf_dir, "documents"))
     return langid.drop_unidentified(docs, model)
 
@@ -54,8 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written to the shared folder before the next reads it."""
+    """All stages on ``documents``, each written to the shared folder before the next reads it; a stage's table goes once the next one is written."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), name)
+        common.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
