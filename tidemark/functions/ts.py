@@ -89,6 +89,16 @@ def average_rank(c: Column | str, by: Sequence[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(name)) + (ties - 1) / 2.0
 
 
+def uniform(part: int, seed: int, *key: str) -> Column:
+    """A uniform draw in (0, 1) from 52 bits of the MD5 of the seed and the key's columns; ``part`` 0 and 1 are independent.
+
+    It depends on the row's key alone, not on partitions, and any SQL engine can draw the same.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
+    bits = F.conv(F.substring(digest, 1 + 13 * part, 13), 16, 10).cast("long").cast("double")
+    return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
 def row_index(by: Sequence[str] = KEYS, order: str = "date") -> Column:
     """0-based position within the group."""
     return (F.row_number().over(spec(by, order)) - 1).cast("int")

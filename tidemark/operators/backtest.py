@@ -89,8 +89,7 @@ def buy_and_hold(predictions: DataFrame, transaction_cost: float = 0.0002, by=ts
 
 def random_signal(predictions: DataFrame, transaction_cost: float = 0.0002, seed: int = 0, by=ts.KEYS, order: str = "date") -> DataFrame:
     """Ledger of uniform probabilities, drawn by a hash of seed and row key."""
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *by, order), 11).cast("double") + 0.5) / float(1 << 53)
-    return run_backtest(predictions.withColumn("probability", draw), transaction_cost=transaction_cost, by=by, order=order)
+    return run_backtest(predictions.withColumn("probability", ts.uniform(0, seed, *by, order)), transaction_cost=transaction_cost, by=by, order=order)
 
 
 # --- aggregates -------------------------------------------------------------

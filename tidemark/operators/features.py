@@ -60,11 +60,7 @@ def regime_transition_signal(posteriors: DataFrame, out: str = "alpha_regime_tra
 
 def placebo_signal(frame: DataFrame, seed: int = 0, out: str = "alpha_placebo", by=ts.KEYS, order: str = "date") -> DataFrame:
     """Standard normal draws by a hash of seed and row key: independent of values, partitions and row order."""
-    def uniform(salt: int):
-        h = F.xxhash64(F.lit(seed), F.lit(salt), *by, order)
-        return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
-
-    normal = F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(uniform(2) * 6.283185307179586)
+    normal = F.sqrt(-2.0 * F.log(ts.uniform(0, seed, *by, order))) * F.cos(ts.uniform(1, seed, *by, order) * 6.283185307179586)
     return frame.withColumn(out, normal)
 
 

@@ -34,6 +34,18 @@ def _paths(spark: SparkSession, n_paths: int, one: Callable[[np.random.Generator
     return spark.range(first, first + n_paths, numPartitions=parts).mapInPandas(work, f"path_id long, {schema}")
 
 
+def _driven(shocks: DataFrame, one: Callable[..., dict], names: tuple[str, ...], schema: str) -> DataFrame:
+    """Rows of every path from given shocks (path_id, step from 1, the named columns) in place of drawn ones."""
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("step")
+        made = pd.DataFrame(one(*[frame[c].to_numpy(float) for c in names]))
+        made.insert(0, "path_id", frame["path_id"].iloc[0])
+        return made
+
+    return shocks.select("path_id", "step", *names).groupBy("path_id").applyInPandas(work, f"path_id long, {schema}")
+
+
 def _states(rng: np.random.Generator, transition: np.ndarray, n: int, first: int = 0) -> np.ndarray:
     """A Markov chain by inverse transform of one uniform for each step."""
     steps = np.cumsum(transition, axis=1)
@@ -94,8 +106,8 @@ def ou_stationary_variance(kappa: float, sigma: float) -> float:
     return sigma**2 / (2 * kappa)
 
 
-def simulate_ou(spark: SparkSession, kappa: float, theta: float, sigma: float, x0: float, T: float, n_steps: int, seed: int | None = None, scheme: str = "exact", n_paths: int = 1) -> DataFrame:
-    """path_id, step, t, x, by the exact transition law or by Euler steps: both are linear recursions x' = c + a x + b z."""
+def simulate_ou(spark: SparkSession, kappa: float, theta: float, sigma: float, x0: float, T: float, n_steps: int, seed: int | None = None, scheme: str = "exact", n_paths: int = 1, shocks: DataFrame | None = None) -> DataFrame:
+    """path_id, step, t, x, by the exact transition law or by Euler steps: both are linear recursions x' = c + a x + b z. ``shocks``: (path_id, step from 1, z)."""
     dt = T / n_steps
     if scheme == "exact":
         a = float(np.exp(-kappa * dt))
@@ -105,15 +117,17 @@ def simulate_ou(spark: SparkSession, kappa: float, theta: float, sigma: float, x
     else:
         raise ValueError(f"unknown scheme: {scheme}")
 
-    def one(rng: np.random.Generator) -> dict:
-        z = rng.standard_normal(n_steps)
+    def path(z: np.ndarray) -> dict:
         x = np.empty(n_steps + 1)
         x[0] = x0 - theta
         for k in range(n_steps):
             x[k + 1] = a * x[k] + b * z[k]
         return {"step": np.arange(n_steps + 1), "t": np.linspace(0.0, T, n_steps + 1), "x": x + theta}
 
-    return _paths(spark, n_paths, one, "step int, t double, x double", seed)
+    schema = "step int, t double, x double"
+    if shocks is not None:
+        return _driven(shocks, path, ("z",), schema)
+    return _paths(spark, n_paths, lambda rng: path(rng.standard_normal(n_steps)), schema, seed)
 
 
 def estimate_ou(df: DataFrame, x: str, dt: float, by=("path_id",), order: str = "step") -> DataFrame:
@@ -133,13 +147,12 @@ def estimate_ou(df: DataFrame, x: str, dt: float, by=("path_id",), order: str =
     )
 
 
-def simulate_heston(spark: SparkSession, mu: float, kappa: float, theta: float, xi: float, rho: float, s0: float, v0: float, T: float, n_steps: int, seed: int | None = None, n_paths: int = 1) -> DataFrame:
-    """path_id, step, t, price, variance: full-truncation Euler; the reported variance is never negative."""
+def simulate_heston(spark: SparkSession, mu: float, kappa: float, theta: float, xi: float, rho: float, s0: float, v0: float, T: float, n_steps: int, seed: int | None = None, n_paths: int = 1, shocks: DataFrame | None = None) -> DataFrame:
+    """path_id, step, t, price, variance: full-truncation Euler; the reported variance is never negative. ``shocks``: (path_id, step from 1, z1, z2)."""
     dt = T / n_steps
 
-    def one(rng: np.random.Generator) -> dict:
-        z = rng.standard_normal((2, n_steps)) * dt**0.5
-        dv, ds = z[0], rho * z[0] + (1 - rho * rho) ** 0.5 * z[1]
+    def path(z1: np.ndarray, z2: np.ndarray) -> dict:
+        dv, ds = z1 * dt**0.5, (rho * z1 + (1 - rho * rho) ** 0.5 * z2) * dt**0.5
         v = np.empty(n_steps + 1)
         v[0] = v0
         for k in range(n_steps):
@@ -149,7 +162,10 @@ def simulate_heston(spark: SparkSession, mu: float, kappa: float, theta: float,
         log_s = np.log(s0) + np.concatenate(([0.0], np.cumsum((mu - 0.5 * up[:-1]) * dt + np.sqrt(up[:-1]) * ds)))
         return {"step": np.arange(n_steps + 1), "t": np.linspace(0.0, T, n_steps + 1), "price": np.exp(log_s), "variance": up}
 
-    return _paths(spark, n_paths, one, "step int, t double, price double, variance double", seed)
+    schema = "step int, t double, price double, variance double"
+    if shocks is not None:
+        return _driven(shocks, path, ("z1", "z2"), schema)
+    return _paths(spark, n_paths, lambda rng: path(*rng.standard_normal((2, n_steps))), schema, seed)
 
 
 def feller_condition(kappa, theta, xi):
@@ -157,19 +173,22 @@ def feller_condition(kappa, theta, xi):
     return 2 * kappa * theta > xi * xi
 
 
-def simulate_merton(spark: SparkSession, mu: float, sigma: float, jump_intensity: float, jump_mean: float, jump_std: float, s0: float, T: float, n_steps: int, seed: int | None = None, n_paths: int = 1) -> DataFrame:
-    """path_id, step, t, price, jumps: jump diffusion whose drift makes up for the jumps' mean."""
+def simulate_merton(spark: SparkSession, mu: float, sigma: float, jump_intensity: float, jump_mean: float, jump_std: float, s0: float, T: float, n_steps: int, seed: int | None = None, n_paths: int = 1, shocks: DataFrame | None = None) -> DataFrame:
+    """path_id, step, t, price, jumps: jump diffusion whose drift makes up for the jumps' mean. ``shocks``: (path_id, step from 1, jumps, size, z), size and z standard normal."""
     dt = T / n_steps
     drift = (mu - 0.5 * sigma**2 - jump_intensity * (np.exp(jump_mean + 0.5 * jump_std**2) - 1)) * dt
 
-    def one(rng: np.random.Generator) -> dict:
-        jumps = rng.poisson(jump_intensity * dt, n_steps)
+    def path(jumps: np.ndarray, size: np.ndarray, z: np.ndarray) -> dict:
+        jumps = jumps.astype(np.int64)
         # A sum of n normal jumps is normal with n times mean and variance.
-        sizes = jumps * jump_mean + np.sqrt(jumps) * jump_std * rng.standard_normal(n_steps)
-        steps = drift + sigma * dt**0.5 * rng.standard_normal(n_steps) + sizes
+        sizes = jumps * jump_mean + np.sqrt(jumps) * jump_std * size
+        steps = drift + sigma * dt**0.5 * z + sizes
         return {"step": np.arange(n_steps + 1), "t": np.linspace(0.0, T, n_steps + 1), "price": s0 * np.exp(np.concatenate(([0.0], np.cumsum(steps)))), "jumps": np.concatenate(([0], jumps))}
 
-    return _paths(spark, n_paths, one, "step int, t double, price double, jumps long", seed)
+    schema = "step int, t double, price double, jumps long"
+    if shocks is not None:
+        return _driven(shocks, path, ("jumps", "size", "z"), schema)
+    return _paths(spark, n_paths, lambda rng: path(rng.poisson(jump_intensity * dt, n_steps), *rng.standard_normal((2, n_steps))), schema, seed)
 
 
 def generator_of(daily_transition: np.ndarray, dt_day: float = 1.0) -> np.ndarray:

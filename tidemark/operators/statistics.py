@@ -35,14 +35,10 @@ def resample_index(df: DataFrame, replicates: int, mean_block: float, seed: int,
     grid = df.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).where("n > 0")
     # Replicates are dealt out before they are multiplied into rows.
     grid = grid.repartition(*by, "replicate").select(*by, "n", "replicate", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
-    key = F.xxhash64(F.lit(seed), *by, "replicate", "i")
-
-    def uniform(salt: int) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 11).cast("double") / float(1 << 53)
-
-    starts = (F.col("i") == 0) | (uniform(1) < 1.0 / mean_block)
+    key = [*by, "replicate", "i"]
+    starts = (F.col("i") == 0) | (ts.uniform(0, seed, *key) < 1.0 / mean_block)
     w = Window.partitionBy(*by, "replicate").orderBy("i")
-    start = F.when(starts, F.struct(F.floor(uniform(2) * F.col("n")).alias("at"), F.col("i").alias("i")))
+    start = F.when(starts, F.struct(F.floor(ts.uniform(1, seed, *key) * F.col("n")).alias("at"), F.col("i").alias("i")))
     last = F.last(start, ignorenulls=True).over(w)
     return grid.select(*by, "n", "replicate", "i", last.alias("_b")).select(*by, "replicate", "i", F.pmod(F.col("_b.at") + F.col("i") - F.col("_b.i"), F.col("n")).cast("int").alias("source"))
 

@@ -6,6 +6,7 @@ orders do not count.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -217,9 +218,17 @@ def signal_vol_managed(spark, sf_dir):
     return rounded(ft.vol_managed_signal(market.daily_series(spark, sf_dir)).select("series_id", "date", "alpha_vol_managed"))
 
 
-@query()
+def _uniform(part: int, seed: int, *key: str) -> str:
+    """The draw of ``ts.uniform`` in SQL."""
+    return f"((('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(key)})), {1 + 13 * part}, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / {1 << 52}::DOUBLE"
+
+
+_DAY = "CAST(date AS VARCHAR)"
+
+
+@query(f"""WITH {DAILY} SELECT 'ALL' AS series_id, date, {r(f"sqrt(-2 * ln({_uniform(0, 3, chr(39) + 'ALL' + chr(39), _DAY)})) * cos(({_uniform(1, 3, chr(39) + 'ALL' + chr(39), _DAY)}) * 6.283185307179586::DOUBLE)", 'alpha_placebo')} FROM daily""")
 def signal_placebo(spark, sf_dir):
-    return ft.placebo_signal(market.daily_series(spark, sf_dir), seed=3).select("series_id", "date", "alpha_placebo")
+    return rounded(ft.placebo_signal(market.daily_series(spark, sf_dir), seed=3).select("series_id", "date", "alpha_placebo"))
 
 
 @query()
@@ -390,7 +399,7 @@ def buy_and_hold(spark, sf_dir):
     return metric_row(bt.backtest_metrics(bt.buy_and_hold(_predictions(spark, sf_dir))))
 
 
-@query()
+@query(f"""WITH {PREDICTIONS}, drawn AS (SELECT date, {_uniform(0, 0, "'ALL'", _DAY)} AS probability, next_return FROM predictions), {_ledger('drawn', _position(UP))} SELECT 'ALL' AS series_id, {METRICS}, {r('avg(CAST(position <> 0 AS DOUBLE))', 'active_days', 6)} FROM ledger""")
 def random_signal(spark, sf_dir):
     return metric_row(bt.backtest_metrics(bt.random_signal(_predictions(spark, sf_dir), seed=0)))
 
@@ -702,14 +711,24 @@ def date_align(spark, sf_dir):
     return rounded(orders.join(market.daily_series(spark, sf_dir).drop("series_id"), "date", "left").select("o_orderkey", "date", "price", "return"))
 
 
-@query()
+_DRAWS = f"""counted AS (SELECT count(*) AS n FROM ledger),
+drawn AS (SELECT k.range AS rep, i.range AS i, n, {_uniform(0, 0, "'ALL'", "k.range", "i.range")} AS u0, {_uniform(1, 0, "'ALL'", "k.range", "i.range")} AS u1 FROM counted, range(2000) k, range((SELECT n FROM counted)) i),
+started AS (SELECT rep, i, n, last_value(CASE WHEN i = 0 OR u0 < 0.05::DOUBLE THEN floor(u1 * n)::BIGINT - i END IGNORE NULLS) OVER (PARTITION BY rep ORDER BY i ROWS UNBOUNDED PRECEDING) AS ahead FROM drawn),
+source AS (SELECT row_number() OVER (ORDER BY date) - 1 AS place, strategy_return AS x, strategy_return - avg(strategy_return) OVER () AS c FROM ledger),
+resampled AS (SELECT rep, x, c FROM started JOIN source ON place = (ahead + i) % n)"""
+_POP_SHARPE = "CASE WHEN stddev_pop({0}) = 0 THEN 0 ELSE sqrt(252) * avg({0}) / stddev_pop({0}) END"
+
+
+@query(f"""WITH {PREDICTIONS}, {_ledger('predictions', _position(UP))}, {_DRAWS}, v AS (SELECT {_POP_SHARPE.format('x')} AS v FROM resampled GROUP BY rep)
+SELECT 'ALL' AS series_id, (SELECT round({_POP_SHARPE.format('strategy_return')}, 6) FROM ledger) + 0.0 AS point, {r('quantile_cont(v, 0.05)', 'lower', 6)}, {r('quantile_cont(v, 0.95)', 'upper', 6)} FROM v""")
 def bootstrap_ci(spark, sf_dir):
-    return st.block_bootstrap_ci(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", bt.annualized_sharpe)
+    return rounded(st.block_bootstrap_ci(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", bt.annualized_sharpe), 6)
 
 
-@query()
+@query(f"""WITH {PREDICTIONS}, {_ledger('predictions', _position(UP))}, {_DRAWS}, v AS (SELECT avg(c) AS v FROM resampled GROUP BY rep), o AS (SELECT avg(strategy_return) AS o FROM ledger)
+SELECT 'ALL' AS series_id, {r('any_value(o)', 'observed')}, {r('avg(CAST(abs(v) >= abs(o) AS DOUBLE))', 'p_value')} FROM v, o""")
 def bootstrap_p(spark, sf_dir):
-    return st.bootstrap_p_value(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return")
+    return rounded(st.bootstrap_p_value(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return"))
 
 
 @query()
@@ -898,6 +917,142 @@ def panel_moments(spark, sf_dir):
     return rounded(spark.createDataFrame([(str(a), data.n_obs, float(m), float(v)) for a, m, v in zip(names, data.mean, std, strict=True)], "asset string, n long, mean double, std double"))
 
 
+# --- simulators driven by given shocks, small matrices, files ----------------
+
+_SHOCKS = """shocks AS (SELECT p.range AS path_id, s.range AS step, round(sin((s.range * (p.range + 1))::DOUBLE), 9) AS z, round(cos((s.range * (p.range + 2))::DOUBLE), 9) AS y,
+  CASE WHEN (s.range * (p.range + 3)) % 7 = 0 THEN 2 WHEN (s.range + p.range) % 5 = 0 THEN 1 ELSE 0 END AS jumps FROM range(4) p, range(1, 101) s)"""
+
+
+def _shocks(spark: SparkSession) -> DataFrame:
+    """Shocks of four paths of 100 steps by a rule that SQL can state."""
+    grid = spark.range(400).select(F.floor(F.col("id") / 100).alias("path_id"), (F.pmod("id", F.lit(100)) + 1).alias("step"))
+    z = F.round(F.sin((F.col("step") * (F.col("path_id") + 1)).cast("double")), 9)
+    y = F.round(F.cos((F.col("step") * (F.col("path_id") + 2)).cast("double")), 9)
+    jumps = F.when(F.pmod(F.col("step") * (F.col("path_id") + 3), F.lit(7)) == 0, 2).when(F.pmod(F.col("step") + F.col("path_id"), F.lit(5)) == 0, 1).otherwise(0)
+    return grid.select("path_id", "step", z.alias("z"), y.alias("y"), jumps.alias("jumps"))
+
+
+_GBM_STEP = {"euler": "1 + 0.05::DOUBLE * dt + 0.2::DOUBLE * dw", "milstein": "1 + 0.05::DOUBLE * dt + 0.2::DOUBLE * dw + 0.5::DOUBLE * 0.04::DOUBLE * (dw * dw - dt)"}
+_GBM = " UNION ALL ".join(f"SELECT '{k}' AS scheme, path_id, step, product({v}) OVER (PARTITION BY path_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS f FROM (SELECT *, z / 10 AS dw, 0.01::DOUBLE AS dt FROM shocks)" for k, v in _GBM_STEP.items())
+
+
+@query(f"WITH {_SHOCKS}, g AS ({_GBM}), a AS (SELECT scheme, path_id, CAST(step AS INTEGER) AS step, 100 * f AS x FROM g UNION ALL SELECT DISTINCT scheme, path_id, 0, 100::DOUBLE FROM g) SELECT scheme, path_id, step, {r('step * 0.01::DOUBLE', 't')}, {r('x', 'x')} FROM a")
+def gbm_from_increments(spark, sf_dir):
+    """Both schemes of geometric Brownian motion on given increments."""
+    noise = _shocks(spark).select("path_id", F.col("step").cast("int").alias("step"), (F.col("z") / 10).alias("dw"))
+    made = [simulate.simulate_gbm(spark, 0.05, 0.2, 100.0, 1.0, 100, scheme=k, increments=noise).select(F.lit(k).alias("scheme"), "*") for k in ("euler", "milstein")]
+    return rounded(made[0].unionByName(made[1]))
+
+
+_OU_A = {"exact": float(math.exp(-3.0 * 0.01)), "euler": 1 - 3.0 * 0.01}
+_OU_B = {"exact": float(math.sqrt(0.25 * (1 - math.exp(-3.0 * 0.01) ** 2) / 6.0)), "euler": 0.5 * 0.01**0.5}
+_OU_PATHS = ", ".join(
+    f"{k} AS (SELECT path_id, 0::BIGINT AS step, -0.5::DOUBLE AS x FROM range(4) t(path_id) UNION ALL SELECT o.path_id, s.step, {_OU_A[k]!r}::DOUBLE * o.x + {_OU_B[k]!r}::DOUBLE * s.z FROM {k} o JOIN shocks s ON s.path_id = o.path_id AND s.step = o.step + 1)"
+    for k in ("exact", "euler")
+)
+
+
+@query("WITH RECURSIVE " + _SHOCKS + ", " + _OU_PATHS + " " + " UNION ALL ".join(f"SELECT '{k}' AS scheme, path_id, CAST(step AS INTEGER) AS step, {r('step * 0.01::DOUBLE', 't')}, {r('x + 1', 'x')} FROM {k}" for k in ("exact", "euler")))
+def ou_from_shocks(spark, sf_dir):
+    """Both schemes of mean reversion on given shocks."""
+    made = [simulate.simulate_ou(spark, 3.0, 1.0, 0.5, 0.5, 1.0, 100, scheme=k, shocks=_shocks(spark)).select(F.lit(k).alias("scheme"), "*") for k in ("exact", "euler")]
+    return rounded(made[0].unionByName(made[1]))
+
+
+_HESTON = f"""WITH RECURSIVE {_SHOCKS}, h AS (SELECT path_id, 0::BIGINT AS step, 0.04::DOUBLE AS v, ln(100::DOUBLE) AS s FROM range(4) t(path_id)
+  UNION ALL SELECT path_id, step, v + 2 * (0.04::DOUBLE - up) * 0.01::DOUBLE + 0.6::DOUBLE * sqrt(up) * z * {0.01**0.5!r}::DOUBLE,
+    s + (0.05::DOUBLE - 0.5::DOUBLE * up) * 0.01::DOUBLE + sqrt(up) * (-0.7::DOUBLE * z + {(1 - 0.49) ** 0.5!r}::DOUBLE * y) * {0.01**0.5!r}::DOUBLE
+  FROM (SELECT h.path_id, k.step, h.v, h.s, greatest(h.v, 0) AS up, k.z, k.y FROM h JOIN shocks k ON k.path_id = h.path_id AND k.step = h.step + 1))
+SELECT path_id, CAST(step AS INTEGER) AS step, {r('step * 0.01::DOUBLE', 't')}, {r('exp(s)', 'price', 7)}, {r('greatest(v, 0)', 'variance')} FROM h"""
+
+
+@query(_HESTON)
+def heston_from_shocks(spark, sf_dir):
+    """Stochastic variance by full truncation on given shocks; some paths reach a variance of zero."""
+    shocks = _shocks(spark).withColumnsRenamed({"z": "z1", "y": "z2"})
+    made = simulate.simulate_heston(spark, 0.05, 2.0, 0.04, 0.6, -0.7, 100.0, 0.04, 1.0, 100, shocks=shocks)
+    return rounded(made.withColumn("price", F.round("price", 7)))
+
+
+_MERTON_DRIFT = (0.05 - 0.5 * 0.04 - 3.0 * (math.exp(-0.05 + 0.5 * 0.01) - 1)) * 0.01
+
+
+@query(f"""WITH {_SHOCKS}, m AS (SELECT path_id, step, jumps, sum({_MERTON_DRIFT!r}::DOUBLE + 0.2::DOUBLE * 0.1::DOUBLE * z + jumps * -0.05::DOUBLE + sqrt(jumps) * 0.1::DOUBLE * y) OVER (PARTITION BY path_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS s FROM shocks)
+SELECT path_id, CAST(step AS INTEGER) AS step, {r('step * 0.01::DOUBLE', 't')}, {r('100 * exp(s)', 'price', 7)}, CAST(jumps AS BIGINT) AS jumps FROM m UNION ALL SELECT path_id, 0, 0, 100, 0 FROM range(4) t(path_id)""")
+def merton_from_shocks(spark, sf_dir):
+    """Jump diffusion on given jumps and shocks: a cumulative sum of steps."""
+    made = simulate.simulate_merton(spark, 0.05, 0.2, 3.0, -0.05, 0.1, 100.0, 1.0, 100, shocks=_shocks(spark).withColumnRenamed("y", "size"))
+    return rounded(made.withColumn("price", F.round("price", 7)))
+
+
+_CHAIN = ", ".join(f"({i}, {j}, {float(simulate.TRANSITION[i][j])!r}::DOUBLE)" for i in range(3) for j in range(3))
+
+
+@query(f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r('p - CAST(i = j AS INTEGER)', 'rate')} FROM (VALUES {_CHAIN}) t(i, j, p)")
+def generator_rates(spark, sf_dir):
+    """The continuous-time generator of the daily chain."""
+    return rounded(portfolio.matrix_frame(spark, simulate.generator_of(simulate.TRANSITION), "rate"))
+
+
+@query(f"""WITH t AS (FROM (VALUES {_CHAIN}) t(i, j, p)), p AS (SELECT {", ".join(f"max(p) FILTER (i = {i} AND j = {j}) AS p{i}{j}" for i in range(3) for j in range(3))} FROM t),
+w AS (SELECT p10 * p20 + p10 * p21 + p12 * p20 AS w0, p01 * p21 + p01 * p20 + p02 * p21 AS w1, p02 * p12 + p02 * p10 + p01 * p12 AS w2 FROM p)
+SELECT CAST(state AS INTEGER) AS state, {r('x / (w0 + w1 + w2)', 'share')} FROM w, (SELECT unnest([0, 1, 2]) AS state), LATERAL (SELECT CASE state WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END AS x)""")
+def stationary_shares(spark, sf_dir):
+    """The distribution that the daily chain keeps (in SQL by its spanning trees)."""
+    return rounded(spark.createDataFrame([(k, float(x)) for k, x in enumerate(regimes.stationary_distribution(simulate.TRANSITION))], "state int, share double"))
+
+
+@query(f"SELECT series_id, date, CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INTEGER) AS state FROM ({_FILTER})")
+def hamilton_states(spark, sf_dir):
+    """The likeliest state of each day, of equals the first."""
+    made = regimes.hamilton_filter(market.daily_series(spark, sf_dir), simulate.TRANSITION, _MEANS, _STDS)
+    p = F.transform("probabilities", lambda x: F.round(x, 7))
+    return made.select("series_id", "date", (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("state"))
+
+
+_PAIR = ["Brand#11", "Brand#23"]
+_PAIR_SQL = f"""WITH {BRANDS}, x AS (SELECT date, max(ret) FILTER (series_id = '{_PAIR[0]}') AS a, max(ret) FILTER (series_id = '{_PAIR[1]}') AS b FROM panel GROUP BY date),
+c AS (SELECT count(*) AS n, covar_samp(a, a) AS s, covar_samp(b, b) AS t, covar_samp(a, b) AS u FROM x),
+e AS (SELECT *, 1 + abs(u / sqrt(s * t)) AS e0, 1 - abs(u / sqrt(s * t)) AS e1, (1 + sqrt(2::DOUBLE / n)) ** 2 AS edge, s * t - u * u AS det FROM c),
+v AS (SELECT *, CASE WHEN e0 <= edge THEN 0 ELSE u END AS d FROM e)
+SELECT name, {r('value', 'value')} FROM (SELECT unnest(['eigenvalue_0', 'eigenvalue_1', 'share_0', 'edge', 'minimum_variance_0', 'denoised_0', 'mean_variance_0', 'mean_variance_1']) AS name,
+  unnest([e0, e1, e0 / 2, edge, (t - u) / (s + t - 2 * u), (t - d) / (s + t - 2 * d), (t * 0.001::DOUBLE - u * 0.002::DOUBLE) / det, (s * 0.002::DOUBLE - u * 0.001::DOUBLE) / det]) AS value FROM v)"""
+
+
+@query(_PAIR_SQL)
+def pair_portfolio(spark, sf_dir):
+    """Spectrum, noise edge and weights of two assets, for which all have closed forms."""
+    panel = _panel(spark, sf_dir).where(F.col("asset").isin(_PAIR))
+    _, data = portfolio.panel_cross(panel)
+    cov = data.covariance()
+    values = portfolio.eigen_descending(data.correlation())[0]
+    denoised = portfolio.denoise_covariance(cov, data.n_obs)
+    mean = portfolio.mean_variance_weights(cov, [0.001, 0.002])
+    found = {
+        "eigenvalue_0": values[0], "eigenvalue_1": values[1], "share_0": portfolio.explained_variance_ratio(values)[0], "edge": portfolio.marchenko_pastur_bounds(2, data.n_obs)[1],
+        "minimum_variance_0": portfolio.minimum_variance_weights(cov)[0], "denoised_0": portfolio.minimum_variance_weights(denoised)[0], "mean_variance_0": mean[0], "mean_variance_1": mean[1],
+    }
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, value double"))
+
+
+@query(f"WITH {PREDICTIONS}, {_ledger('predictions', _position(UP))} SELECT 'ALL' AS series_id, date, CAST(position AS INTEGER) AS position, {r('strategy_return', 'strategy_return')} FROM ledger ORDER BY date DESC LIMIT 100")
+def ledger_tail(spark, sf_dir):
+    """The last 100 rows of the ledger, as the dashboard shows them."""
+    ledger = bt.run_backtest(_predictions(spark, sf_dir))
+    return rounded(ledger.orderBy(F.desc("date")).limit(100).select("series_id", "date", "position", "strategy_return"))
+
+
+@query(f"WITH {BRANDS}, p AS (SELECT series_id, date, price FROM bp WHERE series_id IN ('Brand#11', 'Brand#23', 'Brand#35')), q AS (SELECT *, price / nullif(lag(price) OVER (PARTITION BY series_id ORDER BY date), 0) - 1 AS ret FROM p) SELECT series_id, date, price, {r('ret', 'return')} FROM q WHERE ret IS NOT NULL")
+def panel_files(spark, sf_dir):
+    """A panel read from one file for each series."""
+    folder = market.scratch_dir(spark)
+    prices = market.brand_prices(spark, sf_dir)
+    paths = {name: f"{folder}/{k}.parquet" for k, name in enumerate(["Brand#11", "Brand#23", "Brand#35"])}
+    for name, path in paths.items():
+        market.write_series(prices.where(F.col("series_id") == name).select("date", "price"), path)
+    return rounded(market.load_panel(spark, paths))
+
+
 # --- experiments ------------------------------------------------------------
 
 
