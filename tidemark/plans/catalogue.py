@@ -183,10 +183,10 @@ def daily_series(spark, sf_dir):
     return rounded(market.daily_series(spark, sf_dir))
 
 
-@query(f"WITH {DAILY} SELECT 'ALL' AS series_id, date, price FROM daily WHERE date BETWEEN DATE '1994-01-01' AND DATE '1994-06-30'")
+@query(f"WITH {DAILY} SELECT 'ALL' AS series_id, date, price FROM daily WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'")
 def date_range(spark, sf_dir):
     """Rows between two labels, both included."""
-    return market.daily_series(spark, sf_dir).where(F.col("date").between("1994-01-01", "1994-06-30")).select("series_id", "date", "price")
+    return market.daily_series(spark, sf_dir).where(F.col("date").between("1996-01-01", "1996-06-30")).select("series_id", "date", "price")
 
 
 _FEATURES = [f"lag(ret, {k}) OVER (ORDER BY date) AS return_lag_{k}" for k in ft.LAGS]
