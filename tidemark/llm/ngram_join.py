@@ -41,7 +41,7 @@ from tidemark.llm.components import connected
 U = np.uint64
 NGRAM, THRESHOLD, RECALL, MAX_HASHES, SEED = 5, 0.8, 0.9999, 128, 20240229
 #: Texts and bytes of text of a block; a task verifies one pair of blocks.
-BLOCK, BLOCK_BYTES = 512, 4 << 20
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 
 
 def bands_for(threshold: float, recall: float, max_hashes: int) -> tuple[int, int]:
@@ -155,15 +155,15 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def _tasks(buckets: DataFrame, classes: DataFrame, block: int, block_bytes: int) -> DataFrame:
-    """(band, i, j, block, fp, copies, row_key, bands): every class of a bucket, once for each pair of blocks that it takes part in.
+    """(band, i, j, block, fp, copies, n_grams, row_key, bands): every class of a bucket, once for each pair of blocks that it takes part in.
 
     A bucket of one block has the pair (0, 0).
     """
     blocks = F.ceil(F.greatest(F.col("members") / F.lit(block), F.col("bucket_bytes") / F.lit(block_bytes))).cast("int")
     dealt = buckets.select("fp", "band", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    whole = dealt.join(classes.select("fp", "copies", "row_key", "bands"), "fp").withColumn("pair", F.explode(pairs))
-    return whole.select("band", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "fp", "copies", "row_key", "bands")
+    whole = dealt.join(classes.select("fp", "copies", "n_grams", "row_key", "bands"), "fp").withColumn("pair", F.explode(pairs))
+    return whole.select("band", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "fp", "copies", "n_grams", "row_key", "bands")
 
 
 def _links_in(threshold: float, n: int, want_pairs: bool):
@@ -172,20 +172,29 @@ def _links_in(threshold: float, n: int, want_pairs: bool):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         band, i, j = key
         frame = frame.sort_values(["block", "fp"], kind="stable").reset_index(drop=True)
+        block, copies, fp, size = (frame[c].to_numpy() for c in ("block", "copies", "fp", "n_grams"))
+        bands = np.stack(frame["bands"].to_list())
+        before = bands[:, : int(np.flatnonzero(bands[0] == band)[0])]
+        right = np.flatnonzero(block == j)
+        # Candidates by sizes and bands alone; only their texts are cut into n-grams.
+        candidates, needed = [], np.zeros(size.size, bool)
+        for a in np.flatnonzero(block == i).tolist():
+            other = right[right > a] if i == j else right
+            other = other[np.minimum(size[other], size[a]) >= threshold * np.maximum(size[other], size[a]) - 1e-9]
+            other = other[~(before[other] == before[a]).any(axis=1)]
+            if other.size:
+                candidates.append((a, other))
+                needed[other] = needed[a] = True
         sets = []
-        for hashes, counts in words.word_hashes(frame["text"].tolist()):
+        for hashes, counts in words.word_hashes(frame["text"][needed].tolist()):
             shingles, each = words.shingle_hashes(hashes, counts, n)
             at = np.concatenate(([0], np.cumsum(each)))
             sets += [np.unique(shingles[at[k] : at[k + 1]]) for k in range(each.size)]
-        size = np.array([s.size for s in sets])
-        start = np.concatenate(([0], np.cumsum(size)))
-        distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        start = np.zeros(size.size, np.int64)
+        start[needed] = np.cumsum(size[needed]) - size[needed]
+        distinct, ids = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.empty(0, U), np.empty(0, np.int64))
         del sets
         inside = np.zeros(distinct.size, bool)
-        bands = np.stack(frame["bands"].to_list())
-        before = bands[:, : int(np.flatnonzero(bands[0] == band)[0])]
-        block, copies, fp = frame["block"].to_numpy(), frame["copies"].to_numpy(), frame["fp"].to_numpy()
-        right = np.flatnonzero(block == j)
         found = np.zeros(size.size, np.int64)
         parent = list(range(size.size))
         pairs: list[tuple[bytes, bytes, float]] = []
@@ -196,26 +205,24 @@ def _links_in(threshold: float, n: int, want_pairs: bool):
                 x = parent[x]
             return x
 
-        for a in np.flatnonzero(block == i).tolist():
-            other = right[right > a] if i == j else right
-            other = other[np.minimum(size[other], size[a]) >= threshold * np.maximum(size[other], size[a]) - 1e-9]
-            other = other[~(before[other] == before[a]).any(axis=1)]
-            if not other.size:
-                continue
-            inside[ids[start[a] : start[a + 1]]] = True
+        for a, other in candidates:
+            inside[ids[start[a] : start[a] + size[a]]] = True
             ends = np.cumsum(size[other])
             where = np.repeat(start[other] - (ends - size[other]), size[other]) + np.arange(ends[-1])
             both = np.add.reduceat(inside[ids[where]], ends - size[other], dtype=np.int64)
-            inside[ids[start[a] : start[a + 1]]] = False
+            inside[ids[start[a] : start[a] + size[a]]] = False
             jaccard = both / (size[a] + size[other] - both)
             near = jaccard >= threshold
-            for b, x in zip(other[near].tolist(), jaccard[near].tolist(), strict=True):
-                found[a] += copies[b]
-                found[b] += copies[a]
-                low, high = sorted((root(a), root(b)), key=fp.__getitem__)
-                parent[high] = low
-                if want_pairs:
-                    pairs.append((fp[a], fp[b], x))
+            met = other[near]
+            found[a] += copies[met].sum()
+            found[met] += copies[a]
+            if want_pairs:
+                pairs += [(fp[a], fp[b], x) for b, x in zip(met.tolist(), jaccard[near].tolist(), strict=True)]
+            for b in met.tolist():
+                one, two = root(a), root(b)
+                if one != two:
+                    low, high = (one, two) if fp[one] < fp[two] else (two, one)
+                    parent[high] = low
         if not want_pairs:
             pairs = [(fp[k], fp[root(k)], None) for k in range(size.size) if root(k) != k]
         linked = np.flatnonzero(found).tolist()
@@ -234,7 +241,7 @@ def _verified(docs: DataFrame, text: str, doc_id: str, classes: DataFrame, n: in
     one, two = common.cells(F.col("row_key"), bits)
     wanted = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"c1": one, "c2": two})
     wanted = common.probe(wanted, ["c1", "c2"], bitmaps, "maybe").where("maybe").groupBy("row_key").agg(F.first("text").alias("text"))
-    with_text = tasks.join(wanted, "row_key").select("band", "i", "j", "block", "fp", "copies", "bands", "text")
+    with_text = tasks.join(wanted, "row_key").select("band", "i", "j", "block", "fp", "copies", "n_grams", "bands", "text")
     return with_text.groupBy("band", "i", "j").applyInPandas(_links_in(threshold, n, want_pairs), "a binary, b binary, jaccard double, links long")
 
 
