@@ -77,12 +77,13 @@ def matrix_frame(spark: SparkSession, matrix: np.ndarray, value: str = "cov") ->
 
 def panel_cross(panel: DataFrame, t: str = "t", asset: str = "asset", r: str = "r") -> tuple[list, Cross]:
     """(assets in order, sums) of a long panel in which every t has all assets. The panel is read once; its vectors are kept while they are summed."""
-    vectors = to_vectors(panel, t, asset, r).persist()
+    cells = panel.groupBy(t).agg(F.sort_array(F.collect_list(F.struct(asset, r))).alias("_c"))
+    vectors = cells.select(F.transform("_c", lambda c: c[asset]).alias("assets"), F.transform("_c", lambda c: c[r]).alias("x")).persist()
     try:
         data = cross_products(vectors)
+        return list(vectors.select("assets").first()["assets"]), data
     finally:
         vectors.unpersist()
-    return sorted(x[0] for x in panel.select(asset).distinct().collect()), data  # one row for each asset
 
 
 def _labelled(panel: DataFrame, asset: str, names: list, matrix: np.ndarray, value: str) -> DataFrame:
