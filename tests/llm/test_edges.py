@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def empty_dir(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "benchmark"):
         common.table(spark, SF, name).limit(0).write.parquet(f"{path}/{name}.parquet")
     return path
 
