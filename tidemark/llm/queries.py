@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, exact_dedup, langid, media, mixing, ngram_join, packing, quality, resampling, token_counts, toxicity, warc
+from tidemark.llm import bpe, common, divergence, exact_dedup, langid, media, mixing, ngram_join, packing, quality, resampling, token_counts, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.map_keys("lang_mix").alias("lang_set"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank: all pairs of a language's sources and the terms that a source uses more. Null text, lang and source are ''; repeated rows count each."""
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken: whole copies of documents whose words meet their sources' targets. Null texts have size 0; repeated rows are documents each."""
     return mixing.copies(_documents(spark, sf_dir))
@@ -96,7 +101,14 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_langid": op10_langid,
+    "op11_source_divergence": op11_source_divergence,
     "op12_mixing": op12_mixing,
     "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES = {"op2_ngram_join": ngram_join.ORACLE_SQL, "op4_exact_dedup": exact_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op13_importance_resampling": resampling.ORACLE_SQL}
+ORACLES = {
+    "op2_ngram_join": ngram_join.ORACLE_SQL,
+    "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
+    "op13_importance_resampling": resampling.ORACLE_SQL,
+}
