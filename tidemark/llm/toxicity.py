@@ -18,8 +18,14 @@ have ``fit_bytes`` together (no text is cut; one of more by itself is passed ove
 Scoring, for every whole text: all maximal scoring segments are found by the
 linear-time scan of Ruzzo and Tompa; their scores are calibrated to
 normalised scores lambda * S - ln(K n); the significant ones are passages,
-and the document's evidence is the best over r of the sum statistic of its r
-best segments.
+and the document's evidence is -ln of a p-value: the least over r of the tail of
+the sum of its r best normalised scores, times 2^r for the choice of r. Under the
+extreme-value law exp(-score) of the best segments are the first arrivals of a
+Poisson process of rate 1, which gives that tail as an integral for every sum,
+negative ones too (``sum_tail``). So evidence never falls when a segment rises.
+
+Fixed bounds: a token speaks against toxicity with log-odds of LEAST_ODDS at
+least, and the histogram of scores that lambda is solved from ends at -16 and 16.
 
 Defined cases: null and empty texts, and texts without words, have no segment
 and the score of no evidence; ties between segments go to the earlier one;
@@ -33,6 +39,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,7 +54,11 @@ from tidemark.llm import common, words
 FIT_ROWS, FIT_BYTES, STEM_BYTES, PRIOR_WORD, PRIOR_STEM, DRIFT, LEAST_COUNT, ALPHA = 4000, 32 << 20, 6, 4.0, 4.0, 1.0, 2, 0.01
 #: Standard deviations taken off positive log-odds: chance finds in rare words then count for little.
 CAUTION = 1.0
+LEAST_ODDS = -2.0
 THRESHOLD = 0.3
+#: Sums of so many best segments have their tail from the integral, longer ones from a bound that is never below it.
+EXACT_SUMS, TAIL_STEPS = 32, 600
+THETAS = np.linspace(0.02, 0.98, 33)
 
 
 # --- log-odds ---------------------------------------------------------------
@@ -71,7 +82,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, around: np.ndarray, rate: flo
     """
     a, b = toxic + prior * around, clean + prior * (1 - around)
     odds = np.log(a / rate) - np.log(b / (1 - rate))
-    return np.where(odds > 0, np.maximum(0, odds - CAUTION * np.sqrt(1 / a + 1 / b)), np.maximum(odds, -2.0))
+    return np.where(odds > 0, np.maximum(0, odds - CAUTION * np.sqrt(1 / a + 1 / b)), np.maximum(odds, LEAST_ODDS))
 
 
 def lexicon(words_in: tuple, stems_in: tuple, docs_toxic: float, docs_clean: float) -> dict:
@@ -151,25 +162,83 @@ def solve_lambda(values: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
-def evidence(segments: list[tuple[int, int, float]], n: int, lam: float, log_k: float) -> float:
-    """-ln p of the document: the best over r of the sum statistic of its r best normalised scores, with 1/2^r for the choice of r.
+@lru_cache(maxsize=1)
+def _tails() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sum, step, values): -ln P(T >= t) of the sums T of the 1 to EXACT_SUMS best normalised scores, at TAIL_STEPS + 1 sums each.
 
-    r goes up to the number of segments: a segment below the noise (a negative normalised score) only lowers the sum, so
-    the sum's best r is met before it falls to zero.
+    With the arrivals G_1 < ... < G_r of a Poisson process, T = -ln(G_1 ... G_r); given G_r the others are uniform
+    below it, so T = E - r ln G_r with a Gamma(r - 1) variable E, and P(T >= t) is
+    P(G_r <= exp(-t/r)) + exp(-t) / r! * integral over x > 0 of sum_{k < r-1} x^k / k! * exp(-exp((x - t) / r)).
     """
+    first, step, values = np.empty(EXACT_SUMS), np.empty(EXACT_SUMS), np.empty((EXACT_SUMS, TAIL_STEPS + 1))
+    k = np.arange(1, 400)
+    for r in range(1, EXACT_SUMS + 1):
+        low, high = -r * math.log(r + 6 * math.sqrt(r) + 6), 60.0 + 12 * r  # from a probability of nearly 1 to where the slope is settled
+        t = np.linspace(low, high, TAIL_STEPS + 1)
+        log_rate = -t / r
+        terms = log_rate[:, None] * (r + k - 1) - np.cumsum(np.log(np.arange(1, r + 400)))[r - 1 + k - 1]
+        near = _log_sum(terms) - np.exp(log_rate)  # ln P(Poisson(exp(-t/r)) >= r)
+        if r == 1:
+            total = near
+        else:
+            x = np.linspace(0, 1, 1201) * (high + r * math.log(60.0))
+            polynomial = _log_sum(np.arange(r - 1) * np.log(np.maximum(x, 1e-300))[:, None] - np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, r - 1))))))
+            inside = polynomial - np.exp(np.minimum((x - t[:, None]) / r, 600))
+            weight = np.log(np.full(x.size, x[1]) * np.where((np.arange(x.size) == 0) | (np.arange(x.size) == x.size - 1), 0.5, 1.0))
+            total = np.logaddexp(near, _log_sum(inside + weight) - t - math.lgamma(r + 1))
+        first[r - 1], step[r - 1] = low, t[1] - t[0]
+        values[r - 1] = np.maximum.accumulate(-np.minimum(total, 0.0))
+    return first, step, values
+
+
+def _log_sum(logs: np.ndarray) -> np.ndarray:
+    """ln of the sums of the exponentials along the last axis."""
+    top = logs.max(axis=-1, keepdims=True)
+    return top[..., 0] + np.log(np.exp(logs - top).sum(axis=-1))
+
+
+def sum_tail(totals: np.ndarray) -> np.ndarray:
+    """-ln P(T_r >= totals[r - 1]) for r = 1, 2, ...: T_r is the sum of the r best normalised scores under the null law. Rises with the total.
+
+    Beyond EXACT_SUMS it is the exponential (Chernoff) bound, which is at most the true value.
+    """
+    first, step, values = _tails()
+    some = totals[:EXACT_SUMS]
+    row = np.arange(some.size)
+    place = np.maximum(0.0, (some - first[row]) / step[row])
+    at = np.minimum(place.astype(np.int64), TAIL_STEPS - 1)  # beyond the last step the last slope goes on
+    exact = values[row, at] + (place - at) * (values[row, at + 1] - values[row, at])
+    if totals.size <= EXACT_SUMS:
+        return exact
+    rest = totals[EXACT_SUMS:]
+    bound = (THETAS[:, None] * rest + _log_moments(1 << (rest.size - 1).bit_length())[:, : rest.size]).max(axis=0)
+    return np.concatenate((exact, np.maximum(bound, 0.0)))
+
+
+@lru_cache(maxsize=4)
+def _log_moments(size: int) -> np.ndarray:
+    """-ln E exp(theta T_r) for each of THETAS and the ``size`` sums after the exact ones: (r - 1) ln(1 - theta) - ln Gamma(r (1 - theta)) + ln Gamma(r)."""
+    r = EXACT_SUMS + 1.0 + np.arange(size)
+    return (r - 1) * np.log1p(-THETAS[:, None]) - _log_gammas(r * (1 - THETAS[:, None])) + _log_gammas(r)
+
+
+def _log_gammas(x: np.ndarray) -> np.ndarray:
+    """ln Gamma of positive numbers, by the series at x + 8."""
+    low = np.zeros_like(x)
+    for k in range(8):
+        low += np.log(x + k)
+    y = x + 8
+    inverse = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - inverse * (1 / 360 - inverse / 1260)) / y - low
+
+
+def evidence(segments: list[tuple[int, int, float]], n: int, lam: float, log_k: float) -> float:
+    """-ln p of a document of n words: the best over r of the tail of the sum of its r best normalised scores, less r ln 2 for the choice of r; 0 at least."""
     if not segments or n <= 0:
         return 0.0
-    normal = sorted((lam * s - log_k - math.log(n) for _, _, s in segments), reverse=True)
-    best, total = 0.0, 0.0
-    for r, x in enumerate(normal, 1):
-        total += x
-        if total <= 0:
-            break
-        # P(sum of the r best >= t) ~ exp(-t) t^(r-1) / (r! (r-1)!)
-        value = total - (r - 1) * math.log(max(total, 1e-9)) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2)
-        if value > best:
-            best = value
-    return best
+    normal = np.sort(lam * np.array([s for _, _, s in segments]) - log_k - math.log(n))[::-1]
+    best = sum_tail(np.cumsum(normal)) - math.log(2) * np.arange(1, normal.size + 1)
+    return max(0.0, float(best.max()))
 
 
 # --- the model --------------------------------------------------------------
