@@ -127,3 +127,13 @@ def test_mixture_proportions():
     like = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.5, 0.5]])
     share, _ = langid.mixture(like, np.ones(4), np.zeros(4, int), 1, np.ones((1, 2), bool), rounds=200)
     assert share[0] == pytest.approx([2 / 3, 1 / 3], abs=1e-6)
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    """Combining marks alone, marks after digits or blanks, and modifiers that are no letters."""
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.train_on(docs)
+    for text in ("\u0301\u0302", "\u0903", "12\u0301 \u0302", "\u20dd \u0300!", "", None, "١٢٣"):
+        assert langid.infer([text], model) == [("und", 0.0, {})]
+    assert langid.letters_only("e\u0301t\u0302\u0302e \u0301 3\u0302") == langid.words.encode("e\u0301t\u0302\u0302e   3 ")
+    assert langid.infer(["e\u0301te\u0301"], model)[0][0] != "und"

@@ -14,7 +14,9 @@ and fewer once no proportion moves by more than SETTLED. The language set is the
 selected by penalised likelihood: starting with the best single language, the one
 with the largest proportion among the others is added while twice the gain in
 log-likelihood exceeds ``penalty`` times the logarithm of the evidence, and while
-that proportion is above LEAST_SHARE in the mixture of all languages. The
+that proportion is above LEAST_SHARE in the mixture of all languages. A word
+speaks against a language with a log-likelihood of FLOOR below its best at most, so
+that one odd word can't rule a language out. The
 prediction is the language with the largest proportion in that set.
 
 Selection (``drop_unidentified``): a document stays if it has an identified
@@ -22,7 +24,8 @@ language and the leading one of its set has at least ``least_share`` of its
 evidence; texts without letters, and mixtures that no language leads, go.
 
 Defined cases: texts that are null or have no letter are ``und`` with score 0
-and an empty set; digits and marks, those beyond ASCII too, are no evidence; ties go to the language that
+and an empty set; digits and marks, those beyond ASCII too, are no evidence, and
+neither are combining marks that follow no letter; ties go to the language that
 comes first by name; texts are used whole; repeated rows get equal results; an
 empty table gives an empty result; without any training row all are ``und``.
 """
@@ -35,14 +38,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, words
 
 FIT_ROWS, ORDERS, BITS, SMOOTHING, EM_ROUNDS, PENALTY, TEMPER = 3000, (1, 2, 3), 16, 0.5, 20, 2.0, 0.5
-SETTLED, LEAST_SHARE, LONG_WORD, LEADING = 1e-3, 0.01, 12, 0.5
+SETTLED, LEAST_SHARE, LONG_WORD, LEADING, FLOOR = 1e-3, 0.01, 12, 0.5, -30.0
 _MULT = np.uint32(2654435761)
+#: Marks that no letter carries.
+_LONE_MARKS = regex.compile(r"(?<![\p{L}\p{M}])\p{M}+")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -52,11 +58,14 @@ def _is_mark(c: str) -> bool:
 
 
 def letters_only(text: str | None) -> bytes:
-    """Lower-cased UTF-8 bytes with a blank for each character beyond ASCII that is no letter; ASCII ones are told apart by their bytes."""
+    """Lower-cased UTF-8 bytes with a blank for each character beyond ASCII that is no letter or combines with none; ASCII ones are told apart by their bytes."""
     text = text or ""
     if not text.isascii():
-        marks = {ord(c): " " for c in set(text) if c > "\x7f" and _is_mark(c)}
-        text = text.translate(marks) if marks else text
+        beyond = [c for c in set(text) if c > "\x7f"]
+        others = {ord(c): " " for c in beyond if _is_mark(c)}
+        text = text.translate(others) if others else text
+        if any(unicodedata.category(c)[0] == "M" for c in beyond):
+            text = _LONE_MARKS.sub(lambda m: " " * len(m[0]), text)
     return words.encode(text)
 
 
@@ -175,12 +184,12 @@ def infer(texts: list[str | None], model: dict, penalty: float = PENALTY) -> lis
         doc = np.searchsorted(ends, s, "right")
         has = np.zeros(docs, bool)
         has[doc] = True
-        like = np.exp(np.maximum(log_like, -30)).astype(np.float64)
+        like = np.exp(np.maximum(log_like, FLOOR)).astype(np.float64)
         weight = np.minimum(n, LONG_WORD) / 6.0
         evidence = np.bincount(doc, weight, docs)
         k = len(languages)
         # Best single language, then forward selection.
-        single = np.stack([np.bincount(doc, weight * np.maximum(log_like[:, i], -30), docs) for i in range(k)], axis=1)
+        single = np.stack([np.bincount(doc, weight * np.maximum(log_like[:, i], FLOOR), docs) for i in range(k)], axis=1)
         chosen = np.zeros((docs, k), bool)
         chosen[np.arange(docs), single.argmax(axis=1)] = True
         best = single.max(axis=1)
