@@ -6,6 +6,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import warc
 
@@ -29,6 +30,30 @@ def test_digests_equal_brute_force(spark):
     assert len(parts) == len(rows) and all(r[2] == "request" and r[3] == "metadata" for r in parts)
 
 
+def test_captures_hold_their_payloads(spark):
+    rows = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, "http://b/", None), (4, None, "x\r\n\r\ny")]
+    made = warc.captures(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {warc_id: (kind, bytes(body), bytes(ask), bytes(facts)) for warc_id, kind, body, ask, facts in made.select(warc.page_of(made.capture_id), "response.record_type", "response.payload", "request.payload", "metadata.payload").collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: ("response", "<p>é</p>".encode()), 2: ("revisit", b""), 3: ("response" , b""), 4: ("response", b"x\r\n\r\ny")}
+    assert all(v[2] == b"" for v in got.values())
+    assert {k: v[3] for k, v in got.items()} == {k: f"payloadLength: {len((h or '').encode())}\r\n".encode() for k, _, h in rows}
+
+
+def test_equal_ids_and_payloads_under_two_addresses(spark):
+    """All records of the smallest id are responses; those of other ids revisit it."""
+    rows = [(1, "u", "same"), (1, "v", "same"), (2, "u", "same"), (2, "w", "same"), (None, "u", "same"), (None, "u", "alone")]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.capture_digests(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    assert got == sorted([(1, "response", None)] * 2 + [(2, "revisit", 1)] * 2 + [(None, "revisit", 1), (None, "response", None)], key=str)
+
+
+def test_equal_filter_hashes_confuse_no_rows(spark, monkeypatch):
+    rows = [(k, f"u{k}", f"text {k // 2}") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = warc._page_rows
+    monkeypatch.setattr(warc, "_page_rows", lambda *a: plain(*a).withColumn("tie", F.lit(7).cast("long")))
+    assert sorted(tuple(r) for r in warc.capture_digests(pages).collect()) == expect(rows)
+
+
 def test_small_payloads_never_revisit(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     kinds = {r.page_id: r.record_type for r in warc.capture_digests(pages, least_bytes=3).collect()}

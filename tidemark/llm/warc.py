@@ -83,7 +83,10 @@ def _page_rows(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame
 
 
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> tuple[DataFrame, int]:
-    """(rows, bytes of the largest payload). Rows: page_id, url, html, sha1, tie, first (struct page, tie): the record with the smallest id of those with an equal payload of least_bytes or more."""
+    """(rows, bytes of the largest payload). Rows: page_id, url, html, sha1, tie, first (struct page, tie): the record with the smallest id of those with an equal payload of least_bytes or more, for records of other ids.
+
+    A row is known by its page id and ``tie`` together; all records of the smallest id are responses.
+    """
     rows = _page_rows(pages, page_id, url, html)
     key = F.struct(F.col("page_id").isNull().alias("no_page"), F.col("page_id").alias("page_id"), F.col("tie").alias("tie"))
     # One scan makes identifiers and digests; they are written, as both sides of the join read them.
@@ -92,13 +95,13 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     # Only identifiers and digests meet by payload; pages are not shuffled with their text.
     salt = F.pmod(F.col("tie"), F.lit(common.salts_for(seen["pages"])))
     met = common.with_group_stats(digests.withColumn("key", key).where(F.col("n") >= least_bytes), ["sha1", "n"], {"first": ("min", F.col("key")), "group": ("count", F.lit(1))}, salt)
-    later = common.written(met.where("group > 1 and not (first <=> key)").select("tie", "first").distinct(), "revisits")
+    later = common.written(met.where("group > 1 and not (first.page_id <=> page_id)").select(F.col("page_id").alias("_page"), F.col("tie").alias("_tie"), "first").distinct(), "revisits")
     bits = common.filter_bits(max(1, seen["pages"]), 16)
-    bitmaps = common.bloom_of(later, "tie", bits, "revisit-keys")
+    bitmaps = common.bloom_of(later, "_tie", bits, "revisit-keys")
     one, two = common.cells(F.col("tie"), bits)
     probed = common.probe(rows.withColumns({"c1": one, "c2": two}), ["c1", "c2"], bitmaps, "maybe").drop("c1", "c2")
     alone = probed.where("not maybe").withColumn("first", F.lit(None).cast(met.schema["first"].dataType))
-    joined = probed.where("maybe").join(later, "tie", "left")
+    joined = probed.where("maybe").join(later, (F.col("tie") == F.col("_tie")) & F.col("page_id").eqNullSafe(F.col("_page")), "left")
     names = ["page_id", "url", "html", "sha1", "tie", "first"]
     return alone.select(*names).unionByName(joined.select(*names)), seen["largest"]
 
@@ -281,17 +284,17 @@ def _transactions(found: DataFrame) -> DataFrame:
     return made.select("capture_id", uri.alias("target_uri"), *[F.col(k).dropFields("target_uri").alias(k) for k in ("request", "response", "metadata")], "times")
 
 
-def _archived(pages: DataFrame, page_id: str, url: str, html: str, least_bytes: int) -> DataFrame:
-    """The records of the pages' archives, written to the shared folder and read back without their payloads."""
+def _archived(pages: DataFrame, page_id: str, url: str, html: str, least_bytes: int, with_payload: bool) -> DataFrame:
+    """The records of the pages' archives, written to the shared folder and read back."""
     path = common.new_path(pages.sparkSession, "warc")
     rows, largest = with_revisits(pages, page_id, url, html, least_bytes)
     write(rows, path, largest=largest)
-    return read(pages.sparkSession, path, with_payload=False)
+    return read(pages.sparkSession, path, with_payload)
 
 
 def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Writes every page to archives in the shared folder, reads them back and assembles the captures."""
-    return assemble(_archived(pages, page_id, url, html, least_bytes))
+    """Writes every page to archives in the shared folder, reads them back and assembles the captures, payloads included; a revisit's is empty, as its response has it."""
+    return assemble(_archived(pages, page_id, url, html, least_bytes, True))
 
 
 def capture_digests(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -301,7 +304,7 @@ def capture_digests(pages: DataFrame, page_id: str = "page_id", url: str = "url"
     digest are those of that payload as read back. A revisit whose response is
     missing, or whose digest or length header differs from it, raises an error.
     """
-    made = _transactions(_archived(pages, page_id, url, html, least_bytes))
+    made = _transactions(_archived(pages, page_id, url, html, least_bytes, False))
     facts = common.written(
         made.select(
             "capture_id", "times", F.col("response.record_type").alias("kind"), F.col("response.refers_to").alias("refers_to"), F.col("response.payload_bytes").alias("payload_bytes"),
@@ -328,7 +331,7 @@ ORACLE_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
      g AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS low FROM p)
 SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {_BASE32_SQL} AS payload_digest,
-       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> low THEN low END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM low THEN low END AS refers_to
 FROM g
 """
