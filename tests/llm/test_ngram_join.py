@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import ngram_join, words
 from tidemark.llm.components import connected
@@ -126,3 +127,15 @@ def test_pairs_are_complete(spark):
     want = {(a, b) for a, b in combinations(ids, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     for block, size in ((128, 1 << 20), (2, 1 << 20), (128, 900)):
         assert {(r.id_a, r.id_b) for r in ngram_join.similar_pairs(docs, block=block, block_bytes=size).collect()} == want
+
+
+def test_equal_filter_hashes_lose_and_confuse_no_row(spark, monkeypatch):
+    """All rows share the hash that places them in filters; the whole key still tells them apart."""
+    base = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(6)]
+    rows = [(10 * k + j, t + (" tail" if j == 2 else "")) for k, t in enumerate(base) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, ngram_join.near_duplicate_classes(docs).select("doc_id", "class_id", "n_links").collect()))
+    monkeypatch.setattr(ngram_join, "_filter_hash", lambda text, doc_id: F.lit(5).cast("long"))
+    assert sorted(map(tuple, ngram_join.near_duplicate_classes(docs).select("doc_id", "class_id", "n_links").collect())) == plain
+    assert plain == sorted((10 * k + j, 10 * k, 2) for k in range(6) for j in range(3))
+    assert sorted(r.doc_id for r in ngram_join.drop_near_duplicates(docs).collect()) == [10 * k for k in range(6)]

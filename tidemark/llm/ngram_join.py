@@ -115,16 +115,22 @@ def _sketcher(text: str, n: int, bands: int, rows: int):
 def sketch(docs: DataFrame, text: str, doc_id: str, n: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, row_key, bytes, fp, n_grams, bands) for each row; fp and bands are null where there is no n-gram.
 
-    row_key: 64-bit hash of text and id, to find the row again without reading the whole text's n-grams.
+    row_key: 128 bits of text and id (``_row_key``), to find the row again without reading the whole text's n-grams.
     """
     common.small_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     rows_in = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.octet_length(whole).cast("long").alias("bytes"), whole.alias("text"))
-    return rows_in.mapInArrow(_sketcher("text", n, bands, rows), "doc_id long, row_key long, bytes long, fp binary, n_grams int, bands array<long>")
+    return rows_in.mapInArrow(_sketcher("text", n, bands, rows), "doc_id long, row_key struct<a:bigint,b:bigint>, bytes long, fp binary, n_grams int, bands array<long>")
+
+
+def _filter_hash(text: Column, doc_id: Column) -> Column:
+    return F.xxhash64(text, doc_id)
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")), doc_id.cast("long"))
+    """Two 64-bit hashes of text and id by different seeds: ``a`` alone places the row in filters, both together tell rows apart."""
+    whole, number = F.coalesce(text, F.lit("")), doc_id.cast("long")
+    return F.struct(_filter_hash(whole, number).alias("a"), F.xxhash64(F.lit("row"), whole, number).alias("b"))
 
 
 def _classes(sketches: DataFrame) -> DataFrame:
@@ -237,8 +243,8 @@ def _verified(docs: DataFrame, text: str, doc_id: str, classes: DataFrame, n: in
     tasks, made = common.measured(_tasks(_buckets(classes), classes, block, block_bytes), "block-pairs", n=F.count(F.lit(1)))
     # Only rows that stand for a class in a bucket pass this filter with their text, and only they shuffle.
     bits = common.filter_bits(max(1, made["n"]), 16)
-    bitmaps = common.bloom_of(tasks.select("row_key").distinct(), "row_key", bits, "wanted-rows")
-    one, two = common.cells(F.col("row_key"), bits)
+    bitmaps = common.bloom_of(tasks.select(F.col("row_key.a").alias("a")).distinct(), "a", bits, "wanted-rows")
+    one, two = common.cells(F.col("row_key.a"), bits)
     wanted = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"c1": one, "c2": two})
     wanted = common.probe(wanted, ["c1", "c2"], bitmaps, "maybe").where("maybe").groupBy("row_key").agg(F.first("text").alias("text"))
     with_text = tasks.join(wanted, "row_key").select("band", "i", "j", "block", "fp", "copies", "n_grams", "bands", "text")
@@ -314,8 +320,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     marks = found.where("n_links > 0").select("row_key", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("stays"))
     marked, made = common.measured(marks, "near-copies", n=F.count(F.lit(1)))
     bits = common.filter_bits(max(1, made["n"]), 16)
-    bitmaps = common.bloom_of(marked, "row_key", bits, "near-copy-rows")
-    one, two = common.cells(F.col("row_key"), bits)
+    bitmaps = common.bloom_of(marked.select(F.col("row_key.a").alias("a")), "a", bits, "near-copy-rows")
+    one, two = common.cells(F.col("row_key.a"), bits)
     keyed = common.packed(docs, row_key=_row_key(F.col(common.quoted(doc_id)), F.col(common.quoted(text))))
     probed = common.probe(keyed.withColumns({"c1": one, "c2": two}), ["c1", "c2"], bitmaps, "maybe")
     alone = probed.where("not maybe").select("_row")
