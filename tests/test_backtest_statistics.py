@@ -118,7 +118,7 @@ def test_resampled_blocks(spark):
 def test_bootstrap_interval_and_p_value(spark):
     rng = np.random.default_rng(8)
     strong, none = rng.normal(0.004, 0.01, 400), rng.normal(0, 0.01, 400)
-    ci = st.block_bootstrap_ci(series(spark, strong), "r", bt.annualized_sharpe, 200).first()
+    ci = st.block_bootstrap_ci(series(spark, strong), "r", st.sharpe_of, 200).first()
     assert ci.lower < ci.point < ci.upper and ci.lower > 0
     assert st.bootstrap_p_value(series(spark, strong), "r", replicates=200).first().p_value < 0.05
     assert st.bootstrap_p_value(series(spark, none - none.mean() * 0.9), "r", replicates=200).first().p_value > 0.05

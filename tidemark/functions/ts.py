@@ -7,7 +7,9 @@ window frame, so that all rolling columns of one partitioning share a sort.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -94,11 +96,20 @@ def uniform(part: int, seed: int, *key: str) -> Column:
 
     It depends on the row's key alone, not on partitions, and any SQL engine can draw the same.
     """
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
-    bits = F.conv(F.substring(digest, 1 + 13 * part, 13), 16, 10).cast("long").cast("double")
+    bits = F.conv(F.substring(_digest(seed, key), 1 + 13 * part, 13), 16, 10).cast("long").cast("double")
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def _digest(seed: int, key: Sequence[str]) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary"))
+
+
+def uniform_below(share: float, seed: int, *key: str) -> Column:
+    """``uniform(0, seed, *key) < share``, told from the hexadecimal digits without making a number of them."""
+    bound = math.ceil(Fraction(share) * (1 << 52) - Fraction(1, 2))
+    return F.substring(_digest(seed, key), 1, 13) < F.lit(f"{bound:013x}") if bound < 1 << 52 else F.lit(True)
+
+
 def row_index(by: Sequence[str] = KEYS, order: str = "date") -> Column:
     """0-based position within the group."""
     return (F.row_number().over(spec(by, order)) - 1).cast("int")
@@ -127,10 +138,11 @@ def with_group_facts(df: DataFrame, by: Sequence[str], **facts: Column) -> DataF
 def quantile_edges(c: Column | str, bins: int) -> Column:
     """Inner edges of equal-count bins: exact percentiles at all bins + 1 points, made distinct, without the outer two."""
     points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return _inner(F.array_distinct(F.percentile(as_col(c).cast("double"), points)))
+    return inner_edges(F.array_distinct(F.percentile(as_col(c).cast("double"), points)))
 
 
-def _inner(edges: Column) -> Column:
+def inner_edges(edges: Column) -> Column:
+    """Without the outer two."""
     return F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ts
+from tidemark.operators import blocks
 
 SIGNAL_KEYS = ("series_id", "signal")
 PERIODS = 252
@@ -22,43 +23,65 @@ def information_coefficient(df: DataFrame, x: str = "value", y: str = "fwd", by=
     return ts.spearman(df, x, y, by, min_pairs)
 
 
-def _spearman_of(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Spearman correlation of each row's two arrays (all of one length): ties share the mean of their ranks; NULL for a constant side."""
-    if not len(x):
-        return pd.Series([], dtype="float64")
-    a, b = (_average_ranks(np.stack(v.to_list())) for v in (x, y))
-    a -= a.mean(axis=1, keepdims=True)
-    b -= b.mean(axis=1, keepdims=True)
-    scale = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-    return pd.Series(np.divide((a * b).sum(axis=1), scale, out=np.full(len(scale), np.nan), where=scale > 0)).where(scale > 0, None)
-
-
-def _average_ranks(v: np.ndarray, block: int = 256) -> np.ndarray:
-    """Average ranks along the rows of a matrix, some rows at a time, which bounds the comparison's memory."""
-    out = np.empty(v.shape)
-    for k in range(0, len(v), block):
-        part = v[k : k + block]
-        less = (part[:, None, :] < part[:, :, None]).sum(axis=2)
-        same = (part[:, None, :] == part[:, :, None]).sum(axis=2)
-        out[k : k + block] = less + (same + 1) / 2
+def _window_ranks(v: np.ndarray, window: int) -> np.ndarray:
+    """Twice the average ranks within each window of consecutive values, (windows, window), by sorting each window."""
+    views = np.lib.stride_tricks.sliding_window_view(v, window)
+    order = np.argsort(views, axis=1, kind="stable")
+    values = np.take_along_axis(views, order, axis=1)
+    place = np.broadcast_to(np.arange(window), values.shape)
+    new = np.ones(values.shape, bool)
+    new[:, 1:] = values[:, 1:] != values[:, :-1]
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    ends = np.ones(values.shape, bool)
+    ends[:, :-1] = new[:, 1:]
+    last = np.minimum.accumulate(np.where(ends, place, window)[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(values.shape)
+    np.put_along_axis(out, order, (first + last + 2).astype(float), axis=1)
     return out
 
 
-def rolling_ic(df: DataFrame, window: int = 60, x: str = "value", y: str = "fwd", by=SIGNAL_KEYS, order: str = "date", native: bool = False) -> DataFrame:
+def sliding_spearman(x: np.ndarray, y: np.ndarray, window: int, cells: int = 1 << 20) -> np.ndarray:
+    """Spearman correlation of each window of consecutive pairs, NaN for a constant side; ``cells`` bounds the numbers held at once."""
+    n = max(0, x.size - window + 1)
+    out = np.full(n, np.nan)
+    step = max(1, cells // window)
+    for k in range(0, n, step):
+        a, b = (_window_ranks(v[k : min(n, k + step) + window - 1], window) - (window + 1) for v in (x, y))
+        scale = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+        np.divide((a * b).sum(axis=1), scale, out=out[k : k + step], where=scale > 0)
+    return out
+
+
+def rolling_ic(df: DataFrame, window: int = 60, x: str = "value", y: str = "fwd", by=SIGNAL_KEYS, order: str = "date", native: bool = False, block_rows: int | None = None) -> DataFrame:
     """Trailing Spearman over complete windows of non-null pairs: keys, order, ic.
 
-    Windows are gathered natively. Ranking a window is quadratic in its length
-    and interpreted for each element in array functions, so it runs in an
-    Arrow-batched function; ``native`` keeps it in array functions.
+    A grouped function ranks windows over a key's own arrays, so that no window is
+    gathered as a row; with ``block_rows`` a long key is dealt to blocks, each with
+    the ``window`` - 1 pairs before it. ``native`` gathers windows and ranks them in
+    array functions.
     """
-    frame = ts.spec(by, order).rowsBetween(-(window - 1), 0)
     pairs = df.where(ts.present(x, y))
-    both = pairs.select(*by, order, F.collect_list(F.struct(x, y)).over(frame).alias("_p")).where(F.size("_p") == window)
-    if not native:
-        return both.select(*by, order, F.pandas_udf(_spearman_of, "double")(F.col(f"_p.{x}"), F.col(f"_p.{y}")).alias("ic"))
-    # Ranks are made columns of their own first, so that each is computed once for a row.
-    ranked = both.select(*by, order, ts.average_ranks_of(F.col(f"_p.{x}")).alias("_x"), ts.average_ranks_of(F.col(f"_p.{y}")).alias("_y"))
-    return ranked.select(*by, order, ts.array_corr(F.col("_x"), F.col("_y")).alias("ic"))
+    if native:
+        frame = ts.spec(by, order).rowsBetween(-(window - 1), 0)
+        both = pairs.select(*by, order, F.collect_list(F.struct(x, y)).over(frame).alias("_p")).where(F.size("_p") == window)
+        # Ranks are made columns of their own first, so that each is computed once for a row.
+        ranked = both.select(*by, order, ts.average_ranks_of(F.col(f"_p.{x}")).alias("_x"), ts.average_ranks_of(F.col(f"_p.{y}")).alias("_y"))
+        return ranked.select(*by, order, ts.array_corr(F.col("_x"), F.col("_y")).alias("ic"))
+    rows, keys = pairs.select(*by, order, x, y), list(by)
+    if block_rows:
+        block_rows = max(block_rows, window)
+        rows = blocks.with_halo(blocks.in_blocks(blocks.positioned(rows, by, [order]), block_rows), window - 1, 0, block_rows)
+        keys.append(blocks.BLOCK)
+    kept = [*by, order]
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        ic = sliding_spearman(frame[x].to_numpy(float), frame[y].to_numpy(float), window)
+        out = frame[kept].iloc[window - 1 :].assign(ic=pd.Series(ic, dtype=object).where(~np.isnan(ic), None).to_numpy())
+        return out[frame[blocks.OWN].iloc[window - 1 :].to_numpy(bool)] if block_rows else out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
+    return rows.groupBy(*keys).applyInPandas(one, f"{schema}, ic double")
 
 
 def ic_t_stat(df: DataFrame, ic: str = "ic", by=SIGNAL_KEYS) -> DataFrame:

@@ -7,7 +7,6 @@ for a fold of a series, so series and folds are parallel; scoring is relational.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ts
+from tidemark.operators import blocks
 from tidemark.operators.folds import expanding_rows
+from tidemark.sources import store
 
 FLOOR, MAX_LAG = 1e-300, 30
 
@@ -36,18 +37,31 @@ def densities(r: np.ndarray, means: np.ndarray, stds: np.ndarray) -> np.ndarray:
     return np.exp(-0.5 * z * z) / (stds * np.sqrt(2 * np.pi))
 
 
-def filter_states(r: np.ndarray, transition: np.ndarray, means: np.ndarray, stds: np.ndarray) -> tuple[np.ndarray, float]:
-    """(filtered probabilities, log-likelihood). The stationary start is moved one step before the first update; a marginal below the floor is raised to it."""
-    like = densities(r, means, stds)
-    out = np.empty_like(like)
-    move, now, total = np.asarray(transition, float).T.copy(), stationary_distribution(transition), 0.0
+def filter_from(like: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(filtered probabilities, marginals) of the rows of ``like`` after a state ``start``; a marginal below the floor is raised to it."""
+    out, marginals = np.empty_like(like), np.empty(like.shape[0])
+    move, now = np.asarray(transition, float).T.copy(), start
     for t in range(like.shape[0]):
         joint = move.dot(now) * like[t]
-        marginal = max(float(joint.sum()), FLOOR)
-        now = joint / marginal
+        marginals[t] = max(float(joint.sum()), FLOOR)
+        now = joint / marginals[t]
         out[t] = now
-        total += np.log(marginal)
-    return out, float(total)
+    return out, marginals
+
+
+def block_product(m: np.ndarray) -> np.ndarray:
+    """The product m[-1] ... m[1] m[0] to a scale, by pairs: half as many matrices in each of log2(n) rounds, each brought to a sum of 1."""
+    while len(m) > 1:
+        odd = m[-1:] if len(m) % 2 else m[:0]
+        m = np.concatenate((np.matmul(m[1 : len(m) - len(odd) : 2], m[0 : len(m) - len(odd) : 2]), odd))
+        m = m / np.maximum(m.sum(axis=(1, 2), keepdims=True), FLOOR)
+    return m[0]
+
+
+def filter_states(r: np.ndarray, transition: np.ndarray, means: np.ndarray, stds: np.ndarray) -> tuple[np.ndarray, float]:
+    """(filtered probabilities, log-likelihood). The stationary start is moved one step before the first update; a marginal below the floor is raised to it."""
+    out, marginals = filter_from(densities(r, means, stds), transition, stationary_distribution(transition))
+    return out, float(np.log(marginals).sum())
 
 
 def _prefix_products(m: np.ndarray) -> np.ndarray:
@@ -115,11 +129,45 @@ def fit_hmm(r: np.ndarray, n_states: int = 3, rounds: int = 200, tol: float = 1e
     return {"start": start[order], "transition": transition[np.ix_(order, order)], "means": means[order], "stds": stds[order]}
 
 
+def assignment(gain: np.ndarray) -> np.ndarray:
+    """Column of each row of a square matrix, all different, with the largest total gain.
+
+    Hungarian method with potentials: rows are placed one after the other, each
+    along the cheapest path of exchanges, in K^3 steps. Of equal totals the one
+    found is a function of the matrix.
+    """
+    cost = gain.max() - np.asarray(gain, float) if gain.size else np.zeros((0, 0))
+    k = cost.shape[0]
+    row_price, column_price = np.zeros(k + 1), np.zeros(k + 1)
+    taken_by = np.full(k + 1, -1)  # row of each column; the last column is the one outside
+    for row in range(k):
+        taken_by[k] = row
+        column, least = k, np.full(k, np.inf)
+        came, seen = np.full(k, k), np.zeros(k + 1, bool)
+        while taken_by[column] >= 0:
+            seen[column] = True
+            here = taken_by[column]
+            free = ~seen[:k]
+            reduced = cost[here] - row_price[here] - column_price[:k]
+            better = free & (reduced < least)
+            least[better], came[better] = reduced[better], column
+            nearest = int(np.where(free, least, np.inf).argmin())
+            step = least[nearest]
+            row_price[taken_by[seen]] += step
+            column_price[seen] -= step
+            least[free] -= step
+            column = nearest
+        while column != k:  # the path back gives each column to the row before it
+            taken_by[column] = taken_by[came[column]]
+            column = came[column]
+    out = np.empty(k, int)
+    out[taken_by[:k]] = np.arange(k)
+    return out
+
+
 def align_states(confusion: np.ndarray) -> dict[int, int]:
-    """inferred -> true labels with the most agreement; all permutations are tried, as states are few."""
-    k = confusion.shape[0]
-    best = max(permutations(range(k)), key=lambda p: sum(confusion[i, p[i]] for i in range(k)))
-    return dict(enumerate(best))
+    """inferred -> true labels with the most agreement."""
+    return dict(enumerate(assignment(confusion).tolist()))
 
 
 # --- on frames --------------------------------------------------------------
@@ -149,6 +197,57 @@ def hamilton_filter(df: DataFrame, transition, means, stds, r: str = "return", b
     return some.groupBy(*by).applyInPandas(one, f"{_keys_schema(some, by, order)}, probabilities array<double>, log_likelihood double")
 
 
+def hamilton_filter_in_blocks(
+    df: DataFrame, transition, means, stds, r: str = "return", by=ts.KEYS, order: str = "date", block_rows: int = blocks.BLOCK_ROWS,
+) -> DataFrame:
+    """The rows of ``hamilton_filter``, a series dealt to several tasks.
+
+    One update multiplies the state by a K x K matrix, and products of those are
+    associative: each block is reduced to one scaled product, the products (one
+    for each block) carry the start of each block on, and each block is filtered
+    from its own start.
+    """
+    transition, means, stds = (np.asarray(x, float) for x in (transition, means, stds))
+    k = len(means)
+    some = df.where(F.col(r).isNotNull()).select(*by, order, r)
+    rows = store.written(blocks.in_blocks(blocks.positioned(some, by, [order]), block_rows), "filter-rows")
+    keys = _keys_schema(rows, by)
+
+    def product(frame: pd.DataFrame) -> pd.DataFrame:
+        like = densities(frame.sort_values(blocks.POS)[r].to_numpy(float), means, stds)
+        out = frame[[*by, blocks.BLOCK]].iloc[:1].copy()
+        out["product"] = [block_product(like[:, :, None] * transition.T).ravel()]
+        return out
+
+    def carry(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(blocks.BLOCK)
+        now, starts = stationary_distribution(transition), []
+        for matrix in frame["product"]:
+            starts.append(now)
+            now = np.reshape(matrix, (k, k)) @ now
+            now = now / max(float(now.sum()), FLOOR)
+        out = frame[[*by, blocks.BLOCK]].copy()
+        out["start"] = starts
+        return out
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(blocks.POS)
+        probabilities, marginals = filter_from(densities(frame[r].to_numpy(float), means, stds), transition, np.asarray(frame["start"].iloc[0]))
+        out = frame[[*by, order, blocks.POS, blocks.BLOCK]].copy()
+        out["probabilities"] = list(probabilities)
+        out["log_marginal"] = np.log(marginals)
+        return out
+
+    place = f"{blocks.BLOCK} long"
+    products = rows.groupBy(*by, blocks.BLOCK).applyInPandas(product, f"{keys}, {place}, product array<double>")
+    starts = products.groupBy(*by).applyInPandas(carry, f"{keys}, {place}, start array<double>")
+    filtered = rows.join(starts, [*by, blocks.BLOCK]).groupBy(*by, blocks.BLOCK).applyInPandas(
+        run, f"{_keys_schema(rows, by, order)}, {blocks.POS} long, {place}, probabilities array<double>, log_marginal double"
+    )
+    filtered = store.written(filtered, "filtered")
+    return blocks.running(filtered, {"log_likelihood": (blocks.SUM, "log_marginal")}, by).select(*by, order, "probabilities", "log_likelihood")
+
+
 def hmm_parameters(df: DataFrame, n_states: int = 3, seed: int = 0, r: str = "return", by=ts.KEYS, order: str = "date") -> DataFrame:
     """keys, state (by ascending mean), mean, std, transition (array)."""
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -192,21 +291,33 @@ def detection_lag(df: DataFrame, true: str = "regime", predicted: str = "aligned
     return marked.groupBy(*by).agg(F.count(F.lit(1)).alias("changes"), F.avg(lag.cast("double")).alias("mean_lag"))
 
 
-def detect_regimes(df: DataFrame, n_states: int = 3, seed: int = 0, true: str = "regime", by=ts.KEYS, order: str = "date") -> dict[str, DataFrame]:
-    """Frames ``states`` (state, aligned, posterior in the order of true labels), ``confusion``, ``scores`` (accuracy, mean_lag) by series."""
-    inferred = infer_states(df, n_states, seed, keep=[true], by=by, order=order)
+def label_maps(counts: DataFrame, n_states: int, by=ts.KEYS) -> DataFrame:
+    """keys, label_map: the label of each inferred state, from the counts of ``confusion``; labels outside 0 .. n_states - 1 do not count."""
 
     def mapping(frame: pd.DataFrame) -> pd.DataFrame:
         table = np.zeros((n_states, n_states))
-        inside = frame[frame["true"].between(0, n_states - 1)]
-        np.add.at(table, (inside["predicted"], inside["true"]), inside["n"])
-        found = align_states(table)
+        inside = frame[frame["true"].between(0, n_states - 1) & frame["predicted"].between(0, n_states - 1)]
+        np.add.at(table, (inside["predicted"].astype(int), inside["true"].astype(int)), inside["n"])
         out = frame[[*by]].iloc[:1].copy()
-        out["label_map"] = [[found[k] for k in range(n_states)]]
+        out["label_map"] = [list(align_states(table).values())]
         return out
 
-    counts = confusion(inferred, true, "state", by)
-    maps = counts.groupBy(*by).applyInPandas(mapping, f"{_keys_schema(counts, by)}, label_map array<int>")
+    return counts.groupBy(*by).applyInPandas(mapping, f"{_keys_schema(counts, by)}, label_map array<int>")
+
+
+def aligned_agreement(df: DataFrame, n_states: int, true: str = "regime", state: str = "state", by=ts.KEYS) -> DataFrame:
+    """keys, agreed, accuracy: rows whose state, by its label, is the true one."""
+    counts = confusion(df, true, state, by)
+    met = counts.join(label_maps(counts, n_states, by), list(by))
+    agreed = F.sum(F.when(F.element_at("label_map", F.col("predicted") + 1) == F.col("true"), F.col("n")).otherwise(0))
+    return met.groupBy(*by).agg(agreed.alias("agreed"), (agreed / F.sum("n").cast("double")).alias("accuracy"))
+
+
+def detect_regimes(df: DataFrame, n_states: int = 3, seed: int = 0, true: str = "regime", by=ts.KEYS, order: str = "date") -> dict[str, DataFrame]:
+    """Frames ``states`` (state, aligned, posterior in the order of true labels), ``confusion``, ``scores`` (accuracy, mean_lag) by series."""
+    inferred = infer_states(df, n_states, seed, keep=[true], by=by, order=order)
+
+    maps = label_maps(confusion(inferred, true, "state", by), n_states, by)
     joined = inferred.join(maps, list(by))
     labels = F.sequence(F.lit(0), F.lit(n_states - 1))
     ordered = F.transform(labels, lambda t: F.element_at("posterior", F.array_position("label_map", t.cast("int")).cast("int")))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import ts
+from tidemark.functions import normal, ts
 from tidemark.operators import backtest as bt
 from tidemark.operators import evaluate as ev
 from tidemark.operators import features as ft
@@ -728,7 +728,7 @@ _POP_SHARPE = "CASE WHEN stddev_pop({0}) = 0 THEN 0 ELSE sqrt(252) * avg({0}) /
 @query(f"""WITH {PREDICTIONS}, {_ledger('predictions', _position(UP))}, {_DRAWS}, v AS (SELECT {_POP_SHARPE.format('x')} AS v FROM resampled GROUP BY rep)
 SELECT 'ALL' AS series_id, (SELECT round({_POP_SHARPE.format('strategy_return')}, 6) FROM ledger) + 0.0 AS point, {r('quantile_cont(v, 0.05)', 'lower', 6)}, {r('quantile_cont(v, 0.95)', 'upper', 6)} FROM v""")
 def bootstrap_ci(spark, sf_dir):
-    return rounded(st.block_bootstrap_ci(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", bt.annualized_sharpe), 6)
+    return rounded(st.block_bootstrap_ci(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", st.sharpe_of), 6)
 
 
 @query(f"""WITH {PREDICTIONS}, {_ledger('predictions', _position(UP))}, {_DRAWS}, v AS (SELECT avg(c) AS v FROM resampled GROUP BY rep), o AS (SELECT avg(strategy_return) AS o FROM ledger)
@@ -737,12 +737,40 @@ def bootstrap_p(spark, sf_dir):
     return rounded(st.bootstrap_p_value(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return"))
 
 
-@query()
-def deflated_sharpe(spark, sf_dir):
-    return st.deflated_sharpe_ratio(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", [0.01, 0.02, 0.03, -0.01, 0.0, 0.015])
+_S = "strategy_return"
+_TRIALS = [0.01, 0.02, 0.03, -0.01, 0.0, 0.015]
 
 
-_S = "strategy_return"
+def _polynomial(coefficients, x: str) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _upper_quantile(p: str) -> str:
+    """The normal quantile of a p between 0.925 and 1 - 1e-11."""
+    root = f"(sqrt(-ln(1 - {p})) - 1.6::DOUBLE)"
+    return f"({_polynomial(normal.NEAR_TOP, root)} / {_polynomial(normal.NEAR_BOTTOM, root)})"
+
+
+def _central_quantile(p: str) -> str:
+    """The normal quantile of a p within 0.425 of a half."""
+    q = f"({normal.CENTRE_TO**2!r}::DOUBLE - ({p} - 0.5::DOUBLE) ** 2)"
+    return f"(({p} - 0.5::DOUBLE) * {_polynomial(normal.CENTRE_TOP, q)} / {_polynomial(normal.CENTRE_BOTTOM, q)})"
+
+
+_TAIL = f"exp(z * z / -2) * {_polynomial(normal.TAIL_TOP, 'abs(z)')} / {_polynomial(normal.TAIL_BOTTOM, 'abs(z)')}"
+
+
+@query(f"""WITH {PREDICTIONS}, {_ledger('predictions', _position(UP))}, m AS (SELECT count(*) AS n, avg({_S}) AS mean, stddev_samp({_S}) AS std, skewness({_S}) AS skew, kurtosis({_S}) AS kurt FROM ledger),
+e AS (SELECT n, mean / std AS ratio, sqrt(greatest(1 - skew * (mean / std) + (kurt + 2) / 4 * (mean / std) ** 2, 1e-12) / (n - 1)) AS error FROM m),
+t AS (SELECT stddev_samp(x) AS spread, count(*)::DOUBLE AS k FROM (SELECT unnest({_TRIALS}::DOUBLE[]) AS x)),
+b AS (SELECT spread * ((1 - {st.EULER_GAMMA}::DOUBLE) * {_upper_quantile('(1 - 1 / k)') if 1 - 1 / len(_TRIALS) > 0.925 else _central_quantile('(1 - 1 / k)')} + {st.EULER_GAMMA}::DOUBLE * {_upper_quantile('(1 - 1 / (k * exp(1::DOUBLE)))')}) AS best FROM t),
+z AS (SELECT n, (ratio - best) / error AS z FROM e, b)
+SELECT 'ALL' AS series_id, n, {r(f'CASE WHEN z > 0 THEN 1 - {_TAIL} ELSE {_TAIL} END', 'dsr')} FROM z""")
+def deflated_sharpe(spark, sf_dir):
+    return rounded(st.deflated_sharpe_ratio(bt.run_backtest(_predictions(spark, sf_dir)), "strategy_return", _TRIALS))
 
 
 @query(f"""WITH {PREDICTIONS}, {_ledger('predictions', _position(UP))}, m AS (SELECT count(*) AS n, avg({_S}) AS mean, stddev_samp({_S}) AS std, skewness({_S}) AS skew, kurtosis({_S}) AS kurt FROM ledger)

@@ -102,7 +102,7 @@ def statistical_rigor(market: DataFrame, replicates: int = 1000, mean_block: flo
     base = baseline_research(market, min_train, test)
     predictions, ledger = base["predictions"], base["ledger"].persist()
     compared = {"strategy": ledger, "buy_and_hold": bt.buy_and_hold(predictions), "random_signal": bt.random_signal(predictions)}
-    statistics = {"sharpe": bt.annualized_sharpe, "total_return": bt.total_return}
+    statistics = {"sharpe": st.sharpe_of, "total_return": st.total_return_of}
     intervals = [_tagged(k, st.block_bootstrap_ci(ledger, "strategy_return", f, replicates, mean_block), "statistic") for k, f in statistics.items()]
     names = schema.feature_columns(base["features"])
     swept = [models.validate(f"embargo_{e}", models.walk_forward_predictions(base["features"], names, models.Logistic, min_train, test, e)).metrics for e in embargoes]
