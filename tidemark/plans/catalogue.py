@@ -16,7 +16,7 @@ from tidemark.functions import normal, ts
 from tidemark.operators import backtest as bt
 from tidemark.operators import evaluate as ev
 from tidemark.operators import features as ft
-from tidemark.operators import folds, models, portfolio, regimes, simulate
+from tidemark.operators import folds, models, portfolio, regimes, simulate, tiles
 from tidemark.operators import statistics as st
 from tidemark.plans import experiments
 from tidemark.sources import market
@@ -481,12 +481,12 @@ def brand_panel(spark, sf_dir):
 
 @query(f"WITH {BRANDS}, {COV} SELECT i, j, {r('cov', 'cov')} FROM cov")
 def panel_covariance(spark, sf_dir):
-    return rounded(portfolio.long_covariance(_panel(spark, sf_dir)))
+    return rounded(tiles.panel_covariance(_panel(spark, sf_dir)))
 
 
 @query(f"WITH {BRANDS}, {COV}, v AS (SELECT i, cov FROM cov WHERE i = j) SELECT c.i, c.j, {r('c.cov / sqrt(x.cov * y.cov)', 'rho')} FROM cov c JOIN v x ON x.i = c.i JOIN v y ON y.i = c.j")
 def panel_corr(spark, sf_dir):
-    return rounded(portfolio.long_correlation(_panel(spark, sf_dir)))
+    return rounded(tiles.correlation(tiles.panel_covariance(_panel(spark, sf_dir))))
 
 
 @query(f"""WITH {BRANDS}, dev AS (SELECT date AS t, series_id AS asset, ret - avg(ret) OVER (PARTITION BY series_id) AS d FROM panel),
@@ -496,17 +496,38 @@ g AS (SELECT sum((s.s - CASE WHEN s.i = s.j THEN k.mu ELSE 0 END) ** 2) AS gamma
 p AS (SELECT avg(q * q) AS m4 FROM (SELECT t, sum(d * d) AS q FROM dev GROUP BY t))
 SELECT k.n AS n_obs, {r('least(1, greatest(0, (p.m4 - k.f) / g.gamma / k.n))', 'delta', 6)} FROM k, g, p""")
 def ledoit_wolf_delta(spark, sf_dir):
-    _, data = portfolio.panel_cross(_panel(spark, sf_dir))
-    _, delta = portfolio.ledoit_wolf(data)
-    return rounded(spark.createDataFrame([(data.n_obs, float(delta))], "n_obs long, delta double"), 6)
+    return rounded(tiles.ledoit_wolf(_panel(spark, sf_dir))[1], 6)
 
 
 @query(f"""WITH e AS (SELECT vec_id AS t, unnest(range(len(embedding))) AS asset, unnest(embedding)::DOUBLE AS x FROM embeddings), dev AS (SELECT t, asset, x - avg(x) OVER (PARTITION BY asset) AS d FROM e)
 SELECT a.asset AS i, b.asset AS j, {r('sum(a.d * b.d) / (count(*) - 1)', 'cov')} FROM dev a JOIN dev b USING (t) GROUP BY 1, 2""")
 def embedding_covariance(spark, sf_dir):
-    vectors = market.table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    data = portfolio.cross_products(vectors)
-    return rounded(portfolio.matrix_frame(spark, data.covariance()))
+    return rounded(tiles.array_covariance(market.table(spark, sf_dir, "embeddings"), "embedding", width=16))
+
+
+_SQUARED = "[[list_dot_product(a, b) FOR b IN m] FOR a IN m]"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT vec_id AS t, unnest(range(len(embedding))) AS asset, unnest(embedding)::DOUBLE AS x FROM embeddings), dev AS (SELECT t, asset, x - avg(x) OVER (PARTITION BY asset) AS d FROM e),
+cov AS (SELECT a.asset AS i, b.asset AS j, sum(a.d * b.d) / (count(*) - 1) AS c FROM dev a JOIN dev b USING (t) GROUP BY 1, 2),
+c AS MATERIALIZED (SELECT list(l ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS l FROM cov GROUP BY i)),
+p AS (SELECT 0 AS k, [[x / list_sum([m[i][i] FOR i IN range(1, len(m) + 1)]) FOR x IN a] FOR a IN m] AS m FROM c
+  UNION ALL SELECT k + 1, [[x / list_sum([s[i][i] FOR i IN range(1, len(s) + 1)]) FOR x IN a] FOR a IN s] FROM (SELECT k, {_SQUARED} AS s FROM p WHERE k < 24)),
+v AS (SELECT list_sum([list_dot_product(c.m[i], p.m[i]) FOR i IN range(1, len(p.m) + 1)]) AS top, list_sum([c.m[i][i] FOR i IN range(1, len(c.m) + 1)]) AS trace FROM p, c WHERE k = 24)
+SELECT {r('top', 'eigenvalue')}, {r('top / trace', 'share')} FROM v""")
+def embedding_first_factor(spark, sf_dir):
+    """The largest eigenvalue of the covariance and its share (in SQL by squaring the matrix until one eigenvector is left)."""
+    values, _, trace = tiles.leading_eigenpairs(market.table(spark, sf_dir, "embeddings"), 1, "embedding")
+    return rounded(spark.createDataFrame([(float(values[0]), float(values[0]) / trace)], "eigenvalue double, share double"))
+
+
+@query()
+def embedding_leading(spark, sf_dir):
+    """The eight leading eigenvalues of the correlation, their shares, and whether they exceed the noise edge."""
+    vectors = market.table(spark, sf_dir, "embeddings")
+    values, loadings, trace = tiles.leading_eigenpairs(vectors, 8, "embedding", of_correlation=True)
+    edge = portfolio.marchenko_pastur_bounds(len(loadings), vectors.count())[1]
+    return rounded(spark.createDataFrame([(k, float(v), float(v) / trace, bool(v > edge)) for k, v in enumerate(values)], "k int, eigenvalue double, share double, signal boolean"))
 
 
 @query()
@@ -534,7 +555,7 @@ def quantile_ls_weights(spark, sf_dir):
 def weights_realized_variance(spark, sf_dir):
     panel = market.brand_panel(spark, sf_dir)
     weights = portfolio.quantile_long_short(panel, "return", ["date"], "series_id").select("date", F.col("series_id").alias("asset"), "weight")
-    return rounded(portfolio.realized_variance(weights, portfolio.long_covariance(_panel(spark, sf_dir)), ["date"]))
+    return rounded(portfolio.realized_variance(weights, tiles.panel_covariance(_panel(spark, sf_dir)), ["date"]))
 
 
 @query()

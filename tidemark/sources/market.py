@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import ts
+from tidemark.sources import store
 
 PRICES = T.StructType([T.StructField("date", T.DateType()), T.StructField("price", T.DoubleType())])
 
@@ -77,11 +76,8 @@ def load_panel(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parque
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; under a temporary folder where that is unset, which only local mode may do."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder, deleted when the driver's Python ends."""
+    return store.new_path(spark, "market")
 
 
 def business_days(spark: SparkSession, start: str, n: int) -> DataFrame:
@@ -124,7 +120,8 @@ def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series_id, date, price, return of the months in which every brand has a price."""
-    prices = brand_prices(spark, sf_dir)
+    # One row for each brand and month: written, so that the lines are read once for the three uses of it.
+    prices = store.written(brand_prices(spark, sf_dir), "brand-prices")
     brands = prices.agg(F.countDistinct("series_id")).scalar()
     full = prices.groupBy("date").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == brands).select("date")
     return with_returns(prices.join(full, "date", "left_semi"))
