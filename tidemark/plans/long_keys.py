@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocks, regimes, spread
+from tidemark.operators import blocks, regimes, shared_folds, spread
 from tidemark.operators import evaluate as ev
 from tidemark.operators import features as ft
 from tidemark.operators import statistics as st
 from tidemark.plans import catalogue as plain
-from tidemark.sources import market
+from tidemark.sources import market, store
+from tidemark.streaming import online
 
 query, r, ORACLES = plain.query, plain.r, plain.ORACLES
 BLOCK_ROWS = 400
@@ -102,3 +103,54 @@ def state_assignment(spark, sf_dir):
     """States named by the hour before are given the labels that agree most with the hour's own, out of all ways to give them."""
     rows = plain._hourly_regimes(spark, sf_dir).withColumn("state", F.lag("regime").over(plain.ts.spec())).where("state is not null")
     return plain.rounded(regimes.aligned_agreement(rows, 3))
+
+
+@query()
+def walk_forward_shared(spark, sf_dir):
+    """All folds' logistic models in shared passes; the rows of ``walk_forward_logit``."""
+    return shared_folds.walk_forward_predictions(ft.build_features(market.daily_series(spark, sf_dir)), plain.FEATURE_NAMES, block_rows=BLOCK_ROWS)
+
+
+@query(f"""WITH {plain.BRANDS}, two AS (SELECT 'before' AS seen, series_id, date, 2 * price AS price FROM bp WHERE date < DATE '1996-01-01' UNION ALL SELECT 'after', series_id, date, price FROM bp),
+q AS (SELECT *, price / nullif(lag(price) OVER (PARTITION BY seen, series_id ORDER BY date), 0) - 1 AS ret FROM two) SELECT seen, series_id, date, price, {r('ret', 'return')} FROM q WHERE ret IS NOT NULL""")
+def panel_versions(spark, sf_dir):
+    """A panel of all series as one scan; a frame planned before a refresh keeps the version that it began with."""
+    root = market.scratch_dir(spark)
+    prices = market.brand_prices(spark, sf_dir)
+    market.publish_panel(prices.where("date < '1996-01-01'").withColumn("price", F.col("price") * 2), root)
+    before = market.read_panel(spark, root)
+    market.publish_panel(prices, root)
+    both = before.withColumn("seen", F.lit("before")).unionByName(market.read_panel(spark, root).withColumn("seen", F.lit("after")))
+    return plain.rounded(both.select("seen", "series_id", "date", "price", "return"))
+
+
+_EVENT_LAW = ([0.2, 0.5, 0.8], [0.2, 0.3, 0.2])
+_EVENT_START = [float(x) for x in regimes.stationary_distribution(plain.simulate.TRANSITION)]
+_EVENT_LIKE = ", ".join(f"exp(-0.5 * ((value - ({m!r}::DOUBLE)) / {v!r}::DOUBLE) ** 2) / ({v!r}::DOUBLE * sqrt(2 * pi())) AS l{k}" for k, (m, v) in enumerate(zip(*_EVENT_LAW, strict=True)))
+_EVENT_FILTER = f"""WITH RECURSIVE likes AS MATERIALIZED (SELECT event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS t, {_EVENT_LIKE} FROM events WHERE value IS NOT NULL),
+f AS (SELECT event_type, 0::BIGINT AS t, NULL::TIMESTAMP AS ts, {", ".join(f"{x!r}::DOUBLE AS p{k}" for k, x in enumerate(_EVENT_START))} FROM (SELECT DISTINCT event_type FROM likes)
+  UNION ALL SELECT event_type, t, ts, j0 / m, j1 / m, j2 / m FROM (SELECT *, greatest(j0 + j1 + j2, 1e-300::DOUBLE) AS m FROM (SELECT f.event_type, likes.t, likes.ts, {plain._MOVE} FROM f JOIN likes ON likes.event_type = f.event_type AND likes.t = f.t + 1)))
+SELECT event_type, epoch_us(ts) AS at, {", ".join(r(f"p{k}", f"p{k}", 7) for k in range(3))} FROM f WHERE t > 0"""
+
+
+@query(_EVENT_FILTER)
+def event_time_filter(spark, sf_dir):
+    """The filter over a stream of ``events``: six files in a shuffled order, rows up to six days late, timers and watermark."""
+    folder, out = store.new_path(spark, "events"), store.new_path(spark, "filtered-events")
+    events = market.table(spark, sf_dir, "events").where("value is not null").select("event_type", F.col("ts").cast("timestamp_ntz").cast("timestamp").alias("ts"), "value")
+    span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    # Events of any five days are dealt to neighbouring files; each file is one step of the stream.
+    day = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(span["low"]))) / (5 * 86_400_000_000))
+    part = F.greatest(F.lit(0), day - F.pmod(F.xxhash64("ts"), F.lit(2))).cast("int")
+    dealt = store.written(events.withColumn("part", part), "dealt-events")
+    last = dealt.agg(F.max("part")).first()[0] or 0
+    ends = spark.createDataFrame([("", span["high"])], "event_type string, ts timestamp").select("event_type", (F.col("ts") + F.expr("interval 7 days")).alias("ts"), F.lit(0.0).alias("value"))
+    for k in range(last + 2):  # the last file only moves the watermark past every event
+        (dealt.where(F.col("part") == k).drop("part") if k <= last else ends).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(dealt.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    made = online.filter_stream_by_time(stream, plain.simulate.TRANSITION, *_EVENT_LAW, key="event_type", late="6 days", silence_ms=10 * 86_400_000)
+    made.writeStream.format("parquet").option("checkpointLocation", store.new_path(spark, "stream-state")).trigger(availableNow=True).start(out).awaitTermination()
+    found = spark.read.schema(made.schema).parquet(out)
+    # The time as a number by the clock that the table has, whatever the session's zone.
+    at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
+    return plain.rounded(found.select("event_type", at.alias("at"), *[F.col("probabilities")[k].alias(f"p{k}") for k in range(3)]), 7)

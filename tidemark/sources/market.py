@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import ts
-from tidemark.sources import store
+from tidemark.sources import store, versions
 
 PRICES = T.StructType([T.StructField("date", T.DateType()), T.StructField("price", T.DoubleType())])
+PANEL = T.StructType([*PRICES.fields, T.StructField("series_id", T.StringType())])
 
 
 class EmptySource(ValueError):
@@ -29,32 +30,29 @@ def with_returns(prices: DataFrame, by=ts.KEYS, order: str = "date") -> DataFram
 
 
 def read_series(spark: SparkSession, path: str, series_id: str, fmt: str = "parquet") -> DataFrame:
-    """series_id, date, price, return from a file of (date, price); the CSV reader takes a header and a fixed schema."""
+    """series_id, date, price, return from a file of (date, price), or its current version; the CSV reader takes a header and a fixed schema."""
+    path = versions.current(spark, path) or path
     raw = spark.read.csv(path, header=True, schema=PRICES) if fmt == "csv" else spark.read.format(fmt).load(path)
     rows = raw.select(F.lit(series_id).alias("series_id"), F.to_date("date").alias("date"), F.col("price").cast("double").alias("price"))
     return with_returns(rows.where("date is not null"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
-
-
 def load_series(
     spark: SparkSession, series_id: str, cache_dir: str, download: Callable[[str], DataFrame] | None = None, refresh: bool = False, fmt: str = "csv",
 ) -> DataFrame:
     """A series by its cached file; on a miss or ``refresh`` it is downloaded by the given function and written there first.
 
-    The cache has one entry for each series, whatever range was asked for.
+    The cache has one entry for each series, whatever range was asked for. A
+    refresh publishes a new version of it: frames that read the old one keep it.
     """
     path = f"{cache_dir}/{series_id}.{fmt}"
-    if refresh or not _exists(spark, path):
+    if refresh or not versions.published(spark, path):
         if download is None:
             raise FileNotFoundError(f"{path} is not cached and no download function is given")
         found = download(series_id).select(F.to_date("date").alias("date"), F.col("price").cast("double").alias("price"))
         if found.isEmpty():
             raise EmptySource(f"no data for {series_id}")
-        write_series(found, path, fmt)
+        versions.publish(found, path, fmt)
     return read_series(spark, path, series_id, fmt)
 
 
@@ -65,7 +63,7 @@ def write_series(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def load_panel(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet") -> DataFrame:
-    """One long frame of many series."""
+    """One long frame of some series' files; for many, ``publish_panel`` and ``read_panel`` make one scan of all."""
     if not paths:
         raise EmptySource("a panel needs a series")
     frames = [read_series(spark, path, name, fmt) for name, path in paths.items()]
@@ -75,6 +73,20 @@ def load_panel(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parque
     return out
 
 
+def publish_panel(prices: DataFrame, root: str) -> None:
+    """Publishes (series_id, date, price) as the current version of a panel: a folder for each series, a long series split by date."""
+    some = prices.select(F.col("series_id").cast("string").alias("series_id"), F.to_date("date").alias("date"), F.col("price").cast("double").alias("price"))
+    versions.publish(some.where("series_id is not null and date is not null"), root, partition_by=["series_id"], order=["date"])
+
+
+def read_panel(spark: SparkSession, root: str) -> DataFrame:
+    """series_id, date, price, return of a panel's current version: one scan, whatever the number of series; a filter on series_id reads their folders only."""
+    path = versions.current(spark, root)
+    if path is None:
+        raise EmptySource(f"no panel is published under {root}")
+    return with_returns(spark.read.schema(PANEL).parquet(path))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name in the shared folder, deleted when the driver's Python ends."""
     return store.new_path(spark, "market")

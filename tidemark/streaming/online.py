@@ -37,6 +37,53 @@ def filter_stream(stream: DataFrame, transition, means, stds, key: str = "series
     return some.groupBy(key).applyInPandasWithState(step, schema, "now array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def filter_stream_by_time(
+    stream: DataFrame, transition, means, stds, key: str = "series_id", order: str = "ts", r: str = "value", late: str = "1 hour", silence_ms: int = 7 * 86_400_000,
+) -> DataFrame:
+    """key, order, probabilities: the rows of the batch filter from a stream whose rows come in any order, up to ``late`` behind the newest.
+
+    A row is held in its key's state until the watermark has passed it, so that
+    nothing before it can still come; a timer at the earliest held row releases
+    rows of keys that get no new ones. A key without held rows whose last row is
+    ``silence_ms`` behind the watermark is forgotten, and starts anew if it comes
+    back. Rows behind the watermark are left out; equal times go by value. State
+    holds the rows of ``late`` for each key.
+    """
+    transition, means, stds = (np.asarray(x, float) for x in (transition, means, stds))
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, times, values, last = state.get if state.exists else (stationary_distribution(transition).tolist(), [], [], 0)
+        now, times, values = np.array(now), list(times), list(values)
+        for frame in [] if state.hasTimedOut else frames:
+            times += frame["_us"].tolist()
+            values += frame[r].tolist()
+        mark = state.getCurrentWatermarkMs()
+        held = sorted(zip(times, values, strict=True))
+        ready = sum(t <= mark * 1000 for t, _ in held)
+        out = []
+        for row in densities(np.array([v for _, v in held[:ready]], float), means, stds):
+            joint = (transition.T @ now) * row
+            now = joint / max(float(joint.sum()), FLOOR)
+            out.append(now)
+        last = max([last, *(t for t, _ in held[:ready])])
+        rest = held[ready:]
+        if not rest and state.exists and last // 1000 + silence_ms <= mark:
+            state.remove()
+        else:
+            state.update((now.tolist(), [t for t, _ in rest], [v for _, v in rest], last))
+            # A timer must lie ahead of the watermark.
+            state.setTimeoutTimestamp(max(mark + 1, rest[0][0] // 1000 + 1 if rest else last // 1000 + silence_ms))
+        if out:
+            yield pd.DataFrame({key: keys[0], "_us": [t for t, _ in held[:ready]], "probabilities": out})
+
+    schema = f"`{key}` {kinds[key]}, _us long, probabilities array<double>"
+    some = stream.where(F.col(r).isNotNull() & F.col(order).isNotNull()).select(key, F.col(order).cast("timestamp").alias(order), F.col(r).cast("double").alias(r)).withWatermark(order, late)
+    # Times go to Python as numbers, which the session's time zone has no part in.
+    made = some.withColumn("_us", F.unix_micros(order)).groupBy(key).applyInPandasWithState(step, schema, "now array<double>, times array<long>, held array<double>, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return made.select(key, F.timestamp_micros("_us").alias(order), "probabilities")
+
+
 def windowed_means(stream: DataFrame, ts_column: str = "ts", value: str = "value", keys=("event_type",), width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Count and mean of a value by window and keys, for streams and batches alike; rows later than ``late`` are left out of streams."""
     timed = stream.withColumn(ts_column, F.col(ts_column).cast("timestamp")).withWatermark(ts_column, late)
