@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ts
 from tidemark.operators import blocks
+from tidemark.sources import store
 
 SIGNAL_KEYS = ("series_id", "signal")
 PERIODS = 252
@@ -147,9 +148,10 @@ def sharpe(r: Column | str, ddof: int = 1, periods: int = PERIODS) -> Column:
 def alpha_report(df: DataFrame, cost: float = 0.0002, horizons=(1, 5, 10, 20), window: int = 60, bins: int = 5, by=SIGNAL_KEYS, order: str = "date") -> DataFrame:
     """One row for each key: ic, t statistics, decay map, autocorrelation, turnover, bins, Sharpe ratio.
 
-    ``df`` has value, price and fwd.
+    ``df`` has value, price and fwd. What the report reads of it is written once, as every part starts from it.
     """
     keys = list(by)
+    df = store.written(df.select(*keys, order, "value", "price", "fwd"), "signals")
     naive = ic_t_stat(rolling_ic(df, window, by=by, order=order), by=by).select(*keys, F.col("t_stat").alias("naive_t_stat"))
     blocks = non_overlapping_ic_t_stat(df, window, by=by, order=order).select(*keys, F.col("t_stat").alias("block_t_stat"))
     decay = ic_decay(df, horizons, by=by, order=order).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("horizon", "ic")))).alias("decay"))

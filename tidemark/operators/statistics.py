@@ -141,23 +141,30 @@ def resampled_sums(df: DataFrame, r: str, replicates: int, mean_block: float, se
     return both.select(*by, "replicate", "n", (F.col("_mean") + shift).alias("_mean"), F.when(spread > square * 1e-12, spread).otherwise(F.lit(0.0)).alias("_var"), (F.col("_sg") / F.col("n")).alias("_growth"))
 
 
+def _kept(df: DataFrame, r: str, by, order: str) -> DataFrame:
+    """The rows that are resampled, written: counts, means, running sums and the observed value each read them."""
+    return store.written(df.where(F.col(r).isNotNull()).select(*by, order, r), "resampled")
+
+
 def _sums() -> Sums:
     return Sums(*[F.col(c) for c in ("n", "_mean", "_var", "_growth")])
 
 
 def block_bootstrap_ci(df: DataFrame, r: str, statistic: Callable[[Sums], Column], replicates: int = 2000, mean_block: float = 20.0, ci: float = 0.9, seed: int = 0, by=ts.KEYS, order: str = "date", block_rows: int | None = None) -> DataFrame:
     """keys, point, lower, upper of a statistic of sums. Other statistics: ``bootstrap_samples``."""
+    df = _kept(df, r, by, order)
     samples = resampled_sums(df, r, replicates, mean_block, seed, by, order, block_rows)
     a = (1 - ci) / 2
     bounds = samples.groupBy(*by).agg(F.percentile(statistic(_sums()), F.array(F.lit(a), F.lit(1 - a))).alias("_q"))
-    point = _facts(df.where(F.col(r).isNotNull()), r, by).select(*by, statistic(_sums()).alias("point"))
+    point = _facts(df, r, by).select(*by, statistic(_sums()).alias("point"))
     return point.join(bounds, list(by)).select(*by, "point", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"))
 
 
 def bootstrap_p_value(df: DataFrame, r: str, replicates: int = 2000, mean_block: float = 20.0, seed: int = 0, by=ts.KEYS, order: str = "date", block_rows: int | None = None) -> DataFrame:
     """keys, observed, p_value: share of resamples of the mean-centred series whose mean is at least as far from 0 as the observed one."""
+    df = _kept(df, r, by, order)
     samples = resampled_sums(df, r, replicates, mean_block, seed, by, order, block_rows)
-    observed = df.where(F.col(r).isNotNull()).groupBy(*by).agg(F.avg(r).alias("observed"))
+    observed = df.groupBy(*by).agg(F.avg(r).alias("observed"))
     far = (F.abs(F.col("_mean") - F.col("observed")) >= F.abs("observed")).cast("double")
     return samples.join(observed, list(by)).groupBy(*by).agg(F.first("observed").alias("observed"), F.avg(far).alias("p_value"))
 
