@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocks, regimes, shared_folds, spread
+from tidemark.operators import block_em, blocks, regimes, shared_folds, spread
 from tidemark.operators import evaluate as ev
 from tidemark.operators import features as ft
 from tidemark.operators import statistics as st
@@ -105,6 +105,12 @@ def state_assignment(spark, sf_dir):
     return plain.rounded(regimes.aligned_agreement(rows, 3))
 
 
+@query()
+def hmm_in_blocks(spark, sf_dir):
+    """Ten rounds of EM over the blocks of one series: states by ascending mean."""
+    return plain.rounded(block_em.fit(market.daily_series(spark, sf_dir), block_rows=BLOCK_ROWS, rounds=10).select("series_id", F.posexplode(F.arrays_zip("means", "stds")).alias("state", "_s")).select("series_id", "state", F.col("_s.means").alias("mean"), F.col("_s.stds").alias("std")))
+
+
 @query()
 def walk_forward_shared(spark, sf_dir):
     """All folds' logistic models in shared passes; the rows of ``walk_forward_logit``."""
