@@ -1,6 +1,7 @@
 """Media columns: decoders, resizing and payload round trips."""
 
 import hashlib
+import io
 import struct
 import zlib
 
@@ -65,6 +66,16 @@ def test_tiles_and_hashes():
     assert media.read_tile(media.tile(image)).shape == (8, 8)
 
 
+def areas(size, parts):
+    """(parts, size): how much of each sample every part of an axis covers, to a sum of 1."""
+    edges = [k * size / parts for k in range(parts + 1)]
+    return np.array([[max(0.0, min(j + 1, edges[i + 1]) - max(j, edges[i])) for j in range(size)] for i in range(parts)]) * (parts / size)
+
+
+def means(image, height, width):
+    return np.einsum("ih,hwc,jw->ijc", areas(image.shape[0], height), image.astype(float), areas(image.shape[1], width))
+
+
 def test_payloads(spark):
     texts = ["", "abc", "é" * 288, "x" * 576, "y" * 577, "\x00\U0001f600" * 4000, None, "abc"]
     docs = spark.createDataFrame([(k, t, "n") for k, t in enumerate(texts)], "doc_id long, text string, feature string")
@@ -77,6 +88,17 @@ def test_payloads(spark):
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-32:])
         _, stored = media.store_payload(data)
         assert r.media_bytes == len(stored) and r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        # The feature and the tile, from the padded bytes alone.
+        samples = np.frombuffer(padded, np.uint8)
+        image = samples.reshape(-1, 24, 1) if zlib.crc32(padded) % 3 == 0 else samples.reshape(-1, 24, 3)
+        luma = image[:, :, 0] if image.shape[2] == 1 else image @ np.array([0.299, 0.587, 0.114])
+        small = np.round(means(luma[:, :, None], media.TILE, media.TILE + 1)[:, :, 0], 6)
+        bits = "".join("1" if small[i, j] < small[i, j + 1] else "0" for i in range(media.TILE) for j in range(media.TILE))
+        shape = "x".join(map(str, image.shape[: 2 if image.shape[2] == 1 else 3]))
+        tile = np.load(io.BytesIO(r.tile_npy))
+        wanted = means(image, media.TILE, media.TILE).reshape(tile.shape)
+        assert np.abs(tile - wanted).max() <= 0.5 + 1e-6 and tile.dtype == np.uint8
+        assert r.feature == f"{shape}:{int(bits, 2):0{media.TILE**2 // 4}x}:{hashlib.sha256(r.tile_npy).hexdigest()[:16]}"
     assert got[1][1:] == got[7][1:] and got[0][1:] == got[6][1:]
     assert media.text_media(docs.where("doc_id > 99")).count() == 0
 
