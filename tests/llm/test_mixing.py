@@ -72,6 +72,17 @@ def test_sources_meet_their_targets(spark, block_rows):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.copies(frame.repartition(7), block_rows=block_rows).collect()))
 
 
+def test_few_documents_come_near_too(spark):
+    """Forty documents a source, one of them with a third of its words."""
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(["w"] * int(4000 if k < 5 else rng.integers(50, 400))), f"s{k % 5}") for k in range(200)]
+    taken, target = {}, {}
+    for r in mixing.copies(spark.createDataFrame(rows, ROWS)).collect():
+        taken[r.doc_id % 5] = taken.get(r.doc_id % 5, 0) + r.taken
+        target[r.doc_id % 5] = r.target
+    assert max(abs(taken[k] - target[k]) / target[k] for k in range(5)) <= 0.1  # half of the large document is 0.29 of a target
+
+
 def test_expectations_are_kept():
     """Over many draws each document's mean share is its own, and the words of all are fixed but for one document."""
     rng = np.random.default_rng(3)
