@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ts
 from tidemark.operators.folds import expanding_rows
 from tidemark.operators.regimes import _keys_schema, filter_fold
+from tidemark.sources import store
 
 MIN_TRAIN, TEST = 800, 125
 
@@ -205,8 +206,8 @@ def validate(name: str, predictions: DataFrame, by=ts.KEYS) -> Validation:
 
 
 def walk_forward_validate(frame: DataFrame, features: list[str], name: str, make: Callable[[], Classifier], min_train: int = MIN_TRAIN, test: int = TEST, embargo: int = 0, by=ts.KEYS, order: str = "date") -> Validation:
-    """Raises if no series is long enough for a fold."""
-    predictions = walk_forward_predictions(frame, features, make, min_train, test, embargo, by, order).persist()
+    """Raises if no series is long enough for a fold. The predictions are written, as scores and callers read them again."""
+    predictions = store.written(walk_forward_predictions(frame, features, make, min_train, test, embargo, by, order), "predictions")
     if predictions.isEmpty():
         raise ValueError(f"no fold: a series needs more than {min_train + test} rows")
     return validate(name, predictions, by)
