@@ -54,11 +54,8 @@ def _merged(frame: pd.DataFrame, n_folds: int) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x) for x in zip(*out, strict=True))
 
 
-def fit_folds(
-    frame: DataFrame, features: Sequence[str], C: float = 0.3, rounds: int = 60, min_train: int = MIN_TRAIN, test: int = TEST, embargo: int = 0,
-    by: Sequence[str] = ts.KEYS, order: str = "date", block_rows: int = BLOCK_ROWS,
-) -> tuple[DataFrame, DataFrame]:
-    """(rows with their own test fold and its number ``folds``, model of each key: w, mean, std, positives, n, an entry for each fold)."""
+def rows_of_folds(frame: DataFrame, features: Sequence[str], min_train: int, test: int, embargo: int, by: Sequence[str], order: str, block_rows: int) -> DataFrame:
+    """The rows of keys that have a fold, once each and written: keys, order, next_return, target, position and block, number of ``folds``, the ``first`` fold that the row trains, the ``fold`` that it tests, x."""
     by = list(by)
     placed = blocks.positioned(frame.select(*by, order, *features, "target", "next_return"), by, [order])
     placed = ts.with_group_facts(placed, by, _n=F.count(F.lit(1))).where(F.col("_n") - test > min_train)
@@ -67,13 +64,26 @@ def fit_folds(
     own = F.floor((F.col(blocks.POS) - min_train) / test).cast("int")
     x = F.array(*[F.col(c).cast("double") for c in features])
     rows = placed.select(*by, order, "next_return", F.col("target").cast("int").alias("target"), blocks.POS, folds.alias("folds"), first.alias("first"), own.alias("fold"), x.alias("x"))
-    rows = store.written(blocks.in_blocks(rows, block_rows), "fold-rows")
+    return store.written(blocks.in_blocks(rows, block_rows), "fold-rows")
 
-    trains = rows.where("first < folds")
+
+def packed_blocks(trains: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A row for each block of training rows, in order of position: keys, first, target, x (flat)."""
     cells = F.sort_array(F.collect_list(F.struct(blocks.POS, "first", "target", "x")))
     packed = trains.groupBy(*by, blocks.BLOCK).agg(cells.alias("_c"))
-    packed = packed.select(*by, F.col("_c.first").alias("first"), F.col("_c.target").alias("target"), F.flatten("_c.x").alias("x"))
-    packed = store.written(packed, "fold-blocks")
+    return packed.select(*by, F.col("_c.first").alias("first"), F.col("_c.target").alias("target"), F.flatten("_c.x").alias("x"))
+
+
+def fit_folds(
+    frame: DataFrame, features: Sequence[str], C: float = 0.3, rounds: int = 60, min_train: int = MIN_TRAIN, test: int = TEST, embargo: int = 0,
+    by: Sequence[str] = ts.KEYS, order: str = "date", block_rows: int = BLOCK_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with their own test fold and its number ``folds``, model of each key: w, mean, std, positives, n, an entry for each fold)."""
+    by = list(by)
+    rows = rows_of_folds(frame, features, min_train, test, embargo, by, order, block_rows)
+
+    trains = rows.where("first < folds")
+    packed = store.written(packed_blocks(trains, by), "fold-blocks")
 
     stats = [F.array(*[f(F.col("x")[k]) for k in range(len(features))]).alias(a) for f, a in ((F.avg, "m"), (F.var_pop, "v"))]
     chunks = trains.groupBy(*by, "folds", "first").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("positives"), *stats)

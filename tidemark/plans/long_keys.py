@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import block_em, blocks, regimes, shared_folds, spread
+from tidemark.operators import block_em, blocks, regimes, shared_boosting, shared_folds, spread
 from tidemark.operators import evaluate as ev
 from tidemark.operators import features as ft
 from tidemark.operators import statistics as st
@@ -117,6 +117,12 @@ def walk_forward_shared(spark, sf_dir):
     return shared_folds.walk_forward_predictions(ft.build_features(market.daily_series(spark, sf_dir)), plain.FEATURE_NAMES, block_rows=BLOCK_ROWS)
 
 
+@query()
+def walk_forward_histograms(spark, sf_dir):
+    """Boosting of all folds in shared passes, 80 trees of depth 2 on 64 bins; the test rows of ``walk_forward_boosting``."""
+    return shared_boosting.walk_forward_predictions(ft.build_features(market.daily_series(spark, sf_dir)), plain.FEATURE_NAMES, block_rows=BLOCK_ROWS)
+
+
 @query(f"""WITH {plain.BRANDS}, two AS (SELECT 'before' AS seen, series_id, date, 2 * price AS price FROM bp WHERE date < DATE '1996-01-01' UNION ALL SELECT 'after', series_id, date, price FROM bp),
 q AS (SELECT *, price / nullif(lag(price) OVER (PARTITION BY seen, series_id ORDER BY date), 0) - 1 AS ret FROM two) SELECT seen, series_id, date, price, {r('ret', 'return')} FROM q WHERE ret IS NOT NULL""")
 def panel_versions(spark, sf_dir):
