@@ -83,19 +83,19 @@ def test_equals_a_plain_loop(frame, embargo, depth, block_rows):
 
 
 def test_blocks_and_jobs_change_nothing(frame, monkeypatch):
-    make = lambda **how: shown(shared_boosting.walk_forward_predictions(frame, FEATURES, 6, min_train=MIN_TRAIN, test=TEST, **how))
-    once = make(together=6)
+    make = lambda **how: shown(shared_boosting.walk_forward_predictions(frame, FEATURES, 4, min_train=MIN_TRAIN, test=TEST, **how))
+    once = make(together=4)
     monkeypatch.setattr(shared_boosting, "HELD", 50)
     monkeypatch.setattr(shared_boosting, "BROADCAST_BYTES", 0)
-    assert make(block_rows=37, together=4) == once
+    assert make(block_rows=37, together=3) == once
 
 
 def test_close_to_exact_splits(frame):
     """Bins cost little against splits at every value."""
     some = frame.where("series_id = 'a'")
     scores = [models.auc(p).first()["auc"] for p in (
-        shared_boosting.walk_forward_predictions(some, FEATURES, 40, 0.1, min_train=MIN_TRAIN, test=TEST),
-        models.walk_forward_predictions(some, FEATURES, lambda: models.Boosting(40, 0.1), MIN_TRAIN, TEST),
+        shared_boosting.walk_forward_predictions(some, FEATURES, 12, 0.3, min_train=MIN_TRAIN, test=TEST, together=4),
+        models.walk_forward_predictions(some, FEATURES, lambda: models.Boosting(12, 0.3), MIN_TRAIN, TEST),
     )]
     assert min(scores) > 0.7 and abs(scores[0] - scores[1]) < 0.06
 
