@@ -65,6 +65,23 @@ def test_sliding_ranks(window):
     assert evaluate.sliding_spearman(x[:3], y[:3], 5).size == 0
 
 
+@pytest.mark.parametrize(("n", "window", "cells"), [(700, 60, 1 << 16), (700, 60, 600), (4300, 2000, 1 << 16), (2000, 2000, 64), (61, 60, 1 << 16)])
+def test_ranks_kept_up_row_by_row(n, window, cells):
+    """Every window ranked by itself, with ties, infinities and a stretch of one value."""
+    rng = np.random.default_rng(n + window)
+    x, y = np.round(rng.normal(size=n), 1), rng.normal(size=n)
+    x[100 : 100 + window + 5] = 2.5
+    y[::50] = np.inf
+    got = evaluate.sliding_spearman(x, y, window, cells)
+    assert got.size == n - window + 1
+    for k in range(0, got.size, max(1, got.size // 80)):
+        a, b = (pd.Series(v[k : k + window]).rank().to_numpy() for v in (x, y))
+        if np.ptp(a) == 0:
+            assert np.isnan(got[k])
+        else:
+            assert got[k] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-12)
+
+
 @pytest.mark.parametrize("block_rows", [None, 60])
 def test_resamples_from_running_sums(rows, block_rows):
     """Each replicate's mean and variance are those of the rows that its positions name."""

@@ -24,40 +24,67 @@ def information_coefficient(df: DataFrame, x: str = "value", y: str = "fwd", by=
     return ts.spearman(df, x, y, by, min_pairs)
 
 
-def _window_ranks(v: np.ndarray, window: int) -> np.ndarray:
-    """Twice the average ranks within each window of consecutive values, (windows, window), by sorting each window."""
-    views = np.lib.stride_tricks.sliding_window_view(v, window)
-    order = np.argsort(views, axis=1, kind="stable")
-    values = np.take_along_axis(views, order, axis=1)
-    place = np.broadcast_to(np.arange(window), values.shape)
+def _centred_ranks(windows: np.ndarray) -> np.ndarray:
+    """Twice the average ranks within each row, less their mean: how many values of the row lie below one, less how many lie above."""
+    width = windows.shape[1]
+    order = np.argsort(windows, axis=1, kind="stable")
+    values = np.take_along_axis(windows, order, axis=1)
+    place = np.broadcast_to(np.arange(width), values.shape)
     new = np.ones(values.shape, bool)
     new[:, 1:] = values[:, 1:] != values[:, :-1]
     first = np.maximum.accumulate(np.where(new, place, 0), axis=1)
     ends = np.ones(values.shape, bool)
     ends[:, :-1] = new[:, 1:]
-    last = np.minimum.accumulate(np.where(ends, place, window)[:, ::-1], axis=1)[:, ::-1]
+    last = np.minimum.accumulate(np.where(ends, place, width)[:, ::-1], axis=1)[:, ::-1]
     out = np.empty(values.shape)
-    np.put_along_axis(out, order, (first + last + 2).astype(float), axis=1)
+    np.put_along_axis(out, order, (first + last + 1 - width).astype(float), axis=1)
     return out
 
 
-def sliding_spearman(x: np.ndarray, y: np.ndarray, window: int, cells: int = 1 << 20) -> np.ndarray:
-    """Spearman correlation of each window of consecutive pairs, NaN for a constant side; ``cells`` bounds the numbers held at once."""
+def sliding_spearman(x: np.ndarray, y: np.ndarray, window: int, cells: int = 1 << 16) -> np.ndarray:
+    """Spearman correlation of each window of consecutive pairs, NaN for a constant side.
+
+    Only the first window of a lane is sorted; each further row changes the ranks
+    that it and the row it replaces lie above or below, in one pass over the
+    window. Ranks are whole numbers, so nothing drifts (their
+    products sum exactly for windows of up to 200,000). A lane goes at least one
+    window far, and the lanes, moved together, hold about ``cells`` numbers a side.
+    """
     n = max(0, x.size - window + 1)
     out = np.full(n, np.nan)
-    step = max(1, cells // window)
-    for k in range(0, n, step):
-        a, b = (_window_ranks(v[k : min(n, k + step) + window - 1], window) - (window + 1) for v in (x, y))
-        scale = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-        np.divide((a * b).sum(axis=1), scale, out=out[k : k + step], where=scale > 0)
+    if not n:
+        return out
+    steps = max(window, -(-n * window // cells))
+    starts = np.arange(0, n, steps)
+    sides = []
+    for v in (x, y):
+        v = np.pad(v, (0, steps), "edge")
+        held = v[starts[:, None] + np.arange(window)]
+        sides.append((v, held, _centred_ranks(held)))
+    a, b = sides[0][2], sides[1][2]
+    for k in range(min(steps, n)):
+        if k:
+            slot = (k - 1) % window
+            for v, held, ranks in sides:
+                old, new = held[:, slot, None].copy(), v[starts + k + window - 1][:, None]
+                held[:, slot] = new[:, 0]
+                above = (held > new).view(np.int8) - (held < new).view(np.int8)
+                ranks += above - (held > old).view(np.int8) + (held < old).view(np.int8)
+                ranks[:, slot] = -above.sum(axis=1, dtype=np.int64)
+        live = starts[starts + k < n]
+        m = len(live)
+        scale = np.sqrt(np.einsum("lw,lw->l", a[:m], a[:m]) * np.einsum("lw,lw->l", b[:m], b[:m]))
+        rho = np.full(m, np.nan)
+        np.divide(np.einsum("lw,lw->l", a[:m], b[:m]), scale, out=rho, where=scale > 0)
+        out[live + k] = rho
     return out
 
 
 def rolling_ic(df: DataFrame, window: int = 60, x: str = "value", y: str = "fwd", by=SIGNAL_KEYS, order: str = "date", native: bool = False, block_rows: int | None = None) -> DataFrame:
     """Trailing Spearman over complete windows of non-null pairs: keys, order, ic.
 
-    A grouped function ranks windows over a key's own arrays, so that no window is
-    gathered as a row; with ``block_rows`` a long key is dealt to blocks, each with
+    A grouped function keeps up ranks over a key's own arrays, so that no window is
+    gathered as a row or sorted again; with ``block_rows`` a long key is dealt to blocks, each with
     the ``window`` - 1 pairs before it. ``native`` gathers windows and ranks them in
     array functions.
     """
