@@ -65,6 +65,16 @@ def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, resampling.importance_ranks(docs, target).collect()), key=str) == one
 
 
+def test_files_of_the_matrix_hold_few_blocks(spark, monkeypatch):
+    """A reader decodes a file's blocks together, so one task's many blocks must go to several files."""
+    monkeypatch.setattr(resampling, "BLOCK_ENTRIES", 30)
+    docs = spark.createDataFrame(list(enumerate(texts(200, 3))), "doc_id long, text string").coalesce(1)
+    matrix = resampling.count_matrix(docs)
+    blocks = [r["count"] for r in matrix.groupBy(F.input_file_name()).count().collect()]
+    assert sum(blocks) > 50 and max(blocks) <= 8
+    assert sum(len(r.ids) for r in matrix.select("ids").collect()) == 200
+
+
 def test_draw_follows_the_target(spark):
     """Documents of the target's words are drawn before others; the draw has the stated size."""
     docs = [(k, ("alpha beta " if k % 4 == 0 else "gamma delta ") * 20) for k in range(800)]

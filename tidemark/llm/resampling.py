@@ -4,7 +4,8 @@
    feature is a run of ``shortest`` to ``longest`` consecutive words, its bucket
    the CRC-32 of its UTF-8 bytes modulo ``buckets``. The matrix is kept as CSR
    blocks (ids, word counts, row bounds, column indices, counts), one row of a
-   table in the shared folder for each block of a bounded number of entries.
+   table in the shared folder for each block of a bounded number of entries, and
+   few of them to a file, which is what a task decodes at once.
 2. Column sums of the blocks give the corpus' distribution, those of the target's
    matrix the wanted one; a bucket's gain is 1000 times the smoothed log ratio,
    floored. Only ``buckets`` numbers of each reach the driver.
@@ -43,6 +44,8 @@ from tidemark.operators import blocks
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 10, 2024
 #: Entries of a CSR block; a document adds ``buckets`` at most. Bytes of a text cut into words at once.
 BLOCK_ENTRIES, PIECE = 1 << 18, 1 << 20
+#: Blocks of a file: a reader holds all of a file's, some 60 MB of decoded arrays here, however large the task's input is.
+FILE_BLOCKS = 8
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -116,7 +119,7 @@ def count_matrix(docs: DataFrame, text: str = "text", doc_id: str | None = "doc_
             yield block()
 
     key = F.lit(None) if doc_id is None else F.col(common.quoted(doc_id))
-    return common.written(docs.select(key.cast("long").alias("id"), F.col(common.quoted(text)).alias("text")).mapInArrow(work, MATRIX), "bucket-counts")
+    return common.written(docs.select(key.cast("long").alias("id"), F.col(common.quoted(text)).alias("text")).mapInArrow(work, MATRIX), "bucket-counts", FILE_BLOCKS)
 
 
 def _flat(batch: pa.RecordBatch, column: int, k: int) -> np.ndarray:
