@@ -1,6 +1,7 @@
 """Toxicity, quality and language: held-out accuracy, brute force of their parts, and edge cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -137,3 +138,18 @@ def test_texts_without_a_letter_are_undetermined(spark):
         assert langid.infer([text], model) == [("und", 0.0, {})]
     assert langid.letters_only("e\u0301t\u0302\u0302e \u0301 3\u0302") == langid.words.encode("e\u0301t\u0302\u0302e   3 ")
     assert langid.infer(["e\u0301te\u0301"], model)[0][0] != "und"
+
+
+def test_fit_of_many_words_is_lean_in_the_driver(spark):
+    """The driver gets word counts as columns, not as one object for each word."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x:x}q" for x in rng.integers(0, 60_000, 1000))) for k in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print("bytes a word", peak / model["words"].size)
+    assert model["words"].size > 50_000 and peak < 400 * model["words"].size

@@ -356,8 +356,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     sums = [F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")]
     counted = common.written(sample.mapInArrow(count, "word long, stem long, c0 long, t0 long, c1 long, t1 long").groupBy("word").agg(F.first("stem").alias("stem"), *sums), "toxicity-words")
     several = F.expr(f"c0 + t0 + c1 + t1 >= {LEAST_COUNT}")
-    frame = counted.where(several).toPandas()
-    stems = counted.groupBy("stem").agg(*sums).where(several).toPandas()
+    # As Arrow: a sample of rich words has millions of them, which as row objects take ten times the room.
+    frame = counted.where(several).toArrow().to_pandas()
+    stems = counted.groupBy("stem").agg(*sums).where(several).toArrow().to_pandas()
     per = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     model = {"words": np.empty(0, np.uint64), "word_scores": np.empty(0), "stems": np.empty(0, np.uint64), "stem_scores": np.empty(0), "drift": DRIFT, "lambda": 1.0, "log_k": 0.0, "curve": (-60.0, 0.0)}
     if not all(per.get((f, t)) for f in (0, 1) for t in (0, 1)) or frame.empty:
