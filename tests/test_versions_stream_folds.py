@@ -93,6 +93,75 @@ def test_rows_out_of_order_give_the_batch_filter(spark, tmp_path, zone):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+class _Store(dict):
+    """A state's map, which counts what is read of it at once."""
+
+    most = reads = 0
+
+    def updateValue(self, name, value):  # noqa: N802
+        self[name], self.reads = value, 0
+
+    def getValue(self, name):  # noqa: N802
+        self.reads += self[name][0]
+        self.most = max(self.most, self.reads)
+        return self[name]
+
+    def removeKey(self, name):  # noqa: N802
+        self.reads = 0
+        del self[name]
+
+
+@pytest.mark.parametrize("times", [1, 3, 60, 100_000])
+def test_held_rows_stay_in_bounded_slots(times):
+    """Whatever the lag and however many rows are of one time, some slots' rows are in memory at once."""
+    rng, store, slots, came, gone, size = np.random.default_rng(times), _Store(), [], [], [], 50
+    values = np.array([-np.inf, -1.5, -0.25, 0.0, 0.25, 2.0, np.inf, np.nan])
+    for until in (None, None, times // 3, times // 2, times // 2, times):
+        held = online._Held(store, slots, size)
+        for n in (1, 7, 50, 50, 50, 50, 50, 50, 50, 50):
+            low = max([-1, *(int(g[-1, 0]) for g in gone if len(g))]) + 1
+            if low <= times:
+                came.append(online._pairs(rng.integers(low, times + 1, n), np.where(rng.random(n) < 0.5, rng.choice(values, n), rng.normal(size=n))))
+                held.add(came[-1])
+        # No row of what was taken comes later.
+        if until is not None:
+            gone += [*held.take(until)] or [np.empty((0, 2), np.int64)]
+            assert held.first() is None or held.first() > until
+        slots = [list(s) for s in held.state()]
+    got = np.concatenate(gone)
+    want = online._in_order(np.concatenate(came))
+    assert (got == want).all() and not store and held.first() is None
+    assert store.most <= 3 * size and len(slots) == 1
+    assert np.array_equal(online._values(online._pairs(np.zeros(8, np.int64), values)), values, equal_nan=True)
+
+
+def test_a_key_beyond_a_slot_and_a_key_that_returns(spark, tmp_path):
+    """State in slots of 16 rows: more rows than that wait, many of one time; a key forgotten after its silence starts anew; a null key is one."""
+    rng = np.random.default_rng(8)
+    start, folder = datetime(2024, 3, 1), str(tmp_path / "in")
+    hours = [rng.integers(0, 24, 400), rng.integers(18, 48, 400), np.repeat(100, 60), np.repeat(110, 1), np.repeat(240, 1), np.repeat(960, 1)]
+    steps = [[(k, start + timedelta(hours=int(h)), float(v)) for h, v in zip(hs, rng.normal(0, 0.2, len(hs)), strict=True) for k in ("a", None)] for hs in hours]
+    for k, at in ((0, 1), (4, 250)):
+        steps[k] += [("back", start + timedelta(hours=at, minutes=m), 0.1 * m) for m in range(5)]
+    schema = "series_id string, ts timestamp, value double"
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    law = (simulate.TRANSITION, [0.0, 0.1, -0.1], [0.1, 0.2, 0.3])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    made = online.filter_stream_by_time(stream, *law, late="36 hours", silence_ms=86_400_000, held_rows=16)
+    made.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    rounded = lambda rows: sorted((str(r.series_id), r.ts, *(round(p, 9) for p in r.probabilities)) for r in rows)
+    # The batch filter leaves equal times as they come; by value here, and each life of a key by itself.
+    frame = pd.DataFrame([r for rows in steps[:5] for r in rows], columns=["series_id", "ts", "value"]).sort_values(["ts", "value"])
+    want = []
+    for name, part in frame.groupby("series_id", dropna=False):
+        lives = part["ts"] > start + timedelta(hours=200)
+        for one in [part[~lives], part[lives]] if name == "back" else [part]:
+            p, _ = regimes.filter_states(one["value"].to_numpy(), *(np.asarray(x, float) for x in law))
+            want += [(str(None if pd.isna(name) else name), t.to_pydatetime(), *(round(float(x), 9) for x in q)) for t, q in zip(one["ts"], p, strict=True)]
+    assert rounded(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(want)
+
+
 @pytest.fixture(scope="module")
 def frame(spark):
     rng = np.random.default_rng(5)

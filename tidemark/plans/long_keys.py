@@ -159,7 +159,7 @@ def event_time_filter(spark, sf_dir):
     ends = spark.createDataFrame([("", span["high"])], "event_type string, ts timestamp").select("event_type", (F.col("ts") + F.expr("interval 7 days")).alias("ts"), F.lit(0.0).alias("value"))
     for k in range(last + 2):  # the last file only moves the watermark past every event
         (dealt.where(F.col("part") == k).drop("part") if k <= last else ends).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(dealt.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = online.state_session(spark).readStream.schema(dealt.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(folder)
     made = online.filter_stream_by_time(stream, plain.simulate.TRANSITION, *_EVENT_LAW, key="event_type", late="6 days", silence_ms=10 * 86_400_000)
     made.writeStream.format("parquet").option("checkpointLocation", store.new_path(spark, "stream-state")).trigger(availableNow=True).start(out).awaitTermination()
     found = spark.read.schema(made.schema).parquet(out)
